@@ -6,9 +6,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 # Unicode white space as a Java character class, its complement,
-# the tag pattern and the link pattern.
+# the same without the plain space, the tag pattern and the link pattern.
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 NOT_WS = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
+WS_BUT_SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}&&[^ ]]"
 TAG = r"<[^>]+>"
 LINK = rf"https?://{NOT_WS}+|www\.{NOT_WS}+"
 
@@ -24,6 +25,8 @@ def decode_entities(text):
     def unescape(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
 
+    # Declared so that a filter on the result is not pushed below it, which would run it twice.
+    unescape = unescape.asNondeterministic()
     return F.coalesce(unescape(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
@@ -37,7 +40,8 @@ def strip_urls(text):
 
 
 def normalize_whitespace(text):
-    return F.trim(F.regexp_replace(text, WS + "+", " "))
+    """Every run of white space to one space, none at the ends; a lone space is left alone."""
+    return F.trim(F.regexp_replace(text, rf"(?: ?{WS_BUT_SPACE}|  ){WS}*", " "))
 
 
 def clean(text, remove_urls=True):

@@ -100,7 +100,8 @@ def encode(df, text, encoder, out="embedding"):
                 matrix[start : start + len(part)] = vectors
             yield _vectors_to_arrow(matrix, missing)
 
-    return df.withColumn(out, embed(F.col(text)))
+    # Declared so that a filter on the vector is not pushed below it, which would encode twice.
+    return df.withColumn(out, embed.asNondeterministic()(F.col(text)))
 
 
 def nonzero_weights(df, vector="embedding"):

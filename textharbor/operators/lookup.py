@@ -1,6 +1,5 @@
 """Matching documents against the embedding store."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textharbor.session import BROADCAST_BYTES
@@ -68,16 +67,13 @@ def hit_ratio(docs, store_keys, store_bytes=None):
     )
 
 
-def first_by_hash(store_rows):
-    """One stored row per fingerprint: the one with the smallest key."""
-    # The per-group limit runs before the shuffle too, so a hot fingerprint stays small.
-    order = Window.partitionBy("content_hash").orderBy("doc_id")
-    return store_rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+def first_by_hash(store_keys):
+    """One key per fingerprint, the smallest; combined on the map side, so hot fingerprints stay small."""
+    return store_keys.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
 
 
-def lookup_by_hash(docs, store_rows, store_bytes=None, how="left"):
+def lookup_by_hash(docs, store_keys, store_bytes=None, how="left"):
     """Documents with the key of some stored row of the same text, as ``cached_id``."""
-    found = first_by_hash(store_rows.select("content_hash", "doc_id"))
-    found = found.withColumnRenamed("doc_id", "cached_id")
+    found = first_by_hash(store_keys).withColumnRenamed("doc_id", "cached_id")
     size = BROADCAST_BYTES + 1 if store_bytes is None else store_bytes
     return salted_lookup(docs, found, ["content_hash"], size, how)

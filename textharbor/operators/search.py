@@ -2,6 +2,7 @@
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textharbor.functions.scores import length_normalized, rank_score, rounded
 from textharbor.functions.text import document_keywords, keywords, overlap_ratio, preview, shared_keywords
@@ -32,16 +33,14 @@ def validate_queries(queries, text="query"):
     return queries.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
+def _describe(docs):
+    content = F.col("content")
+    return docs.withColumns({"preview": preview(content), "keywords": document_keywords(content)})
+
+
 def describe_documents(docs):
     """What search shows of a document: a narrow table derived once from the whole texts."""
-    return docs.select(
-        "doc_id",
-        "filename",
-        "doc_length",
-        "content_hash",
-        preview(F.col("content")).alias("preview"),
-        document_keywords(F.col("content")).alias("keywords"),
-    )
+    return _describe(docs).select("doc_id", *_SHOWN)
 
 
 def _explanation(length_normalize):
@@ -55,14 +54,32 @@ def _explanation(length_normalize):
     return F.struct(*fields, normalized.alias("length_normalized_score"))
 
 
-def _with_documents(hits, shown, hit_bytes, limit):
-    """Hits joined to their documents; hits without one disappear."""
+def _shown(documents):
+    shown = documents if "keywords" in documents.columns else describe_documents(documents)
+    return shown.select("doc_id", *_SHOWN)
+
+
+def _hit_bytes(vectors, query_bytes, n, top_k):
+    """Upper bound of the size of all hits; keys of fixed width need no look at the data."""
+    key_bytes = 16
+    if isinstance(vectors.schema["doc_id"].dataType, T.StringType):
+        key_bytes += vectors.agg(F.max(F.octet_length("doc_id"))).first()[0] or 0
+    return top_k * (query_bytes + n * (32 + key_bytes))
+
+
+def _with_documents(hits, documents, hit_bytes, limit):
+    """Hits joined to what is shown of their documents; hits without a document disappear.
+
+    Only documents that were hit are described, and their texts are not shuffled.
+    """
     if hit_bytes <= limit:
-        return shown.join(F.broadcast(hits), "doc_id")
+        hit_docs = documents.join(F.broadcast(hits), "doc_id")
+        described = hit_docs if "keywords" in documents.columns else _describe(hit_docs)
+        return described.select(*hits.columns, *_SHOWN)
     # Too many hits to broadcast: keep only winning documents, then join with hot documents salted.
     hits = write_and_read(hits, "hits")
-    winners = shown.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    return salted_lookup(hits, winners, ["doc_id"], limit + 1, how="inner", limit=limit)
+    winners = documents.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    return salted_lookup(hits, _shown(winners), ["doc_id"], limit + 1, how="inner", limit=limit)
 
 
 def search(
@@ -92,7 +109,11 @@ def search(
     """
     check_top_k(top_k)
     texts = queries.select("query_id", "query")
-    n, text_bytes = texts.agg(F.count(F.lit(1)), F.sum(F.octet_length("query") + 64)).first()
+    n, id_bytes, text_bytes = texts.agg(
+        F.count(F.lit(1)),
+        F.sum(F.octet_length(F.col("query_id").cast("string"))),
+        F.sum(F.octet_length("query") + 64),
+    ).first()
     if encoder is None:
         encoded = queries.select("query_id", "q")
     else:
@@ -104,9 +125,8 @@ def search(
     hits = exact_topk(encoded, vectors, top_k, max_query_bytes=broadcast_bytes, **topk_options)
     hits = hits.withColumnRenamed("score", "raw_score")
 
-    shown = documents if "keywords" in documents.columns else describe_documents(documents)
-    shown = shown.select("doc_id", *_SHOWN)
-    joined = _with_documents(hits, shown, n * top_k * 128, broadcast_bytes)
+    hit_bytes = _hit_bytes(vectors, id_bytes or 0, n, top_k)
+    joined = _with_documents(hits, documents, hit_bytes, broadcast_bytes)
 
     asked = texts.withColumn("query_keywords", keywords(F.col("query")))
     asked = F.broadcast(asked) if (text_bytes or 0) * 2 <= broadcast_bytes else asked

@@ -28,7 +28,7 @@ from textharbor.session import BROADCAST_BYTES, write_and_read
 BLOCK_ROWS = 4096
 QUERY_STEP = 1024
 CELL_BYTES = 256 << 20
-_RESCORE_STEP = 1 << 15
+_RESCORE_STEP = 1 << 13
 
 
 def _matrix(column, dim):
@@ -44,13 +44,33 @@ def _matrix(column, dim):
     return flat.to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
 
 
+def _smallest_copies(keys, block, k):
+    """Rows of a block without those that k equal vectors with smaller keys are ahead of.
+
+    Whatever the query, equal vectors score the same and the smaller key wins, so a row with
+    k such rows ahead is in no result. A block of copies comes down to k rows.
+    """
+    as_bytes = np.ascontiguousarray(block).view(np.dtype((np.void, block.shape[1] * 4))).ravel()
+    distinct, group = np.unique(as_bytes, return_inverse=True)
+    if len(distinct) == len(block):
+        return keys, block
+    rows = pa.table({"group": group, "key": keys})
+    order = pc.sort_indices(rows, [("group", "ascending"), ("key", "ascending")]).to_numpy()
+    sorted_group = group[order]
+    place = np.arange(len(order)) - np.searchsorted(sorted_group, sorted_group)
+    kept = np.sort(order[place < k])
+    return keys.take(pa.array(kept)), block[kept]
+
+
 class _Best:
     """Running top k of a block of queries over any number of vector blocks."""
 
     def __init__(self, queries, k):
         self.queries = queries
         self.k = k
-        self.max_norm = float(np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)).max(initial=0.0))
+        norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+        self.max_norm = float(norms.max(initial=0.0))
+        self.blank = np.flatnonzero(norms == 0)  # all vectors tie for these: the smallest keys win
         self.floor = np.full(len(queries), -np.inf)  # rank score a candidate has to reach
         self.kept = None
         self.fresh = []
@@ -59,13 +79,17 @@ class _Best:
     def add(self, keys, vectors):
         for start in range(0, len(vectors), BLOCK_ROWS):
             block = vectors[start : start + BLOCK_ROWS]
-            self._add_block(keys.slice(start, len(block)), block)
+            self._add_block(*_smallest_copies(keys.slice(start, len(block)), block, self.k))
 
     def _add_block(self, keys, block):
         dim = block.shape[1]
         norm = float(np.sqrt((block.astype(np.float64) ** 2).sum(axis=1)).max(initial=0.0))
         # Bound on the rounding error of a 32-bit inner product, with room to spare.
         slack = 2.0 * (dim + 2) * 2.0**-24 * self.max_norm * norm + 1.0 / RANK_SCALE
+        if len(self.blank):
+            order = pc.sort_indices(pa.table({"key": keys}), [("key", "ascending")])
+            smallest = order[: self.k].to_numpy()
+            self._offer(np.repeat(self.blank, len(smallest)), np.tile(smallest, len(self.blank)), keys, block)
         for start in range(0, len(self.queries), QUERY_STEP):
             part = self.queries[start : start + QUERY_STEP]
             rough = part @ block.T
@@ -73,9 +97,13 @@ class _Best:
             if len(block) > self.k and np.isneginf(need).any():
                 kth = np.partition(rough, len(block) - self.k, axis=1)[:, len(block) - self.k]
                 need = np.maximum(need, kth - 2.0 * slack)
+            blank = self.blank[(self.blank >= start) & (self.blank < start + QUERY_STEP)] - start
+            need[blank] = np.inf
             q, v = np.nonzero(rough >= need[:, None])
             for at in range(0, len(q), _RESCORE_STEP):
                 self._offer(q[at : at + _RESCORE_STEP] + start, v[at : at + _RESCORE_STEP], keys, block)
+        if self.kept is None or self.n_fresh > max(2 * self.k * len(self.queries), 16 * _RESCORE_STEP):
+            self.prune()
 
     def _offer(self, q, v, keys, block):
         left = self.queries[q].astype(np.float64)
@@ -87,8 +115,6 @@ class _Best:
             pa.table({"q": q, "rank": rank, "score": score, "key": keys.take(pa.array(v))})
         )
         self.n_fresh += len(q)
-        if self.n_fresh > max(4 * self.k * len(self.queries), 4 * _RESCORE_STEP):
-            self.prune()
 
     def prune(self):
         parts = self.fresh if self.kept is None else [self.kept, *self.fresh]
@@ -250,11 +276,13 @@ def exact_topk(
         raise ValueError(f"unknown strategy {strategy!r}")
     queries = queries.select(query_id, query_vector)
     if dim is None:
-        first = queries.select(F.size(query_vector)).first()
-        dim = first[0] if first else 1
+        # Without queries there is nothing to score, but vectors are still read in their own length.
+        first = queries.select(F.size(query_vector)).first() or vectors.select(F.size(vector)).first()
+        dim = max(first[0], 1) if first else 1
     if strategy == "auto":
         # Vectors are not computed for this: their length is known and checked when they are read.
-        id_bytes = F.length(F.col(query_id).cast("string")) + F.lit(16 + 4 * dim)
+        # Counted in: one vector and k running hits per query, which every task holds.
+        id_bytes = F.length(F.col(query_id).cast("string")) + F.lit(16 + 4 * dim + 64 * k)
         strategy = "scan" if (queries.agg(F.sum(id_bytes)).first()[0] or 0) <= max_query_bytes else "grid"
     if strategy == "scan":
         hits = _scan(queries, vectors, k, query_id, key, query_vector, vector, dim)

@@ -5,13 +5,13 @@ from collections import namedtuple
 from pyspark.sql import functions as F
 
 from textharbor.operators.encode import encode
-from textharbor.operators.lookup import first_by_hash, latest_rows, salted_lookup, uncached
+from textharbor.operators.lookup import latest_rows, salted_lookup, uncached
 from textharbor.operators.search import describe_documents
 from textharbor.session import BROADCAST_BYTES, write_and_read
 from textharbor.sources.index import build_vectors, new_snapshot, publish_snapshot
 
-#: Vectors of all documents (doc_id, content_hash, embedding) and the number of rows encoded.
-Embedded = namedtuple("Embedded", "vectors encoded")
+#: Vectors of all documents (doc_id, content_hash, embedding) and the number of store misses.
+Embedded = namedtuple("Embedded", "vectors misses")
 
 
 def _pending(docs, keys, store, limit):
@@ -34,14 +34,20 @@ def _store_rows(docs):
     return docs.select("doc_id", "embedding", "content_hash", facts.alias("metadata"))
 
 
-def _reuse_texts(pending, store, encoder):
-    """Vectors for pending documents, taken from any stored row with the same text if there is one."""
-    known = first_by_hash(store.scan().select("content_hash", "doc_id", "embedding"))
-    known = known.select("content_hash", F.col("embedding").alias("_known"))
-    size = store.key_bytes() * (1 + 4 * encoder.dim // 32)
-    matched = salted_lookup(pending, known, ["content_hash"], size)
-    fresh = encode(matched.withColumn("_new", F.when(F.col("_known").isNull(), F.col("content"))), "_new", encoder)
-    return fresh.withColumn("embedding", F.coalesce("_known", "embedding"))
+def _reuse_texts(pending, store, encoder, limit):
+    """Rows for pending documents: vectors of equal stored texts where there are any, else encoded.
+
+    Texts themselves are not joined: copies are found by fingerprint on narrow rows.
+    """
+    narrow = pending.select("doc_id", "content_hash", "filename", "doc_length")
+    known = store.by_hash(narrow).select("content_hash", "embedding")
+    store_bytes = store.key_bytes()
+    # A fingerprint and its vector against the logged size of a key and its fingerprint.
+    known_bytes = store_bytes * (1 + 4 * encoder.dim // 32)
+    copies = salted_lookup(narrow, known, ["content_hash"], known_bytes, how="inner", limit=limit)
+    hashes = known.select("content_hash")
+    rest = salted_lookup(pending, hashes, ["content_hash"], store_bytes, how="left_anti", limit=limit)
+    return _store_rows(copies).unionByName(_store_rows(encode(rest, "content", encoder)))
 
 
 def incremental_embed(
@@ -75,10 +81,10 @@ def incremental_embed(
     everything = force or not store.key_bytes()
     pending = docs if everything else _pending(docs, keys, store, broadcast_bytes)
     if reuse == "content" and not everything:
-        rows = _reuse_texts(pending, store, encoder)
+        rows = _reuse_texts(pending, store, encoder, broadcast_bytes)
     else:
-        rows = encode(pending, "content", encoder)
-    written = store.upsert(_store_rows(rows), updated_at, stream_id=stream_id, batch_id=batch_id)
+        rows = _store_rows(encode(pending, "content", encoder))
+    written = store.upsert(rows, updated_at, stream_id=stream_id, batch_id=batch_id)
     if everything:
         vectors = store.batch(written.seq)
     else:
@@ -105,7 +111,7 @@ def index_job(docs, store, encoder, root, force=False, updated_at=None, normaliz
     index = spark.read.parquet(f"{folder}/vectors")
     return index.agg(F.count(F.lit(1)).alias("indexed_documents")).select(
         "indexed_documents",
-        (F.col("indexed_documents") - embedded.encoded).alias("cache_hits"),
-        F.lit(embedded.encoded).cast("long").alias("cache_misses"),
+        (F.col("indexed_documents") - embedded.misses).alias("cache_hits"),
+        F.lit(embedded.misses).cast("long").alias("cache_misses"),
         store.keys().agg(F.count(F.lit(1))).scalar().alias("cached_embeddings"),
     )

@@ -7,6 +7,8 @@ from textharbor.functions import cleaning
 from textharbor.functions.text import content_hash
 from textharbor.schema import DOCUMENT_COLUMNS
 
+_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def decode_utf8(content):
     """Bytes to text with undecodable bytes dropped; only invalid contents go to Python."""
@@ -38,9 +40,10 @@ def as_documents(
     """
     original = F.col(text)
     content = cleaner(original) if cleaner else original
-    rows = df.withColumn("_content", content)
     if drop_empty:
-        rows = rows.filter(F.length("_content") > 0)
+        # No row or one row per text: unlike a filter, this cleans every text just once.
+        content = F.explode(F.filter(F.array(content), lambda c: F.length(c) > 0))
+    rows = df.select("*", content.alias("_content"))
     length, digest = F.length("_content"), content_hash(F.col("_content"))
     if "doc_length" in df.columns:
         given = F.col("doc_length").cast("int")
@@ -60,22 +63,34 @@ def as_documents(
     )
 
 
-def read_text_corpus(spark, path, cleaner=cleaning.clean):
-    """Every ``*.txt`` directly in a folder as one document; files that clean to nothing are skipped.
-
-    The key is the file name without its last extension. Files starting with ``_`` or ``.`` are not read.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+def _text_files(files, cleaner):
     name = F.regexp_extract("path", r"([^/]+)\z", 1)
     rows = files.select(
-        F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), r"\.[^.]*\z", "").alias("stem"),
-        F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("name"),
+        F.regexp_replace(name, r"\.[^.]*\z", "").alias("stem"),
+        name.alias("name"),
         F.create_map(F.lit("source_path"), F.col("path")).alias("origin"),
         decode_utf8(F.col("content")).alias("text"),
     )
     return as_documents(rows, "stem", "text", filename="name", metadata="origin", cleaner=cleaner)
 
 
+def read_text_corpus(spark, path, cleaner=cleaning.clean):
+    """Every ``*.txt`` directly in a folder as one document; files that clean to nothing are skipped.
+
+    The key is the file name without its last extension. Files starting with ``_`` or ``.`` are not read.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    return _text_files(files, cleaner)
+
+
+def text_corpus_stream(spark, path, cleaner=cleaning.clean, max_files=None):
+    """The same as a stream: files that arrive in the folder later become documents too."""
+    reader = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.txt")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return _text_files(reader.load(path), cleaner)
+
+
 def iterate_documents(docs):
     """Documents one at a time on the driver, one partition in memory at once."""
     return docs.select(*DOCUMENT_COLUMNS).toLocalIterator(prefetchPartitions=False)

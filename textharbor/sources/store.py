@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textharbor.operators.lookup import latest_rows
+from textharbor.operators.lookup import first_by_hash, latest_rows
 from textharbor.schema import store_schema
 from textharbor.session import BROADCAST_BYTES
 from textharbor.sources import log
@@ -104,10 +104,9 @@ class EmbeddingStore:
 
     def by_hash(self, hashes):
         """For every distinct fingerprint in ``hashes`` the stored row with the smallest key."""
-        wanted = hashes.select("content_hash").distinct()
-        matching = self.scan().join(wanted, "content_hash", "left_semi")
-        first = matching.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
-        return matching.join(first, ["content_hash", "doc_id"], "left_semi").select(*_PUBLIC)
+        first = first_by_hash(self.keys())
+        wanted = first.join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
+        return self.scan().join(wanted, ["content_hash", "doc_id"], "left_semi").select(*_PUBLIC)
 
     def stats(self):
         """One row: entries, latest update, bytes on disk, path. File contents are not read."""

@@ -26,8 +26,12 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark, sf_dir, name):
+    return spread(table(spark, sf_dir, name))
+
+
 def corpus(spark, sf_dir, keep=()):
-    return th.as_documents(spread(table(spark, sf_dir, "documents")), "doc_id", "text", filename="source", keep=keep)
+    return th.as_documents(texts(spark, sf_dir, "documents"), "doc_id", "text", filename="source", keep=keep)
 
 
 def benchmark_queries(spark, sf_dir):
@@ -104,27 +108,27 @@ def weights(encoded, key):
 
 
 def strip_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", cleaning.strip_html(F.col("html")).alias("text"))
+    return texts(spark, sf_dir, "pages").select("page_id", cleaning.strip_html(F.col("html")).alias("text"))
 
 
 def strip_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages").select(
         "page_id", cleaning.strip_urls(F.concat_ws(" ", "url", "html", "url")).alias("text")
     )
 
 
 def normalize_whitespace(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", cleaning.normalize_whitespace(F.col("text")).alias("text")
     )
 
 
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", cleaning.clean(F.col("text")).alias("content"))
+    return texts(spark, sf_dir, "documents").select("doc_id", cleaning.clean(F.col("text")).alias("content"))
 
 
 def clean_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", cleaning.clean(F.col("html")).alias("content"))
+    return texts(spark, sf_dir, "pages").select("page_id", cleaning.clean(F.col("html")).alias("content"))
 
 
 def doc_schema(spark, sf_dir):
@@ -132,13 +136,13 @@ def doc_schema(spark, sf_dir):
 
 
 def content_hash(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents")
+    rows = texts(spark, sf_dir, "documents")
     return rows.select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
 
 
 def drop_empty(spark, sf_dir):
     """Every line of every document as a document of its own; blank lines vanish."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    lines = texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return th.as_documents(lines, "doc_id", "text", keep=["line"]).select("doc_id", "line", "content")
 
 
@@ -171,7 +175,7 @@ def list_documents(spark, sf_dir):
 def src_text_corpus(spark, sf_dir):
     """Documents written as one text file each, then loaded from that folder."""
     folder = th.run_dir(spark, "corpus")
-    files = spread(table(spark, sf_dir, "documents")).select("text")
+    files = texts(spark, sf_dir, "documents").select("text")
     files.write.option("maxRecordsPerFile", 1).text(folder)
     loaded = th.read_text_corpus(spark, folder)
     return loaded.groupBy("content_hash", "doc_length").agg(F.count(F.lit(1)).alias("files"))

@@ -43,7 +43,7 @@ def expand_queries(queries, lexicon=None, max_synonyms=2, query_id="query_id", t
     wanted = F.array_distinct(F.filter("words", lambda w: F.length(w) >= MIN_EXPANDED))
     lookups = tokens.select(query_id, F.explode(wanted).alias("word"))
     found = salted_lookup(
-        lookups, _synonyms(lexicon, max_synonyms), ["word"], _lexicon_bytes(lexicon), how="inner"
+        lookups, _synonyms(lexicon, max_synonyms), ["word"], query_id, _lexicon_bytes(lexicon), how="inner"
     )
     # One entry per distinct word of one query: bounded by the query's own text.
     known = found.groupBy(query_id).agg(

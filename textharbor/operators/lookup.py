@@ -7,27 +7,27 @@ from textharbor.session import BROADCAST_BYTES
 SALTS = 16
 
 
-def salted_lookup(rows, lookup, on, lookup_bytes, how="left", limit=BROADCAST_BYTES, salts=SALTS):
+def salted_lookup(rows, lookup, on, salt_by, lookup_bytes, how="left", limit=BROADCAST_BYTES, salts=SALTS):
     """``rows`` joined to ``lookup``, which holds one row per value of ``on``.
 
     A lookup measured at ``limit`` bytes or less is broadcast. A larger one is copied
-    ``salts`` times and joined on the value and a salt taken from the whole row, so rows
+    ``salts`` times and joined on the value and a salt taken from column ``salt_by``, so rows
     that share one hot value spread over ``salts`` tasks.
     """
     if lookup_bytes <= limit:
         return rows.join(F.broadcast(lookup), on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def latest_rows(df, key, order_by, count=None):
-    """The row with the highest ``order_by`` per key, combined on the map side first.
+    """The row with the highest ``order_by`` per key, combined on the map side first; NULL is lowest.
 
     ``count`` names a column for the number of rows the key had.
     """
     payload = [c for c in df.columns if c != key]
-    aggregates = [F.max_by(F.struct(*payload), F.col(order_by)).alias("_row")]
+    aggregates = [F.max_by(F.struct(*payload), F.struct(order_by)).alias("_row")]
     if count:
         aggregates.append(F.count(F.lit(1)).alias(count))
     best = df.groupBy(key).agg(*aggregates)
@@ -76,4 +76,4 @@ def lookup_by_hash(docs, store_keys, store_bytes=None, how="left"):
     """Documents with the key of some stored row of the same text, as ``cached_id``."""
     found = first_by_hash(store_keys).withColumnRenamed("doc_id", "cached_id")
     size = BROADCAST_BYTES + 1 if store_bytes is None else store_bytes
-    return salted_lookup(docs, found, ["content_hash"], size, how)
+    return salted_lookup(docs, found, ["content_hash"], "doc_id", size, how)

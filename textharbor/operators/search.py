@@ -38,9 +38,9 @@ def _describe(docs):
     return docs.withColumns({"preview": preview(content), "keywords": document_keywords(content)})
 
 
-def describe_documents(docs):
+def describe_documents(docs, keep=()):
     """What search shows of a document: a narrow table derived once from the whole texts."""
-    return _describe(docs).select("doc_id", *_SHOWN)
+    return _describe(docs).select("doc_id", *_SHOWN, *keep)
 
 
 def _explanation(length_normalize):
@@ -79,7 +79,7 @@ def _with_documents(hits, documents, hit_bytes, limit):
     # Too many hits to broadcast: keep only winning documents, then join with hot documents salted.
     hits = write_and_read(hits, "hits")
     winners = documents.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    return salted_lookup(hits, _shown(winners), ["doc_id"], limit + 1, how="inner", limit=limit)
+    return salted_lookup(hits, _shown(winners), ["doc_id"], "query_id", limit + 1, how="inner", limit=limit)
 
 
 def search(

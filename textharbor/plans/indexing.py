@@ -14,16 +14,27 @@ from textharbor.sources.index import build_vectors, new_snapshot, publish_snapsh
 Embedded = namedtuple("Embedded", "vectors misses")
 
 
+def _uncached_keys(keys, store, store_bytes, limit):
+    """Written table of keys without a current vector, and its size."""
+    missing = uncached(keys, store.keys(), store_bytes if store_bytes <= limit else None)
+    missing = write_and_read(missing.select("doc_id").distinct(), "misses")
+    size = F.length(F.col("doc_id").cast("string")) + F.lit(32)
+    return missing, missing.agg(F.sum(size)).first()[0] or 0
+
+
 def _pending(docs, keys, store, limit):
-    """Documents whose vector is absent or stale, without shuffling their texts if that can be avoided."""
+    """Documents whose vector is absent or stale; None if it is known that there are none.
+
+    Texts are shuffled only if neither the store's keys nor the missing keys can be broadcast.
+    """
     store_bytes = store.key_bytes()
-    if not store_bytes:
-        return docs
-    if store_bytes <= limit:
+    if keys is None and store_bytes <= limit:
         return uncached(docs, store.keys(), store_bytes)
     # Decide on keys and fingerprints alone, then go back for the texts that are needed.
-    missing = write_and_read(uncached(keys, store.keys()).select("doc_id").distinct(), "misses")
-    size = missing.agg(F.sum(F.length(F.col("doc_id").cast("string")) + F.lit(32))).first()[0] or 0
+    keys = docs.select("doc_id", "content_hash") if keys is None else keys
+    missing, size = _uncached_keys(keys, store, store_bytes, limit)
+    if not size:
+        return None
     return docs.join(F.broadcast(missing) if size <= limit else missing, "doc_id", "left_semi")
 
 
@@ -44,9 +55,9 @@ def _reuse_texts(pending, store, encoder, limit):
     store_bytes = store.key_bytes()
     # A fingerprint and its vector against the logged size of a key and its fingerprint.
     known_bytes = store_bytes * (1 + 4 * encoder.dim // 32)
-    copies = salted_lookup(narrow, known, ["content_hash"], known_bytes, how="inner", limit=limit)
+    copies = salted_lookup(narrow, known, ["content_hash"], "doc_id", known_bytes, how="inner", limit=limit)
     hashes = known.select("content_hash")
-    rest = salted_lookup(pending, hashes, ["content_hash"], store_bytes, how="left_anti", limit=limit)
+    rest = salted_lookup(pending, hashes, ["content_hash"], "doc_id", store_bytes, how="left_anti", limit=limit)
     return _store_rows(copies).unionByName(_store_rows(encode(rest, "content", encoder)))
 
 
@@ -76,22 +87,42 @@ def incremental_embed(
         raise ValueError(f"store holds {store.model_id}, encoder makes {encoder.model_id}")
     if order_by is not None:
         docs = latest_rows(docs, "doc_id", order_by)
-    if keys is None:
-        keys = docs.select("doc_id", "content_hash")
     everything = force or not store.key_bytes()
     pending = docs if everything else _pending(docs, keys, store, broadcast_bytes)
-    if reuse == "content" and not everything:
-        rows = _reuse_texts(pending, store, encoder, broadcast_bytes)
-    else:
-        rows = _store_rows(encode(pending, "content", encoder))
-    written = store.upsert(rows, updated_at, stream_id=stream_id, batch_id=batch_id)
+    misses = 0
+    if pending is not None:
+        if reuse == "content" and not everything:
+            rows = _reuse_texts(pending, store, encoder, broadcast_bytes)
+        else:
+            rows = _store_rows(encode(pending, "content", encoder))
+        written = store.upsert(rows, updated_at, stream_id=stream_id, batch_id=batch_id)
+        misses = written.rows
     if everything:
         vectors = store.batch(written.seq)
     else:
-        # The batch is stored, so every document is a hit now and nothing is encoded twice.
-        current = store.scan().select("doc_id", "content_hash", "embedding")
-        vectors = current.join(keys, ["doc_id", "content_hash"], "left_semi")
-    return Embedded(vectors.select("doc_id", "content_hash", "embedding"), written.rows)
+        # What was missing is stored now, so every document is a hit and nothing is encoded twice.
+        wanted = docs.select("doc_id", "content_hash") if keys is None else keys
+        vectors = store.scan().join(wanted, ["doc_id", "content_hash"], "left_semi")
+    return Embedded(vectors.select("doc_id", "content_hash", "embedding"), misses)
+
+
+def _index_everything(docs, store, encoder, folder, updated_at):
+    """Cold run: texts are read, cleaned and encoded in one pass that writes all the index needs."""
+    described = encode(describe_documents(docs, keep=["content"]), "content", encoder).drop("content")
+    described.write.parquet(f"{folder}/documents")
+    index = docs.sparkSession.read.schema(described.schema).parquet(f"{folder}/documents")
+    written = store.upsert(_store_rows(index), updated_at)
+    return index, f"{folder}/documents", written.rows
+
+
+def _index_changes(docs, store, encoder, folder, updated_at):
+    """Warm run: fingerprints first, then only texts whose vector is absent or stale."""
+    described = describe_documents(docs)
+    described.write.parquet(f"{folder}/documents")
+    shown = docs.sparkSession.read.schema(described.schema).parquet(f"{folder}/documents")
+    keys = shown.select("doc_id", "content_hash")
+    embedded = incremental_embed(docs, store, encoder, keys=keys, updated_at=updated_at)
+    return embedded.vectors, None, embedded.misses
 
 
 def index_job(docs, store, encoder, root, force=False, updated_at=None, normalized=True):
@@ -101,17 +132,17 @@ def index_job(docs, store, encoder, root, force=False, updated_at=None, normaliz
     """
     spark = docs.sparkSession
     folder = new_snapshot(root)
-    describe_documents(docs).write.parquet(f"{folder}/documents")
-    shown = spark.read.parquet(f"{folder}/documents")
-    keys = shown.select("doc_id", "content_hash")
-    embedded = incremental_embed(docs, store, encoder, force, keys=keys, updated_at=updated_at)
-    vectors = embedded.vectors.select("doc_id", "embedding")
-    (vectors if normalized else build_vectors(vectors)).write.parquet(f"{folder}/vectors")
-    publish_snapshot(spark, root, folder)
-    index = spark.read.parquet(f"{folder}/vectors")
+    run = _index_everything if force or not store.key_bytes() else _index_changes
+    vectors, written_to, misses = run(docs, store, encoder, folder, updated_at)
+    if written_to is None or not normalized:
+        written_to = f"{folder}/vectors"
+        vectors = vectors.select("doc_id", "embedding")
+        (vectors if normalized else build_vectors(vectors)).write.parquet(written_to)
+    publish_snapshot(spark, root, written_to, f"{folder}/documents")
+    index = spark.read.parquet(written_to)
     return index.agg(F.count(F.lit(1)).alias("indexed_documents")).select(
         "indexed_documents",
-        (F.col("indexed_documents") - embedded.misses).alias("cache_hits"),
-        F.lit(embedded.misses).cast("long").alias("cache_misses"),
+        (F.col("indexed_documents") - misses).alias("cache_hits"),
+        F.lit(misses).cast("long").alias("cache_misses"),
         store.keys().agg(F.count(F.lit(1))).scalar().alias("cached_embeddings"),
     )

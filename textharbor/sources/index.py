@@ -8,7 +8,13 @@ from pyspark.sql import types as T
 from textharbor.functions.vectors import l2_normalize
 from textharbor.sources import log
 
-_PUBLISHED = T.StructType([T.StructField("version", T.LongType()), T.StructField("folder", T.StringType())])
+_PUBLISHED = T.StructType(
+    [
+        T.StructField("version", T.LongType()),
+        T.StructField("vectors", T.StringType()),
+        T.StructField("documents", T.StringType()),
+    ]
+)
 
 
 def build_vectors(embeddings, key="doc_id", vector="embedding"):
@@ -25,12 +31,15 @@ def new_snapshot(root):
     return f"{root.rstrip('/')}/snapshots/{uuid.uuid4().hex}"
 
 
-def publish_snapshot(spark, root, folder):
-    """Make a complete snapshot the current one; readers see the old or the new, never a mix."""
+def publish_snapshot(spark, root, vectors, documents):
+    """Make complete folders the current index; readers see the old or the new, never a mix.
+
+    Both may be one folder whose table holds the columns of both.
+    """
     published = f"{root.rstrip('/')}/published"
     entries = log.read(spark, published, _PUBLISHED)
     version = 1 if entries is None else (entries.agg(F.max("version")).first()[0] or 0) + 1
-    log.append(spark, published, _PUBLISHED, version=version, folder=folder)
+    log.append(spark, published, _PUBLISHED, version=version, vectors=vectors, documents=documents)
     return version
 
 
@@ -39,7 +48,7 @@ def publish_index(vectors, documents, root):
     folder = new_snapshot(root)
     vectors.write.parquet(f"{folder}/vectors")
     documents.write.parquet(f"{folder}/documents")
-    return publish_snapshot(vectors.sparkSession, root, folder)
+    return publish_snapshot(vectors.sparkSession, root, f"{folder}/vectors", f"{folder}/documents")
 
 
 def load_index(spark, root):
@@ -48,4 +57,7 @@ def load_index(spark, root):
     newest = entries and entries.orderBy(F.desc("version")).first()
     if not newest:
         raise FileNotFoundError(f"no index has been published under {root}")
-    return spark.read.parquet(f"{newest.folder}/vectors"), spark.read.parquet(f"{newest.folder}/documents")
+    vectors, documents = spark.read.parquet(newest.vectors), spark.read.parquet(newest.documents)
+    if newest.vectors == newest.documents:
+        return vectors.select("doc_id", "embedding"), documents.drop("embedding")
+    return vectors, documents

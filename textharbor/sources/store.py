@@ -45,22 +45,19 @@ class EmbeddingStore:
     # -- reading -----------------------------------------------------------------
 
     def _log(self):
-        return log.read(self.spark, f"{self.path}/log", _LOG)
+        """The whole log, oldest row first: one small row per write, whatever the write held."""
+        rows = log.read(self.spark, f"{self.path}/log", _LOG)
+        return [] if rows is None else sorted(rows.collect(), key=lambda e: e.seq)
 
     def _entries(self):
-        """Log rows since the last base or clear, oldest first: one per write, not per vector."""
-        entries = self._log()
-        if entries is None:
-            return []
-        mine = entries.filter(F.col("model_id") == self.model_id)
-        start = mine.filter(F.col("kind") != "batch").agg(F.max("seq")).first()[0]
-        if start is not None:
-            mine = mine.filter(F.col("seq") >= start)
-        return mine.filter(F.col("rows") > 0).orderBy("seq").collect()
+        """Log rows of this model that still matter: the last base or clear and what came after."""
+        mine = [e for e in self._log() if e.model_id == self.model_id]
+        start = max((i for i, e in enumerate(mine) if e.kind != "batch"), default=0)
+        return [e for e in mine[start:] if e.rows]
 
     def _next_seq(self):
         entries = self._log()
-        return 1 if entries is None else (entries.agg(F.max("seq")).first()[0] or 0) + 1
+        return entries[-1].seq + 1 if entries else 1
 
     def _read(self, entries):
         if not entries:
@@ -123,11 +120,8 @@ class EmbeddingStore:
 
     def committed(self, stream_id, batch_id):
         """Has this micro-batch been stored already?"""
-        entries = self._log()
-        if entries is None:
-            return False
-        same = (F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)
-        return not entries.filter(same & (F.col("model_id") == self.model_id)).isEmpty()
+        batch = (self.model_id, stream_id, batch_id)
+        return any((e.model_id, e.stream_id, e.batch_id) == batch for e in self._log())
 
     # -- writing -----------------------------------------------------------------
 
@@ -147,13 +141,17 @@ class EmbeddingStore:
         )
 
     def _write(self, rows, seq):
-        """Write rows to a fresh folder; returns its name and what it holds."""
+        """Write rows to a fresh folder; returns its name and what it holds.
+
+        What it holds is counted from the written keys: rows, their size, most rows of one key.
+        """
         folder = f"{seq:08d}-{uuid.uuid4().hex}"
         rows.withColumn("seq", F.lit(seq).cast("long")).write.parquet(f"{self.path}/data/{folder}")
-        written = self.spark.read.parquet(f"{self.path}/data/{folder}")
+        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/{folder}")
         size = F.length(F.col("doc_id").cast("string")) + F.length("content_hash") + F.lit(32)
-        n, key_bytes = written.agg(F.count(F.lit(1)), F.sum(size)).first()
-        return folder, written, n, key_bytes or 0
+        per_key = written.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
+        n, key_bytes, most = per_key.agg(F.sum("n"), F.sum("size"), F.max("n")).first()
+        return folder, written, n or 0, key_bytes or 0, most or 0
 
     def upsert(self, rows, updated_at=None, order_by=None, stream_id=None, batch_id=None):
         """Insert or replace rows (doc_id, embedding, content_hash[, metadata]).
@@ -180,11 +178,11 @@ class EmbeddingStore:
             *([given] if order_by is not None else []),
         )
         seq = self._next_seq()
-        folder, written, n, key_bytes = self._write(rows, seq)
+        folder, written, n, key_bytes, most = self._write(rows, seq)
         total = n
         if order_by is not None:
             total = written.agg(F.sum(given)).first()[0] or 0
-        elif not written.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        elif most > 1:
             raise ValueError("a key comes more than once in the batch; pass order_by to say which row wins")
         self._commit(seq, "batch", folder, n, key_bytes, stream_id, batch_id)
         return Written(seq, total, n)
@@ -213,7 +211,7 @@ class EmbeddingStore:
             F.lit(True).alias("deleted"),
         )
         seq = self._next_seq()
-        folder, _, n, key_bytes = self._write(dead, seq)
+        folder, _, n, key_bytes, _ = self._write(dead, seq)
         if n:
             self._commit(seq, "batch", folder, n, key_bytes)
         return n
@@ -228,6 +226,6 @@ class EmbeddingStore:
         """Write the current rows as the new base of the log; returns how many there are."""
         seq = self._next_seq()
         rows = self.scan().withColumn("deleted", F.lit(False))
-        folder, _, n, key_bytes = self._write(rows, seq)
+        folder, _, n, key_bytes, _ = self._write(rows, seq)
         self._commit(seq, "base", folder, n, key_bytes)
         return n

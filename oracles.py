@@ -9,9 +9,9 @@ def _tags(x):
 
 
 def _entities(x):
-    """The entities that occur in the given pages; the ampersand comes last."""
-    for name, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{char}')"
+    """The entities that occur in the given pages, some cut off before the semicolon; the ampersand comes last."""
+    for name, char in (("&middot", "·"), ("&copy", "©"), ("&quot", '"'), ("&amp", "&")):
+        x = f"regexp_replace({x}, '{name};?', '{char}', 'g')"
     return x
 
 

@@ -26,7 +26,7 @@ def test_round_trip(spark, store):
         rows(spark, ("a", [1.0] * 384, "hash1", {"filename": "f"}), ("b", [0.5], "hash2", {}), ("c", [0.0], "hash3", None)),
         updated_at="2024-01-01 10:00:00",
     )
-    assert written == (1, 3, 3)
+    assert written[:3] == (1, 3, 3)
     got = {r.doc_id: r for r in store.scan().collect()}
     assert got["a"].embedding == [1.0] * 384 and got["a"].content_hash == "hash1" and got["a"].model_id == "m"
     assert got["a"].metadata == {"filename": "f"} and got["b"].metadata is None and got["c"].metadata is None
@@ -119,7 +119,7 @@ def test_stats(spark, store):
 def test_last_write_of_a_batch_wins(spark, store):
     batch = rows(spark, *[("a", [float(i)], f"h{i}", None) for i in range(50)], ("b", [1.0], "h", None))
     batch = batch.withColumn("n", F.substring("content_hash", 2, 9).try_cast("int"))
-    assert store.upsert(batch.repartition(4), order_by="n") == (1, 51, 2)
+    assert store.upsert(batch.repartition(4), order_by="n")[:3] == (1, 51, 2)
     assert content(store.scan()) == {"a": ([49.0], "h49"), "b": ([1.0], "h")}
 
 
@@ -169,7 +169,7 @@ def test_random_history_equals_a_dict(spark, store):
 
     rng = random.Random(5)
     want = {}
-    for step in range(12):
+    for step in range(8):
         action = rng.choice(["put", "put", "put", "drop", "compact"])
         keys = rng.sample("abcdefgh", 3)
         if action == "put":

@@ -10,6 +10,7 @@ from textharbor.operators.encode import encode
 from textharbor.operators.expand import expand_queries
 from textharbor.operators.lookup import salted_lookup
 from textharbor.operators.topk import exact_topk
+from textharbor.schema import SHOWN_COLUMNS
 from textharbor.session import BROADCAST_BYTES, write_and_read
 
 # Request bounds and keywords shown per hit.
@@ -17,8 +18,6 @@ MIN_QUERY, MAX_QUERY = 1, 1000
 MIN_TOP_K, MAX_TOP_K = 1, 100
 MAX_KEYWORDS = 10
 
-_SHOWN = ("filename", "doc_length", "content_hash", "preview", "keywords")
-
 
 def check_top_k(top_k):
     if not MIN_TOP_K <= top_k <= MAX_TOP_K:
@@ -40,7 +39,7 @@ def _describe(docs):
 
 def describe_documents(docs, keep=()):
     """What search shows of a document: a narrow table derived once from the whole texts."""
-    return _describe(docs).select("doc_id", *_SHOWN, *keep)
+    return _describe(docs).select("doc_id", *SHOWN_COLUMNS, *keep)
 
 
 def _explanation(length_normalize):
@@ -56,7 +55,7 @@ def _explanation(length_normalize):
 
 def _shown(documents):
     shown = documents if "keywords" in documents.columns else describe_documents(documents)
-    return shown.select("doc_id", *_SHOWN)
+    return shown.select("doc_id", *SHOWN_COLUMNS)
 
 
 def _hit_bytes(vectors, query_bytes, n, top_k):
@@ -75,7 +74,7 @@ def _with_documents(hits, documents, hit_bytes, limit):
     if hit_bytes <= limit:
         hit_docs = documents.join(F.broadcast(hits), "doc_id")
         described = hit_docs if "keywords" in documents.columns else _describe(hit_docs)
-        return described.select(*hits.columns, *_SHOWN)
+        return described.select(*hits.columns, *SHOWN_COLUMNS)
     # Too many hits to broadcast: keep only winning documents, then join with hot documents salted.
     hits = write_and_read(hits, "hits")
     winners = documents.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")

@@ -38,11 +38,11 @@ def _pending(docs, keys, store, limit):
     return docs.join(F.broadcast(missing) if size <= limit else missing, "doc_id", "left_semi")
 
 
-def _store_rows(docs):
+def _store_rows(docs, also=()):
     facts = F.create_map(
         F.lit("filename"), F.col("filename"), F.lit("doc_length"), F.col("doc_length").cast("string")
     )
-    return docs.select("doc_id", "embedding", "content_hash", facts.alias("metadata"))
+    return docs.select("doc_id", "embedding", "content_hash", facts.alias("metadata"), *also)
 
 
 def _reuse_texts(pending, store, encoder, limit):
@@ -106,41 +106,58 @@ def incremental_embed(
     return Embedded(vectors.select("doc_id", "content_hash", "embedding"), misses)
 
 
-def _index_everything(docs, store, encoder, folder, updated_at):
-    """Cold run: texts are read, cleaned and encoded in one pass that writes all the index needs."""
-    described = encode(describe_documents(docs, keep=["content"]), "content", encoder).drop("content")
-    described.write.parquet(f"{folder}/documents")
-    index = docs.sparkSession.read.schema(described.schema).parquet(f"{folder}/documents")
-    written = store.upsert(_store_rows(index), updated_at)
-    return index, f"{folder}/documents", written.rows
+def _index_everything(docs, store, encoder, updated_at):
+    """Cold run: texts are read, cleaned and encoded in one pass.
+
+    The one folder written is the store's new batch, the index's vectors and its documents.
+    """
+    also = ["filename", "doc_length", "preview", "keywords"]
+    described = encode(describe_documents(docs, keep=["content"]), "content", encoder)
+    written = store.upsert(_store_rows(described, also), updated_at, also=also)
+    return written.path, written.path, written.rows
+
+
+def _all_vectors(shown, keys, store, embedded):
+    """Vectors of all documents; without a join where the store holds just these documents.
+
+    After the run every document is in the store, so as many keys there as here are the same keys.
+    """
+    if store.keys().count() == keys.select("doc_id").distinct().count() == shown.count():
+        return store.scan()
+    return embedded.vectors
 
 
-def _index_changes(docs, store, encoder, folder, updated_at):
+def _index_changes(docs, store, encoder, updated_at, folder):
     """Warm run: fingerprints first, then only texts whose vector is absent or stale."""
     described = describe_documents(docs)
     described.write.parquet(f"{folder}/documents")
     shown = docs.sparkSession.read.schema(described.schema).parquet(f"{folder}/documents")
     keys = shown.select("doc_id", "content_hash")
     embedded = incremental_embed(docs, store, encoder, keys=keys, updated_at=updated_at)
-    return embedded.vectors, None, embedded.misses
+    vectors = _all_vectors(shown, keys, store, embedded)
+    vectors.select("doc_id", "embedding").write.parquet(f"{folder}/vectors")
+    return f"{folder}/vectors", f"{folder}/documents", embedded.misses
 
 
-def index_job(docs, store, encoder, root, force=False, updated_at=None, normalized=True):
+def index_job(docs, store, encoder, root, force=False, updated_at=None, order_by=None, normalized=True):
     """Bring the store up to date, publish a new index snapshot, return a one-row report.
 
-    ``normalized`` says that the encoder returns unit vectors, as its contract asks.
+    ``order_by`` names the column whose highest value wins where a key repeats. ``normalized``
+    says that the encoder returns unit vectors, as its contract asks.
     """
     spark = docs.sparkSession
     folder = new_snapshot(root)
-    run = _index_everything if force or not store.key_bytes() else _index_changes
-    vectors, written_to, misses = run(docs, store, encoder, folder, updated_at)
-    if written_to is None or not normalized:
-        written_to = f"{folder}/vectors"
-        vectors = vectors.select("doc_id", "embedding")
-        (vectors if normalized else build_vectors(vectors)).write.parquet(written_to)
-    publish_snapshot(spark, root, written_to, f"{folder}/documents")
-    index = spark.read.parquet(written_to)
-    return index.agg(F.count(F.lit(1)).alias("indexed_documents")).select(
+    if order_by is not None:
+        docs = latest_rows(docs, "doc_id", order_by)
+    if force or not store.key_bytes():
+        vectors, documents, misses = _index_everything(docs, store, encoder, updated_at)
+    else:
+        vectors, documents, misses = _index_changes(docs, store, encoder, updated_at, folder)
+    if not normalized:
+        build_vectors(spark.read.parquet(vectors)).write.parquet(f"{folder}/unit")
+        vectors = f"{folder}/unit"
+    publish_snapshot(spark, root, vectors, documents)
+    return spark.read.parquet(vectors).agg(F.count(F.lit(1)).alias("indexed_documents")).select(
         "indexed_documents",
         (F.col("indexed_documents") - misses).alias("cache_hits"),
         F.lit(misses).cast("long").alias("cache_misses"),

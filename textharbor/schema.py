@@ -12,6 +12,9 @@ DOCUMENT_COLUMNS = (
     "metadata",
 )
 
+#: What search shows of a document, next to its key.
+SHOWN_COLUMNS = ("filename", "doc_length", "content_hash", "preview", "keywords")
+
 LEXICON = T.StructType(
     [
         T.StructField("word", T.StringType()),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textharbor.functions.vectors import l2_normalize
+from textharbor.schema import SHOWN_COLUMNS
 from textharbor.sources import log
 
 _PUBLISHED = T.StructType(
@@ -59,5 +60,5 @@ def load_index(spark, root):
         raise FileNotFoundError(f"no index has been published under {root}")
     vectors, documents = spark.read.parquet(newest.vectors), spark.read.parquet(newest.documents)
     if newest.vectors == newest.documents:
-        return vectors.select("doc_id", "embedding"), documents.drop("embedding")
+        return vectors.select("doc_id", "embedding"), documents.select("doc_id", *SHOWN_COLUMNS)
     return vectors, documents

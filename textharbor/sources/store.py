@@ -17,8 +17,8 @@ from textharbor.schema import store_schema
 from textharbor.session import BROADCAST_BYTES
 from textharbor.sources import log
 
-#: What one write did: its place in the log, rows handed in, rows stored.
-Written = namedtuple("Written", "seq given rows")
+#: What one write did: its place in the log, rows handed in, rows stored, its folder.
+Written = namedtuple("Written", "seq given rows path")
 
 _LOG = T.StructType(
     [
@@ -26,6 +26,7 @@ _LOG = T.StructType(
         T.StructField("kind", T.StringType()),  # batch, base or clear
         T.StructField("model_id", T.StringType()),
         T.StructField("folder", T.StringType()),
+        T.StructField("key_type", T.StringType()),
         T.StructField("rows", T.LongType()),
         T.StructField("key_bytes", T.LongType()),
         T.StructField("stream_id", T.StringType()),
@@ -62,7 +63,11 @@ class EmbeddingStore:
     def _read(self, entries):
         if not entries:
             return self.spark.createDataFrame([], store_schema(self.key_type))
-        return self.spark.read.parquet(*[f"{self.path}/data/{e.folder}" for e in entries])
+        schema = store_schema(T.DataType.fromDDL(entries[0].key_type))
+        return self.spark.read.schema(schema).parquet(*[self._folder(e.folder) for e in entries])
+
+    def _folder(self, name):
+        return f"{self.path}/data/{name}"
 
     def _live(self, entries):
         rows = self._read(entries)
@@ -111,7 +116,7 @@ class EmbeddingStore:
         size = F.lit(0).cast("long")
         if entries:
             files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-            folders = files.load([f"{self.path}/data/{e.folder}" for e in entries])
+            folders = files.load([self._folder(e.folder) for e in entries])
             size = folders.agg(F.sum("length")).scalar()
         rows = self._live(entries).agg(
             F.count(F.lit(1)).alias("total_entries"), F.max("updated_at").alias("latest_update")
@@ -125,39 +130,32 @@ class EmbeddingStore:
 
     # -- writing -----------------------------------------------------------------
 
-    def _commit(self, seq, kind, folder=None, rows=0, key_bytes=0, stream_id=None, batch_id=None):
+    def _commit(self, seq, kind, rows=0, **fields):
         log.append(
-            self.spark,
-            f"{self.path}/log",
-            _LOG,
-            seq=seq,
-            kind=kind,
-            model_id=self.model_id,
-            folder=folder,
-            rows=rows,
-            key_bytes=key_bytes,
-            stream_id=stream_id,
-            batch_id=batch_id,
+            self.spark, f"{self.path}/log", _LOG, seq=seq, kind=kind, model_id=self.model_id, rows=rows, **fields
         )
 
     def _write(self, rows, seq):
-        """Write rows to a fresh folder; returns its name and what it holds.
+        """Write rows to a fresh folder; returns log fields and the number of rows of the most frequent key.
 
-        What it holds is counted from the written keys: rows, their size, most rows of one key.
+        All is counted from the written keys.
         """
         folder = f"{seq:08d}-{uuid.uuid4().hex}"
-        rows.withColumn("seq", F.lit(seq).cast("long")).write.parquet(f"{self.path}/data/{folder}")
-        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/{folder}")
+        rows.withColumn("seq", F.lit(seq).cast("long")).write.parquet(self._folder(folder))
+        written = self.spark.read.schema(rows.schema).parquet(self._folder(folder))
         size = F.length(F.col("doc_id").cast("string")) + F.length("content_hash") + F.lit(32)
         per_key = written.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
         n, key_bytes, most = per_key.agg(F.sum("n"), F.sum("size"), F.max("n")).first()
-        return folder, written, n or 0, key_bytes or 0, most or 0
+        key_type = rows.schema["doc_id"].dataType.simpleString()
+        fields = {"folder": folder, "rows": n or 0, "key_bytes": key_bytes or 0, "key_type": key_type}
+        return fields, most or 0
 
-    def upsert(self, rows, updated_at=None, order_by=None, stream_id=None, batch_id=None):
+    def upsert(self, rows, updated_at=None, order_by=None, stream_id=None, batch_id=None, also=()):
         """Insert or replace rows (doc_id, embedding, content_hash[, metadata]).
 
         With ``order_by`` the highest value wins where a key comes more than once; without it
         such a batch is refused. Nothing is visible before the whole batch has been accepted.
+        ``also`` names columns written next to the rows, for readers of the returned path only.
         """
         columns = rows.columns
         when = F.current_timestamp() if updated_at is None else F.lit(updated_at)
@@ -176,16 +174,17 @@ class EmbeddingStore:
             metadata.alias("metadata"),
             F.lit(False).alias("deleted"),
             *([given] if order_by is not None else []),
+            *also,
         )
         seq = self._next_seq()
-        folder, written, n, key_bytes, most = self._write(rows, seq)
-        total = n
+        fields, most = self._write(rows, seq)
+        path, total = self._folder(fields["folder"]), fields["rows"]
         if order_by is not None:
-            total = written.agg(F.sum(given)).first()[0] or 0
+            total = self.spark.read.schema(rows.schema).parquet(path).agg(F.sum(given)).first()[0] or 0
         elif most > 1:
             raise ValueError("a key comes more than once in the batch; pass order_by to say which row wins")
-        self._commit(seq, "batch", folder, n, key_bytes, stream_id, batch_id)
-        return Written(seq, total, n)
+        self._commit(seq, "batch", stream_id=stream_id, batch_id=batch_id, **fields)
+        return Written(seq, total, fields["rows"], path)
 
     @staticmethod
     def _not_null(column):
@@ -211,10 +210,10 @@ class EmbeddingStore:
             F.lit(True).alias("deleted"),
         )
         seq = self._next_seq()
-        folder, _, n, key_bytes, _ = self._write(dead, seq)
-        if n:
-            self._commit(seq, "batch", folder, n, key_bytes)
-        return n
+        fields, _ = self._write(dead, seq)
+        if fields["rows"]:
+            self._commit(seq, "batch", **fields)
+        return fields["rows"]
 
     def clear(self):
         """Forget every row; returns how many there were."""
@@ -226,6 +225,6 @@ class EmbeddingStore:
         """Write the current rows as the new base of the log; returns how many there are."""
         seq = self._next_seq()
         rows = self.scan().withColumn("deleted", F.lit(False))
-        folder, _, n, key_bytes, _ = self._write(rows, seq)
-        self._commit(seq, "base", folder, n, key_bytes)
-        return n
+        fields, _ = self._write(rows, seq)
+        self._commit(seq, "base", **fields)
+        return fields["rows"]

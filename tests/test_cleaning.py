@@ -68,9 +68,3 @@ def test_whole_tables_equal_plain_python(spark, table, column):
 def test_every_ascii_and_latin_character_between_letters(spark):
     texts = [f"a{chr(c)}b {chr(c)}{chr(c)} c{chr(c)}" for c in [*range(1, 0x250), *range(0x1FF0, 0x2070), 0x3000, 0xFEFF]]
     assert one(spark, cleaning.clean(F.col("t")), texts) == [plain.clean(t) for t in texts]
-
-
-def test_a_filter_on_the_result_does_not_clean_twice(spark):
-    df = spark.createDataFrame([("a &amp; b",)], "t string").select(cleaning.clean(F.col("t")).alias("o"))
-    plan = df.filter(F.length("o") > 0)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1

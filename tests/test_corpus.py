@@ -89,3 +89,12 @@ def test_one_file_per_row_loads_back(spark, science):
     science.select("original_content").write.option("maxRecordsPerFile", 1).text(folder)
     back = read_text_corpus(spark, folder).select("content_hash", "doc_length")
     assert sorted(back.collect()) == sorted(science.select("content_hash", "doc_length").collect())
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_cleaned_once(spark):
+    docs = as_documents(spark.createDataFrame([(1, "a &amp; b")], "k int, t string"), "k", "t")
+    assert plan(docs.filter("doc_length > 2").select("content", "content_hash")).count("unescape") == 1

@@ -90,3 +90,10 @@ def test_unused_vectors_are_not_computed(spark):
 def test_nonzero_weights(spark):
     rows = spark.createDataFrame([(1, [0.0, 2.0, 0.0, -1.0])], "k int, embedding array<float>")
     assert sorted(map(tuple, nonzero_weights(rows).collect())) == [(1, 1, 2.0), (1, 3, -1.0)]
+
+
+def test_sums_without_scaling(spark):
+    raw, unit = HashingEncoder(16, normalize=False), HashingEncoder(16)
+    sums = raw.encode(["one two two three"])[0]
+    assert raw.model_id != unit.model_id and np.abs(sums).sum() in (2, 4)
+    assert np.allclose(sums / np.linalg.norm(sums), unit.encode(["one two two three"])[0])

@@ -179,3 +179,29 @@ def test_integrity(spark):
     left = spark.createDataFrame([("a",), ("b",), ("b",)], "doc_id string")
     right = spark.createDataFrame([("b",), ("c",)], "doc_id string")
     assert tuple(index_integrity(left, right).first()) == (3, 2, 1, 1, 1)
+
+
+def test_vectors_that_are_not_unit_vectors_are_scaled_for_the_index(spark):
+    raw = HashingEncoder(16, normalize=False)
+    store, root = EmbeddingStore(spark, run_dir(spark, "store"), raw.model_id), run_dir(spark, "index")
+    index_job(docs(spark, TEXTS), store, raw, root, normalized=False).collect()
+    for r in load_index(spark, root)[0].collect():
+        assert np.allclose(r.embedding, HashingEncoder(16).encode([TEXTS[r.doc_id]])[0])
+    assert any(abs(x) > 1 - 1e-9 for r in store.scan().collect() for x in r.embedding)
+
+
+def test_index_job_takes_the_last_version(spark, store):
+    rows = spark.createDataFrame([("a", "old", 1), ("a", "new", 2)], "k string, t string, v int")
+    versions = as_documents(rows, "k", "t", keep=["v"])
+    root = run_dir(spark, "index")
+    assert tuple(index_job(versions, store, ENCODER, root, order_by="v").first()) == (1, 0, 1, 1)
+    assert tuple(index_job(versions, store, ENCODER, root, order_by="v").first()) == (1, 1, 0, 1)
+    assert load_index(spark, root)[1].first().preview == "new"
+
+
+def test_removed_documents_leave_the_index(spark, store):
+    root = run_dir(spark, "index")
+    index_job(docs(spark, TEXTS), store, ENCODER, root).collect()
+    report = index_job(docs(spark, {"a": TEXTS["a"], "x": "new"}), store, ENCODER, root).first()
+    assert tuple(report) == (2, 1, 1, 4)
+    assert {r.doc_id for r in load_index(spark, root)[0].collect()} == {"a", "x"}

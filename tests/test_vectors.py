@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textharbor import append_vectors, build_vectors, load_index, publish_index, run_dir
+from textharbor import append_vectors, build_vectors, clear_index, index_stats, load_index, publish_index, run_dir
 from textharbor.functions import vectors
 
 
@@ -56,3 +56,17 @@ def test_publish_and_load(spark):
     new, docs = load_index(spark, root)
     assert {r.doc_id for r in new.collect()} == {"b", "c"} and docs.count() == 1
     assert [r.doc_id for r in old.collect()] == ["a"]  # readers of the older snapshot are undisturbed
+
+
+def test_clearing_an_index(spark):
+    root = run_dir(spark, "index")
+    assert clear_index(spark, root) == 0
+    shown = spark.createDataFrame([("a", "x")], "doc_id string, filename string")
+    publish_index(table(spark, [("a", [1.0]), ("b", [1.0])]), shown, root)
+    stats = index_stats(spark, root).first()
+    assert (stats.version, stats.vectors) == (1, 2) and stats.size_bytes > 0
+    assert clear_index(spark, root) == 2 and clear_index(spark, root) == 0
+    with pytest.raises(FileNotFoundError):
+        load_index(spark, root)
+    assert publish_index(table(spark, [("c", [1.0])]), shown, root) == 3
+    assert load_index(spark, root)[0].count() == 1

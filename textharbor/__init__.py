@@ -19,8 +19,20 @@ from textharbor.operators.topk import exact_topk  # noqa: E402
 from textharbor.plans.indexing import incremental_embed, index_job  # noqa: E402
 from textharbor.plans.reports import engine_stats, index_integrity, list_documents  # noqa: E402
 from textharbor.session import get_session, run_dir  # noqa: E402
-from textharbor.sources.corpus import as_documents, iterate_documents, read_text_corpus  # noqa: E402
-from textharbor.sources.index import append_vectors, build_vectors, load_index, publish_index  # noqa: E402
+from textharbor.sources.corpus import (  # noqa: E402
+    as_documents,
+    iterate_documents,
+    read_text_corpus,
+    text_corpus_stream,
+)
+from textharbor.sources.index import (  # noqa: E402
+    append_vectors,
+    build_vectors,
+    clear_index,
+    index_stats,
+    load_index,
+    publish_index,
+)
 from textharbor.sources.results import search_records  # noqa: E402
 from textharbor.sources.store import EmbeddingStore  # noqa: E402
 from textharbor.streaming.indexer import stream_index  # noqa: E402
@@ -32,6 +44,7 @@ __all__ = [
     "as_documents",
     "build_vectors",
     "cleaning",
+    "clear_index",
     "describe_documents",
     "encode",
     "engine_stats",
@@ -41,6 +54,7 @@ __all__ = [
     "incremental_embed",
     "index_integrity",
     "index_job",
+    "index_stats",
     "iterate_documents",
     "label_hits",
     "list_documents",
@@ -55,6 +69,7 @@ __all__ = [
     "search_records",
     "stream_index",
     "text",
+    "text_corpus_stream",
     "validate_queries",
     "vectors",
 ]

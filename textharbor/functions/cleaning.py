@@ -25,8 +25,6 @@ def decode_entities(text):
     def unescape(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
 
-    # Declared so that a filter on the result is not pushed below it, which would run it twice.
-    unescape = unescape.asNondeterministic()
     return F.coalesce(unescape(F.when(F.contains(text, F.lit("&")), text)), text)
 
 

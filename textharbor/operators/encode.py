@@ -45,13 +45,15 @@ class HashingEncoder:
     """Signed feature hashing of lower-cased words: lexical, not semantic.
 
     Bucket: the first eight hex digits of the word's MD5 modulo ``dim``. Sign: minus where
-    the ninth digit is odd. Counts are summed and the vector is scaled to unit length.
+    the ninth digit is odd. Counts are summed and, unless ``normalize`` is off, the vector is
+    scaled to unit length.
     """
 
-    def __init__(self, dim=DEFAULT_DIM, batch_size=DEFAULT_BATCH):
+    def __init__(self, dim=DEFAULT_DIM, batch_size=DEFAULT_BATCH, normalize=True):
         self.dim = dim
         self.batch_size = batch_size
-        self.model_id = f"signed-md5-{dim}"
+        self.normalize = normalize
+        self.model_id = f"signed-md5-{dim}" if normalize else f"signed-md5-{dim}-sums"
         self._codes = None
 
     def __getstate__(self):
@@ -67,6 +69,8 @@ class HashingEncoder:
         slot = np.repeat(np.arange(len(per_text)), counts) * self.dim + (flat >> 1)
         sums = np.bincount(slot, weights=1.0 - 2.0 * (flat & 1), minlength=len(per_text) * self.dim)
         sums = sums.reshape(len(per_text), self.dim)
+        if not self.normalize:
+            return sums.astype(np.float32)
         length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         return (sums / np.where(length > 0, length, 1.0)).astype(np.float32)
 

@@ -208,25 +208,40 @@ def _packed(df, key, vector, dim, rows):
     return write_and_read(df.select(key, vector).mapInArrow(pack, schema), "blocks")
 
 
+def _grid_shape(blocks, total, dim, cores):
+    """(cells, groups): vector blocks are dealt to cells, query blocks to groups.
+
+    Cells are of bounded size and many enough to balance. With too few vector blocks to occupy
+    the cluster, queries are split as well and each vector block is copied to every group.
+    """
+    cells = max(1, min(blocks, max(4 * cores, -(-total * dim * 4 // CELL_BYTES))))
+    return cells, max(1, -(-2 * cores // cells))
+
+
 def _grid(queries, vectors, k, query_id, key, query_vector, vector, dim, cells, block_rows):
     left = _packed(queries, query_id, query_vector, dim, block_rows)
     right = _packed(vectors, key, vector, dim, block_rows)
-    if cells is None:
-        total = right.agg(F.sum(F.size("keys"))).first()[0] or 0
-        cells = max(queries.sparkSession.sparkContext.defaultParallelism, -(-total * dim * 4 // CELL_BYTES))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    blocks, total = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
+    shape = _grid_shape(blocks, total, dim, cores)
+    cells, groups = (cells or shape[0]), shape[1]
     left = left.select(
         F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
+        F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group"),
         F.col("block").alias("q_block"),
         F.col("keys").alias("q_keys"),
         F.col("numbers").alias("q_numbers"),
     )
     right = right.select(
         F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int").alias("cell"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
         F.col("keys").alias("v_keys"),
         F.col("numbers").alias("v_numbers"),
     )
     # As a sort-merge join with the queries streamed, pairs of one query block come in a row.
-    pairs = left.hint("merge").join(right, "cell").drop("cell")
+    parts = max(cores, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left, right = (side.repartition(parts, "cell", "group") for side in (left, right))
+    pairs = left.hint("merge").join(right, ["cell", "group"]).drop("cell", "group")
     names = [query_id, key, "score"]
 
     def unpack(column, row):

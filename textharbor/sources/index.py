@@ -32,18 +32,53 @@ def new_snapshot(root):
     return f"{root.rstrip('/')}/snapshots/{uuid.uuid4().hex}"
 
 
+def _published(spark, root):
+    """The newest log row, or None."""
+    entries = log.read(spark, f"{root.rstrip('/')}/published", _PUBLISHED)
+    return None if entries is None else entries.orderBy(F.desc("version")).first()
+
+
 def publish_snapshot(spark, root, vectors, documents):
     """Make complete folders the current index; readers see the old or the new, never a mix.
 
     Both may be one folder whose table holds the columns of both.
     """
-    published = f"{root.rstrip('/')}/published"
-    entries = log.read(spark, published, _PUBLISHED)
-    version = 1 if entries is None else (entries.agg(F.max("version")).first()[0] or 0) + 1
-    log.append(spark, published, _PUBLISHED, version=version, vectors=vectors, documents=documents)
+    newest = _published(spark, root)
+    version = newest.version + 1 if newest else 1
+    path = f"{root.rstrip('/')}/published"
+    log.append(spark, path, _PUBLISHED, version=version, vectors=vectors, documents=documents)
     return version
 
 
+def clear_index(spark, root):
+    """From now on there is no current index; returns how many vectors it had."""
+    newest = _published(spark, root)
+    if not (newest and newest.vectors):
+        return 0
+    publish_snapshot(spark, root, None, None)
+    return spark.read.parquet(newest.vectors).count()
+
+
+def index_stats(spark, root):
+    """One row on the current index: version, vectors, bytes on disk, path. File contents are not read."""
+    newest = _current(spark, root)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(newest.vectors)
+    vectors = spark.read.parquet(newest.vectors)
+    return vectors.agg(F.count(F.lit(1)).alias("vectors")).select(
+        F.lit(newest.version).alias("version"),
+        "vectors",
+        files.agg(F.sum("length")).scalar().alias("size_bytes"),
+        F.lit(newest.vectors).alias("path"),
+    )
+
+
+def _current(spark, root):
+    newest = _published(spark, root)
+    if not (newest and newest.vectors):
+        raise FileNotFoundError(f"no index is published under {root}")
+    return newest
+
+
 def publish_index(vectors, documents, root):
     """Write both tables as a new snapshot, replacing the index; returns its version."""
     folder = new_snapshot(root)
@@ -54,10 +89,7 @@ def publish_index(vectors, documents, root):
 
 def load_index(spark, root):
     """(vectors, documents) of the newest published snapshot."""
-    entries = log.read(spark, f"{root.rstrip('/')}/published", _PUBLISHED)
-    newest = entries and entries.orderBy(F.desc("version")).first()
-    if not newest:
-        raise FileNotFoundError(f"no index has been published under {root}")
+    newest = _current(spark, root)
     vectors, documents = spark.read.parquet(newest.vectors), spark.read.parquet(newest.documents)
     if newest.vectors == newest.documents:
         return vectors.select("doc_id", "embedding"), documents.select("doc_id", *SHOWN_COLUMNS)

@@ -1,6 +1,7 @@
 """Text cleaning as Column expressions, in one fixed order (see ``clean``)."""
 
 import html
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -14,8 +15,14 @@ TAG = r"<[^>]+>"
 LINK = rf"https?://{NOT_WS}+|www\.{NOT_WS}+"
 
 
+def _blank(text, pattern, *marks):
+    """Matches of a pattern to one space; texts without any of the marks it needs skip the search."""
+    possible = reduce(lambda a, b: a | b, [F.contains(text, F.lit(mark)) for mark in marks])
+    return F.when(possible, F.regexp_replace(text, pattern, " ")).otherwise(text)
+
+
 def strip_tags(text):
-    return F.regexp_replace(text, TAG, " ")
+    return _blank(text, TAG, "<")
 
 
 def decode_entities(text):
@@ -34,12 +41,15 @@ def strip_html(text):
 
 
 def strip_urls(text):
-    return F.regexp_replace(text, LINK, " ")
+    return _blank(text, LINK, "://", "www.")
 
 
 def normalize_whitespace(text):
-    """Every run of white space to one space, none at the ends; a lone space is left alone."""
-    return F.trim(F.regexp_replace(text, rf"(?: ?{WS_BUT_SPACE}|  ){WS}*", " "))
+    """Every run of white space to one space, none at the ends.
+
+    A lone space is left alone, and printable ASCII is passed over before the full class is tried.
+    """
+    return F.trim(F.regexp_replace(text, rf"(?![!-~])(?:{WS_BUT_SPACE}{WS}*| {WS}+)", " "))
 
 
 def clean(text, remove_urls=True):

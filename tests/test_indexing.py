@@ -205,3 +205,25 @@ def test_removed_documents_leave_the_index(spark, store):
     report = index_job(docs(spark, {"a": TEXTS["a"], "x": "new"}), store, ENCODER, root).first()
     assert tuple(report) == (2, 1, 1, 4)
     assert {r.doc_id for r in load_index(spark, root)[0].collect()} == {"a", "x"}
+
+
+def folders(spark, root):
+    from textharbor.sources.index import newest_snapshot
+
+    return newest_snapshot(spark, root).vectors
+
+
+def test_a_run_without_changes_copies_no_vectors(spark, store):
+    root = run_dir(spark, "index")
+    index_job(docs(spark, TEXTS), store, ENCODER, root).collect()
+    first = folders(spark, root)
+    assert tuple(index_job(docs(spark, TEXTS), store, ENCODER, root).first()) == (3, 3, 0, 3)
+    assert folders(spark, root) == first and load_index(spark, root)[1].count() == 3
+    fewer = {k: TEXTS[k] for k in ("a", "b")}
+    assert tuple(index_job(docs(spark, fewer), store, ENCODER, root).first()) == (2, 2, 0, 3)
+    assert {r.doc_id for r in load_index(spark, root)[0].collect()} == {"a", "b"}
+    assert tuple(index_job(docs(spark, fewer), store, ENCODER, root).first()) == (2, 2, 0, 3)
+    second = folders(spark, root)
+    store.upsert(store.scan().select("doc_id", "embedding", "content_hash"))  # the store has moved on
+    index_job(docs(spark, fewer), store, ENCODER, root).collect()
+    assert folders(spark, root) != second and load_index(spark, root)[0].count() == 2

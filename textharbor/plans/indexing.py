@@ -8,7 +8,7 @@ from textharbor.operators.encode import encode
 from textharbor.operators.lookup import latest_rows, salted_lookup, uncached
 from textharbor.operators.search import describe_documents
 from textharbor.session import BROADCAST_BYTES, write_and_read
-from textharbor.sources.index import build_vectors, new_snapshot, publish_snapshot
+from textharbor.sources.index import build_vectors, new_snapshot, newest_snapshot, publish_snapshot
 
 #: Vectors of all documents (doc_id, content_hash, embedding) and the number of store misses.
 Embedded = namedtuple("Embedded", "vectors misses")
@@ -114,7 +114,7 @@ def _index_everything(docs, store, encoder, updated_at):
     also = ["filename", "doc_length", "preview", "keywords"]
     described = encode(describe_documents(docs, keep=["content"]), "content", encoder)
     written = store.upsert(_store_rows(described, also), updated_at, also=also)
-    return written.path, written.path, written.rows
+    return written.path, written.path, written.rows, False
 
 
 def _all_vectors(shown, keys, store, embedded):
@@ -127,16 +127,34 @@ def _all_vectors(shown, keys, store, embedded):
     return embedded.vectors
 
 
-def _index_changes(docs, store, encoder, updated_at, folder):
+def _unchanged_vectors(spark, root, keys, store):
+    """Path of the current index's vectors if they are just those of ``keys``, else None.
+
+    They are if nothing was written to the store since and the documents have the same keys
+    and fingerprints; then a run without changes copies no vectors.
+    """
+    newest = newest_snapshot(spark, root)
+    if not newest or newest.source != store.state():
+        return None
+    before = spark.read.parquet(newest.documents).select("doc_id", "content_hash")
+    both = before.withColumn("n", F.lit(1)).unionByName(keys.withColumn("n", F.lit(-1)))
+    changed = both.groupBy("doc_id", "content_hash").agg(F.sum("n").alias("n")).filter("n <> 0")
+    return newest.vectors if changed.isEmpty() else None
+
+
+def _index_changes(docs, store, encoder, updated_at, root, folder):
     """Warm run: fingerprints first, then only texts whose vector is absent or stale."""
+    spark = docs.sparkSession
     described = describe_documents(docs)
     described.write.parquet(f"{folder}/documents")
-    shown = docs.sparkSession.read.schema(described.schema).parquet(f"{folder}/documents")
+    shown = spark.read.schema(described.schema).parquet(f"{folder}/documents")
     keys = shown.select("doc_id", "content_hash")
     embedded = incremental_embed(docs, store, encoder, keys=keys, updated_at=updated_at)
+    if not embedded.misses and (vectors := _unchanged_vectors(spark, root, keys, store)):
+        return vectors, f"{folder}/documents", 0, True
     vectors = _all_vectors(shown, keys, store, embedded)
     vectors.select("doc_id", "embedding").write.parquet(f"{folder}/vectors")
-    return f"{folder}/vectors", f"{folder}/documents", embedded.misses
+    return f"{folder}/vectors", f"{folder}/documents", embedded.misses, False
 
 
 def index_job(docs, store, encoder, root, force=False, updated_at=None, order_by=None, normalized=True):
@@ -150,13 +168,13 @@ def index_job(docs, store, encoder, root, force=False, updated_at=None, order_by
     if order_by is not None:
         docs = latest_rows(docs, "doc_id", order_by)
     if force or not store.key_bytes():
-        vectors, documents, misses = _index_everything(docs, store, encoder, updated_at)
+        vectors, documents, misses, published = _index_everything(docs, store, encoder, updated_at)
     else:
-        vectors, documents, misses = _index_changes(docs, store, encoder, updated_at, folder)
-    if not normalized:
+        vectors, documents, misses, published = _index_changes(docs, store, encoder, updated_at, root, folder)
+    if not normalized and not published:
         build_vectors(spark.read.parquet(vectors)).write.parquet(f"{folder}/unit")
         vectors = f"{folder}/unit"
-    publish_snapshot(spark, root, vectors, documents)
+    publish_snapshot(spark, root, vectors, documents, store.state())
     return spark.read.parquet(vectors).agg(F.count(F.lit(1)).alias("indexed_documents")).select(
         "indexed_documents",
         (F.col("indexed_documents") - misses).alias("cache_hits"),

@@ -14,6 +14,7 @@ _PUBLISHED = T.StructType(
         T.StructField("version", T.LongType()),
         T.StructField("vectors", T.StringType()),
         T.StructField("documents", T.StringType()),
+        T.StructField("source", T.StringType()),  # state of the store the vectors came from
     ]
 )
 
@@ -32,27 +33,27 @@ def new_snapshot(root):
     return f"{root.rstrip('/')}/snapshots/{uuid.uuid4().hex}"
 
 
-def _published(spark, root):
+def newest_snapshot(spark, root):
     """The newest log row, or None."""
     entries = log.read(spark, f"{root.rstrip('/')}/published", _PUBLISHED)
     return None if entries is None else entries.orderBy(F.desc("version")).first()
 
 
-def publish_snapshot(spark, root, vectors, documents):
+def publish_snapshot(spark, root, vectors, documents, source=None):
     """Make complete folders the current index; readers see the old or the new, never a mix.
 
     Both may be one folder whose table holds the columns of both.
     """
-    newest = _published(spark, root)
+    newest = newest_snapshot(spark, root)
     version = newest.version + 1 if newest else 1
     path = f"{root.rstrip('/')}/published"
-    log.append(spark, path, _PUBLISHED, version=version, vectors=vectors, documents=documents)
+    log.append(spark, path, _PUBLISHED, version=version, vectors=vectors, documents=documents, source=source)
     return version
 
 
 def clear_index(spark, root):
     """From now on there is no current index; returns how many vectors it had."""
-    newest = _published(spark, root)
+    newest = newest_snapshot(spark, root)
     if not (newest and newest.vectors):
         return 0
     publish_snapshot(spark, root, None, None)
@@ -73,7 +74,7 @@ def index_stats(spark, root):
 
 
 def _current(spark, root):
-    newest = _published(spark, root)
+    newest = newest_snapshot(spark, root)
     if not (newest and newest.vectors):
         raise FileNotFoundError(f"no index is published under {root}")
     return newest
@@ -92,5 +93,7 @@ def load_index(spark, root):
     newest = _current(spark, root)
     vectors, documents = spark.read.parquet(newest.vectors), spark.read.parquet(newest.documents)
     if newest.vectors == newest.documents:
-        return vectors.select("doc_id", "embedding"), documents.select("doc_id", *SHOWN_COLUMNS)
+        documents = documents.select("doc_id", *SHOWN_COLUMNS)
+    if {"doc_id", "embedding"} <= set(vectors.columns):
+        vectors = vectors.select("doc_id", "embedding")
     return vectors, documents

@@ -93,6 +93,11 @@ class EmbeddingStore:
         """Upper bound of the size of ``keys()``, from the log alone."""
         return sum(e.key_bytes for e in self._entries())
 
+    def state(self):
+        """Names the store's current content: it changes with every write."""
+        mine = [e.seq for e in self._log() if e.model_id == self.model_id]
+        return f"{self.path}#{self.model_id}#{mine[-1] if mine else 0}"
+
     def batch(self, seq):
         """The rows of one write."""
         entries = [e for e in self._entries() if e.seq == seq]

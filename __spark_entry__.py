@@ -1,5 +1,6 @@
 """Registered queries of the engine over the given tables, and the SQL they are checked against."""
 
+import functools
 import os
 import sys
 
@@ -481,8 +482,19 @@ def entry(spark):
     return search_explained(spark, ENTRY_DIR)
 
 
+def _wide(query):
+    """Whole numbers as BIGINT, the width they have in the SQL."""
+
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        df = query(spark, sf_dir)
+        return df.select(*[F.col(c).cast("bigint").alias(c) if t == "int" else c for c, t in df.dtypes])
+
+    return run
+
+
 def queries():
-    return {query.__name__: query for query in _QUERIES}
+    return {query.__name__: _wide(query) for query in _QUERIES}
 
 
 def oracle_sql():

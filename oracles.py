@@ -263,12 +263,12 @@ ORACLE_SQL = {
         SELECT doc_id, content_hash, '2024-02-01' AS updated, nonzero FROM docs JOIN sizes USING (doc_id)""",
     "incremental_embed_content": _CURRENT,
     "index_append": f"""WITH {_UNIT}
-        SELECT vec_id, 2 AS copies,
+        SELECT vec_id, 2::BIGINT AS copies,
                round(2 * sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS norms FROM unit""",
     "index_integrity": f"""WITH {_STORE}
         SELECT count(docs.doc_id) AS documents, count(prior.doc_id) AS vectors,
-               count(*) FILTER (prior.doc_id IS NULL) AS documents_without_vector, 0 AS vectors_without_document,
-               0 AS repeated_keys
+               count(*) FILTER (prior.doc_id IS NULL) AS documents_without_vector, 0::BIGINT AS vectors_without_document,
+               0::BIGINT AS repeated_keys
         FROM docs LEFT JOIN prior USING (doc_id)""",
     "index_roundtrip": f"WITH {_STORE} SELECT doc_id, doc_length, nonzero FROM docs JOIN sizes USING (doc_id)",
     "index_job": f"""WITH {_STORE}

@@ -493,9 +493,25 @@ def _wide(query):
     return run
 
 
+def _training_data():
+    """Queries and SQL of the training-data operators and their pipeline; none where these are not installed."""
+    try:
+        import corpus_pipeline
+        from textharbor.llm import queries as operators
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "textharbor.llm"):
+            raise
+        return {}, {}
+    found, sql = dict(operators.QUERIES), dict(operators.ORACLE_SQL)
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries():
-    return {query.__name__: _wide(query) for query in _QUERIES}
+    return {query.__name__: _wide(query) for query in _QUERIES} | _training_data()[0]
 
 
 def oracle_sql():
-    return dict(ORACLE_SQL)
+    return dict(ORACLE_SQL) | _training_data()[1]

@@ -77,4 +77,35 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
-ORACLE_SQL = {"op4_source_mixing": OP4, "op8_byte_shards": OP8, "op9_url_filter": OP9}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP1 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w
+  FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM benchmark),
+sized AS (SELECT *, least(10, len(w)) AS k FROM items WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item, k, array_to_string(w[i + 1 : i + k], ' ') AS g
+  FROM (SELECT item, w, k, unnest(range(len(w) - k + 1)) AS i FROM sized)),
+lengths AS (SELECT DISTINCT k FROM windows),
+places AS (
+  SELECT n, k, i, array_to_string(w[i + 1 : i + k], ' ') AS g
+  FROM (SELECT n, w, k, unnest(range(len(w) - k + 1)) AS i FROM docs, lengths WHERE len(w) >= k)),
+hits AS (SELECT n, i, p.k, item FROM places p JOIN windows v ON p.g = v.g AND p.k = v.k),
+covered AS (SELECT n, count(DISTINCT pos) AS n_hit FROM (SELECT n, unnest(range(i, i + k)) AS pos FROM hits) GROUP BY n),
+found AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+          FROM (SELECT DISTINCT n, item FROM hits) GROUP BY n)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (n) LEFT JOIN found USING (n)
+"""
+
+ORACLE_SQL = {
+    "op1_decontamination": OP1,
+    "op4_source_mixing": OP4,
+    "op8_byte_shards": OP8,
+    "op9_url_filter": OP9,
+}

@@ -1,6 +1,6 @@
 """Registered queries of the operators over whole tables, and the SQL they are checked against."""
 
-from textharbor.llm import mixing, sharding, url_rules
+from textharbor.llm import decontamination, mixing, sharding, url_rules
 from textharbor.llm.oracles import ORACLE_SQL  # noqa: F401
 
 URL_RULES = (
@@ -15,6 +15,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark, sf_dir):
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.contamination_report(docs, benchmark, n=10)
+
+
 def op4_source_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -28,4 +33,4 @@ def op9_url_filter(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {q.__name__: q for q in (op4_source_mixing, op8_byte_shards, op9_url_filter)}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op4_source_mixing, op8_byte_shards, op9_url_filter)}

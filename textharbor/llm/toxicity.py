@@ -105,6 +105,18 @@ def packed(parts, size):
     return content
 
 
+def unlike(texts):
+    """Texts without those of which half the runs of three words, and one at least, stand in earlier texts."""
+    seen, out = set(), []
+    for text in texts:
+        words = text.split()
+        runs = {hash(tuple(words[i : i + 3])) for i in range(len(words) - 2)} or {hash(text)}
+        if 2 * len(runs & seen) < len(runs):
+            out.append(text)
+        seen |= runs
+    return out
+
+
 class Dictionaries(NamedTuple):
     ordinary: bytes
     toxic: bytes
@@ -188,9 +200,9 @@ def _rising(chances, weights):
 def fit(toxic, ordinary, share):
     """A model from texts of either class; ``share`` is the share of label 1 among all labelled rows.
 
-    Of each class, two thirds train the dictionaries and one third calibrates. Repeated texts count once.
+    Of each class, two thirds train the dictionaries and one third calibrates. Copies and near copies count once.
     """
-    toxic, ordinary = (list(dict.fromkeys(map(normalised, texts))) for texts in (toxic, ordinary))
+    toxic, ordinary = (unlike(map(normalised, texts)) for texts in (toxic, ordinary))
     dictionaries = learn_dictionaries(*[[t for i, t in enumerate(ts) if i % 3] for ts in (toxic, ordinary)])
     gains = Gains(dictionaries)
     levels = []

@@ -103,8 +103,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN covered USING (n) LEFT JOIN found USING (n)
 """
 
+OP3 = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_SPACE}') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 1))) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (
+  SELECT doc_id AS start, doc_id AS node FROM documents
+  UNION SELECT start, b FROM reach JOIN links ON a = node),
+least_of AS (SELECT start, min(node) AS component_id FROM reach GROUP BY start)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN least_of ON start = doc_id
+"""
+
 ORACLE_SQL = {
     "op1_decontamination": OP1,
+    "op3_near_duplicates": OP3,
     "op4_source_mixing": OP4,
     "op8_byte_shards": OP8,
     "op9_url_filter": OP9,

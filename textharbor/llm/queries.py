@@ -1,6 +1,6 @@
 """Registered queries of the operators over whole tables, and the SQL they are checked against."""
 
-from textharbor.llm import decontamination, mixing, sharding, toxicity, url_rules
+from textharbor.llm import decontamination, mixing, near_dedup, sharding, toxicity, url_rules
 from textharbor.llm.oracles import ORACLE_SQL  # noqa: F401
 
 URL_RULES = (
@@ -24,6 +24,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_near_duplicates(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op4_source_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -37,4 +41,4 @@ def op9_url_filter(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op2_toxicity, op4_source_mixing, op8_byte_shards, op9_url_filter)}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_toxicity, op3_near_duplicates, op4_source_mixing, op8_byte_shards, op9_url_filter)}

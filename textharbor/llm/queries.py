@@ -1,6 +1,6 @@
 """Registered queries of the operators over whole tables, and the SQL they are checked against."""
 
-from textharbor.llm import decontamination, mixing, near_dedup, sharding, toxicity, url_rules
+from textharbor.llm import decontamination, mixing, near_dedup, sharding, substring_dedup, toxicity, url_rules
 from textharbor.llm.oracles import ORACLE_SQL  # noqa: F401
 
 URL_RULES = (
@@ -41,4 +41,8 @@ def op9_url_filter(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op2_toxicity, op3_near_duplicates, op4_source_mixing, op8_byte_shards, op9_url_filter)}
+def op10_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeat_report(table(spark, sf_dir, "documents"), length=50)
+
+
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_toxicity, op3_near_duplicates, op4_source_mixing, op8_byte_shards, op9_url_filter, op10_substring_dedup)}

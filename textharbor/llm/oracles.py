@@ -124,10 +124,35 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN least_of ON start = doc_id
 """
 
+OP6 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{_SPACE}')) AS lines
+  FROM documents),
+places AS (
+  SELECT r, i, array_to_string(w[i + 1 : i + 5], ' ') AS g
+  FROM (SELECT r, w, unnest(range(len(w) - 4)) AS i FROM docs WHERE len(w) >= 5)),
+twice AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM places) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r),
+metrics AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(body, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines) AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+    len(regexp_extract_all(body, '[A-Z]')) AS n_upper
+  FROM docs LEFT JOIN covered USING (r)),
+failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM metrics)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 4 * n_symbols > n_words OR 10 * n_dup_lines > 4 * n_lines OR 2 * n_upper > word_chars
+       OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+FROM failed
+"""
+
 ORACLE_SQL = {
     "op1_decontamination": OP1,
     "op3_near_duplicates": OP3,
     "op4_source_mixing": OP4,
+    "op6_quality_cascade": OP6,
     "op8_byte_shards": OP8,
     "op9_url_filter": OP9,
 }

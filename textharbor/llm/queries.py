@@ -1,6 +1,6 @@
 """Registered queries of the operators over whole tables, and the SQL they are checked against."""
 
-from textharbor.llm import decontamination, mixing, near_dedup, sharding, substring_dedup, toxicity, url_rules
+from textharbor.llm import decontamination, mixing, near_dedup, quality, sharding, substring_dedup, toxicity, url_rules
 from textharbor.llm.oracles import ORACLE_SQL  # noqa: F401
 
 URL_RULES = (
@@ -33,6 +33,10 @@ def op4_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_cascade(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_shards(spark, sf_dir):
     return sharding.shard_report(table(spark, sf_dir, "documents"), shards=40)
 
@@ -45,4 +49,4 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.repeat_report(table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op2_toxicity, op3_near_duplicates, op4_source_mixing, op8_byte_shards, op9_url_filter, op10_substring_dedup)}
+QUERIES = {q.__name__: q for q in (op1_decontamination, op2_toxicity, op3_near_duplicates, op4_source_mixing, op6_quality_cascade, op8_byte_shards, op9_url_filter, op10_substring_dedup)}

@@ -124,6 +124,21 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN least_of ON start = doc_id
 """
 
+OP5 = """
+WITH digests AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+coded AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((('0x' || substr(hex, (i // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - i % 4 * 5)::INTEGER) & 31) + 1)::BIGINT, 1)), '')
+    AS payload_digest
+  FROM digests),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM coded)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
 OP6 = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body,
@@ -152,6 +167,7 @@ ORACLE_SQL = {
     "op1_decontamination": OP1,
     "op3_near_duplicates": OP3,
     "op4_source_mixing": OP4,
+    "op5_warc_normaliser": OP5,
     "op6_quality_cascade": OP6,
     "op8_byte_shards": OP8,
     "op9_url_filter": OP9,

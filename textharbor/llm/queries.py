@@ -1,6 +1,6 @@
 """Registered queries of the operators over whole tables, and the SQL they are checked against."""
 
-from textharbor.llm import decontamination, mixing, near_dedup, quality, sharding, substring_dedup, toxicity, url_rules
+from textharbor.llm import decontamination, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity, url_rules, warc
 from textharbor.llm.oracles import ORACLE_SQL  # noqa: F401
 
 URL_RULES = (
@@ -33,10 +33,18 @@ def op4_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc_normaliser(spark, sf_dir):
+    return warc.warc_report(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op6_quality_cascade(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark, sf_dir):
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_shards(spark, sf_dir):
     return sharding.shard_report(table(spark, sf_dir, "documents"), shards=40)
 
@@ -49,4 +57,10 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.repeat_report(table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {q.__name__: q for q in (op1_decontamination, op2_toxicity, op3_near_duplicates, op4_source_mixing, op6_quality_cascade, op8_byte_shards, op9_url_filter, op10_substring_dedup)}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_decontamination, op2_toxicity, op3_near_duplicates, op4_source_mixing, op5_warc_normaliser,
+        op6_quality_cascade, op7_secret_scan, op8_byte_shards, op9_url_filter, op10_substring_dedup,
+    )
+}

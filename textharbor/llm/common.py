@@ -163,3 +163,32 @@ def prefix_sums(ranged, order, values, group=()):
     return joined.select(
         "l.*", *[(F.col(f"local_{v}") + F.col(f"offset_{v}")).alias(f"before_{v}") for v in values]
     ).drop(*[f"local_{v}" for v in values])
+
+
+def numbered(df, keys, order):
+    """``row`` (a struct of all columns) and ``number``, counting from 1 among rows with equal ``keys``."""
+    inside = Window.partitionBy(*[F.col(f"`{k}`") if isinstance(k, str) else k for k in keys]).orderBy(*order)
+    columns = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(columns.alias("row"), F.row_number().over(inside).alias("number"))
+
+
+def attach(df, plan, keys, fields):
+    """Rows (row, fields) of ``df`` joined one to one with the rows of ``plan``.
+
+    ``keys`` are expressions over ``df``; ``plan`` has a column of each name. Rows with equal keys are interchangeable
+    and paired off by number, which costs a sort only where such rows exist.
+    """
+    names = list(keys)
+    several = plan.groupBy(*names).count().filter("count > 1").limit(1).count() > 0
+    columns = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    left = df.select(columns.alias("row"), *[e.alias(f"key_{n}") for n, e in keys.items()])
+    right = plan.select(*[F.col(n).alias(f"plan_{n}") for n in names], *fields)
+    if several:
+        left = left.withColumn(
+            "key_number", F.row_number().over(Window.partitionBy(*[f"key_{n}" for n in names]).orderBy(F.lit(1)))
+        )
+        inside = Window.partitionBy(*[f"plan_{n}" for n in names]).orderBy(*fields)
+        right = right.withColumn("plan_number", F.row_number().over(inside))
+        names = [*names, "number"]
+    on = [F.col(f"key_{n}").eqNullSafe(F.col(f"plan_{n}")) for n in names]
+    return left.join(right, on).select("row", *fields)

@@ -6,10 +6,16 @@ above the source's size takes the whole source again, epoch by epoch. The last r
 budget is met to the word.
 """
 
+import re
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textharbor.llm.common import clock_free_order, prefix_sums, sorted_ranges
+from textharbor.llm.common import attach, clock_free_order, prefix_sums, sorted_ranges
+from textharbor.session import write_and_read
 
 #: Words of a text.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,3 +81,39 @@ def mix(df, key="doc_id", text="text", source="source", weights=(5, 2, 1), most=
         F.col("key").alias(key), "source", "size", "source_size", "target",
         (epochs * F.col("size") + part).cast("long").alias("taken"), "tiebreak",
     )
+
+
+def cut_words(text, words):
+    """The text up to the end of its ``words``-th word."""
+    ends = re.finditer(r"[^\x20\x09-\x0D]+", text)
+    last = next(islice(ends, words - 1, None), None) if words > 0 else None
+    return text[: last.end()] if last else ("" if words <= 0 else text)
+
+
+def _cut_texts(batches):
+    for batch in batches:
+        pairs = zip(batch.column("cut_text").to_pylist(), batch.column("cut_to").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([cut_words(t, n) for t, n in pairs])], names=["row", "cut"])
+
+
+def mixed_documents(df, key="doc_id", text="text", source="source", **options):
+    """The rows of ``df`` as the mix takes them: repeated for whole epochs, one row a source cut to its first words.
+
+    Rows that the mix does not reach, and rows without words, are left out. All columns stay; rows are not in order.
+    """
+    plan = mix(df, key, text, source, **options).filter("taken > 0")
+    plan = write_and_read(
+        plan.select(F.col(key).alias("id"), "source", "tiebreak", "size", "taken"), "mix-plan"
+    )
+    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    keys = {"id": F.col(f"`{key}`"), "source": F.col(f"`{source}`").cast("string"), "tiebreak": F.md5(value.cast("binary"))}
+    joined = attach(df, plan, keys, ["size", "taken"])
+    whole = joined.select("row", F.explode(F.expr("array_repeat(1, int(taken div size))"))).select("row.*")
+    rest = joined.filter("taken % size > 0").select(
+        "row", F.col("row").getField(text).alias("cut_text"), F.expr("taken % size").alias("cut_to")
+    )
+    schema = T.StructType([rest.schema["row"], T.StructField("cut", T.StringType())])
+    cut = rest.mapInArrow(_cut_texts, schema)
+    return whole.unionByName(
+        cut.select(*[F.col("cut").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns])
+    )

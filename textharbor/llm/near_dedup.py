@@ -261,3 +261,19 @@ def near_duplicates(df, key="doc_id", text="text", size=3, percent=85):
         F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(df, key="doc_id", text="text", **options):
+    """``df`` with one document of each group of near duplicates: the one with the smallest key.
+
+    Of rows that share a key one stays; rows with a null key all stay.
+    """
+    judged = near_duplicates(df, key, text, **options)
+    judged = write_and_read(judged, "judged")
+    gone = judged.filter("not kept").select(key).distinct()
+    left = df.join(gone, key, "left_anti")
+    kept = judged.filter(F.col("kept") & F.col(f"`{key}`").isNotNull())
+    if kept.groupBy(key).count().filter("count > 1").limit(1).count():
+        left = common.numbered(left, [key], [F.xxhash64(F.col(f"`{text}`").cast("string"))])
+        left = left.filter(F.col("number").eqNullSafe(1) | F.col("row").getField(key).isNull()).select("row.*")
+    return left

@@ -7,7 +7,8 @@ row. Nothing passes through one task but the totals, one row a range.
 
 from pyspark.sql import functions as F
 
-from textharbor.llm.common import clock_free_order, prefix_sums, sorted_ranges
+from textharbor.llm.common import attach, clock_free_order, prefix_sums, sorted_ranges
+from textharbor.session import write_and_read
 
 
 def with_sizes(df, key, text, overhead):
@@ -47,3 +48,12 @@ def shard_report(df, shards=40, **options):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def sharded_documents(df, key="doc_id", text="text", **options):
+    """Rows (row, size, shard, slot): the rows of ``df``, all columns inside ``row``, with their places."""
+    plan = assign_shards(df, key, text, **options)
+    plan = write_and_read(plan.withColumnRenamed(key, "id"), "shard-plan")
+    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
+    keys = {"id": F.col(f"`{key}`"), "text_crc32": F.crc32(value).cast("long")}
+    return attach(df, plan, keys, ["size", "shard", "slot"])

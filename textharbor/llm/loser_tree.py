@@ -40,7 +40,7 @@ def merge_runs(coded):
     Of two strings the one that shares more is smaller; only on a tie are bytes compared, from the tie on.
     """
     runs = [_Run(*c) for c in coded]
-    starts = np.concatenate([[0], np.cumsum([len(c[1]) for c in coded])]).tolist()
+    starts = np.concatenate([[0], np.cumsum([len(c[1]) for c in coded], dtype=np.int64)]).tolist()
     leaves = 1
     while leaves < len(runs):
         leaves *= 2
@@ -72,9 +72,9 @@ def merge_runs(coded):
         winner, tree[node] = play(build(2 * node), build(2 * node + 1))
         return winner
 
-    total = starts[-1]
+    total = int(starts[-1])
     order, lcp = np.empty(total, np.int64), np.empty(total, np.int64)
-    winner = build(1)
+    winner = build(1) if runs else 0
     for i in range(total):
         run = runs[winner]
         order[i] = starts[winner] + run.at

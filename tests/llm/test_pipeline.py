@@ -1,0 +1,96 @@
+import random
+import zlib
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline as pipeline
+
+SYLLABLES = ["an", "er", "on", "the", "re", "st", "in", "ti", "or", "ed", "ly", "wh", "ble"]
+INSULTS = ["worthless", "disgusting", "pathetic"]
+
+
+def prose(rng, n):
+    return ["".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    rng = random.Random(6)
+    folder = tmp_path_factory.mktemp("tables")
+    items = [(i, " ".join(prose(rng, 25))) for i in range(5)]
+    docs, labels = [], []
+    for i in range(240):
+        words = prose(rng, rng.randint(30, 120))
+        toxic = i % 4 == 0
+        for _ in range(4 if toxic else 0):
+            words[rng.randrange(len(words))] = rng.choice(INSULTS)
+        if i % 11 == 3:
+            words[5:5] = items[i % 5][1].split()[2:16]
+        if i % 13 == 5:
+            words = docs[-2][1].split()[:-1] + words[:1]
+        docs.append((i, " ".join(words), "en", ["s0", "s1", "s2", None][i % 7 % 4], 0))
+        labels.append((i, 1, int(toxic)))
+    docs += [(300, None, None, None, None), (301, "", "en", "s1", 0), (302, docs[2][1], "en", "s0", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder), docs, dict((i, t) for i, _, t in labels), items
+
+
+def windows(text, n):
+    words = (text or "").split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def unlike(docs):
+    """The smallest key of each group of texts whose five-word shingles agree to 80 %."""
+    keys = sorted(docs)
+    group = {k: k for k in keys}
+    sets = {k: windows(docs[k], 5) for k in keys}
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return {k for k in keys if group[k] == k}
+
+
+def test_stages_against_brute_force(spark, tables):
+    folder, docs, toxic, items = tables
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, texts = frame.columns, {d[0]: d[1] for d in docs}
+    kept = []
+    for name, stage in pipeline.STAGES[:3]:
+        frame = pipeline.write_and_read(stage(spark, frame, folder), name)
+        assert frame.columns == columns
+        kept.append({r.doc_id for r in frame.collect()})
+
+    unseen = [i for i in toxic if zlib.crc32(str(i).encode()) % 3 == 1]
+    wrong = sum((i in kept[0]) == bool(toxic[i]) for i in unseen if docs[i][1].count(" ") and i % 13 != 5)
+    assert wrong <= 0.05 * len(unseen) and {300, 301} <= kept[0]
+    assert kept[1] == unlike({k: texts[k] for k in kept[0]})
+    known = set().union(*(windows(t, 10) for _, t in items))
+    assert kept[2] == {k for k in kept[1] if not windows(texts[k], 10) & known}
+
+    mixed = pipeline.write_and_read(pipeline.mix_sources(spark, frame, folder), "mixed")
+    assert mixed.columns == columns
+    rows = mixed.collect()
+    size = Counter()
+    for r in rows:
+        assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+        size[r.source] += len(r.text.split())
+    have = Counter()
+    for k in kept[2]:
+        have[docs[[d[0] for d in docs].index(k)][3]] += len((texts[k] or "").split())
+    assert abs(sum(size.values()) - sum(have.values())) <= len(have)
+    assert all(size[s] <= 3 * have[s] for s in have)
+
+    shards = pipeline.shard(spark, mixed, folder).collect()
+    assert sorted(r.text for r in shards) == sorted(r.text for r in rows)
+    assert len({(r.shard, r.slot) for r in shards}) == len(rows) and {r.shard for r in shards} <= set(range(40))
+
+
+def test_run_gives_the_last_stage(spark, tables):
+    result = pipeline.run(spark, tables[0])
+    assert {"doc_id", "text", "shard", "slot"} <= set(result.columns) and result.count() > 0

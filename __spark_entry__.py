@@ -3,6 +3,7 @@
 import functools
 import os
 import sys
+import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -13,7 +14,7 @@ import textharbor as th  # noqa: E402
 from oracles import ORACLE_SQL  # noqa: E402
 from textharbor.functions import cleaning, scores, text, vectors  # noqa: E402
 from textharbor.operators import lookup  # noqa: E402
-from textharbor.session import spread  # noqa: E402
+from textharbor.session import spread, write_and_read  # noqa: E402
 
 ENTRY_DIR = "/root/testdata/sf0.001"
 ENCODER = th.HashingEncoder()
@@ -90,16 +91,31 @@ def labelled(spark, sf_dir, condition):
     return table(spark, sf_dir, "labels").filter(condition).select("doc_id")
 
 
+def vector_sum(vector):
+    """A whole number that depends on every rounded number of a vector and its place."""
+    weighted = F.transform(vector, lambda x, i: F.round(F.round(x.cast("double"), 4) * 10_000).cast("bigint") * (i + 1))
+    return F.aggregate(weighted, F.lit(0).cast("bigint"), lambda total, x: total + x)
+
+
 def stored(rows):
-    """Comparable columns of stored rows."""
+    """Comparable columns of stored rows: vectors by a sum over all their numbers, metadata by its file name."""
     return rows.select(
         "doc_id",
         "content_hash",
         F.date_format("updated_at", "yyyy-MM-dd").alias("updated"),
         F.size(F.filter("embedding", lambda x: x != 0)).alias("nonzero"),
+        vector_sum(F.col("embedding")).alias("vector_sum"),
+        F.coalesce(F.try_element_at("metadata", F.lit("filename")), F.lit("")).alias("filename"),
+        F.coalesce(F.size("metadata"), F.lit(-1)).alias("facts"),
     )
 
 
+def embedded_rows(store, embedded):
+    """The vectors a job returned, with what the store says of them."""
+    facts = store.scan().select("doc_id", "updated_at", "metadata")
+    return stored(embedded.vectors.join(facts, "doc_id"))
+
+
 def weights(encoded, key):
     narrow = th.nonzero_weights(encoded.select(key, "embedding"))
     return narrow.select(key, "bucket", F.round(F.col("weight").cast("double"), 4).alias("weight"))
@@ -174,12 +190,19 @@ def list_documents(spark, sf_dir):
 
 
 def src_text_corpus(spark, sf_dir):
-    """Documents written as one text file each, then loaded from that folder."""
+    """Documents written as one text file each, then loaded from that folder; keys and names come from the paths."""
     folder = th.run_dir(spark, "corpus")
     files = texts(spark, sf_dir, "documents").select("text")
     files.write.option("maxRecordsPerFile", 1).text(folder)
     loaded = th.read_text_corpus(spark, folder)
-    return loaded.groupBy("content_hash", "doc_length").agg(F.count(F.lit(1)).alias("files"))
+    path = F.element_at("metadata", "source_path")
+    named = F.endswith(path, F.concat(F.lit("/"), F.col("filename"))) & F.startswith("filename", F.col("doc_id"))
+    stem = F.length("filename") - F.length("doc_id")
+    return loaded.groupBy("content_hash", "doc_length").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.count_distinct("doc_id").alias("stems"),
+        F.bool_and(named & (stem == 4) & F.endswith("filename", F.lit(".txt"))).alias("named"),
+    )
 
 
 # -- vectors and queries ------------------------------------------------------------
@@ -191,6 +214,25 @@ def l2_normalize(spark, sf_dir):
     return unit.select("vec_id", "i", F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
+def vector_rejects(spark, sf_dir):
+    """Vectors made unusable by their label (a number that is not finite, a NULL, one too few) are set aside."""
+    rows = table(spark, sf_dir, "embeddings")
+    dim = rows.select(F.size("embedding")).first()[0]
+    head, label = F.slice("embedding", 1, dim - 1), F.pmod(F.col("label"), F.lit(5))
+    last = F.when(label == 1, F.lit(float("nan"))).when(label == 2, F.lit(float("inf"))).cast("float")
+    spoilt = F.when(label == 0, head).when(label < 4, F.concat(head, F.array(last))).otherwise(F.col("embedding"))
+    usable, rejects = vectors.split_by_dim(rows.withColumn("embedding", spoilt), "embedding", dim)
+    return usable.select("vec_id", F.lit(True).alias("usable")).unionByName(rejects.select("vec_id", F.lit(False).alias("usable")))
+
+
+def rendered_numbers(spark, sf_dir):
+    """Lengths of documents as shares and with four decimals: numbers beyond a thousand included."""
+    length = F.length("text") / 16
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", text.percent(length).alias("share"), text.fixed_digits(length).alias("digits")
+    )
+
+
 def _cosine_to_first(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     first = rows.orderBy("vec_id").select("embedding").first()[0]
@@ -257,8 +299,11 @@ def expand_queries(spark, sf_dir):
 
 
 def _search(spark, sf_dir, **options):
-    docs = corpus(spark, sf_dir)
-    return th.search(benchmark_queries(spark, sf_dir), corpus_vectors(docs), docs, ENCODER, **options)
+    """Documents are cleaned, described and encoded in one pass, published, and searched there."""
+    described = th.describe_documents(corpus(spark, sf_dir), keep=["content"])
+    index = write_and_read(th.encode(described, "content", ENCODER).drop("content"), "index")
+    vectors, shown = index.select("doc_id", "embedding"), index.drop("embedding")
+    return th.search(benchmark_queries(spark, sf_dir), vectors, shown, ENCODER, **options)
 
 
 def search_basic(spark, sf_dir):
@@ -302,6 +347,12 @@ def search_to_json(spark, sf_dir):
         "query_id",
         "rank",
         F.get_json_object("record", "$.doc_id").cast("long").alias("doc_id"),
+        F.get_json_object("record", "$.score").cast("double").alias("score"),
+        F.get_json_object("record", "$.preview").alias("preview"),
+        F.get_json_object("record", "$.filename").alias("filename"),
+        F.size(F.from_json(F.get_json_object("record", "$.explanation.keywords"), "array<string>")).alias("n_keywords"),
+        F.get_json_object("record", "$.explanation.overlap_ratio").cast("double").alias("overlap_ratio"),
+        F.get_json_object("record", "$.explanation.doc_length").cast("long").alias("doc_length"),
         F.get_json_object("record", "$.explanation.raw_score").cast("double").alias("raw_score"),
     )
 
@@ -398,24 +449,20 @@ def store_stats(spark, sf_dir):
 
 def incremental_embed(spark, sf_dir):
     store = prior_store(spark, sf_dir)
-    embedded = th.incremental_embed(corpus(spark, sf_dir), store, ENCODER, updated_at=NEW)
-    when = store.scan().select("doc_id", "updated_at")
-    return stored(embedded.vectors.join(when, "doc_id"))
+    return embedded_rows(store, th.incremental_embed(corpus(spark, sf_dir), store, ENCODER, updated_at=NEW))
 
 
 def incremental_embed_force(spark, sf_dir):
     store = prior_store(spark, sf_dir)
     embedded = th.incremental_embed(corpus(spark, sf_dir), store, ENCODER, force=True, updated_at=NEW)
-    when = store.scan().select("doc_id", "updated_at")
-    return stored(embedded.vectors.join(when, "doc_id"))
+    return embedded_rows(store, embedded)
 
 
 def incremental_embed_content(spark, sf_dir):
     """Texts stored under any key are not encoded again; what is stored afterwards is the same."""
     store = prior_store(spark, sf_dir)
     embedded = th.incremental_embed(corpus(spark, sf_dir), store, ENCODER, reuse="content", updated_at=NEW)
-    when = store.scan().select("doc_id", "updated_at")
-    return stored(embedded.vectors.join(when, "doc_id"))
+    return embedded_rows(store, embedded)
 
 
 def index_append(spark, sf_dir):
@@ -427,9 +474,12 @@ def index_append(spark, sf_dir):
 
 
 def index_integrity(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    marked = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    return th.index_integrity(docs, corpus_vectors(marked))
+    """Labelled documents have vectors, toxic ones two, and vectors of German ones outlived their documents."""
+    docs = corpus(spark, sf_dir, keep=["lang"])
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held = corpus_vectors(docs.join(labels, "doc_id", "left_semi"))
+    twice = held.join(labels.filter("toxic = 1"), "doc_id", "left_semi")
+    return th.index_integrity(docs.filter("lang <> 'de'"), held.unionByName(twice))
 
 
 def index_roundtrip(spark, sf_dir):
@@ -438,7 +488,33 @@ def index_roundtrip(spark, sf_dir):
     th.publish_index(corpus_vectors(docs), th.describe_documents(docs), root)
     loaded, shown = th.load_index(spark, root)
     return loaded.join(shown, "doc_id").select(
-        "doc_id", "doc_length", F.size(F.filter("embedding", lambda x: x != 0)).alias("nonzero")
+        "doc_id",
+        "doc_length",
+        F.size(F.filter("embedding", lambda x: x != 0)).alias("nonzero"),
+        vector_sum(F.col("embedding")).alias("vector_sum"),
+    )
+
+
+def _published(spark, sf_dir):
+    root = th.run_dir(spark, "index")
+    docs = corpus(spark, sf_dir)
+    th.publish_index(corpus_vectors(docs), th.describe_documents(docs), root)
+    return root
+
+
+def index_statistics(spark, sf_dir):
+    stats = th.index_stats(spark, _published(spark, sf_dir))
+    return stats.select("version", "vectors", (F.col("size_bytes") > 0).alias("on_disk"))
+
+
+def clear_index_and_store(spark, sf_dir):
+    """Store and index cleared together: what each of them held and what is left."""
+    store, root = prior_store(spark, sf_dir), _published(spark, sf_dir)
+    of_index, of_store = th.clear_index(spark, root), store.clear()
+    return store.scan().agg(
+        F.lit(of_index).cast("long").alias("index_removed"),
+        F.lit(of_store).cast("long").alias("store_removed"),
+        F.count(F.lit(1)).alias("remaining"),
     )
 
 
@@ -468,18 +544,19 @@ def stream_index(spark, sf_dir):
 _QUERIES = (
     strip_html, strip_urls, normalize_whitespace, clean_text, clean_pages, doc_schema, content_hash, drop_empty,
     keywords_extract, keyword_overlap, preview_truncate, list_documents, src_text_corpus, l2_normalize, cosine_scores,
+    vector_rejects, rendered_numbers,
     normalize_score, embed_documents, embed_queries, topk_batch, topk_grid, score_distribution, validate_queries,
     expand_queries, search_basic, search_explained, search_length_normalized, search_reranked, search_expanded,
     search_to_json, search_counts, store_scan, store_get, store_by_hash, cache_by_hash, cache_hits, cache_misses,
     cache_hit_ratio, store_upsert, store_delete, store_compact, store_vacuum, store_clear, store_stats,
     incremental_embed, incremental_embed_force, incremental_embed_content, index_append, index_integrity,
-    index_roundtrip, index_job, engine_stats, stream_index,
+    index_roundtrip, index_statistics, clear_index_and_store, index_job, engine_stats, stream_index,
 )
 
 
 def entry(spark):
     """Clean and embed the documents, search them for every benchmark text, explain the hits."""
-    return search_explained(spark, ENTRY_DIR)
+    return _with_folder(search_explained)(spark, ENTRY_DIR)
 
 
 def _wide(query):
@@ -509,8 +586,24 @@ def _training_data():
     return found, sql
 
 
+def _with_folder(query):
+    """Where the session names no shared folder, as in tests on one machine, one is made for it."""
+
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        context = spark.sparkContext
+        if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="textharbor-"))
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries():
-    return {query.__name__: _wide(query) for query in _QUERIES} | _training_data()[0]
+    found = {query.__name__: _wide(query) for query in _QUERIES} | _training_data()[0]
+    return {name: _with_folder(query) for name, query in found.items()}
 
 
 def oracle_sql():

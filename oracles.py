@@ -76,7 +76,7 @@ lemmas AS (
     SELECT stem, 2, row_number() OVER (PARTITION BY stem ORDER BY word DESC), stem || ' ' || word FROM vocabulary),
 synonyms AS (
     SELECT word, list(lemma ORDER BY synset_rank, lemma_rank) AS names
-    FROM vocabulary JOIN lemmas USING (stem) WHERE lemma_rank <= 2 GROUP BY word)"""
+    FROM vocabulary JOIN lemmas USING (stem) WHERE lemma_rank <= 3 GROUP BY word)"""
 
 _EXPANDED = f"""{_LEXICON},
 asked AS (SELECT item_id AS query_id, text AS query, {_words('text')} AS words FROM benchmark),
@@ -111,7 +111,7 @@ pairs AS (
 ranked AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(raw * 1e7 + 0.5) DESC, doc_id) AS rank FROM pairs),
 hits AS (
-    SELECT *, {_keywords('query')} AS qk, {_keywords('substr(content, 1, 500)')} AS dk,
+    SELECT *, {_keywords('query')} AS qk, {_keywords('content')} AS dk,
            raw * (1.0 / (1.0 + ln(1 + doc_length / 1000.0::DOUBLE))) AS norm
     FROM ranked WHERE rank <= {k})"""
 
@@ -121,7 +121,7 @@ _ASKED = "plain AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 def _explained(score, rank="rank"):
     return f"""SELECT query_id, {rank} AS rank, doc_id, round({score}, 4) AS score,
-       array_to_string(list_sort(list_intersect(qk, dk))[1:10], ' ') AS keywords,
+       array_to_string(list_sort(list_intersect(qk, dk)), ' ') AS keywords,
        round({_overlap('qk', 'dk')}, 4) AS overlap_ratio, doc_length, round(raw, 4) AS raw_score"""
 
 
@@ -148,26 +148,34 @@ SELECT vec_id, list_dot_product(e, (SELECT e FROM unit ORDER BY vec_id LIMIT 1))
 # The store of an earlier run, the rows of a later one, and sizes of vectors.
 _STORE = f"""{_DOCS},
 {_weights('dw', 'docs', 'doc_id', 'content')},
-sizes AS (SELECT doc_id, count(dw.bucket) AS nonzero FROM docs LEFT JOIN dw USING (doc_id) GROUP BY doc_id),
+sizes AS (
+    SELECT doc_id, count(dw.bucket) AS nonzero,
+           coalesce(sum((bucket + 1) * round(round(weight::DOUBLE, 4) * 10000)::BIGINT), 0)::BIGINT AS vector_sum
+    FROM docs LEFT JOIN dw USING (doc_id) GROUP BY doc_id),
 prior AS (
     SELECT doc_id, CASE WHEN quality = 1 THEN content_hash ELSE raw_hash END AS content_hash, content_hash AS fresh_hash,
-           '2024-01-01' AS updated, nonzero, lang, toxic
+           '2024-01-01' AS updated, nonzero, vector_sum, filename, 1 AS facts, lang, toxic
     FROM docs JOIN labels USING (doc_id) JOIN sizes USING (doc_id)),
 upserted AS (
-    SELECT doc_id, content_hash, '2024-02-01' AS updated, nonzero FROM docs JOIN sizes USING (doc_id) WHERE lang = 'en'
+    SELECT doc_id, content_hash, '2024-02-01' AS updated, nonzero, vector_sum, '' AS filename, -1 AS facts
+    FROM docs JOIN sizes USING (doc_id) WHERE lang = 'en'
     UNION ALL
-    SELECT doc_id, content_hash, updated, nonzero FROM prior WHERE lang <> 'en'),
+    SELECT doc_id, content_hash, updated, nonzero, vector_sum, filename, facts FROM prior WHERE lang <> 'en'),
 flagged AS (
     SELECT docs.*, prior.doc_id IS NOT NULL AS hit
     FROM docs LEFT JOIN prior ON prior.doc_id = docs.doc_id AND prior.content_hash = docs.content_hash)"""
 
 
+_STORED = "doc_id, content_hash, updated, nonzero, vector_sum, filename, facts::BIGINT AS facts"
+
+
 def _stored(source, where="true"):
-    return f"WITH {_STORE} SELECT doc_id, content_hash, updated, nonzero FROM {source} WHERE {where}"
+    return f"WITH {_STORE} SELECT {_STORED} FROM {source} WHERE {where}"
 
 
 _CURRENT = f"""WITH {_STORE}
-SELECT doc_id, content_hash, CASE WHEN hit THEN '2024-01-01' ELSE '2024-02-01' END AS updated, nonzero
+SELECT doc_id, content_hash, CASE WHEN hit THEN '2024-01-01' ELSE '2024-02-01' END AS updated, nonzero, vector_sum,
+       filename, CASE WHEN hit THEN 1 ELSE 2 END::BIGINT AS facts
 FROM flagged JOIN sizes USING (doc_id)"""
 
 _NOT_TOXIC = "doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
@@ -186,7 +194,7 @@ ORACLE_SQL = {
             FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))) WHERE content <> ''""",
     "keywords_extract": f"""WITH {_DOCS}
         SELECT doc_id, len(k) AS n, {_joined('k')} AS keywords
-        FROM (SELECT doc_id, {_keywords('substr(content, 1, 500)')} AS k FROM docs)""",
+        FROM (SELECT doc_id, {_keywords('content')} AS k FROM docs)""",
     "keyword_overlap": f"""WITH k AS (SELECT conv_id, turn, role, {_keywords('text')} AS k FROM conversations)
         SELECT a.conv_id, a.turn, {_joined('list_intersect(a.k, b.k)')} AS shared,
                round({_overlap('a.k', 'b.k')}, 4) AS overlap
@@ -197,7 +205,7 @@ ORACLE_SQL = {
                CASE WHEN length(content) > 100 THEN substr(content, 1, 100) || '...' ELSE content END AS preview,
                (SELECT count(*) FROM docs) AS total FROM docs""",
     "src_text_corpus": f"""WITH {_DOCS}
-        SELECT content_hash, doc_length, count(*) AS files FROM docs GROUP BY ALL""",
+        SELECT content_hash, doc_length, count(*) AS files, count(*) AS stems, true AS named FROM docs GROUP BY ALL""",
     "l2_normalize": """WITH sq AS (
             SELECT vec_id, list_transform(embedding, lambda x: (x * x)::FLOAT) AS v FROM embeddings),
         unit AS (
@@ -236,12 +244,17 @@ ORACLE_SQL = {
         round(norm, 4) AS length_normalized_score FROM hits""",
     "search_expanded": f"WITH RECURSIVE {_EXPANDED}, {_search('expanded')} {_explained('raw')} FROM hits",
     "search_to_json": f"""WITH {_ASKED}, {_search('plain')}
-        SELECT query_id, rank, doc_id, round(raw, 4) AS raw_score FROM hits""",
+        SELECT query_id, rank, doc_id, round(raw, 4) AS score, {_preview('content')} AS preview, filename,
+               len(list_intersect(qk, dk)) AS n_keywords, round({_overlap('qk', 'dk')}, 4) AS overlap_ratio, doc_length,
+               round(raw, 4) AS raw_score FROM hits""",
+    "vector_rejects": "SELECT vec_id, label % 5 = 4 AS usable FROM embeddings",
+    "rendered_numbers": """SELECT doc_id, printf('%.1f%%', length(text) / 16 * 100) AS share,
+        printf('%.4f', length(text) / 16) AS digits FROM documents""",
     "search_counts": "SELECT item_id AS query_id, least(5, (SELECT count(*) FROM documents)) AS found FROM benchmark",
     "store_scan": _stored("prior"),
     "store_get": _stored("prior", "toxic = 1"),
     "store_by_hash": f"""WITH {_STORE}
-        SELECT doc_id, content_hash, updated, nonzero FROM (
+        SELECT doc_id, content_hash, updated, nonzero, vector_sum, filename, facts::BIGINT AS facts FROM (
             SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) AS n FROM prior
             WHERE content_hash IN (SELECT content_hash FROM docs)) WHERE n = 1""",
     "cache_by_hash": f"""WITH {_STORE}
@@ -260,17 +273,23 @@ ORACLE_SQL = {
         SELECT count(*) AS total_entries, max(updated) AS latest_update, true AS on_disk FROM upserted""",
     "incremental_embed": _CURRENT,
     "incremental_embed_force": f"""WITH {_STORE}
-        SELECT doc_id, content_hash, '2024-02-01' AS updated, nonzero FROM docs JOIN sizes USING (doc_id)""",
+        SELECT doc_id, content_hash, '2024-02-01' AS updated, nonzero, vector_sum, filename, 2::BIGINT AS facts
+        FROM docs JOIN sizes USING (doc_id)""",
     "incremental_embed_content": _CURRENT,
     "index_append": f"""WITH {_UNIT}
         SELECT vec_id, 2::BIGINT AS copies,
                round(2 * sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS norms FROM unit""",
     "index_integrity": f"""WITH {_STORE}
-        SELECT count(docs.doc_id) AS documents, count(prior.doc_id) AS vectors,
-               count(*) FILTER (prior.doc_id IS NULL) AS documents_without_vector, 0::BIGINT AS vectors_without_document,
-               0::BIGINT AS repeated_keys
+        SELECT count(*) FILTER (docs.lang <> 'de') AS documents,
+               coalesce(sum(1 + prior.toxic) FILTER (prior.doc_id IS NOT NULL), 0)::BIGINT AS vectors,
+               count(*) FILTER (docs.lang <> 'de' AND prior.doc_id IS NULL) AS documents_without_vector,
+               count(*) FILTER (docs.lang = 'de' AND prior.doc_id IS NOT NULL) AS vectors_without_document,
+               count(*) FILTER (prior.toxic = 1) AS repeated_keys
         FROM docs LEFT JOIN prior USING (doc_id)""",
-    "index_roundtrip": f"WITH {_STORE} SELECT doc_id, doc_length, nonzero FROM docs JOIN sizes USING (doc_id)",
+    "index_roundtrip": f"WITH {_STORE} SELECT doc_id, doc_length, nonzero, vector_sum FROM docs JOIN sizes USING (doc_id)",
+    "index_statistics": f"WITH {_DOCS} SELECT 1::BIGINT AS version, count(*) AS vectors, true AS on_disk FROM docs",
+    "clear_index_and_store": f"""WITH {_STORE}
+        SELECT (SELECT count(*) FROM docs) AS index_removed, count(*) AS store_removed, 0::BIGINT AS remaining FROM prior""",
     "index_job": f"""WITH {_STORE}
         SELECT count(*) AS indexed_documents, count(*) FILTER (hit) AS cache_hits,
                count(*) FILTER (NOT hit) AS cache_misses, count(*) AS cached_embeddings FROM flagged""",

@@ -1,30 +1,9 @@
-"""Plain Python restatements of the row-level rules, used as oracles."""
+"""Signed feature hashing in plain Python, as an oracle for the encoder."""
 
-import html
 import math
-import re
 from hashlib import md5
 
 
-def clean(text, remove_urls=True):
-    text = html.unescape(re.sub(r"<[^>]+>", " ", text.lower()))
-    if remove_urls:
-        text = re.sub(r"https?://\S+|www\.\S+", " ", text)
-    return re.sub(r"\s+", " ", text).strip()
-
-
-def keywords(text, shortest=3):
-    return {w for w in text.lower().split() if len(w) >= shortest and w.isalpha()}
-
-
-def overlap(a, b):
-    return len(a & b) / len(a | b) if a and b else 0.0
-
-
-def preview(text, most=200, suffix="..."):
-    return text if len(text) <= most else text[: most - len(suffix)].rsplit(" ", 1)[0] + suffix
-
-
 def hashed(text, dim):
     sums = [0] * dim
     for word in text.lower().split():
@@ -32,20 +11,3 @@ def hashed(text, dim):
         sums[int(digits[:8], 16) % dim] += -1 if int(digits[8], 16) % 2 else 1
     length = math.sqrt(sum(x * x for x in sums))
     return [x / length if length else 0.0 for x in sums]
-
-
-def expand(query, lexicon, most=2):
-    """``lexicon``: word -> list of synsets, each a list of lemmas."""
-    words = query.lower().split()
-    grown = list(words)
-    for word in words:
-        if len(word) < 4:
-            continue
-        found = []
-        for synset in lexicon.get(word, [])[:3]:
-            for lemma in synset[:most]:
-                name = lemma.replace("_", " ").lower()
-                if name != word and name not in grown and name not in found:
-                    found.append(name)
-        grown += found[:most]
-    return " ".join(grown)

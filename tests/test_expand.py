@@ -1,7 +1,4 @@
-import plain
 import pytest
-from conftest import DATA
-from pyspark.sql import functions as F
 
 from textharbor import expand_queries
 from textharbor.schema import LEXICON
@@ -21,26 +18,55 @@ def lexicon(spark):
     return spark.createDataFrame(rows, LEXICON)
 
 
-QUERIES = [
-    "happy",
-    "a an the",
-    "Quantum physics RESEARCH",
-    "happy happy glad",
-    "glad happy",
-    "abc happy\tunknownword",
-    "",
-    "  spaced   out  ",
+# Queries and their expansions by at most one, two and three synonyms a word, written down by hand.
+EXPANDED = [
+    ("happy", "happy glad", "happy glad felicitous", "happy glad felicitous joyful"),
+    ("a an the", "a an the", "a an the", "a an the"),
+    (
+        "Quantum physics RESEARCH",
+        "quantum physics research quantity inquiry",
+        "quantum physics research quantity third lemma inquiry explore",
+        "quantum physics research quantity third lemma inquiry explore",
+    ),
+    (
+        "happy happy glad",
+        "happy happy glad felicitous joyful cheerful",
+        "happy happy glad felicitous joyful content at ease cheerful",
+        "happy happy glad felicitous joyful content at ease fourth never cheerful",
+    ),
+    (
+        "abc happy\tunknownword",
+        "abc happy unknownword glad",
+        "abc happy unknownword glad felicitous",
+        "abc happy unknownword glad felicitous joyful",
+    ),
+    ("", "", "", ""),
+    ("  spaced   out  ", "spaced out", "spaced out", "spaced out"),
 ]
 
 
 @pytest.mark.parametrize("most", [1, 2, 3])
-def test_equals_plain_python(spark, lexicon, most):
-    queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, query string")
+def test_expansions(spark, lexicon, most):
+    queries = spark.createDataFrame([(i, e[0]) for i, e in enumerate(EXPANDED)], "query_id int, query string")
     out = expand_queries(queries, lexicon, most)
     assert out.columns == ["query_id", "query", "expanded"]
-    assert {r.query_id: r.expanded for r in out.collect()} == {
-        i: plain.expand(q, WORDS, most) for i, q in enumerate(QUERIES)
-    }
+    assert {r.query_id: r.expanded for r in out.collect()} == {i: e[most] for i, e in enumerate(EXPANDED)}
+
+
+def test_senses_and_lemmas_can_be_bounded(spark, lexicon):
+    queries = spark.createDataFrame([(1, "happy")], "query_id int, query string")
+    for bounds, want in (
+        ({"max_lemmas": 1}, "happy felicitous content fourth"),
+        ({"max_senses": 1}, "happy glad"),
+        ({"max_senses": 3, "max_lemmas": 2}, "happy glad felicitous joyful content at ease"),
+    ):
+        assert expand_queries(queries, lexicon, 5, **bounds).first().expanded == want
+
+
+def test_no_lemma_of_an_equal_rank_is_lost(spark):
+    queries = spark.createDataFrame([(1, "happy")], "query_id int, query string")
+    tied = spark.createDataFrame([("happy", 1, 1, "joyful"), ("happy", 1, 1, "glad")], LEXICON)
+    assert expand_queries(queries, tied).first().expanded == "happy glad joyful"
 
 
 def test_originals_are_kept_and_come_first(spark, lexicon):
@@ -57,13 +83,3 @@ def test_repeated_lexicon_rows_change_nothing(spark, lexicon):
     queries = spark.createDataFrame([(1, "happy glad")], "query_id int, query string")
     twice = lexicon.unionByName(lexicon)
     assert expand_queries(queries, twice).collect() == expand_queries(queries, lexicon).collect()
-
-
-def test_whole_table_equals_plain_python(spark):
-    turns = spark.read.parquet(f"{DATA}/conversations.parquet")
-    queries = turns.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
-    seen = sorted({w for r in queries.collect() for w in r.query.lower().split() if len(w) >= 4})
-    words = {w: [[seen[(i * 7) % len(seen)], seen[(i * 11) % len(seen)]]] for i, w in enumerate(seen)}
-    rows = [(w, 1, j, n) for w, senses in words.items() for j, n in enumerate(senses[0], 1)]
-    out = expand_queries(queries, spark.createDataFrame(rows, LEXICON))
-    assert all(r.expanded == plain.expand(r.query, words) for r in out.collect())

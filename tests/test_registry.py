@@ -9,7 +9,9 @@ from conftest import DATA
 
 import __spark_entry__ as entry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+OWN = {query.__name__ for query in entry._QUERIES}
+QUERIES = {name: query for name, query in entry.queries().items() if name in OWN}
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in OWN}
 
 
 @pytest.fixture(scope="module")

@@ -1,12 +1,13 @@
 import json
 import math
 
+import duckdb
 import numpy as np
-import plain
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
+import oracles
 from textharbor import (
     HashingEncoder,
     as_documents,
@@ -31,27 +32,40 @@ def corpus(spark):
     return docs, encode(docs, "content", ENCODER).select("doc_id", "embedding"), queries
 
 
+def by_sql(rows, **expressions):
+    """Expressions over the column ``x`` of (key, x) rows, computed by DuckDB."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (key BIGINT, x VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    found = con.execute(f"SELECT key, {', '.join(expressions.values())} FROM t").fetchall()
+    return {r[0]: dict(zip(expressions, r[1:])) for r in found}
+
+
 def brute(corpus, k, length_normalize=False):
     docs, _, queries = corpus
     docs = {r.doc_id: r for r in docs.collect()}
     keys = sorted(docs)
     matrix = ENCODER.encode([docs[key].content for key in keys]).astype(np.float64)
     out = {}
-    for q in queries.collect():
+    asked = queries.collect()
+    words = oracles._keywords("x")
+    shown = by_sql([(key, docs[key].content) for key in keys], keywords=words, preview=oracles._preview("x"))
+    wanted = by_sql([(q.query_id, q.query) for q in asked], keywords=words)
+    for q in asked:
         scores = matrix @ ENCODER.encode([q.query])[0].astype(np.float64)
         best = sorted(zip(keys, scores), key=lambda x: (-math.floor(x[1] * 1e7 + 0.5), x[0]))[:k]
         for rank, (key, score) in enumerate(best, 1):
-            doc, qk = docs[key], plain.keywords(q.query)
-            dk = plain.keywords(doc.content[:500])
+            doc, qk, dk = docs[key], set(wanted[q.query_id]["keywords"]), set(shown[key]["keywords"])
+            both, either = len(qk & dk), len(qk | dk)
             final = score / (1 + math.log1p(doc.doc_length / 1000)) if length_normalize else score
             out[q.query_id, rank] = {
                 "doc_id": key,
                 "score": round(final, 4),
                 "raw_score": round(score, 4),
-                "preview": plain.preview(doc.content),
+                "preview": shown[key]["preview"],
                 "filename": doc.filename,
-                "keywords": sorted(qk & dk)[:10],
-                "overlap_ratio": plain.overlap(qk, dk),
+                "keywords": sorted(qk & dk),
+                "overlap_ratio": both / either if either else 0.0,
                 "doc_length": doc.doc_length,
             }
     return out
@@ -95,8 +109,8 @@ def test_narrow_documents_give_the_same(spark, corpus):
 def test_rerank(corpus):
     docs, vectors, queries = corpus
     rows = search(queries, vectors, docs, ENCODER, top_k=6, length_normalize=True, rerank=True).collect()
-    plain_rows = search(queries, vectors, docs, ENCODER, top_k=6, length_normalize=True).collect()
-    assert {(r.query_id, r.doc_id, r.score) for r in rows} == {(r.query_id, r.doc_id, r.score) for r in plain_rows}
+    unranked = search(queries, vectors, docs, ENCODER, top_k=6, length_normalize=True).collect()
+    assert {(r.query_id, r.doc_id, r.score) for r in rows} == {(r.query_id, r.doc_id, r.score) for r in unranked}
     by_query = {}
     for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
         by_query.setdefault(r.query_id, []).append(r.score)
@@ -150,11 +164,23 @@ def test_validate_queries(spark):
     assert got == {1: (True, None), 2: (False, "too short"), 3: (True, None), 4: (False, "too long"), 5: (False, "too short")}
 
 
-def test_top_k_bounds(spark, science):
+def test_top_k_bounds_hold_for_requests_only(spark, science):
     assert check_top_k(1) == 1 and check_top_k(100) == 100
     for wrong in (0, 101):
         with pytest.raises(ValueError):
             check_top_k(wrong)
+    vectors = encode(science, "content", ENCODER).select("doc_id", "embedding")
+    queries = spark.createDataFrame([(1, "energy")], "query_id int, query string")
+    assert search(queries, vectors, science, ENCODER, top_k=101).count() == 3
+    with pytest.raises(ValueError):
+        search(queries, vectors, science, ENCODER, top_k=0)
+
+
+def test_shared_keywords_can_be_bounded(spark, science):
+    vectors = encode(science, "content", ENCODER).select("doc_id", "embedding")
+    queries = spark.createDataFrame([(1, "molecules are made change")], "query_id int, query string")
+    rows = [search(queries, vectors, science, ENCODER, top_k=1, max_keywords=n).first() for n in (None, 1)]
+    assert rows[0].explanation.keywords[:1] == rows[1].explanation.keywords and len(rows[0].explanation.keywords) > 1
 
 
 def test_documents_are_not_shuffled(spark, corpus):

@@ -182,3 +182,26 @@ def test_random_history_equals_a_dict(spark, store):
         else:
             assert store.compact() == len(want)
         assert content(store.scan()) == want
+
+
+def test_empty_writes_leave_no_log_row(spark, store):
+    store.upsert(rows(spark, ("a", [1.0, 0.0], "h", None)))
+    state = store.state()
+    store.upsert(rows(spark, ("a", [1.0, 0.0], "h", None)).limit(0), stream_id="s", batch_id=3)
+    assert store.state() == state and not store.committed("s", 3)
+    store.upsert(rows(spark, ("b", [1.0, 0.0], "h", None)), stream_id="s", batch_id=4)
+    assert store.committed("s", 4) and not store.committed("s", 5)
+
+
+def test_a_used_number_is_refused(spark, store):
+    store.upsert(rows(spark, ("a", [1.0, 0.0], "h", None)))
+    with pytest.raises(ValueError, match="already"):
+        store._commit(1, "batch", rows=1)
+
+
+def test_only_rows_after_the_last_base_are_read(spark, store):
+    for key in "abc":
+        store.upsert(rows(spark, (key, [1.0, 0.0], "h", None)))
+    store.compact()
+    store.upsert(rows(spark, ("d", [1.0, 0.0], "h", None)))
+    assert len(store._entries()) == 2 and store.scan().count() == 4

@@ -1,9 +1,10 @@
 import hashlib
 
-import plain
+import duckdb
 from conftest import DATA
 from pyspark.sql import functions as F
 
+import oracles
 from textharbor.functions import scores, text
 
 
@@ -16,16 +17,20 @@ def test_content_hash(spark):
     assert all(r.h == hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
 
 
-def test_keywords_equal_plain_python(spark):
+def sql_rows(expression):
+    return sorted(r for (r,) in duckdb.sql(f"SELECT {expression} FROM '{DATA}/documents.parquet'").fetchall())
+
+
+def test_keywords_equal_sql(spark):
     for shortest in (3, 5):
-        rows = docs(spark).select("text", text.keywords(F.col("text"), shortest).alias("k")).collect()
-        for r in rows:
-            assert set(r.k) == plain.keywords(r.text, shortest) and len(r.k) == len(set(r.k))
+        rows = docs(spark).select(F.array_join(F.sort_array(text.keywords(F.col("text"), shortest)), " ").alias("k"))
+        assert sorted(r.k for r in rows.collect()) == sql_rows(oracles._joined(oracles._keywords("text", shortest)))
 
 
-def test_document_keywords_come_from_the_opening(spark):
-    rows = docs(spark).select("text", text.document_keywords(F.col("text")).alias("k")).collect()
-    assert all(set(r.k) == plain.keywords(r.text[:500]) for r in rows)
+def test_document_keywords_come_from_the_whole_text_or_its_opening(spark):
+    row = spark.createDataFrame([("alpha beta " + "x" * 600 + " gamma",)], "t string")
+    whole, opening = row.select(text.document_keywords(F.col("t")), text.document_keywords(F.col("t"), 8)).first()
+    assert whole == ["alpha", "beta", "x" * 600, "gamma"] and opening == ["alpha"]
 
 
 def test_keyword_rules(spark):
@@ -34,10 +39,13 @@ def test_keyword_rules(spark):
 
 
 def test_overlap(spark):
-    cases = [(["a", "b"], ["b", "c"]), ([], ["a"]), (["a"], []), (["a"], ["a"]), (["a"], ["b"])]
-    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a array<string>, b array<string>")
+    cases = [
+        (["a", "b"], ["b", "c"], 1 / 3), ([], ["a"], 0.0), (["a"], [], 0.0), (["a"], ["a"], 1.0), (["a"], ["b"], 0.0),
+        (["a", "b", "c"], ["c", "b"], 2 / 3),
+    ]
+    rows = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, a array<string>, b array<string>")
     out = [r[1] for r in sorted(rows.select("i", text.overlap_ratio(F.col("a"), F.col("b"))).collect())]
-    assert out == [plain.overlap(set(a), set(b)) for a, b in cases]
+    assert out == [want for _, _, want in cases]
 
 
 def test_shared_keywords_are_sorted_and_limited(spark):
@@ -45,13 +53,29 @@ def test_shared_keywords_are_sorted_and_limited(spark):
     assert row.select(text.shared_keywords(F.col("a"), F.col("b"), 2)).first()[0] == ["a", "b"]
 
 
-def test_preview_equals_plain_python(spark):
-    texts = ["x" * 200, "x" * 201, "word " * 40, "word " * 41, "é" * 150 + " " + "z" * 100, "", "a\nb " * 100]
-    rows = spark.createDataFrame([(t,) for t in texts], "text string").unionByName(docs(spark))
-    out = rows.select("text", text.preview(F.col("text")).alias("p"), text.preview(F.col("text"), 50, "…").alias("q"))
-    for r in out.collect():
-        assert r.p == plain.preview(r.text)
-        assert r.q == plain.preview(r.text, 50, "…")
+# Texts and their previews of at most 200 and of at most 10 characters.
+PREVIEWS = [
+    ("", "", ""),
+    ("x" * 200, "x" * 200, "x" * 7 + "..."),
+    ("x" * 201, "x" * 197 + "...", "x" * 7 + "..."),
+    ("word " * 40, "word " * 40, "word..."),
+    ("word " * 41, ("word " * 39).strip() + "...", "word..."),
+    ("é" * 150 + " " + "z" * 100, "é" * 150 + "...", "é" * 7 + "..."),
+    ("ab cd efgh", "ab cd efgh", "ab cd efgh"),
+    ("ab cd efghi", "ab cd efghi", "ab cd..."),
+    ("a\nb " * 100, ("a\nb " * 49).strip() + "...", "a\nb..."),
+]
+
+
+def test_previews(spark):
+    rows = spark.createDataFrame([(i, p[0]) for i, p in enumerate(PREVIEWS)], "i int, t string")
+    out = rows.select("i", text.preview(F.col("t")), text.preview(F.col("t"), 10)).collect()
+    assert [tuple(r[1:]) for r in sorted(out)] == [p[1:] for p in PREVIEWS]
+
+
+def test_previews_of_a_table_equal_sql(spark):
+    rows = docs(spark).select(text.preview(F.col("text")).alias("p")).collect()
+    assert sorted(r.p for r in rows) == sql_rows(oracles._preview("text"))
 
 
 def test_listing_preview(spark):
@@ -67,6 +91,14 @@ def test_rendering_equals_plain_python(spark):
     assert all(r.p == f"{r.x:.1%}" and r.q == f"{r.x:.2%}" and r.d == f"{r.x:.4f}" for r in out)
 
 
+def test_numbers_beyond_a_thousand_are_not_grouped(spark):
+    rows = spark.createDataFrame([(1, 12.345), (2, 1234.5), (3, -98765.4321), (4, 0.125), (5, 1e6)], "i int, x double")
+    shown = rows.select("i", text.percent(F.col("x")).alias("p"), text.fixed_digits(F.col("x")).alias("d"))
+    out = {r.i: (r.p, r.d) for r in shown.collect()}
+    assert out[1] == ("1234.5%", "12.3450") and out[2] == ("123450.0%", "1234.5000")
+    assert out[3][1] == "-98765.4321" and out[4] == ("12.5%", "0.1250") and out[5][1] == "1000000.0000"
+
+
 def test_chart_label_of_any_key_type(spark):
     row = spark.createDataFrame([(7, "k" * 30)], "i bigint, s string")
     assert tuple(row.select(text.chart_label(F.col("i")), text.chart_label(F.col("s"))).first()) == ("7", "k" * 25)

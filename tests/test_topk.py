@@ -107,6 +107,18 @@ def test_wrong_sizes_are_refused(spark):
         run(mixed, ok, 1)
 
 
+@pytest.mark.parametrize("wrong", [float("nan"), float("inf"), -float("inf")])
+def test_numbers_that_are_not_finite_are_refused(spark, wrong):
+    fine = [(i, [1, i]) for i in range(10)]
+    for strategy in STRATEGIES:
+        q, v = frames(spark, [[1, 0]], [*fine, (10, [wrong, 0])])
+        with pytest.raises(Exception, match="split_by_dim"):
+            run(q, v, 5, strategy=strategy)
+        q, v = frames(spark, [[1, 0], [wrong, 0]], fine)
+        with pytest.raises(Exception, match="split_by_dim"):
+            run(q, v, 5, strategy=strategy)
+
+
 def test_arguments(spark):
     q, v = frames(spark, [[1, 0]], [(1, [1, 0])])
     with pytest.raises(ValueError):

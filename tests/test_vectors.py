@@ -33,10 +33,19 @@ def test_cosine_to_one_query(spark):
 
 
 def test_split_by_dim(spark):
-    rows = table(spark, [("ok", [1.0, 0.0]), ("short", [1.0]), ("null", None), ("hole", [1.0, None])])
+    unusable = [("short", [1.0]), ("null", None), ("hole", [1.0, None]), ("nan", [1.0, float("nan")]),
+                ("inf", [float("inf"), 0.0]), ("low", [0.0, -float("inf")])]
+    rows = table(spark, [("ok", [1.0, 0.0]), *unusable])
     good, bad = vectors.split_by_dim(rows, "embedding", 2)
     assert [r.doc_id for r in good.collect()] == ["ok"]
-    assert {r.doc_id for r in bad.collect()} == {"short", "null", "hole"}
+    assert {r.doc_id for r in bad.collect()} == {key for key, _ in unusable}
+
+
+def test_normalising_takes_time_in_proportion_to_the_length(spark):
+    """The norm of a vector is a variable of the expression, not summed anew for every number."""
+    plan = table(spark, [("a", [1.0, 2.0])]).select(vectors.l2_normalize(F.col("embedding")).alias("unit"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("aggregate(") == 1 and plan.first()[0] == [float(np.float32(x / 5**0.5)) for x in (1, 2)]
 
 
 def test_append_keeps_repeated_keys(spark):

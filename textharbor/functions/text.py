@@ -4,8 +4,7 @@ from pyspark.sql import functions as F
 
 from textharbor.functions.cleaning import WS
 
-# How much of a text is looked at or shown.
-KEYWORD_PREFIX = 500
+# Shortest keyword and how much of a text is shown.
 MIN_KEYWORD = 3
 PREVIEW_LENGTH = 200
 LISTING_LENGTH = 100
@@ -30,9 +29,9 @@ def keywords(text, min_length=MIN_KEYWORD):
     )
 
 
-def document_keywords(content):
-    """Keywords of the opening of a document; its last word may be cut."""
-    return keywords(F.substring(content, 1, KEYWORD_PREFIX))
+def document_keywords(content, opening=None):
+    """Keywords of a document, or of its first ``opening`` characters, whose last word may be cut."""
+    return keywords(content if opening is None else F.substring(content, 1, opening))
 
 
 def shared_keywords(left, right, limit=None):
@@ -66,8 +65,9 @@ def chart_label(key, max_length=LABEL_LENGTH):
 
 def percent(value, digits=1):
     """Share as text, such as ``12.3%``; ties of the stored binary number go to the even digit."""
-    return F.concat(F.format_number(value * 100, digits), F.lit("%"))
+    return F.concat(fixed_digits(value * 100, digits), F.lit("%"))
 
 
 def fixed_digits(value, digits=4):
-    return F.format_number(value, digits)
+    """A number with so many decimals and no grouping of thousands."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))

@@ -15,14 +15,18 @@ def norm(vector):
 
 def l2_normalize(vector):
     """Unit vector as ``array<float>``; a zero vector stays zero."""
-    length = norm(vector)
-    scaled = F.transform(vector, lambda x: (x.cast("double") / length).cast("float"))
-    return F.when(length > 0, scaled).otherwise(vector.cast("array<float>"))
+
+    def scaled(length):
+        unit = F.transform(vector, lambda x: (x.cast("double") / length).cast("float"))
+        return F.when(length > 0, unit).otherwise(vector.cast("array<float>"))
+
+    # The length is bound once per vector: inside the inner function it would be summed for every number.
+    return F.get(F.transform(F.array(norm(vector)), scaled), 0)
 
 
 def has_dim(vector, dim):
-    """True for vectors of ``dim`` numbers without NULLs; false, not NULL, for a NULL vector."""
-    whole = (F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull())
+    """True for vectors of ``dim`` finite numbers; false, not NULL, for a NULL vector or number."""
+    whole = (F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.coalesce(whole, F.lit(False))
 
 

@@ -1,37 +1,50 @@
 """Matching documents against the embedding store."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textharbor.session import BROADCAST_BYTES
+from textharbor.session import BROADCAST_BYTES, write_and_read
 
-SALTS = 16
+#: Rows of one value that one task takes; a value with more is split in proportion.
+HOT_ROWS = 1_000_000
 
 
-def salted_lookup(rows, lookup, on, salt_by, lookup_bytes, how="left", limit=BROADCAST_BYTES, salts=SALTS):
+def salted_lookup(rows, lookup, on, salt_by, lookup_bytes, how="left", limit=BROADCAST_BYTES, hot_rows=HOT_ROWS):
     """``rows`` joined to ``lookup``, which holds one row per value of ``on``.
 
-    A lookup measured at ``limit`` bytes or less is broadcast. A larger one is copied
-    ``salts`` times and joined on the value and a salt taken from column ``salt_by``, so rows
-    that share one hot value spread over ``salts`` tasks.
+    A lookup measured at ``limit`` bytes or less is broadcast. For a larger one the values are
+    counted first (a row per value and task is shuffled for that). Values with more than
+    ``hot_rows`` rows are salted by column ``salt_by``, each with salts in proportion to its
+    count, and their lookup rows copied as often; all other rows are joined as they are. There
+    are at most rows / ``hot_rows`` hot values, so they and their copies stay few.
     """
     if lookup_bytes <= limit:
         return rows.join(F.broadcast(lookup), on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = write_and_read(counts.select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")), "hot")
+    if not hot.limit(1).count():
+        return rows.join(lookup, on, how)
+    of_row = F.pmod(F.xxhash64(salt_by), F.coalesce("_salts", F.lit(1))).cast("int")
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", of_row).drop("_salts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    copies = lookup.join(F.broadcast(hot), on, "left").withColumn("_salt", every).drop("_salts")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def latest_rows(df, key, order_by, count=None):
-    """The row with the highest ``order_by`` per key, combined on the map side first; NULL is lowest.
+    """The row with the highest ``order_by`` per key; NULL is lowest, of equal ones a hash of the row decides.
 
-    ``count`` names a column for the number of rows the key had.
+    The same row wins however often the frame is evaluated. Spark cuts each key to its best row
+    before the shuffle, so repeated keys do not move. ``count`` names a column for the number of
+    rows the key had, counted on keys alone.
     """
-    payload = [c for c in df.columns if c != key]
-    aggregates = [F.max_by(F.struct(*payload), F.struct(order_by)).alias("_row")]
-    if count:
-        aggregates.append(F.count(F.lit(1)).alias(count))
-    best = df.groupBy(key).agg(*aggregates)
-    return best.select(key, *[F.col("_row")[c].alias(c) for c in payload], *([count] if count else []))
+    columns = [F.to_json(c) if t.startswith("map") else F.col(c) for c, t in df.dtypes if c != key]
+    order = [F.desc_nulls_last(order_by), F.xxhash64(*columns)]
+    best = df.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    best = best.filter("_place = 1").drop("_place")
+    if not count:
+        return best
+    return best.join(df.groupBy(key).agg(F.count(F.lit(1)).alias(count)), key)
 
 
 def _bounded(df, n_bytes):

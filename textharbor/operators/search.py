@@ -13,13 +13,13 @@ from textharbor.operators.topk import exact_topk
 from textharbor.schema import SHOWN_COLUMNS
 from textharbor.session import BROADCAST_BYTES, write_and_read
 
-# Request bounds and keywords shown per hit.
+# Bounds of a single request. A batch search takes any number of hits.
 MIN_QUERY, MAX_QUERY = 1, 1000
 MIN_TOP_K, MAX_TOP_K = 1, 100
-MAX_KEYWORDS = 10
 
 
 def check_top_k(top_k):
+    """Refuse a request for more hits than one request may ask for."""
     if not MIN_TOP_K <= top_k <= MAX_TOP_K:
         raise ValueError(f"top_k must be {MIN_TOP_K} to {MAX_TOP_K}")
     return top_k
@@ -32,19 +32,22 @@ def validate_queries(queries, text="query"):
     return queries.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
-def _describe(docs):
+def _describe(docs, opening=None):
     content = F.col("content")
-    return docs.withColumns({"preview": preview(content), "keywords": document_keywords(content)})
+    return docs.withColumns({"preview": preview(content), "keywords": document_keywords(content, opening)})
 
 
-def describe_documents(docs, keep=()):
-    """What search shows of a document: a narrow table derived once from the whole texts."""
-    return _describe(docs).select("doc_id", *SHOWN_COLUMNS, *keep)
+def describe_documents(docs, keep=(), opening=None):
+    """What search shows of a document: a narrow table derived once from the whole texts.
+
+    Keywords come from the whole text, or from its first ``opening`` characters.
+    """
+    return _describe(docs, opening).select("doc_id", *SHOWN_COLUMNS, *keep)
 
 
-def _explanation(length_normalize):
+def _explanation(length_normalize, max_keywords):
     fields = [
-        shared_keywords(F.col("query_keywords"), F.col("keywords"), MAX_KEYWORDS).alias("keywords"),
+        shared_keywords(F.col("query_keywords"), F.col("keywords"), max_keywords).alias("keywords"),
         rounded(overlap_ratio(F.col("query_keywords"), F.col("keywords"))).alias("overlap_ratio"),
         F.col("doc_length"),
         rounded(F.col("raw_score")).alias("raw_score"),
@@ -62,7 +65,7 @@ def _hit_bytes(vectors, query_bytes, n, top_k):
     """Upper bound of the size of all hits; keys of fixed width need no look at the data."""
     key_bytes = 16
     if isinstance(vectors.schema["doc_id"].dataType, T.StringType):
-        key_bytes += vectors.agg(F.max(F.octet_length("doc_id"))).first()[0] or 0
+        return None  # measured on the hits themselves: the keys of all vectors are not looked at
     return top_k * (query_bytes + n * (32 + key_bytes))
 
 
@@ -71,12 +74,17 @@ def _with_documents(hits, documents, hit_bytes, limit):
 
     Only documents that were hit are described, and their texts are not shuffled.
     """
+    written = hit_bytes is None
+    if written:
+        hits = write_and_read(hits, "hits")
+        size = F.octet_length("doc_id") + F.octet_length(F.col("query_id").cast("string")) + F.lit(48)
+        hit_bytes = hits.agg(F.sum(size)).first()[0] or 0
     if hit_bytes <= limit:
         hit_docs = documents.join(F.broadcast(hits), "doc_id")
         described = hit_docs if "keywords" in documents.columns else _describe(hit_docs)
         return described.select(*hits.columns, *SHOWN_COLUMNS)
     # Too many hits to broadcast: keep only winning documents, then join with hot documents salted.
-    hits = write_and_read(hits, "hits")
+    hits = hits if written else write_and_read(hits, "hits")
     winners = documents.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     return salted_lookup(hits, _shown(winners), ["doc_id"], "query_id", limit + 1, how="inner", limit=limit)
 
@@ -92,6 +100,7 @@ def search(
     rerank=False,
     lexicon=None,
     max_synonyms=2,
+    max_keywords=None,
     total_docs=False,
     broadcast_bytes=BROADCAST_BYTES,
     **topk_options,
@@ -104,9 +113,9 @@ def search(
 
     The rank is that of the raw score, also where scores are then normalised by length;
     ``rerank`` orders by the normalised score instead. A lexicon changes the text that is
-    encoded; keywords are always those of the query as given.
+    encoded; keywords are always those of the query as given. An explanation lists all shared
+    keywords, or the first ``max_keywords`` of them.
     """
-    check_top_k(top_k)
     texts = queries.select("query_id", "query")
     n, id_bytes, text_bytes = texts.agg(
         F.count(F.lit(1)),
@@ -148,7 +157,7 @@ def search(
         F.col("filename"),
     ]
     if explain:
-        out.append(_explanation(length_normalize).alias("explanation"))
+        out.append(_explanation(length_normalize, max_keywords).alias("explanation"))
     if total_docs:
         out.append(vectors.agg(F.count(F.lit(1))).scalar().alias("total_docs"))
     return joined.select(*out)

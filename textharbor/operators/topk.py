@@ -32,7 +32,10 @@ _RESCORE_STEP = 1 << 13
 
 
 def _matrix(column, dim):
-    """An Arrow list column as a float32 matrix; refuses NULLs and other lengths."""
+    """An Arrow list column as a float32 matrix; refuses NULLs, other lengths and numbers that are not finite.
+
+    A single NaN would make every bound of its block NaN, and the block's vectors would silently drop out.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten()
@@ -41,7 +44,10 @@ def _matrix(column, dim):
         wrong = pc.any(pc.not_equal(pc.list_value_length(column), dim)).as_py()
     if wrong:
         raise ValueError(f"every vector needs {dim} numbers; use split_by_dim to set others aside")
-    return flat.to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
+    matrix = flat.to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
+    if not np.isfinite(matrix).all():
+        raise ValueError("a vector holds NaN or an infinite number; use split_by_dim to set it aside")
+    return matrix
 
 
 def _smallest_copies(keys, block, k):
@@ -239,7 +245,8 @@ def _grid(queries, vectors, k, query_id, key, query_vector, vector, dim, cells,
         F.col("numbers").alias("v_numbers"),
     )
     # As a sort-merge join with the queries streamed, pairs of one query block come in a row.
-    parts = max(cores, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # A partition per cell and group, so that a task's share does not grow with the tables.
+    parts = max(cores, cells * groups)
     left, right = (side.repartition(parts, "cell", "group") for side in (left, right))
     pairs = left.hint("merge").join(right, ["cell", "group"]).drop("cell", "group")
     names = [query_id, key, "score"]
@@ -297,7 +304,7 @@ def exact_topk(
     if strategy == "auto":
         # Vectors are not computed for this: their length is known and checked when they are read.
         # Counted in: one vector and k running hits per query, which every task holds.
-        id_bytes = F.length(F.col(query_id).cast("string")) + F.lit(16 + 4 * dim + 64 * k)
+        id_bytes = F.octet_length(F.col(query_id).cast("string")) + F.lit(16 + 4 * dim + 64 * k)
         strategy = "scan" if (queries.agg(F.sum(id_bytes)).first()[0] or 0) <= max_query_bytes else "grid"
     if strategy == "scan":
         hits = _scan(queries, vectors, k, query_id, key, query_vector, vector, dim)

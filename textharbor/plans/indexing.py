@@ -5,7 +5,7 @@ from collections import namedtuple
 from pyspark.sql import functions as F
 
 from textharbor.operators.encode import encode
-from textharbor.operators.lookup import latest_rows, salted_lookup, uncached
+from textharbor.operators.lookup import label_hits, latest_rows, salted_lookup, uncached
 from textharbor.operators.search import describe_documents
 from textharbor.session import BROADCAST_BYTES, write_and_read
 from textharbor.sources.index import build_vectors, new_snapshot, newest_snapshot, publish_snapshot
@@ -18,24 +18,30 @@ def _uncached_keys(keys, store, store_bytes, limit):
     """Written table of keys without a current vector, and its size."""
     missing = uncached(keys, store.keys(), store_bytes if store_bytes <= limit else None)
     missing = write_and_read(missing.select("doc_id").distinct(), "misses")
-    size = F.length(F.col("doc_id").cast("string")) + F.lit(32)
+    size = F.octet_length(F.col("doc_id").cast("string")) + F.lit(32)
     return missing, missing.agg(F.sum(size)).first()[0] or 0
 
 
 def _pending(docs, keys, store, limit):
-    """Documents whose vector is absent or stale; None if it is known that there are none.
+    """Documents whose vector is absent or stale, or None if there are none, and the keys of all documents.
 
-    Texts are shuffled only if neither the store's keys nor the missing keys can be broadcast.
+    Where the store's keys can be broadcast, texts are read and cleaned once: one pass writes the keys of all
+    documents and the texts of those only that need a vector. Texts are shuffled only if neither the store's keys nor
+    the missing keys can be broadcast.
     """
     store_bytes = store.key_bytes()
     if keys is None and store_bytes <= limit:
-        return uncached(docs, store.keys(), store_bytes)
+        marked = label_hits(docs, store.keys(), store_bytes)
+        texts = [F.when(~F.col("hit"), F.col(c)).alias(c) for c in docs.columns if c not in ("doc_id", "content_hash")]
+        marked = write_and_read(marked.select("doc_id", "content_hash", *texts, "hit"), "marked")
+        pending = marked.filter("not hit").drop("hit")
+        return (None if pending.isEmpty() else pending), marked.select("doc_id", "content_hash")
     # Decide on keys and fingerprints alone, then go back for the texts that are needed.
     keys = docs.select("doc_id", "content_hash") if keys is None else keys
     missing, size = _uncached_keys(keys, store, store_bytes, limit)
     if not size:
-        return None
-    return docs.join(F.broadcast(missing) if size <= limit else missing, "doc_id", "left_semi")
+        return None, keys
+    return docs.join(F.broadcast(missing) if size <= limit else missing, "doc_id", "left_semi"), keys
 
 
 def _store_rows(docs, also=()):
@@ -88,7 +94,7 @@ def incremental_embed(
     if order_by is not None:
         docs = latest_rows(docs, "doc_id", order_by)
     everything = force or not store.key_bytes()
-    pending = docs if everything else _pending(docs, keys, store, broadcast_bytes)
+    pending, wanted = (docs, None) if everything else _pending(docs, keys, store, broadcast_bytes)
     misses = 0
     if pending is not None:
         if reuse == "content" and not everything:
@@ -101,7 +107,6 @@ def incremental_embed(
         vectors = store.batch(written.seq)
     else:
         # What was missing is stored now, so every document is a hit and nothing is encoded twice.
-        wanted = docs.select("doc_id", "content_hash") if keys is None else keys
         vectors = store.scan().join(wanted, ["doc_id", "content_hash"], "left_semi")
     return Embedded(vectors.select("doc_id", "content_hash", "embedding"), misses)
 
@@ -127,31 +132,35 @@ def _all_vectors(shown, keys, store, embedded):
     return embedded.vectors
 
 
-def _unchanged_vectors(spark, root, keys, store):
-    """Path of the current index's vectors if they are just those of ``keys``, else None.
+_FACTS = ["doc_id", "content_hash", "filename"]
+
+
+def _unchanged(spark, root, facts, store):
+    """The current snapshot if it is that of just these documents, else None.
 
-    They are if nothing was written to the store since and the documents have the same keys
-    and fingerprints; then a run without changes copies no vectors.
+    It is if nothing was written to the store since and the documents have the same keys,
+    fingerprints and file names; then a run without changes writes neither vectors nor documents.
     """
     newest = newest_snapshot(spark, root)
-    if not newest or newest.source != store.state():
+    if not newest or not newest.vectors or newest.source != store.state():
         return None
-    before = spark.read.parquet(newest.documents).select("doc_id", "content_hash")
-    both = before.withColumn("n", F.lit(1)).unionByName(keys.withColumn("n", F.lit(-1)))
-    changed = both.groupBy("doc_id", "content_hash").agg(F.sum("n").alias("n")).filter("n <> 0")
-    return newest.vectors if changed.isEmpty() else None
+    before = spark.read.parquet(newest.documents).select(*_FACTS)
+    both = before.withColumn("n", F.lit(1)).unionByName(facts.withColumn("n", F.lit(-1)))
+    changed = both.groupBy(*_FACTS).agg(F.sum("n").alias("n")).filter("n <> 0")
+    return newest if changed.isEmpty() else None
 
 
 def _index_changes(docs, store, encoder, updated_at, root, folder):
     """Warm run: fingerprints first, then only texts whose vector is absent or stale."""
     spark = docs.sparkSession
+    facts = write_and_read(docs.select(*_FACTS), "facts")
+    if newest := _unchanged(spark, root, facts, store):
+        return newest.vectors, newest.documents, 0, True
     described = describe_documents(docs)
     described.write.parquet(f"{folder}/documents")
     shown = spark.read.schema(described.schema).parquet(f"{folder}/documents")
     keys = shown.select("doc_id", "content_hash")
     embedded = incremental_embed(docs, store, encoder, keys=keys, updated_at=updated_at)
-    if not embedded.misses and (vectors := _unchanged_vectors(spark, root, keys, store)):
-        return vectors, f"{folder}/documents", 0, True
     vectors = _all_vectors(shown, keys, store, embedded)
     vectors.select("doc_id", "embedding").write.parquet(f"{folder}/vectors")
     return f"{folder}/vectors", f"{folder}/documents", embedded.misses, False

@@ -3,19 +3,21 @@
 from pyspark.sql import functions as F
 
 from textharbor.functions.text import listing_preview
+from textharbor.session import write_and_read
 
 INDEX_TYPE = "exact"
 
 
 def list_documents(docs):
-    """One row per document with a short preview and the number of documents."""
-    return docs.select(
-        "doc_id",
-        "filename",
-        F.col("doc_length").alias("length"),
-        listing_preview(F.col("content")).alias("preview"),
-        docs.agg(F.count(F.lit(1))).scalar().alias("total"),
+    """One row per document with a short preview and the number of documents.
+
+    Texts are read and cleaned once: the listing is written to the shared folder and counted there.
+    """
+    listing = docs.select(
+        "doc_id", "filename", F.col("doc_length").alias("length"), listing_preview(F.col("content")).alias("preview")
     )
+    listing = write_and_read(listing, "listing")
+    return listing.select("*", listing.agg(F.count(F.lit(1))).scalar().alias("total"))
 
 
 def engine_stats(vectors, store):

@@ -1,6 +1,5 @@
 """Session settings and the shared working folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -8,8 +7,10 @@ from pyspark.sql import SparkSession
 #: Data whose measured size is at most this is broadcast; larger data is shuffled.
 BROADCAST_BYTES = 64 << 20
 
+#: A plain scan of at most this size is dealt out to all cores.
+SPREAD_BYTES = 256 << 20
+
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
-_SCRATCH_KEY = "textharbor.scratch.dir"
 
 
 def get_session(app_name="textharbor", **settings):
@@ -28,13 +29,10 @@ def get_session(app_name="textharbor", **settings):
 
 
 def shared_dir(spark):
-    """The shared folder the cluster names; a scratch folder in local mode where none is named."""
-    folder = spark.conf.get(_CHECKPOINT_KEY, None) or spark.conf.get(_SCRATCH_KEY, None)
+    """The shared folder the session names, or else the one given to ``setCheckpointDir``."""
+    folder = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="textharbor-")
-        spark.conf.set(_SCRATCH_KEY, folder)
+        raise ValueError(f"set {_CHECKPOINT_KEY} to a folder all executors can reach")
     return folder.rstrip("/")
 
 
@@ -51,9 +49,10 @@ def write_and_read(df, label):
 
 
 def spread(df):
-    """A scan that has fewer splits than the cluster has cores, dealt out evenly to all cores.
+    """A small file scan (``SPREAD_BYTES`` by the plan's own estimate) dealt out to all cores.
 
-    Meant for a plain file scan in front of Python work; large inputs come back unchanged.
+    Meant for tables of one file in front of Python work. A larger scan comes back unchanged, so no more than that
+    is ever moved; its splits are a matter of ``spark.sql.files.maxPartitionBytes``.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df

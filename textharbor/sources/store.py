@@ -45,20 +45,32 @@ class EmbeddingStore:
 
     # -- reading -----------------------------------------------------------------
 
-    def _log(self):
-        """The whole log, oldest row first: one small row per write, whatever the write held."""
+    def _log(self, mine=True):
+        """The log as a table, one small row per write; None before the first."""
         rows = log.read(self.spark, f"{self.path}/log", _LOG)
-        return [] if rows is None else sorted(rows.collect(), key=lambda e: e.seq)
+        return rows.filter(F.col("model_id") == self.model_id) if mine and rows is not None else rows
+
+    def _last_seq(self, condition="true", mine=True):
+        """The highest number among log rows that meet a condition, 0 without any."""
+        rows = self._log(mine)
+        return 0 if rows is None else rows.filter(condition).agg(F.max("seq")).first()[0] or 0
 
     def _entries(self):
-        """Log rows of this model that still matter: the last base or clear and what came after."""
-        mine = [e for e in self._log() if e.model_id == self.model_id]
-        start = max((i for i, e in enumerate(mine) if e.kind != "batch"), default=0)
-        return [e for e in mine[start:] if e.rows]
+        """Log rows of this model that still matter: the last base or clear and what came after.
+
+        Only these come to the driver, however long the log is.
+        """
+        rows = self._log()
+        if rows is None:
+            return []
+        start = self._last_seq("kind <> 'batch'")
+        entries = sorted(rows.filter((F.col("seq") >= start) & (F.col("rows") > 0)).collect(), key=lambda e: e.seq)
+        if len({e.seq for e in entries}) < len(entries):
+            raise ValueError(f"two writes under {self.path} have one number; only one writer may be at work")
+        return entries
 
     def _next_seq(self):
-        entries = self._log()
-        return entries[-1].seq + 1 if entries else 1
+        return self._last_seq(mine=False) + 1
 
     def _read(self, entries):
         if not entries:
@@ -95,8 +107,7 @@ class EmbeddingStore:
 
     def state(self):
         """Names the store's current content: it changes with every write."""
-        mine = [e.seq for e in self._log() if e.model_id == self.model_id]
-        return f"{self.path}#{self.model_id}#{mine[-1] if mine else 0}"
+        return f"{self.path}#{self.model_id}#{self._last_seq()}"
 
     def batch(self, seq):
         """The rows of one write."""
@@ -130,12 +141,14 @@ class EmbeddingStore:
 
     def committed(self, stream_id, batch_id):
         """Has this micro-batch been stored already?"""
-        batch = (self.model_id, stream_id, batch_id)
-        return any((e.model_id, e.stream_id, e.batch_id) == batch for e in self._log())
+        same = F.col("stream_id").eqNullSafe(F.lit(stream_id)) & F.col("batch_id").eqNullSafe(F.lit(batch_id))
+        return self._last_seq(same) > 0
 
     # -- writing -----------------------------------------------------------------
 
     def _commit(self, seq, kind, rows=0, **fields):
+        if seq < self._next_seq():
+            raise ValueError(f"number {seq} is already in the log; only one writer may be at work")
         log.append(
             self.spark, f"{self.path}/log", _LOG, seq=seq, kind=kind, model_id=self.model_id, rows=rows, **fields
         )
@@ -148,7 +161,7 @@ class EmbeddingStore:
         folder = f"{seq:08d}-{uuid.uuid4().hex}"
         rows.withColumn("seq", F.lit(seq).cast("long")).write.parquet(self._folder(folder))
         written = self.spark.read.schema(rows.schema).parquet(self._folder(folder))
-        size = F.length(F.col("doc_id").cast("string")) + F.length("content_hash") + F.lit(32)
+        size = F.octet_length(F.col("doc_id").cast("string")) + F.octet_length("content_hash") + F.lit(32)
         per_key = written.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
         n, key_bytes, most = per_key.agg(F.sum("n"), F.sum("size"), F.max("n")).first()
         key_type = rows.schema["doc_id"].dataType.simpleString()
@@ -188,7 +201,8 @@ class EmbeddingStore:
             total = self.spark.read.schema(rows.schema).parquet(path).agg(F.sum(given)).first()[0] or 0
         elif most > 1:
             raise ValueError("a key comes more than once in the batch; pass order_by to say which row wins")
-        self._commit(seq, "batch", stream_id=stream_id, batch_id=batch_id, **fields)
+        if fields["rows"]:  # an empty batch leaves no row; doing it again would store nothing either
+            self._commit(seq, "batch", stream_id=stream_id, batch_id=batch_id, **fields)
         return Written(seq, total, fields["rows"], path)
 
     @staticmethod

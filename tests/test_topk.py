@@ -119,6 +119,29 @@ def test_numbers_that_are_not_finite_are_refused(spark, wrong):
             run(q, v, 5, strategy=strategy)
 
 
+def test_merging_in_two_steps_changes_nothing(spark, monkeypatch):
+    q, v = frames(spark, [[1, 0], [0, 1], [1, 1]], [(i, [i % 7, i % 5]) for i in range(60)])
+    for strategy in STRATEGIES:
+        wanted = run(q, v.repartition(9), 4, strategy=strategy)
+        with monkeypatch.context() as patch:
+            patch.setattr(topk, "MERGE_TASKS", 2)
+            patch.setattr(topk, "MERGE_BYTES", 0)
+            hits = exact_topk(q, v.repartition(9), 4, strategy=strategy)
+            assert hits._jdf.queryExecution().optimizedPlan().toString().count("Window") >= 2
+            assert run(q, v.repartition(9), 4, strategy=strategy) == wanted
+
+
+def test_the_grid_moves_as_little_as_it_can():
+    gb = 1 << 30
+    for vectors, queries, cores in ((100 * gb, gb, 64), (gb, 100 * gb, 64), (gb, gb, 8), (10_000 * gb, 100 * gb, 1000)):
+        cells, groups = topk._grid_shape(10**9, vectors, queries, cores)
+        moved = queries * cells + vectors * groups
+        tasks = cells * groups
+        assert tasks >= 4 * cores
+        assert all(moved <= 1.3 * (queries * c + vectors * -(-tasks // c)) for c in (1, 2, 8, 64, 512, 4096) if c <= tasks)
+    assert topk._grid_shape(1, gb, gb, 8)[0] == 1
+
+
 def test_arguments(spark):
     q, v = frames(spark, [[1, 0]], [(1, [1, 0])])
     with pytest.raises(ValueError):

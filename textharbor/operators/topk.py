@@ -14,6 +14,8 @@ of a task leave it.
 Both strategies give the same rows: score descending at ``RANK_SCALE``, then key ascending.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +30,9 @@ from textharbor.session import BROADCAST_BYTES, write_and_read
 BLOCK_ROWS = 4096
 QUERY_STEP = 1024
 CELL_BYTES = 256 << 20
+#: Tasks whose hits meet in one step of the final merge, and bytes of vectors that count as a task there.
+MERGE_TASKS = 512
+MERGE_BYTES = 64 << 20
 _RESCORE_STEP = 1 << 13
 
 
@@ -214,14 +219,17 @@ def _packed(df, key, vector, dim, rows):
     return write_and_read(df.select(key, vector).mapInArrow(pack, schema), "blocks")
 
 
-def _grid_shape(blocks, total, dim, cores):
+def _grid_shape(blocks, vector_bytes, query_bytes, cores):
     """(cells, groups): vector blocks are dealt to cells, query blocks to groups.
 
-    Cells are of bounded size and many enough to balance. With too few vector blocks to occupy
-    the cluster, queries are split as well and each vector block is copied to every group.
+    Every query block goes to each cell and every vector block to each group. There are cells
+    times groups tasks, enough for the cluster and for the size of both tables; they are
+    divided so that the bytes moved, queries * cells + vectors * groups, are least.
     """
-    cells = max(1, min(blocks, max(4 * cores, -(-total * dim * 4 // CELL_BYTES))))
-    return cells, max(1, -(-2 * cores // cells))
+    tasks = max(4 * cores, -(-(vector_bytes + query_bytes) // CELL_BYTES))
+    best = round(math.sqrt(tasks * vector_bytes / max(query_bytes, 1)))
+    cells = max(1, min(blocks, tasks, best))
+    return cells, -(-tasks // cells)
 
 
 def _grid(queries, vectors, k, query_id, key, query_vector, vector, dim, cells, block_rows):
@@ -229,7 +237,8 @@ def _grid(queries, vectors, k, query_id, key, query_vector, vector, dim, cells,
     right = _packed(vectors, key, vector, dim, block_rows)
     cores = queries.sparkSession.sparkContext.defaultParallelism
     blocks, total = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
-    shape = _grid_shape(blocks, total, dim, cores)
+    asked = left.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    shape = _grid_shape(blocks, 4 * dim * total, 4 * dim * asked, cores)
     cells, groups = (cells or shape[0]), shape[1]
     left = left.select(
         F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
@@ -310,5 +319,13 @@ def exact_topk(
         hits = _scan(queries, vectors, k, query_id, key, query_vector, vector, dim)
     else:
         hits = _grid(queries, vectors, k, query_id, key, query_vector, vector, dim, cells, block_rows)
-    order = Window.partitionBy(query_id).orderBy(rank_score(F.col("score")).desc(), F.col(key))
+    best = [rank_score(F.col("score")).desc(), F.col(key)]
+    size = int(str(vectors._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > MERGE_TASKS * MERGE_BYTES:
+        # Very many tasks: hits of so many at a time are cut to k before those of one query meet in one place.
+        part = F.floor(F.spark_partition_id() / F.lit(max(MERGE_TASKS, 1)))
+        first = Window.partitionBy(query_id, "_part").orderBy(*best)
+        hits = hits.withColumn("_part", part).withColumn("rank", F.row_number().over(first))
+        hits = hits.filter(F.col("rank") <= k).drop("_part", "rank")
+    order = Window.partitionBy(query_id).orderBy(*best)
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -126,6 +126,7 @@ def test_merging_in_two_steps_changes_nothing(spark, monkeypatch):
         with monkeypatch.context() as patch:
             patch.setattr(topk, "MERGE_TASKS", 2)
             patch.setattr(topk, "MERGE_BYTES", 0)
+            patch.setattr(topk, "UNKNOWN_BYTES", 1 << 100)
             hits = exact_topk(q, v.repartition(9), 4, strategy=strategy)
             assert hits._jdf.queryExecution().optimizedPlan().toString().count("Window") >= 2
             assert run(q, v.repartition(9), 4, strategy=strategy) == wanted

@@ -33,6 +33,8 @@ CELL_BYTES = 256 << 20
 #: Tasks whose hits meet in one step of the final merge, and bytes of vectors that count as a task there.
 MERGE_TASKS = 512
 MERGE_BYTES = 64 << 20
+#: What the plan says of tables that do not come from files.
+UNKNOWN_BYTES = 1 << 60
 _RESCORE_STEP = 1 << 13
 
 
@@ -321,7 +323,7 @@ def exact_topk(
         hits = _grid(queries, vectors, k, query_id, key, query_vector, vector, dim, cells, block_rows)
     best = [rank_score(F.col("score")).desc(), F.col(key)]
     size = int(str(vectors._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > MERGE_TASKS * MERGE_BYTES:
+    if MERGE_TASKS * MERGE_BYTES < size < UNKNOWN_BYTES:
         # Very many tasks: hits of so many at a time are cut to k before those of one query meet in one place.
         part = F.floor(F.spark_partition_id() / F.lit(max(MERGE_TASKS, 1)))
         first = Window.partitionBy(query_id, "_part").orderBy(*best)

@@ -14,7 +14,24 @@ PIECE_BYTES = 2 << 20
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+class _Powers:
+    """Tables of powers, made anew in every process: functions sent to tasks do not carry them along."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def grow(self, n):
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        one = np.ones(1, np.uint64)
+        self.up, self.down = [np.concatenate([one, np.cumprod(np.full(n, b))]) for b in (_BASE, inverse)]
+
+
+_POWERS = _Powers()
 
 
 def annotate(df, text, fn, fields, keep=None):
@@ -69,12 +86,9 @@ def pieces(array, size=PIECE_BYTES):
 
 def powers(n):
     """Powers of the base and of its inverse modulo 2**64, ``n`` at least."""
-    global _powers
-    if len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        size = max(n, PIECE_BYTES + 1)
-        _powers = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b))]) for b in (_BASE, inverse))
-    return _powers
+    if len(_POWERS.up) < n:
+        _POWERS.grow(max(n, PIECE_BYTES + 1))
+    return _POWERS.up, _POWERS.down
 
 
 def mixed(x):
@@ -128,8 +142,8 @@ def byte_table(members):
     return table
 
 
-def clock_free_order(*columns):
-    """An order in which nulls come first, the same in every engine part that sorts."""
+def nulls_first(*columns):
+    """An order in which nulls come first, for ranges and windows alike."""
     return [F.asc_nulls_first(c) if isinstance(c, str) else c.asc_nulls_first() for c in columns]
 
 

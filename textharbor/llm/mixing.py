@@ -14,7 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textharbor.llm.common import attach, clock_free_order, prefix_sums, sorted_ranges
+from textharbor.llm.common import attach, nulls_first, prefix_sums, sorted_ranges
 from textharbor.session import write_and_read
 
 #: Words of a text.
@@ -66,7 +66,7 @@ def mix(df, key="doc_id", text="text", source="source", weights=(5, 2, 1), most=
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(f"`{key}`").cast("string"))).alias("random"),
         F.md5(value.cast("binary")).alias("tiebreak"),
     )
-    order = clock_free_order("random", "tiebreak")
+    order = nulls_first("random", "tiebreak")
     ranged = sorted_ranges(sized, [F.col("source").asc_nulls_last(), *order], "mix")
     sizes = ranged.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most)

@@ -7,7 +7,7 @@ row. Nothing passes through one task but the totals, one row a range.
 
 from pyspark.sql import functions as F
 
-from textharbor.llm.common import attach, clock_free_order, prefix_sums, sorted_ranges
+from textharbor.llm.common import attach, nulls_first, prefix_sums, sorted_ranges
 from textharbor.session import write_and_read
 
 
@@ -29,7 +29,7 @@ def assign_shards(df, key="doc_id", text="text", shards=40, overhead=16):
     ``overhead``. A table of fewer rows than shards, or with one huge text, leaves shards empty. Other columns of
     ``df`` are not looked at. An empty table gives an empty result.
     """
-    order = clock_free_order("key", "text_crc32", "size")
+    order = nulls_first("key", "text_crc32", "size")
     sized = with_sizes(df, key, text, overhead).withColumn("one", F.lit(1).cast("long"))
     ranged = sorted_ranges(sized, order, "shard")
     total = ranged.agg(F.sum("size")).first()[0] or 1

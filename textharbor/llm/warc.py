@@ -71,7 +71,9 @@ def _headers(url, page, payload, archive, seq):
 
 def _open(uri):
     """The file system of a URI or path, and the path in it."""
-    return fs.FileSystem.from_uri(uri if urlsplit(uri).scheme else f"file://{uri}")
+    if urlsplit(uri).scheme in ("", "file"):
+        return fs.LocalFileSystem(), urlsplit(uri).path
+    return fs.FileSystem.from_uri(uri)
 
 
 def _write_monolithic(folder):

@@ -52,6 +52,7 @@ def test_against_brute_force(spark, documents):
 def test_small_chunks_and_buckets_agree(spark, documents, monkeypatch):
     rows = list(enumerate(texts(random.Random(4))))
     monkeypatch.setattr(sd, "CHUNK_ANCHORS", 40)
+    monkeypatch.setattr(sd, "CHUNK_SUFFIXES", 30)
     monkeypatch.setattr(sd, "BUCKET_BYTES", 500)
     got = sd.repeat_report(documents(rows)).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, 50)

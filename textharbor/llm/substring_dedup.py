@@ -17,6 +17,7 @@ is enough to look at anchors (about one byte in fourteen), and only at those who
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +28,9 @@ LENGTH = 50
 ANCHOR = 24
 #: Text bytes for each bucket of the exchanges.
 BUCKET_BYTES = 16 << 20
-#: Anchors or suffixes a task gathers before it sends them on.
+#: Anchors a task gathers before it sends them on, and suffixes, which take more room.
 CHUNK_ANCHORS = 1 << 19
+CHUNK_SUFFIXES = 1 << 18
 
 _POSITION_BITS = np.uint64(20)
 _POSITION = (np.uint64(1) << _POSITION_BITS) - np.uint64(1)
@@ -72,6 +74,26 @@ def anchor_runs(data, offsets, length=LENGTH, k=ANCHOR):
     return [np.concatenate(x) for x in zip(*out)]
 
 
+def _packed(array):
+    """Numbers or bytes, compressed; numbers of more than 16 bits as planes, so that high zeros cost nothing."""
+    if array.dtype.itemsize == 4:
+        array = np.concatenate([(array & 0xFFFF).astype(np.uint16), (array >> 16).astype(np.uint16)])
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).data if len(array) else b"")
+
+
+def _unpacked(data, kind):
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    if np.dtype(kind).itemsize < 4 or kind == np.int64:
+        return np.frombuffer(raw, kind)
+    low, high = np.frombuffer(raw, np.uint16).reshape(2, -1).astype(np.uint32)
+    return low | (high << np.uint32(16))
+
+
+def _steps(numbers):
+    """Numbers that rise by 255 at most from one to the next, as bytes."""
+    return np.diff(numbers, prepend=0).astype(np.uint8)
+
+
 def _columns(batch):
     keys = np.asarray(batch.column("id").fill_null(NO_KEY))
     return keys, np.asarray(batch.column("print"))
@@ -93,29 +115,29 @@ def _payloads(hashes, docs, places, ids, prints, buckets, number):
     the hash is sent once as witness. So a string of any frequency costs a bucket one entry per chunk.
     """
     order = np.lexsort((ids[docs], hashes))
-    hashes, docs, places = hashes[order], docs[order], places[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    inner = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], inner[1:] != inner[:-1]]))
     last = np.append(first[1:], len(hashes)) - 1
-    several = ids[docs[first]] != ids[docs[last]]
-    group = np.repeat(np.arange(len(first)), last - first + 1)
-    sure = several[group]
+    several = ids[docs[order[first]]] != ids[docs[order[last]]]
+    sure = np.empty(len(hashes), bool)
+    sure[order] = np.repeat(several, last - first + 1)
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     bucket[sure] = (np.arange(int(sure.sum())) // 4096 + number) % buckets
-    witness = first[several]
+    witness = np.sort(order[first[several]])
     kinds = np.where(sure, _SURE, _PLAIN).astype(np.uint8)
     short = ((hashes // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     bucket = np.concatenate([bucket, (hashes[witness] % np.uint64(buckets)).astype(np.int64)])
     kinds = np.concatenate([kinds, np.full(len(witness), _WITNESS, np.uint8)])
     short, docs = np.concatenate([short, short[witness]]), np.concatenate([docs, docs[witness]])
     places = np.concatenate([places, places[witness]])
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((places, docs, bucket))  # rows of a bucket by document: its numbers then compress well
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
         mine = order[lo:hi]
         known, back = np.unique(docs[mine], return_inverse=True)
         yield (
-            int(bucket[mine[0]]), short[mine].tobytes(), kinds[mine].tobytes(), back.astype(np.uint32).tobytes(),
-            places[mine].astype(np.uint32).tobytes(), ids[known].tobytes(), prints[known].tobytes(),
+            int(bucket[mine[0]]), short[mine].tobytes(), _packed(kinds[mine]), _packed(_steps(back)),
+            _packed(places[mine].astype(np.uint32)), ids[known].tobytes(), prints[known].tobytes(),
         )
 
 
@@ -160,12 +182,12 @@ def _keep_shared(table):
     parts = [[], [], [], [], []]
     columns = table.to_pydict()
     for hashes, flags, docs, places, ids, prints in zip(*[columns[f.name] for f in _PAYLOAD][1:]):
-        docs = np.frombuffer(docs, np.uint32)
+        docs = np.cumsum(_unpacked(docs, np.uint8), dtype=np.int64)
         parts[0].append(np.frombuffer(hashes, np.uint32))
-        parts[1].append(np.frombuffer(flags, np.uint8))
+        parts[1].append(_unpacked(flags, np.uint8))
         parts[2].append(np.frombuffer(ids, np.int64)[docs])
         parts[3].append(np.frombuffer(prints, np.int64)[docs])
-        parts[4].append(np.frombuffer(places, np.uint32))
+        parts[4].append(_unpacked(places, np.uint32))
     hashes, flags, ids, prints, places = [np.concatenate(x) for x in parts]
     asked = np.flatnonzero(flags != _SURE)
     order = asked[np.argsort(hashes[asked], kind="stable")]
@@ -185,7 +207,7 @@ def _keep_shared(table):
 _RUN = T.StructType([
     T.StructField("bucket", T.LongType()),
     *[T.StructField(c, T.BinaryType()) for c in (
-        "shared", "sizes", "tails", "left_sizes", "lefts", "ids", "prints", "places", "done")],
+        "shared", "sizes", "tails", "left_sizes", "lefts", "docs", "ids", "prints", "places", "done")],
 ])
 _DONE = np.dtype([("id", "<i8"), ("print", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
@@ -245,14 +267,16 @@ def _code_runs(suffixes, sizes, lefts, left_sizes, ids, prints, places, buckets,
         shared = _lcp(suffixes[mine], sizes[mine])
         tails = suffixes[mine][(np.arange(length) >= shared[:, None]) & (np.arange(length) < sizes[mine][:, None])]
         left = lefts[mine][np.arange(lefts.shape[1]) < left_sizes[mine][:, None]]
+        known, back = np.unique(np.stack([ids[mine], prints[mine]]), axis=1, return_inverse=True)
         yield (
-            int(deal[lo]), shared.astype(np.uint8).tobytes(), sizes[mine].astype(np.uint8).tobytes(), tails.tobytes(),
-            left_sizes[mine].astype(np.uint8).tobytes(), left.tobytes(), ids[mine].tobytes(), prints[mine].tobytes(),
-            places[mine].astype(np.uint32).tobytes(), b"",
+            int(deal[lo]), _packed(shared.astype(np.uint8)), _packed(sizes[mine].astype(np.uint8)), _packed(tails),
+            _packed(left_sizes[mine].astype(np.uint8)), _packed(left), _packed(back.ravel().astype(np.uint32)),
+            known[0].tobytes(), known[1].tobytes(), _packed(places[mine].astype(np.uint32)), b"",
         )
-    nothing = (b"",) * 8
+    nothing = (b"",) * 9
     for lo in range(0, len(settled), 1 << 16):
-        yield ((number + (lo >> 16)) % buckets, *nothing, settled[lo : lo + (1 << 16)].tobytes())
+        part = settled[lo : lo + (1 << 16)]
+        yield ((number + (lo >> 16)) % buckets, *nothing, zstandard.ZstdCompressor(level=1).compress(part.tobytes()))
 
 
 def _send_runs(buckets, length, k):
@@ -280,7 +304,7 @@ def _send_runs(buckets, length, k):
                     ids[at + row], prints[at + row], place - offsets[row],
                 ))
                 size += len(place)
-                if size >= CHUNK_ANCHORS:
+                if size >= CHUNK_SUFFIXES:
                     yield chunk()
                     held, size, number = [], 0, number + 1
         if size:
@@ -328,19 +352,24 @@ def _merge_bucket(length, k):
     def run(table):
         columns = table.to_pydict()
         runs, parts, done = [], [[], [], [], [], [], []], []
-        for shared, sizes, tails, left_sizes, lefts, ids, prints, places, settled in zip(
+        for shared, sizes, tails, left_sizes, lefts, docs, ids, prints, places, settled in zip(
             *[columns[f.name] for f in _RUN][1:]
         ):
             if settled:
-                done.append(np.frombuffer(settled, _DONE))
+                done.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(settled), _DONE))
             if not ids:
                 continue
-            runs.append((shared, sizes, tails))
-            parts[0].append(np.frombuffer(sizes, np.uint8).astype(np.int64))
-            parts[1].append(np.frombuffer(left_sizes, np.uint8).astype(np.int64))
-            parts[2].append(_matrix(np.frombuffer(lefts, np.uint8), parts[1][-1], length - k))
-            for into, kind, raw in zip(parts[3:], (np.int64, np.int64, np.uint32), (ids, prints, places)):
-                into.append(np.frombuffer(raw, kind))
+            shared, sizes, tails, left_sizes, lefts = [
+                _unpacked(x, np.uint8) for x in (shared, sizes, tails, left_sizes, lefts)
+            ]
+            runs.append((shared.tobytes(), sizes.tobytes(), tails.tobytes()))
+            parts[0].append(sizes.astype(np.int64))
+            parts[1].append(left_sizes.astype(np.int64))
+            parts[2].append(_matrix(lefts, parts[1][-1], length - k))
+            docs = _unpacked(docs, np.uint32)
+            parts[3].append(np.frombuffer(ids, np.int64)[docs])
+            parts[4].append(np.frombuffer(prints, np.int64)[docs])
+            parts[5].append(_unpacked(places, np.uint32))
         out = np.zeros(0, _DONE)
         if runs:
             sizes, left_sizes, lefts, ids, prints, places = [np.concatenate(x) for x in parts]

@@ -28,7 +28,7 @@ _BIN_SHIFT = np.uint64(64 - 8)  # the top bits of a hash are its bin
 def _orders():
     """For each bin, all bins in a random order: where it looks for a value if it is empty."""
     rng = np.random.default_rng(20170817)
-    return np.stack([rng.permutation(BINS) for _ in range(BINS)])
+    return np.stack([rng.permutation(BINS) for _ in range(BINS)]).astype(np.uint8)
 
 
 _ORDERS = _orders()
@@ -209,11 +209,14 @@ def near_duplicates(df, key="doc_id", text="text", size=3, percent=85):
     if repeated:
         chosen = known.groupBy("key").agg(F.min(F.struct("set_high", "set_low")).alias("c")).select("key", "c.*")
         known = known.join(chosen, ["key", "set_high", "set_low"]).dropDuplicates(["key"])
-    nodes = known.groupBy(*identity).agg(F.min("key").alias("node"))
-    own = write_and_read(known.select("key", *identity).join(nodes, identity).select("key", "node"), "nodes")
+    nodes = known.groupBy(*identity).agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("times"))
+    # Written, so that the join stands alone and Spark can split the rows of a set with very many copies.
+    copies = write_and_read(nodes.filter("times > 1").drop("times"), "copies")
+    placed = known.join(copies, identity, "left").withColumn("node", F.coalesce("node", "key"))
+    own = write_and_read(placed.select("key", "node"), "nodes")
 
     # bands of one row for each distinct set
-    firsts = known.join(nodes, identity).filter("key = node").select("node", "bands")
+    firsts = placed.filter("key = node").select("node", "bands")
     bands = firsts.select("node", F.explode("bands").alias("bucket")).distinct()
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates")).filter("mates > 1")
     members = write_and_read(bands.join(shared, "bucket").select("bucket", "node", "mates"), "buckets")

@@ -42,6 +42,22 @@ def brute(rows, size, percent):
     return sorted((k, len(sets[k]), root(k), root(k) == k) for k in keys)
 
 
+def brute_matrix(texts, size, percent):
+    """The component of each text, by the matrix of all intersections."""
+    sets, numbers = [shingles(t, size) for t in texts], {}
+    table = np.zeros((len(sets), len(numbers.fromkeys(s for x in sets for s in x))), np.float32)
+    for row, found in enumerate(sets):
+        table[row, [numbers.setdefault(s, len(numbers)) for s in found]] = 1
+    both, counts = (table @ table.T).astype(int), table.sum(axis=1).astype(int)
+    linked = 100 * both >= percent * (counts[:, None] + counts[None, :] - both)
+    component = np.arange(len(sets))
+    while True:
+        lower = np.where(linked, component[None, :], len(sets)).min(axis=1)
+        if (lower == component).all():
+            return dict(enumerate(component.tolist()))
+        component = lower
+
+
 def test_families_chains_and_edge_cases(spark, documents):
     rng = random.Random(11)
     texts = [t for _ in range(12) for t in family(rng, rng.randint(4, 120), rng.randint(1, 12), 4)]
@@ -75,6 +91,30 @@ def test_a_hub_with_any_key(spark, documents):
     assert sorted(map(tuple, got)) == expected
 
 
+def test_a_crowd_from_one_template(spark, documents):
+    """2,000 texts from one template that is not among them; few pairs reach the threshold."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for _ in range(2000):
+        text = list(base)
+        for place in rng.sample(range(300), rng.randint(6, 8)):
+            text[place] = f"e{rng.randrange(5)}p{place}"
+        texts.append(" ".join(text))
+    rows = list(enumerate(texts))
+    expected = brute_matrix(texts, 3, 85)
+    assert 100 < sum(k != c for k, c in expected.items()) < 400
+    got = nd.near_duplicates(documents(rows), size=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == expected
+
+
+def test_intersections_of_all_pairs():
+    rng = np.random.default_rng(3)
+    left, right = [[np.unique(rng.integers(0, 9000, n)).astype(np.uint64) for n in sizes] for sizes in ((1, 700, 6000), (5000, 40))]
+    got = nd._intersections(left, right)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+
+
 def test_repeated_and_null_keys(spark, documents):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "q"), (3, "e f g"), (3, "h i j"), (4, "h i j")]
     got = nd.near_duplicates(documents(rows)).collect()

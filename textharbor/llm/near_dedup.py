@@ -4,7 +4,9 @@ One hash of every shingle gives both its bin and its value; a bin keeps its smal
 bins drawn at random (optimal densification). Bands of bins are bucket keys. Within a bucket candidates form stars:
 members are compared with two hubs, the member with most bucket mates overall and the one with the smallest key, so a
 bucket gives at most two pairs a member. Pairs are confirmed on full shingle sets. Buckets that still hold several
-components get other hubs, round after round, as long as rounds find links.
+components get other hubs, round after round, as long as rounds find links. What is open then is settled for certain:
+all members of a bucket that lie in different components are compared, pair by pair in small buckets, and in larger
+ones block against block, where the intersections of all sets of two blocks are one product of 0/1 matrices.
 """
 
 import numpy as np
@@ -20,6 +22,11 @@ BINS = 256
 BAND_ROWS = 5
 BANDS = BINS // BAND_ROWS
 
+SMALL_BUCKET = 8  # members up to which an open bucket is compared by pairs of keys
+BLOCK_BYTES = 8 << 20  # sets of one side that a task compares at once
+ROW_BYTES = 8 << 10  # a smaller set counts as so many bytes, which bounds the rows of a block
+COLUMNS = 2048  # shingles multiplied at once
+
 _LOWER = common.lowered_table()
 _SPACE = common.byte_table(common.SPACE_BYTES)
 _BIN_SHIFT = np.uint64(64 - 8)  # the top bits of a hash are its bin
@@ -189,6 +196,103 @@ def _stars(members, hub, allowed=None):
     ).distinct()
 
 
+def _open_members(members, components):
+    """Rows of ``members`` with their component, in buckets that hold several components."""
+    labelled = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return labelled.join(mixed.filter("lo <> hi").select("bucket"), "bucket", "left_semi")
+
+
+def _small_pairs(members):
+    """Distinct pairs (a > b) of nodes of different components that share a bucket."""
+    other = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("other"))
+    pairs = members.join(other, "bucket").filter((F.col("node") > F.col("b")) & (F.col("component") != F.col("other")))
+    return pairs.select(F.col("node").alias("a"), "b").distinct()
+
+
+def _intersections(left, right):
+    """The size of the intersection of each set on the left with each on the right."""
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    distinct, column = np.unique(np.concatenate(sets), return_inverse=True)
+    first = owner < len(left)
+    both = np.bincount(column[first], minlength=len(distinct)) > 0
+    both &= np.bincount(column[~first], minlength=len(distinct)) > 0
+    keep = both[column]
+    owner, column = owner[keep], (np.cumsum(both) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2**24 are exact
+    for at in range(0, int(both.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        table = np.zeros((len(sets), COLUMNS), np.float32)
+        table[owner[lo:hi], column[lo:hi] - at] = 1
+        out += table[: len(left)] @ table[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _cell_links(percent):
+    """Links (a, b) between components of one cell; of links that close a circle none but the first."""
+
+    def run(table):
+        codes = pa.concat_arrays(table.column("component").chunks).dictionary_encode()
+        component, minor = codes.indices.to_numpy(), table.column("minor").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(left) and len(right):
+            sizes = np.array([len(x) for x in sets])
+            both = _intersections([sets[i] for i in left], [sets[i] for i in right])
+            linked = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+            linked &= component[left][:, None] != component[right][None, :]
+            x, y = np.nonzero(linked)
+            a, b = np.unique(np.stack([component[left[x]], component[right[y]]]), axis=1)
+        parent, chosen = list(range(len(codes.dictionary))), []
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            while parent[y] != y:
+                parent[y] = y = parent[parent[y]]
+            if x != y:
+                parent[x] = y
+                chosen.append(i)
+        return pa.table({"a": codes.dictionary.take(pa.array(a[chosen])), "b": codes.dictionary.take(pa.array(b[chosen]))})
+
+    return run
+
+
+def _block_links(members, sets, percent):
+    """Links (a, b) between components that share a bucket; ``members`` are open and written.
+
+    In each bucket all members outside its largest component meet all members. Either side is dealt to blocks by hash,
+    and each pair of blocks is a cell, compared whole by one task. A member outside goes to as many cells as there are
+    blocks of all members, any member to as many as there are blocks of members outside.
+    """
+    counted = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("times"))
+    largest = counted.groupBy("bucket").agg(F.max(F.struct("times", "component")).alias("largest"))
+    sizes = sets.select(F.col("key").alias("node"), F.greatest("bytes", F.lit(ROW_BYTES)).cast("long").alias("bytes"))
+    rows = members.join(sizes, "node").join(largest, "bucket")
+    rows = rows.withColumn("outside", F.col("component") != F.col("largest.component"))
+    blocks = rows.groupBy("bucket").agg(
+        F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"),
+        F.ceil(F.sum(F.when(F.col("outside"), F.col("bytes"))) / BLOCK_BYTES).cast("int").alias("outside_blocks"),
+    )
+    rows = rows.select("bucket", "node", "component", "outside").join(blocks, "bucket")
+    own = [F.pmod(F.xxhash64("node"), F.col(c)).cast("int") for c in ("outside_blocks", "blocks")]
+    every = [F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("outside_blocks", "blocks")]
+    cells = rows.filter("outside").select("node", "component", "bucket", own[0].alias("i"), every[1].alias("j"), F.lit(True).alias("minor"))
+    cells = cells.unionByName(
+        rows.select("node", "component", "bucket", every[0].alias("i"), own[1].alias("j"), F.lit(False).alias("minor"))
+    )
+    # One row a node while sets are joined, so that each set is moved to its node once.
+    cells = cells.groupBy("node", "component").agg(F.collect_list(F.struct("bucket", "i", "j", "minor")).alias("cells"))
+    full = cells.join(sets.select(F.col("key").alias("node"), "shingles"), "node")
+    full = full.select(F.explode("cells").alias("cell"), "component", "shingles").select("cell.*", "component", "shingles")
+    kind = members.schema["component"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    return full.groupBy("bucket", "i", "j").applyInArrow(_cell_links(percent), schema).distinct()
+
+
 def near_duplicates(df, key="doc_id", text="text", size=3, percent=85):
     """Rows (key, n_shingles, component_id, kept) for every row of ``df``.
 
@@ -199,8 +303,8 @@ def near_duplicates(df, key="doc_id", text="text", size=3, percent=85):
     links. Rows with a null key stay unlinked, have a null component and are kept. Equal sets are one node throughout, so copies of any number cost one
     row each. Columns beside the two named are not looked at. An empty table gives an empty result.
 
-    Two documents at the threshold share none of the 51 bands with a chance below 1e-12; whether a pair that shares
-    some is compared depends on the stars, see the module's text.
+    Two documents at the threshold share none of the 51 bands with a chance below 1e-12; every pair that shares one
+    is compared, or found connected by other links.
     """
     sketched = write_and_read(sketch_documents(df, key, text, size), "sketches")
     known = sketched.filter("key is not null and n > 0")
@@ -233,7 +337,7 @@ def near_duplicates(df, key="doc_id", text="text", size=3, percent=85):
     sets = full.select("row.key", "set_high", "set_low", "shingles")
     if repeated:
         sets = sets.join(chosen, ["key", "set_high", "set_low"], "left_semi").dropDuplicates(["key"])
-    sets = write_and_read(sets.select("key", "shingles"), "sets")
+    sets = write_and_read(sets.select("key", "shingles", F.octet_length("shingles").alias("bytes")), "sets")
 
     by_degree = F.max_by(F.struct("node"), F.struct("degree", F.xxhash64("node")))
     by_key = F.min(F.struct("node"))
@@ -243,9 +347,7 @@ def near_duplicates(df, key="doc_id", text="text", size=3, percent=85):
     number = 0
     while True:
         number += 1
-        labelled = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        open_ = labelled.join(mixed.filter("lo <> hi").select("bucket"), "bucket", "left_semi")
+        open_ = _open_members(members, components)
         hub = F.max_by(F.struct("node", "component"), F.xxhash64("node", F.lit(number)))
         new = _stars(open_, hub, F.col("component") != F.col("hub.component"))
         for old in tested:
@@ -257,6 +359,22 @@ def near_duplicates(df, key="doc_id", text="text", size=3, percent=85):
         stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
         components = connected_components(stars.unionByName(found))
 
+    # What hubs left open: every pair of members of different components that was not compared.
+    open_ = _open_members(members, components)
+    mates = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates"))
+    open_ = write_and_read(open_.join(mates, "bucket").select("bucket", "node", "component", "mates"), "open")
+    rest = _small_pairs(open_.filter(F.col("mates") <= SMALL_BUCKET))
+    for old in tested:
+        rest = rest.join(old, ["a", "b"], "left_anti")
+    found = confirmed(write_and_read(rest, "pairs"), sets, percent)
+    large = open_.filter(F.col("mates") > SMALL_BUCKET).drop("mates")
+    if large.limit(1).count():
+        found = found.unionByName(_block_links(large, sets, percent))
+    found = write_and_read(found, "links")
+    if found.limit(1).count():
+        stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        components = connected_components(stars.unionByName(found))
+
     placed = own.join(components, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     rows = sketched.select("key", "n").join(placed, "key", "left")
     component = F.coalesce("component", "key")

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from textharbor.llm import toxicity
 
 SYLLABLES = ["an", "er", "on", "the", "re", "st", "in", "ti", "or", "ed", "ly", "wh", "ble"]
@@ -56,5 +58,30 @@ def test_without_labels_or_rows(spark, documents):
     assert toxicity.toxicity_report(documents([]), none).count() == 0
 
 
+def gains_of(model, *texts):
+    rows = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    return toxicity.Gains(model.dictionaries).largest(np.frombuffer(b"".join(rows), np.uint8), offsets)
+
+
+def test_short_words_with_signs():
+    rows = corpus(3)
+    model = toxicity.fit([t for _, t, x in rows if x], [t for _, t, x in rows if not x], 0.25)
+    gains = gains_of(model, "the scum!! the", "scum.", "(Scum)", "the thin story", "")
+    chances = [model.chances[min(g, 31)] for g in gains]
+    assert min(chances[:3]) > 0.7 and max(chances[3:]) < 0.7
+
+
+def test_a_phrase_of_ordinary_words():
+    rng = random.Random(4)
+    pairs = [["get", "home"], ["paradise", "lost"]]  # either word is ordinary, only together they are not
+    ordinary = [prose(rng, 60) + rng.choice(pairs) + prose(rng, 5) for _ in range(400)]
+    toxic = [prose(rng, 60) + ["get", "lost"] + prose(rng, 5) for _ in range(300)]
+    model = toxicity.fit([" ".join(t) for t in toxic], [" ".join(t) for t in ordinary], 0.4)
+    gains = gains_of(model, "now get lost!", "Get, lost", "paradise lost", "get home")
+    chances = [model.chances[min(g, 31)] for g in gains]
+    assert min(chances[:2]) > 0.7 and max(chances[2:]) < 0.7
+
+
 def test_chances_never_fall():
     assert toxicity._rising([0.1, 0.5, 0.2, 0.9], [1, 1, 1, 1]) == [0.1, 0.35, 0.35, 0.9]

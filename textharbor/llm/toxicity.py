@@ -2,11 +2,13 @@
 
 Every word of a text, with its spaces and a fixed piece of ordinary text behind it, is a window. It is compressed
 with the ordinary dictionary and with the toxic one (which ends in the ordinary one, so that ordinary words cost the
-same in both); the bytes saved by the toxic dictionary are the window's gain. A text scores by its largest gain,
+same in both); the bytes saved by the toxic dictionary are the window's gain. Words without the signs on them are
+windows too, and so are two and three such words together wherever the telling part of the toxic dictionary has a match
+that spans the space between them; other windows of several words cannot gain more than their words. A text scores by its largest gain,
 turned into a probability by calibration on labelled texts that no dictionary was trained on.
 
 The toxic dictionary is trained on the parts of toxic texts that set them apart: stretches covered by byte n-grams
-found in a far larger share of toxic texts than of ordinary ones.
+found in a far larger share of toxic texts than of ordinary ones, and runs of two or three words that stand out alike.
 """
 
 import re
@@ -29,6 +31,8 @@ TRAIN_BYTES = 32 << 10
 GRAM = 5  # bytes of the n-grams that tell toxic text apart
 WINDOW_BYTES = 64  # a longer word is cut into windows that overlap by half
 MATCH_BYTES = 6  # shorter matches are noise: any syllable has them
+SHORT_BYTES = MATCH_BYTES - 2  # with its spaces such a word is hardly a match: it is looked at twice in a row
+APART = b"\xff"  # between parts of the toxic dictionary, never in UTF-8: no match spans two parts
 ORDINARY_BYTES = 8192
 TOXIC_BYTES = 4096
 CONTEXT_BYTES = 40  # ordinary text behind each window: zstandard looks for no match in the last bytes of its input
@@ -36,12 +40,20 @@ CACHE_WORDS = 1 << 20  # gains a task remembers
 
 _LOWER = common.lowered_table()
 _SPACE = common.byte_table(common.SPACE_BYTES)
+_SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())  # ASCII signs, spaces and controls
+_SIGN = common.byte_table(_SIGNS)
+_FOLDED = bytes(32 if b in _SIGNS else b for b in range(256))
 
 
 def normalised(text):
     return b" " + b" ".join((text or "").encode("utf-8", "replace").translate(bytes(_LOWER)).split()) + b" "
 
 
+def folded(text):
+    """A normalised text with its signs as spaces."""
+    return b" " + b" ".join(text.translate(_FOLDED).split()) + b" "
+
+
 def _grams(text):
     """Distinct n-grams of a text as numbers, without those that hold a space between other bytes."""
     data = np.frombuffer(text, np.uint8)
@@ -66,17 +78,54 @@ def _document_counts(texts):
 
 def telling_grams(toxic, ordinary, ratio=10.0, deviations=4.0):
     """N-grams in at least three (and one in 250) toxic texts whose share there stands out against ordinary ones."""
-    least = max(3, len(toxic) // 250)
     grams, n = _document_counts(toxic)
     other, m = _document_counts(ordinary)
     at = np.minimum(np.searchsorted(other, grams), max(len(other) - 1, 0))
     there = (other[at] == grams) if len(other) else np.zeros(len(grams), bool)
     m = np.where(there, m[at] if len(m) else 0, 0)
+    return grams[_stand_out(n, m, toxic, ordinary, ratio, deviations)]
+
+
+def _stand_out(n, m, toxic, ordinary, ratio=10.0, deviations=4.0):
+    least = max(3, len(toxic) // 250)
     size, other_size = max(len(toxic), 1), max(len(ordinary), 1)
     a, b, floor = n / size, m / other_size, 1 / other_size
     pooled = (n + m) / (size + other_size)
     spread = np.sqrt(pooled * (1 - pooled) * (1 / size + 1 / other_size))
-    return grams[(n >= least) & (a > ratio * (b + floor / 2)) & (a - b > deviations * spread)]
+    return (n >= least) & (a > ratio * (b + floor / 2)) & (a - b > deviations * spread)
+
+
+def _runs(text, words):
+    """Hashes of all runs of so many words of a folded text, with where they start and end."""
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = common.word_bounds(data != 32, np.array([0, len(data)]))
+    starts, ends = starts[: max(0, len(starts) - words + 1)], ends[words - 1 :]
+    return common.span_hashes(common.prefix_hashes(data), starts, ends).view(np.int64), starts, ends
+
+
+def telling_phrases(toxic, ordinary, words, grams, deviations=6.0):
+    """Runs of ``words`` words that stand out in toxic folded texts, with the spaces around them, each as often as found.
+
+    Runs are far more than n-grams, so more stand out by chance: they have to by more deviations. Runs that hold a word
+    with telling ``grams`` are left to that word.
+    """
+    hashes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for at in range(0, len(toxic), 100):
+        found = [hashes, *[np.unique(_runs(t, words)[0]) for t in toxic[at : at + 100]]]
+        weights = np.concatenate([n, np.ones(sum(map(len, found[1:])), np.int64)])
+        hashes, back = np.unique(np.concatenate(found), return_inverse=True)
+        n = np.bincount(back, weights).astype(np.int64)
+    common_ = n >= max(3, len(toxic) // 250)
+    hashes, n = hashes[common_], n[common_]
+    m = np.zeros(len(hashes), np.int64)
+    for text in ordinary if len(hashes) else []:
+        m += np.isin(hashes, _runs(text, words)[0])
+    hashes = hashes[_stand_out(n, m, toxic, ordinary, deviations=deviations)]
+    out = []
+    for text in toxic if len(hashes) else []:
+        found, starts, ends = _runs(text, words)
+        out.extend(text[starts[i] - 1 : ends[i] + 1] for i in np.flatnonzero(np.isin(found, hashes)).tolist())
+    return [p for p in out if not np.isin(_grams(p)[0], grams).any()]
 
 
 def telling_parts(text, grams):
@@ -92,6 +141,10 @@ def telling_parts(text, grams):
     return [part for s in stretches for part in re.findall(rb" ?[^ ]+ ?", s)]
 
 
+def twice(part):
+    return part + part.lstrip()
+
+
 def trained(samples, size):
     """A zstandard dictionary of at most ``size`` bytes; the samples themselves where they are too few to train on."""
     joined = b"".join(samples)
@@ -107,8 +160,8 @@ def packed(parts, size):
     """Content of a dictionary from counted parts: commonest last, where matches are cheapest; none inside another."""
     content = b""
     for part, _ in sorted(parts.items(), key=lambda p: (-p[1], p[0])):
-        if part not in content and len(part) + len(content) <= size:
-            content = part + content
+        if part not in content and len(part) + len(APART) + len(content) <= size:
+            content = part + APART + content
     return content
 
 
@@ -135,6 +188,11 @@ def learn_dictionaries(toxic, ordinary):
     """Dictionaries from normalised texts of either class."""
     grams = telling_grams(toxic, ordinary)
     parts = [p for t in toxic for p in telling_parts(t, grams)]
+    bare = [[folded(t) for t in texts] for texts in (toxic, ordinary)]
+    grams = telling_grams(*bare)
+    found = [p for t in bare[0] for p in telling_parts(t, grams)]
+    parts += [twice(p) if len(p) <= SHORT_BYTES + 2 and p[:1] == p[-1:] == b" " else p for p in found]
+    parts += [p for words in (2, 3) for p in telling_phrases(*bare, words, grams)]
     chunks = [t[i : i + 256] for t in ordinary for i in range(0, len(t), 256)]
     base = trained(chunks[:: max(1, len(chunks) // 20_000)], ORDINARY_BYTES)
     telling = packed(Counter(parts), TOXIC_BYTES)
@@ -149,6 +207,21 @@ class Gains:
         self.ordinary = self._compressor(dictionaries.ordinary)
         self.toxic = self._compressor(dictionaries.toxic)
         self.known = {}
+        telling = np.frombuffer(dictionaries.toxic[: len(dictionaries.toxic) - len(dictionaries.ordinary)], np.uint8)
+        codes, spans = self._spanning(telling)
+        self.spanning = np.unique(codes[spans])
+
+    @staticmethod
+    def _spanning(data):
+        """Numbers of all runs of ``MATCH_BYTES`` bytes, and which of them hold a space between other bytes."""
+        size = max(0, len(data) - MATCH_BYTES + 1)
+        codes, spans = np.zeros(size, np.int64), np.zeros(size, bool)
+        for i in range(MATCH_BYTES):
+            part = data[i : i + size]
+            codes |= part.astype(np.int64) << (8 * i)
+            if 0 < i < MATCH_BYTES - 1:
+                spans |= part == 32
+        return codes, spans
 
     @staticmethod
     def _compressor(content):
@@ -162,6 +235,8 @@ class Gains:
 
     def of_word(self, word):
         best = 0
+        if len(word) <= SHORT_BYTES:
+            word = word + b" " + word
         for at in range(0, max(1, len(word) - WINDOW_BYTES // 2), WINDOW_BYTES // 2):
             window = b" " + word[at : at + WINDOW_BYTES] + b" " + self.context
             best = max(best, len(self.ordinary(window)) - len(self.toxic(window)))
@@ -170,15 +245,23 @@ class Gains:
     def largest(self, data, offsets):
         """The largest gain of each row of a piece; 0 for rows without words."""
         lower = _LOWER[data]
-        starts, ends, rows = common.word_bounds(~_SPACE[lower], offsets)
         out = np.zeros(len(offsets) - 1, np.int64)
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        self._words(lower, *common.word_bounds(~_SPACE[lower], offsets), out)
+        bare = ~_SIGN[lower]
+        bounds = common.word_bounds(bare, offsets)
+        self._words(lower, *bounds, out)
+        if len(self.spanning) and len(bounds[0]):
+            self._phrases(lower[bare], *bounds, out)
+        return out
+
+    def _words(self, lower, starts, ends, rows, out):
         if not len(starts):
-            return out
+            return
         hashes = common.span_hashes(common.prefix_hashes(lower), starts, ends)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         gains = np.empty(len(distinct), np.int64)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         text, known = lower.tobytes(), self.known
         for i, (h, s, e) in enumerate(zip(distinct.tolist(), starts[first].tolist(), ends[first].tolist())):
             gain = known.get(h)
@@ -186,7 +269,31 @@ class Gains:
                 gain = known[h] = self.of_word(text[s:e])
             gains[i] = gain
         np.maximum.at(out, rows, gains[back])
-        return out
+
+    def _phrases(self, letters, starts, ends, rows, out):
+        """Two and three words around each space that a match in the telling part spans."""
+        lengths = ends - starts
+        text = np.full(len(letters) + len(lengths) + 1, 32, np.uint8)
+        text[np.arange(len(letters)) + np.repeat(np.arange(1, len(lengths) + 1), lengths)] = letters
+        ends = np.cumsum(lengths + 1)
+        starts = ends - lengths
+        codes, spans = self._spanning(text)
+        places = np.flatnonzero(spans)
+        at = np.minimum(np.searchsorted(self.spanning, codes[places]), len(self.spanning) - 1)
+        places = places[self.spanning[at] == codes[places]]
+        windows = set()
+        for place in places.tolist():
+            lo = int(np.searchsorted(ends, place))  # the word that ends behind this byte, or the one before this space
+            hi = int(np.searchsorted(starts, place + MATCH_BYTES - 1, "right")) - 1
+            for k in range(lo, hi):
+                windows.update(((k, k + 1), (k - 1, k + 1), (k, k + 2)))
+        for i, j in windows:
+            if 0 <= i and j < len(rows) and rows[i] == rows[j]:
+                window = text[starts[i] : ends[j]].tobytes()
+                gain = self.known.get(window)
+                if gain is None:
+                    gain = self.known[window] = self.of_word(window)
+                out[rows[i]] = max(out[rows[i]], gain)
 
 
 class Model(NamedTuple):

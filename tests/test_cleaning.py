@@ -1,6 +1,6 @@
 import duckdb
 import pytest
-from conftest import DATA
+from paths import DATA
 from pyspark.sql import functions as F
 
 import oracles

@@ -3,7 +3,7 @@ import sys
 import numpy as np
 import plain
 import pytest
-from conftest import DATA
+from paths import DATA
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 

@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import DATA
+from paths import DATA
 
 import __spark_entry__ as entry
 

@@ -4,7 +4,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
-from conftest import DATA
+from paths import DATA
 from pyspark.sql import functions as F
 
 import oracles

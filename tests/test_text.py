@@ -1,7 +1,7 @@
 import hashlib
 
 import duckdb
-from conftest import DATA
+from paths import DATA
 from pyspark.sql import functions as F
 
 import oracles

@@ -163,6 +163,74 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed
 """
 
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+OP13 = f"""
+WITH RECURSIVE table_rows AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(
+    list_prepend(n::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+keyed AS (
+  SELECT *, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'),
+      lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295)::BIGINT AS key_crc
+  FROM documents, table_rows),
+leaves AS (
+  SELECT doc_id, lang, {_LEAF.format("text")} AS leaf,
+    CASE WHEN key_crc % 3 = 0 THEN {_LEAF.format(_LOWER.format("text"))} END AS changed
+  FROM keyed),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, changed NULLS FIRST) - 1 AS k,
+         count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes AS (
+  SELECT lang, 0 AS level, k, n, leaf AS digest FROM ranked
+  UNION ALL
+  SELECT lang, level + 1, k // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY k))
+  FROM nodes WHERE n > 1 GROUP BY lang, level, n, k // 8),
+subroots AS (
+  SELECT lang, level AS height, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p,
+         count(*) OVER () AS parts
+  FROM nodes WHERE n = 1),
+top_nodes AS (
+  SELECT 0 AS level, p AS k, parts AS n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, k // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY k))
+  FROM top_nodes WHERE n > 1 GROUP BY level, n, k // 8),
+steps AS (
+  SELECT r.lang, r.k AS leaf_k, l.level,
+    coalesce(string_agg(s.digest, '' ORDER BY s.k) FILTER (s.k < l.k), '') AS before,
+    coalesce(string_agg(s.digest, '' ORDER BY s.k) FILTER (s.k > l.k), '') AS after
+  FROM ranked r
+  JOIN nodes l ON l.lang IS NOT DISTINCT FROM r.lang AND l.n > 1 AND l.k = r.k // (8 ** l.level)::BIGINT
+  JOIN nodes s ON s.lang IS NOT DISTINCT FROM r.lang AND s.level = l.level AND s.k // 8 = l.k // 8
+  GROUP BY ALL),
+top_steps AS (
+  SELECT r.lang, l.level,
+    coalesce(string_agg(s.digest, '' ORDER BY s.k) FILTER (s.k < l.k), '') AS before,
+    coalesce(string_agg(s.digest, '' ORDER BY s.k) FILTER (s.k > l.k), '') AS after
+  FROM subroots r
+  JOIN top_nodes l ON l.n > 1 AND l.k = r.p // (8 ** l.level)::BIGINT
+  JOIN top_nodes s ON s.level = l.level AND s.k // 8 = l.k // 8
+  GROUP BY ALL),
+lists AS (
+  SELECT lang, leaf_k, list({{'a': before, 'h': '', 'b': after}} ORDER BY level) AS way FROM steps GROUP BY ALL),
+top_lists AS (
+  SELECT lang, list({{'a': before, 'h': '', 'b': after}} ORDER BY level) AS top_way FROM top_steps GROUP BY ALL),
+joined AS (
+  SELECT r.doc_id, r.leaf, r.changed, s.subroot, (SELECT digest FROM top_nodes WHERE n = 1) AS root,
+         list_concat(coalesce(way, []), coalesce(top_way, [])) AS way
+  FROM ranked r JOIN subroots s ON s.lang IS NOT DISTINCT FROM r.lang
+  LEFT JOIN lists l ON l.lang IS NOT DISTINCT FROM r.lang AND l.leaf_k = r.k
+  LEFT JOIN top_lists t ON t.lang IS NOT DISTINCT FROM r.lang),
+folds AS (
+  SELECT *, sha256(array_to_string(list_transform(way, lambda w: w.a || w.b), '')) AS proof_sha256,
+    (list_reduce(list_prepend({{'a': '', 'h': coalesce(changed, leaf), 'b': ''}}, way),
+      lambda x, w: {{'a': '', 'h': sha256(w.a || x.h || w.b), 'b': ''}})).h AS folded_root
+  FROM joined)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folds
+"""
+
 ORACLE_SQL = {
     "op1_decontamination": OP1,
     "op3_near_duplicates": OP3,
@@ -171,4 +239,5 @@ ORACLE_SQL = {
     "op6_quality_cascade": OP6,
     "op8_byte_shards": OP8,
     "op9_url_filter": OP9,
+    "op13_merkle_manifest": OP13,
 }

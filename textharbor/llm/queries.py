@@ -1,6 +1,6 @@
 """Registered queries of the operators over whole tables, and the SQL they are checked against."""
 
-from textharbor.llm import decontamination, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity, url_rules, warc
+from textharbor.llm import decontamination, manifest, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity, url_rules, warc
 from textharbor.llm.oracles import ORACLE_SQL  # noqa: F401
 
 URL_RULES = (
@@ -57,10 +57,14 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.repeat_report(table(spark, sf_dir, "documents"), length=50)
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    return manifest.tamper_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_decontamination, op2_toxicity, op3_near_duplicates, op4_source_mixing, op5_warc_normaliser,
-        op6_quality_cascade, op7_secret_scan, op8_byte_shards, op9_url_filter, op10_substring_dedup,
+        op6_quality_cascade, op7_secret_scan, op8_byte_shards, op9_url_filter, op10_substring_dedup, op13_merkle_manifest,
     )
 }

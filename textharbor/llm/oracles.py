@@ -163,6 +163,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed
 """
 
+#: Main text as the given pages are laid out: one article element, of a heading and paragraphs.
+OP11 = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
+blocks AS (
+  SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda b:
+    regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g')) AS raw
+  FROM articles),
+decoded AS (
+  SELECT page_id, url, list_transform(raw, lambda b: trim(regexp_replace(
+    regexp_replace(regexp_replace(replace(replace(b, '&copy;', '©'), '&middot;', '·'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
+    '[\s\x1c-\x1f\x85\p{Z}]+', ' ', 'g'))) AS texts
+  FROM blocks),
+joined AS (
+  SELECT page_id, url, array_to_string(list_filter(texts, lambda t: t <> ''), chr(10) || chr(10)) AS text FROM decoded)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM joined
+"""
+
+OP12 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w
+  FROM documents),
+whole AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM docs),
+sized AS (SELECT r, doc_id, w, 50 + (50 * len(w) * n_docs) // n_terms AS m FROM docs, whole WHERE len(w) > 0),
+postings AS (SELECT r, doc_id, m, term, count(*) AS tf FROM (SELECT r, doc_id, m, unnest(w) AS term FROM sized) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+  FROM postings, whole GROUP BY term, n_docs),
+items AS (SELECT row_number() OVER () AS i, item_id, {_LOWER.format("coalesce(text, '')")} AS body FROM benchmark),
+wanted AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(body, '{_WORD}')) AS term FROM items),
+scored AS (
+  SELECT i, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN postings USING (term) GROUP BY i, item_id, r, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 _FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
 
@@ -239,5 +278,7 @@ ORACLE_SQL = {
     "op6_quality_cascade": OP6,
     "op8_byte_shards": OP8,
     "op9_url_filter": OP9,
+    "op11_html_extract": OP11,
+    "op12_ranked_search": OP12,
     "op13_merkle_manifest": OP13,
 }

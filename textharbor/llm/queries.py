@@ -1,6 +1,9 @@
 """Registered queries of the operators over whole tables, and the SQL they are checked against."""
 
-from textharbor.llm import decontamination, manifest, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity, url_rules, warc
+from textharbor.llm import (
+    decontamination, html_extract, manifest, mixing, near_dedup, quality, ranked_search, secrets, sharding,
+    substring_dedup, toxicity, url_rules, warc,
+)
 from textharbor.llm.oracles import ORACLE_SQL  # noqa: F401
 
 URL_RULES = (
@@ -57,6 +60,15 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.repeat_report(table(spark, sf_dir, "documents"), length=50)
 
 
+def op11_html_extract(spark, sf_dir):
+    return html_extract.extraction_report(table(spark, sf_dir, "pages"))
+
+
+def op12_ranked_search(spark, sf_dir):
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_merkle_manifest(spark, sf_dir):
     return manifest.tamper_report(table(spark, sf_dir, "documents"))
 
@@ -65,6 +77,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_decontamination, op2_toxicity, op3_near_duplicates, op4_source_mixing, op5_warc_normaliser,
-        op6_quality_cascade, op7_secret_scan, op8_byte_shards, op9_url_filter, op10_substring_dedup, op13_merkle_manifest,
+        op6_quality_cascade, op7_secret_scan, op8_byte_shards, op9_url_filter, op10_substring_dedup, op11_html_extract,
+        op12_ranked_search, op13_merkle_manifest,
     )
 }

@@ -69,7 +69,7 @@ def likelihood(weights, moves, starts, chains):
     return value, by_weight, seen - pair.sum(axis=(0, 1)), first - share[:, 0].sum(axis=0)
 
 
-def fit(chains, labels, features, rounds=150, rate=0.2, decay=1.0):
+def fit(chains, labels, features, rounds=300, rate=0.3, decay=0.02):
     """Weights, transitions and starts that make the labels likely, with a penalty of ``decay`` / 2 times their squares.
 
     Chains are not empty. Steps are those of Adam; all is deterministic.

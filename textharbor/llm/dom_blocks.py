@@ -163,9 +163,9 @@ class _Page:
         if not text:
             return
         linked = sum(len(raw) for raw, in_link in parts if in_link)
-        at = self.leaf
+        at, leaf = self.leaf, self._leaf_tag()
         features = [
-            *at.names, f"part={at.part}", f"leaf={self._leaf_tag()}", *[f"near={w}" for w in at.words],
+            *at.names, f"part={at.part}", f"leaf={leaf}", f"spot={at.part}/{leaf}", *[f"near={w}" for w in at.words],
             *_shape(text, min(linked, len(text))),
         ]
         self.blocks.append(Block(text, tuple(features), at.label))

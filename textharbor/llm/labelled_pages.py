@@ -130,7 +130,8 @@ class _Writer:
     def form(self):
         rng = self.rng
         rows = "".join(rng.choice((
-            f"<label>{rng.choice(LABELS)}</label><input name=q>", f"<p>{_sentences(rng, 1)}</p>", "<select><option>A<option>B</select>",
+            f"<label>{rng.choice(LABELS)}</label><input name=q>", f"<p>{_sentences(rng, rng.randint(1, 3))}</p>",
+            f"{_sentences(rng, 2)}", f"<div>{_sentences(rng, 1)}</div>", "<select><option>A<option>B</select>",
             "<textarea>Your text</textarea>", f"<fieldset><legend>{_words(rng, 1)[0]}</legend>{_sentences(rng, 1)}</fieldset>",
         )) for _ in range(rng.randint(1, 3)))
         return f"<form{self.name('form')}{_mark(False)}>{rows}<button>{rng.choice(LABELS)}</button></form>"
@@ -155,6 +156,8 @@ class _Writer:
     def paragraph(self):
         rng = self.rng
         text = _sentences(rng, rng.choice((1, 1, 2, 4, 8)))
+        if rng.random() < 0.12:  # an article may say what furniture says, or a single word
+            text = rng.choice((*NOTICES, "All rights reserved.", rng.choice(LABELS), *_words(rng, 4)))
         kind = rng.random()
         if kind < 0.55:
             return f"<p>{text}</p>"
@@ -182,8 +185,8 @@ class _Writer:
         if rng.random() < 0.15:
             title = f"<header>{title}</header>"
         parts = [self.paragraph() for _ in range(rng.choice((0, 1, 2, 3, 5, 8, 14, 25)))]
-        inner = [self.ad, self.share, self.side, self.notice, self.form, self.comments, self.footer]
-        for make in rng.sample(inner, rng.choice((0, 0, 0, 1, 2))):
+        inner = [self.ad, self.share, self.side, self.notice, self.form, self.form, self.comments, self.footer]
+        for make in rng.sample(inner, rng.choice((0, 0, 1, 2, 4))):
             # without names only comments and footers behind the text can be told
             parts.insert(rng.randint(0, len(parts)) if make not in (self.comments, self.footer) else len(parts), make())
         inside = (title if rng.random() < 0.85 or not parts else "") + "".join(parts)
@@ -207,6 +210,9 @@ class _Writer:
 
     def page(self):
         rng = self.rng
+        if rng.random() < 0.05:  # an article and nothing else, a whole page or a mere fragment
+            inside = "".join(self.paragraph() for _ in range(rng.randint(1, 6)))
+            return rng.choice(("<html><body{}>{}</body></html>", "<div{}>{}</div>", "<article{}>{}</article>")).format(_mark(True), inside)
         before = [make() for make in (self.notice, self.header, self.menu, self.ad, self.form, self.side) if rng.random() < 0.4]
         after = [make() for make in (self.share, self.comments, self.side, self.ad, self.menu, self.notice, self.form) if rng.random() < 0.25]
         if rng.random() < 0.8:

@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from textharbor.llm import ranked_search
@@ -93,10 +95,23 @@ def test_strata_hold_one_normaliser(spark, documents, monkeypatch):
     assert all(len({length[k] for k in b["keys"]}) == 1 for b in blocks)
 
 
-def test_blocks_out_of_reach_are_not_scored(spark, documents, monkeypatch):
-    """With a full list of hits, a block whose bound is lower is left alone."""
-    items = ranked_search.Items([{"number": 0, "terms": [1]}])
-    items.weigh({1: 1}, 10)
-    best = ranked_search._Best(items, 1, {})
-    best.add(0, ranked_search.np.array([5.0, 7.0]), [1, 2])
-    assert best.least[0] == 7 and best.hits[0] == [(7.0, 2)]
+def test_bounds_hold(spark, documents):
+    """No document scores more than the bound of its block, and a full list of hits raises what is asked of others."""
+    rng = random.Random(4)
+    index = ranked_search.build_index(documents(corpus(rng, 120)))
+    blocks = index.blocks.collect()
+    hashed = {t: ranked_search._terms(pa.array([t]))[0][0].as_py()[0] for t in ("the", "of", "w1", "w2", "w3")}
+    items = ranked_search.Items([{"number": i, "terms": list(hashed.values())[: i + 1]} for i in range(5)])
+    counts = Counter()
+    for b in blocks:
+        starts = np.frombuffer(b["starts"], np.uint32)
+        counts.update(dict(zip(np.frombuffer(b["terms"], np.int64).tolist(), np.diff(starts).tolist())))
+    items.weigh(counts, index.documents)
+    best = ranked_search._Best(items, 3, {})
+    for row in blocks:
+        block = ranked_search._Block(row.asDict(), items)
+        for item, places in enumerate(items.places):
+            scores = block.scores(places, items.weights)
+            assert scores.max(initial=0) <= block.bounds[item]
+            best.add(item, scores, row["keys"])
+    assert all(least == hits[-1][0] for least, hits in zip(best.least, best.hits) if len(hits) == 3)

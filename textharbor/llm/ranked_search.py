@@ -27,12 +27,14 @@ from textharbor.llm import common
 from textharbor.session import write_and_read
 
 #: A block has at most so many documents, and postings of about so many terms.
-BLOCK_DOCS = 4096
-BLOCK_TERMS = 1 << 20
+BLOCK_DOCS = 1024
+BLOCK_TERMS = 1 << 18
 #: Distinct terms of items searched for at once, of which every task holds a table (about 100 bytes each).
 QUERY_TERMS = 200_000
 #: Blocks scored first for each item.
 SEEDS = 2
+#: Bytes of postings that a task opens at once.
+OPEN_BYTES = 8 << 20
 
 _LOWER = common.lowered_table()
 #: Terms: anything but ASCII characters that are neither letters nor digits.
@@ -241,7 +243,7 @@ class _Block:
         if self.impacts is None:
             runs = np.frombuffer(self.row["run_starts"], np.uint32)
             tfs, back = np.unique(np.frombuffer(self.row["run_tfs"], np.uint32), return_inverse=True)
-            self.impacts = np.repeat(_impact(tfs, self.m)[back], np.diff(runs.astype(np.int64))).astype(np.float64)
+            self.impacts = np.repeat(_impact(tfs, self.m).astype(np.int32)[back], np.diff(runs.astype(np.int64)))
             self.starts = np.frombuffer(self.row["starts"], np.uint32).astype(np.int64)
             self.places = np.frombuffer(self.row["places"], np.uint16)
         places = places[self.there[places]]
@@ -253,6 +255,18 @@ class _Block:
         return np.bincount(self.places[postings], added, minlength=self.row["docs"])
 
 
+def _opened(batch, items):
+    """The blocks of a batch, a few at a time."""
+    found, size = [], 0
+    for i in range(batch.num_rows):
+        row = batch.slice(i, 1).to_pylist()[0]
+        found.append(_Block(row, items))
+        size += len(row["places"])
+        if size >= OPEN_BYTES or i == batch.num_rows - 1:
+            yield found
+            found, size = [], 0
+
+
 class _Best:
     """The best ``k`` hits of each item so far, and the score that a further hit has to reach."""
 
@@ -305,7 +319,8 @@ def _seeds(blocks, shared):
         items = shared.value
         best = [[] for _ in items.numbers]
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 bounds = _Block(row, items).bounds
                 for i in np.flatnonzero(bounds).tolist():
                     best[i] = sorted([*best[i], (-int(bounds[i]), row["block"])])[:SEEDS]
@@ -328,13 +343,13 @@ def _hits(blocks, shared, k, least):
         key_type = pa.null()
         for batch in batches:
             key_type = batch.schema.field("keys").type.value_type
-            found = [_Block(row, items) for row in batch.to_pylist()]
-            bounds = np.array([b.bounds for b in found])
-            for item, places in enumerate(items.places):
-                for j in np.argsort(-bounds[:, item], kind="stable").tolist():
-                    if bounds[j, item] < best.least[item]:
-                        break
-                    best.add(item, found[j].scores(places, items.weights), found[j].row["keys"])
+            for found in _opened(batch, items):
+                bounds = np.array([b.bounds for b in found])
+                for item, places in enumerate(items.places):
+                    for j in np.argsort(-bounds[:, item], kind="stable").tolist():
+                        if bounds[j, item] < best.least[item]:
+                            break
+                        best.add(item, found[j].scores(places, items.weights), found[j].row["keys"])
         rows = [(n, int(s), key) for n, hits in zip(items.numbers, best.hits) for s, key in hits]
         if rows:
             columns = list(zip(*rows))

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from textharbor.llm import toxicity
 
@@ -85,3 +86,42 @@ def test_a_phrase_of_ordinary_words():
 
 def test_chances_never_fall():
     assert toxicity._rising([0.1, 0.5, 0.2, 0.9], [1, 1, 1, 1]) == [0.1, 0.35, 0.35, 0.9]
+
+
+def test_searched_windows_are_all_that_gain():
+    """The largest gain against every word of a text compressed, with its signs and without."""
+    rng = random.Random(5)
+    rows = corpus(6)
+    model = toxicity.fit([t for _, t, x in rows if x], [t for _, t, x in rows if not x], 0.25)
+    gains = toxicity.Gains(model.dictionaries)
+    texts = [t for _, t, _ in rows[:150]] + ["", "x" * 300, "The MORON.", "scum!!", "é" * 40 + "moron", "a b c", "...", "x" * 40 + "pathetic" + "y" * 40]
+    texts += [" ".join(rng.choice(["(", ""]) + w + rng.choice(["", "!!", ","]) for w in t.split()) for t in texts[:60]]
+
+    def plainly(text):
+        lower = text.encode().translate(bytes(toxicity._LOWER))
+        words = lower.split() + lower.translate(toxicity._FOLDED).split()
+        return max(map(gains.of_word, words), default=0)
+
+    got = gains_of(model, *texts).tolist()
+    assert got == [plainly(t) for t in texts]
+    assert sum(g > 0 for g in got) > 40
+
+
+def test_a_very_long_text(spark, documents):
+    rows = corpus(1)
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    clean = " ".join(t for _, t, x in rows if not x)
+    long = clean * (3_000_000 // len(clean) + 1)
+    got = toxicity.toxicity_report(documents([r[:2] for r in rows] + [(7000, long), (7001, long + " worthless")]), labels).collect()
+    by_key = {r.doc_id: r.predicted for r in got}
+    assert (by_key[7000], by_key[7001]) == (0, 1)
+
+
+def test_learning_takes_bounded_texts(monkeypatch):
+    monkeypatch.setattr(toxicity, "CLASS_BYTES", 1000)
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary, share: seen.update(t=toxic, o=ordinary, s=share) or toxicity.Model(toxicity.Dictionaries(b"", b"", b""), (0.0,)))
+    batch = pa.RecordBatch.from_pydict({"label": [0] * 20 + [1] * 3, "text": ["x" * 99] * 23, "share": [0.25] * 23})
+    (model,) = toxicity._fit_in_task([batch])
+    assert (len(seen["o"]), len(seen["t"]), seen["s"]) == (10, 3, 0.25)
+    assert model.to_pylist() == [{"ordinary": b"", "toxic": b"", "context": b"", "chances": [0.0]}]

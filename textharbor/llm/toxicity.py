@@ -7,7 +7,10 @@ windows too, and so are two and three such words together wherever the telling p
 that spans the space between them; other windows of several words cannot gain more than their words. A text scores by its largest gain,
 turned into a probability by calibration on labelled texts that no dictionary was trained on.
 
-The toxic dictionary is trained on the parts of toxic texts that set them apart: stretches covered by byte n-grams
+Only bytes that stand in the telling part can make the lengths differ, and the shortest match has ``MATCH_BYTES``. So all
+windows are searched for such bytes at once, and those without any have no gain.
+
+The toxic dictionary is made of the parts of toxic texts that set them apart: stretches covered by byte n-grams
 found in a far larger share of toxic texts than of ordinary ones, and runs of two or three words that stand out alike.
 """
 
@@ -24,9 +27,10 @@ from pyspark.sql import types as T
 
 from textharbor.llm import common
 
-#: Labelled texts to learn from, of each class, and the bytes up to which a text is used for learning.
+#: Labelled texts to learn from, of each class; the bytes up to which a text is used, and those of a class in all.
 TRAIN_TEXTS = {0: 3000, 1: 1500}
 TRAIN_BYTES = 32 << 10
+CLASS_BYTES = 8 << 20
 
 GRAM = 5  # bytes of the n-grams that tell toxic text apart
 WINDOW_BYTES = 64  # a longer word is cut into windows that overlap by half
@@ -34,9 +38,10 @@ MATCH_BYTES = 6  # shorter matches are noise: any syllable has them
 SHORT_BYTES = MATCH_BYTES - 2  # with its spaces such a word is hardly a match: it is looked at twice in a row
 APART = b"\xff"  # between parts of the toxic dictionary, never in UTF-8: no match spans two parts
 ORDINARY_BYTES = 8192
-TOXIC_BYTES = 4096
+TOXIC_BYTES = 16384  # of telling parts; the rarest beyond are left out
 CONTEXT_BYTES = 40  # ordinary text behind each window: zstandard looks for no match in the last bytes of its input
 CACHE_WORDS = 1 << 20  # gains a task remembers
+_GATE_BITS = 20
 
 _LOWER = common.lowered_table()
 _SPACE = common.byte_table(common.SPACE_BYTES)
@@ -65,25 +70,34 @@ def _grams(text):
     return numbers[inner], np.flatnonzero(inner)
 
 
-def _document_counts(texts):
-    """Distinct n-grams of texts, and in how many texts each is."""
-    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for at in range(0, len(texts), 500):
-        found = [grams, *[np.unique(_grams(t)[0]) for t in texts[at : at + 500]]]
-        weights = np.concatenate([counts, np.ones(sum(map(len, found[1:])), np.int64)])
-        grams, back = np.unique(np.concatenate(found), return_inverse=True)
-        counts = np.bincount(back, weights).astype(np.int64)
-    return grams, counts
+def _document_counts(texts, keys, at_once=1 << 20):
+    """Distinct keys of texts, and in how many texts each is; about ``at_once`` bytes of text at a time."""
+    known, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found, size = [], 0
+    for i, text in enumerate(texts):
+        found.append(np.unique(keys(text)))
+        size += len(text)
+        if size >= at_once or i == len(texts) - 1:
+            weights = np.concatenate([counts, np.ones(sum(map(len, found)), np.int64)])
+            known, back = np.unique(np.concatenate([known, *found]), return_inverse=True)
+            counts = np.bincount(back, weights).astype(np.int64)
+            found, size = [], 0
+    return known, counts
 
 
 def telling_grams(toxic, ordinary, ratio=10.0, deviations=4.0):
     """N-grams in at least three (and one in 250) toxic texts whose share there stands out against ordinary ones."""
-    grams, n = _document_counts(toxic)
-    other, m = _document_counts(ordinary)
-    at = np.minimum(np.searchsorted(other, grams), max(len(other) - 1, 0))
-    there = (other[at] == grams) if len(other) else np.zeros(len(grams), bool)
-    m = np.where(there, m[at] if len(m) else 0, 0)
-    return grams[_stand_out(n, m, toxic, ordinary, ratio, deviations)]
+    return _telling(toxic, ordinary, lambda t: _grams(t)[0], ratio, deviations)
+
+
+def _telling(toxic, ordinary, keys, ratio, deviations):
+    found, n = _document_counts(toxic, keys)
+    often = n >= max(3, len(toxic) // 250)
+    found, n = found[often], n[often]
+    m = np.zeros(len(found), np.int64)
+    for text in ordinary if len(found) else ():
+        m += np.isin(found, keys(text))
+    return found[_stand_out(n, m, toxic, ordinary, ratio, deviations)]
 
 
 def _stand_out(n, m, toxic, ordinary, ratio=10.0, deviations=4.0):
@@ -109,18 +123,7 @@ def telling_phrases(toxic, ordinary, words, grams, deviations=6.0):
     Runs are far more than n-grams, so more stand out by chance: they have to by more deviations. Runs that hold a word
     with telling ``grams`` are left to that word.
     """
-    hashes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for at in range(0, len(toxic), 100):
-        found = [hashes, *[np.unique(_runs(t, words)[0]) for t in toxic[at : at + 100]]]
-        weights = np.concatenate([n, np.ones(sum(map(len, found[1:])), np.int64)])
-        hashes, back = np.unique(np.concatenate(found), return_inverse=True)
-        n = np.bincount(back, weights).astype(np.int64)
-    common_ = n >= max(3, len(toxic) // 250)
-    hashes, n = hashes[common_], n[common_]
-    m = np.zeros(len(hashes), np.int64)
-    for text in ordinary if len(hashes) else []:
-        m += np.isin(hashes, _runs(text, words)[0])
-    hashes = hashes[_stand_out(n, m, toxic, ordinary, deviations=deviations)]
+    hashes = _telling(toxic, ordinary, lambda t: _runs(t, words)[0], 10.0, deviations)
     out = []
     for text in toxic if len(hashes) else []:
         found, starts, ends = _runs(text, words)
@@ -146,7 +149,11 @@ def twice(part):
 
 
 def trained(samples, size):
-    """A zstandard dictionary of at most ``size`` bytes; the samples themselves where they are too few to train on."""
+    """A zstandard dictionary of at most ``size`` bytes.
+
+    The samples themselves where they are no longer than that, and the end of them where zstandard reports that it cannot
+    train on them: it needs some that repeat each other.
+    """
     joined = b"".join(samples)
     if len(joined) <= size:
         return joined
@@ -199,6 +206,33 @@ def learn_dictionaries(toxic, ordinary):
     return Dictionaries(base, telling + base, base[-CONTEXT_BYTES:])
 
 
+def _codes(data):
+    """Numbers of all runs of ``MATCH_BYTES`` bytes, and which of them hold a space between other bytes."""
+    size = max(0, len(data) - MATCH_BYTES + 1)
+    codes, spans = np.zeros(size, np.int64), np.zeros(size, bool)
+    for i in range(MATCH_BYTES):
+        part = data[i : i + size]
+        codes |= part.astype(np.int64) << (8 * i)
+        if 0 < i < MATCH_BYTES - 1:
+            spans |= part == 32
+    return codes, spans
+
+
+class _Spaced:
+    """Words of a piece of texts with one space before each and behind the last."""
+
+    def __init__(self, letters, starts, ends, rows):
+        lengths = ends - starts
+        self.text = np.full(len(letters) + len(lengths) + 1, 32, np.uint8)
+        self.text[np.arange(len(letters)) + np.repeat(np.arange(1, len(lengths) + 1), lengths)] = letters
+        self.ends = np.cumsum(lengths + 1)
+        self.starts = self.ends - lengths
+        self.rows = rows
+
+    def word(self, first, last):
+        return self.text[self.starts[first] : self.ends[last]].tobytes()
+
+
 class Gains:
     """Gains of words, remembered within a task."""
 
@@ -208,20 +242,13 @@ class Gains:
         self.toxic = self._compressor(dictionaries.toxic)
         self.known = {}
         telling = np.frombuffer(dictionaries.toxic[: len(dictionaries.toxic) - len(dictionaries.ordinary)], np.uint8)
-        codes, spans = self._spanning(telling)
-        self.spanning = np.unique(codes[spans])
+        self.codes = np.unique(_codes(telling)[0])
+        self.gate = np.zeros(1 << _GATE_BITS, bool)
+        self.gate[self._address(self.codes)] = True
 
     @staticmethod
-    def _spanning(data):
-        """Numbers of all runs of ``MATCH_BYTES`` bytes, and which of them hold a space between other bytes."""
-        size = max(0, len(data) - MATCH_BYTES + 1)
-        codes, spans = np.zeros(size, np.int64), np.zeros(size, bool)
-        for i in range(MATCH_BYTES):
-            part = data[i : i + size]
-            codes |= part.astype(np.int64) << (8 * i)
-            if 0 < i < MATCH_BYTES - 1:
-                spans |= part == 32
-        return codes, spans
+    def _address(codes):
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _GATE_BITS)
 
     @staticmethod
     def _compressor(content):
@@ -244,56 +271,64 @@ class Gains:
 
     def largest(self, data, offsets):
         """The largest gain of each row of a piece; 0 for rows without words."""
-        lower = _LOWER[data]
         out = np.zeros(len(offsets) - 1, np.int64)
+        if not len(self.codes):
+            return out
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        self._words(lower, *common.word_bounds(~_SPACE[lower], offsets), out)
-        bare = ~_SIGN[lower]
-        bounds = common.word_bounds(bare, offsets)
-        self._words(lower, *bounds, out)
-        if len(self.spanning) and len(bounds[0]):
-            self._phrases(lower[bare], *bounds, out)
+        lower = _LOWER[data]
+        for apart in (_SPACE, _SIGN):
+            letters = ~apart[lower]
+            words = _Spaced(lower[letters], *common.word_bounds(letters, offsets))
+            if not len(words.rows):
+                continue
+            codes, spans = _codes(words.text)
+            places = self._telling(codes, np.arange(len(codes)))
+            self._words(words, places[~spans[places]], out)
+            if apart is _SIGN:
+                self._phrases(words, places[spans[places]], out)
         return out
 
-    def _words(self, lower, starts, ends, rows, out):
-        if not len(starts):
-            return
-        hashes = common.span_hashes(common.prefix_hashes(lower), starts, ends)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        gains = np.empty(len(distinct), np.int64)
-        text, known = lower.tobytes(), self.known
-        for i, (h, s, e) in enumerate(zip(distinct.tolist(), starts[first].tolist(), ends[first].tolist())):
-            gain = known.get(h)
-            if gain is None:
-                gain = known[h] = self.of_word(text[s:e])
-            gains[i] = gain
-        np.maximum.at(out, rows, gains[back])
-
-    def _phrases(self, letters, starts, ends, rows, out):
+    def _telling(self, codes, places):
+        """Those of the places whose code is in the telling part."""
+        some = self.gate[self._address(codes)]
+        codes, places = codes[some], places[some]
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return places[self.codes[at] == codes]
+
+    def _words(self, words, places, out):
+        """Words with telling bytes in them, and those of two or three bytes that have some when looked at twice."""
+        k = np.searchsorted(words.starts, places + 1, "right") - 1
+        found = [k[places + MATCH_BYTES <= words.ends[k] + 1]]
+        for size in (2, 3):
+            short = np.flatnonzero(words.ends - words.starts == size)
+            double = np.full((2 * size + 2, len(short)), 32, np.uint8)
+            for i in range(size):
+                double[1 + i] = double[2 + size + i] = words.text[words.starts[short] + i]
+            codes = sum(double[i].astype(np.int64) << (8 * i) for i in range(MATCH_BYTES))
+            found.append(self._telling(codes, short))
+        for k in np.unique(np.concatenate(found)).tolist():
+            self._take(words, k, k, out)
+
+    def _phrases(self, words, places, out):
         """Two and three words around each space that a match in the telling part spans."""
-        lengths = ends - starts
-        text = np.full(len(letters) + len(lengths) + 1, 32, np.uint8)
-        text[np.arange(len(letters)) + np.repeat(np.arange(1, len(lengths) + 1), lengths)] = letters
-        ends = np.cumsum(lengths + 1)
-        starts = ends - lengths
-        codes, spans = self._spanning(text)
-        places = np.flatnonzero(spans)
-        at = np.minimum(np.searchsorted(self.spanning, codes[places]), len(self.spanning) - 1)
-        places = places[self.spanning[at] == codes[places]]
         windows = set()
         for place in places.tolist():
-            lo = int(np.searchsorted(ends, place))  # the word that ends behind this byte, or the one before this space
-            hi = int(np.searchsorted(starts, place + MATCH_BYTES - 1, "right")) - 1
+            lo = int(np.searchsorted(words.ends, place))  # the word that ends behind this byte, or the one before this space
+            hi = int(np.searchsorted(words.starts, place + MATCH_BYTES - 1, "right")) - 1
             for k in range(lo, hi):
                 windows.update(((k, k + 1), (k - 1, k + 1), (k, k + 2)))
         for i, j in windows:
-            if 0 <= i and j < len(rows) and rows[i] == rows[j]:
-                window = text[starts[i] : ends[j]].tobytes()
-                gain = self.known.get(window)
-                if gain is None:
-                    gain = self.known[window] = self.of_word(window)
-                out[rows[i]] = max(out[rows[i]], gain)
+            if 0 <= i and j < len(words.rows) and words.rows[i] == words.rows[j]:
+                self._take(words, i, j, out)
+
+    def _take(self, words, first, last, out):
+        window = words.word(first, last)
+        gain = self.known.get(window)
+        if gain is None:
+            gain = self.known[window] = self.of_word(window)
+        row = words.rows[first]
+        out[row] = max(out[row], gain)
 
 
 class Model(NamedTuple):
@@ -339,11 +374,27 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _fit_in_task(batches):
+    """One row, the model, from all rows (label, text, share)."""
+    texts, left, share = {0: [], 1: []}, {0: CLASS_BYTES, 1: CLASS_BYTES}, 0.0
+    for batch in batches:
+        for label, text, share in zip(*[column.to_pylist() for column in batch.columns]):
+            left[label] -= len(text.encode("utf-8", "replace"))
+            if left[label] >= 0:
+                texts[label].append(text)
+    model = fit(texts[1], texts[0], share)
+    columns = [pa.array([content], pa.binary()) for content in model.dictionaries]
+    columns.append(pa.array([list(model.chances)], pa.list_(pa.float64())))
+    yield pa.RecordBatch.from_arrays(columns, names=[*Dictionaries._fields, "chances"])
+
+
 def learn(df, labels, key="doc_id", text="text", label="toxic", learnable=lambda key: ~held_out(key)):
-    """A model learnt from a bounded sample of labelled rows: at most ``TRAIN_TEXTS`` of each class, by hash of the key.
+    """A model learnt from a bounded sample of labelled rows, in one task that gives back the model alone.
 
-    Labels other than 0 and 1, null keys and rows that are not ``learnable`` are left out, and texts of more than
-    ``TRAIN_BYTES``. The sample's keys are broadcast (their number is the bound), the texts come from one scan.
+    Of each class at most ``TRAIN_TEXTS`` keys, by hash of the key, and of their texts at most ``CLASS_BYTES`` bytes, in
+    the order of that hash. Labels other than 0 and 1, null keys and rows that are not ``learnable`` are left out, and
+    texts of more than ``TRAIN_BYTES``. The sample's keys are broadcast (their number is the bound), the texts come from
+    one scan. Without labelled texts every text gets the same low score.
     """
     marked = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label"))
     marked = marked.filter(F.col("key").isNotNull() & F.col("label").isin(0, 1) & learnable(F.col("key")))
@@ -353,27 +404,30 @@ def learn(df, labels, key="doc_id", text="text", label="toxic", learnable=lambda
     sample = F.broadcast(picked[0].unionByName(picked[1]))
     texts = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     texts = texts.filter(F.octet_length("text").between(1, TRAIN_BYTES))
-    rows = texts.join(sample, "key").select("key", "label", "text").collect()
-    rows.sort(key=lambda r: (str(r["key"]), r["text"]))
-    by_class = {c: [r["text"] for r in rows if r["label"] == c] for c in (0, 1)}
-    share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit(by_class[1], by_class[0], share)
+    share = F.lit(counts.get(1, 0) / max(1, sum(counts.values())))
+    rows = texts.join(sample, "key").repartition(1).sortWithinPartitions(*order, "text")
+    schema = "ordinary binary, toxic binary, context binary, chances array<double>"
+    found = rows.select("label", "text", share.alias("share")).mapInArrow(_fit_in_task, schema).first()
+    if found is None:  # no row, no task
+        return fit([], [], 0.0)
+    return Model(Dictionaries(*[bytes(found[c]) for c in Dictionaries._fields]), tuple(found["chances"]))
 
 
 def score(df, model, text="text", keep=None):
     """Rows (row, gain, score) for every row of ``df``: the largest gain of its words, and the chance of label 1.
 
-    Whole texts are looked at. A null or empty text has gain 0. Repeated rows are scored each; columns of any name stay
-    inside ``row``.
+    Whole texts are looked at, of any length; a word of more than ``WINDOW_BYTES`` is cut into windows. A null or empty
+    text has gain 0. Repeated rows are scored each, equal texts alike; columns of any name stay inside ``row``. An empty
+    table gives an empty result.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
     held = []
 
     def run(array):
         if not held:
-            held.append(Gains(shared.value.dictionaries))
-        gain = np.concatenate([held[0].largest(d, o) for _, d, o in common.pieces(array)] or [np.zeros(0, np.int64)])
-        return [pa.array(gain, pa.int64()), pa.array(np.array(shared.value.chances)[np.minimum(gain, 31)], pa.float64())]
+            held.append((Gains(model.dictionaries), np.array(model.chances)))
+        gains, chances = held[0]
+        gain = np.concatenate([gains.largest(d, o) for _, d, o in common.pieces(array)] or [np.zeros(0, np.int64)])
+        return [pa.array(gain, pa.int64()), pa.array(chances[np.minimum(gain, 31)], pa.float64())]
 
     fields = [T.StructField("gain", T.LongType()), T.StructField("score", T.DoubleType())]
     return common.annotate(df, text, run, fields, keep)

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame; the runner
 writes it as Parquet and reads it again for the next stage. All but the last return the columns of ``documents``.
+
+Columns beside doc_id, text and source (and n_chars, which mixing sets) may have any name and are handed on. A null or
+empty text is not toxic, has no near duplicates and no contamination; mixing counts no words in it and leaves it out.
+Rows with equal texts are near duplicates of each other; rows that share a doc_id are one document to that stage, and
+rows with a null doc_id all stay there. An empty table passes every stage.
 """
 
 from pyspark.sql import functions as F
@@ -35,8 +40,15 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def shard(spark, docs, sf_dir):
-    """Documents with their size in bytes, shard and slot."""
-    return sharding.sharded_documents(docs, shards=SHARDS).select("row.*", "size", "shard", "slot")
+    """Documents with their size in bytes, shard and slot; a name that the documents have gets underscores behind it."""
+    placed = sharding.sharded_documents(docs, shards=SHARDS)
+    return placed.select("row.*", *[F.col(c).alias(_free(c, docs.columns)) for c in ("size", "shard", "slot")])
+
+
+def _free(name, taken):
+    while name.lower() in map(str.lower, taken):
+        name += "_"
+    return name
 
 
 STAGES = [

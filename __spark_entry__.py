@@ -270,6 +270,21 @@ def topk_grid(spark, sf_dir):
     return hits.select("query_id", "rank", "vec_id", scores.rounded(F.col("score")).alias("score"))
 
 
+def topk_pruned(spark, sf_dir):
+    """The same from a table written in blocks of near vectors, of which only those are read that may hold a hit."""
+    index = unit_embeddings(spark, sf_dir)
+    hits, _ = th.pruned_topk(embedding_queries(index), th.cluster_vectors(index, "vec_id"), 5, key="vec_id")
+    return hits.select("query_id", "rank", "vec_id", scores.rounded(F.col("score")).alias("score"))
+
+
+def topk_sparse(spark, sf_dir):
+    """Benchmark texts against all documents, hashed to 2**18 buckets, over inverted lists."""
+    encoder = th.SparseHashingEncoder()
+    index = th.build_sparse_index(th.encode_sparse(corpus(spark, sf_dir), "content", encoder))
+    hits = th.sparse_topk(th.encode_sparse(benchmark_queries(spark, sf_dir), "query", encoder), index, 5)
+    return hits.select("query_id", "rank", "doc_id", scores.rounded(F.col("score")).alias("score"))
+
+
 def score_distribution(spark, sf_dir):
     index = unit_embeddings(spark, sf_dir)
     hits = th.exact_topk(embedding_queries(index), spread(index), 10, key="vec_id")
@@ -545,7 +560,8 @@ _QUERIES = (
     strip_html, strip_urls, normalize_whitespace, clean_text, clean_pages, doc_schema, content_hash, drop_empty,
     keywords_extract, keyword_overlap, preview_truncate, list_documents, src_text_corpus, l2_normalize, cosine_scores,
     vector_rejects, rendered_numbers,
-    normalize_score, embed_documents, embed_queries, topk_batch, topk_grid, score_distribution, validate_queries,
+    normalize_score, embed_documents, embed_queries, topk_batch, topk_grid, topk_pruned,
+    topk_sparse, score_distribution, validate_queries,
     expand_queries, search_basic, search_explained, search_length_normalized, search_reranked, search_expanded,
     search_to_json, search_counts, store_scan, store_get, store_by_hash, cache_by_hash, cache_hits, cache_misses,
     cache_hit_ratio, store_upsert, store_delete, store_compact, store_vacuum, store_clear, store_stats,

@@ -57,11 +57,11 @@ _DOCS = f"""docs AS (
     FROM (SELECT *, {_clean('text')} AS content FROM documents) WHERE content <> '')"""
 
 
-def _weights(name, source, key, text):
+def _weights(name, source, key, text, dim=384):
     """Signed feature hashing as rows (key, bucket, weight)."""
     return f"""{name} AS (
     SELECT {key}, bucket, (total / sqrt(sum(total * total) OVER (PARTITION BY {key})))::FLOAT AS weight
-    FROM (SELECT {key}, ('0x' || substr(md5(word), 1, 8))::BIGINT % 384 AS bucket,
+    FROM (SELECT {key}, ('0x' || substr(md5(word), 1, 8))::BIGINT % {dim} AS bucket,
                  sum(1 - 2 * (('0x' || substr(md5(word), 9, 1))::BIGINT % 2))::DOUBLE AS total
           FROM (SELECT {key}, unnest({_words(text)}) AS word FROM {source}) GROUP BY ALL)
     WHERE total <> 0)"""
@@ -119,6 +119,19 @@ hits AS (
 _ASKED = "plain AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
+_SPARSE = f"""WITH {_ASKED}, {_DOCS},
+{_weights('dw', 'docs', 'doc_id', 'content', 1 << 18)},
+{_weights('qw', 'plain', 'query_id', 'query', 1 << 18)},
+dots AS (
+    SELECT query_id, doc_id, sum(qw.weight::DOUBLE * dw.weight::DOUBLE) AS raw
+    FROM qw JOIN dw USING (bucket) GROUP BY ALL),
+ranked AS (
+    SELECT plain.query_id, docs.doc_id, coalesce(raw, 0.0) AS raw, row_number() OVER (PARTITION BY plain.query_id
+               ORDER BY floor(coalesce(raw, 0.0) * 1e7 + 0.5) DESC, docs.doc_id) AS rank
+    FROM plain CROSS JOIN docs LEFT JOIN dots ON dots.query_id = plain.query_id AND dots.doc_id = docs.doc_id)
+SELECT query_id, rank, doc_id, round(raw, 4) AS score FROM ranked WHERE rank <= 5"""
+
+
 def _explained(score, rank="rank"):
     return f"""SELECT query_id, {rank} AS rank, doc_id, round({score}, 4) AS score,
        array_to_string(list_sort(list_intersect(qk, dk)), ' ') AS keywords,
@@ -226,6 +239,8 @@ ORACLE_SQL = {
         SELECT query_id, bucket, round(weight::DOUBLE, 4) AS weight FROM qw""",
     "topk_batch": _TOPK_SQL,
     "topk_grid": _TOPK_SQL,
+    "topk_pruned": _TOPK_SQL,
+    "topk_sparse": _SPARSE,
     "score_distribution": f"""WITH {_topk(10)}
         SELECT query_id, rank, substr(vec_id::VARCHAR, 1, 25) AS label,
                printf('%.1f%%', score * 100) AS share, printf('%.4f', score) AS score FROM best""",

@@ -14,7 +14,14 @@ from textharbor.functions import cleaning, scores, text, vectors  # noqa: E402
 from textharbor.operators.encode import HashingEncoder, encode, nonzero_weights  # noqa: E402
 from textharbor.operators.expand import expand_queries  # noqa: E402
 from textharbor.operators.lookup import label_hits, lookup_by_hash  # noqa: E402
+from textharbor.operators.pruned import cluster_vectors, pruned_topk  # noqa: E402
 from textharbor.operators.search import describe_documents, search, validate_queries  # noqa: E402
+from textharbor.operators.sparse import (  # noqa: E402
+    SparseHashingEncoder,
+    build_sparse_index,
+    encode_sparse,
+    sparse_topk,
+)
 from textharbor.operators.topk import exact_topk  # noqa: E402
 from textharbor.plans.indexing import incremental_embed, index_job  # noqa: E402
 from textharbor.plans.reports import engine_stats, index_integrity, list_documents  # noqa: E402
@@ -40,13 +47,17 @@ from textharbor.streaming.indexer import stream_index  # noqa: E402
 __all__ = [
     "EmbeddingStore",
     "HashingEncoder",
+    "SparseHashingEncoder",
     "append_vectors",
     "as_documents",
+    "build_sparse_index",
     "build_vectors",
     "cleaning",
     "clear_index",
+    "cluster_vectors",
     "describe_documents",
     "encode",
+    "encode_sparse",
     "engine_stats",
     "exact_topk",
     "expand_queries",
@@ -61,12 +72,14 @@ __all__ = [
     "load_index",
     "lookup_by_hash",
     "nonzero_weights",
+    "pruned_topk",
     "publish_index",
     "read_text_corpus",
     "run_dir",
     "scores",
     "search",
     "search_records",
+    "sparse_topk",
     "stream_index",
     "text",
     "text_corpus_stream",

@@ -83,18 +83,20 @@ class _Best:
         self.k = k
         norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
         self.max_norm = float(norms.max(initial=0.0))
-        self.blank = np.flatnonzero(norms == 0)  # all vectors tie for these: the smallest keys win
+        self.is_blank = norms == 0  # all vectors tie for these: the smallest keys win
+        self.blank = np.flatnonzero(self.is_blank)
         self.floor = np.full(len(queries), -np.inf)  # rank score a candidate has to reach
         self.kept = None
         self.fresh = []
         self.n_fresh = 0
 
-    def add(self, keys, vectors):
+    def add(self, keys, vectors, wanted=None):
+        """Offer vectors to all queries, or to those at the places ``wanted``."""
         for start in range(0, len(vectors), BLOCK_ROWS):
             block = vectors[start : start + BLOCK_ROWS]
-            self._add_block(*_smallest_copies(keys.slice(start, len(block)), block, self.k))
+            self._add_block(*_smallest_copies(keys.slice(start, len(block)), block, self.k), wanted)
 
-    def _add_block(self, keys, block):
+    def _add_block(self, keys, block, wanted=None):
         dim = block.shape[1]
         norm = float(np.sqrt((block.astype(np.float64) ** 2).sum(axis=1)).max(initial=0.0))
         # Bound on the rounding error of a 32-bit inner product, with room to spare.
@@ -103,18 +105,19 @@ class _Best:
             order = pc.sort_indices(pa.table({"key": keys}), [("key", "ascending")])
             smallest = order[: self.k].to_numpy()
             self._offer(np.repeat(self.blank, len(smallest)), np.tile(smallest, len(self.blank)), keys, block)
-        for start in range(0, len(self.queries), QUERY_STEP):
-            part = self.queries[start : start + QUERY_STEP]
+        everything = np.arange(len(self.queries)) if wanted is None else wanted
+        for start in range(0, len(everything), QUERY_STEP):
+            places = everything[start : start + QUERY_STEP]
+            part = self.queries[start : start + QUERY_STEP] if wanted is None else self.queries[places]
             rough = part @ block.T
-            need = self.floor[start : start + QUERY_STEP] / RANK_SCALE - slack
+            need = self.floor[places] / RANK_SCALE - slack
             if len(block) > self.k and np.isneginf(need).any():
                 kth = np.partition(rough, len(block) - self.k, axis=1)[:, len(block) - self.k]
                 need = np.maximum(need, kth - 2.0 * slack)
-            blank = self.blank[(self.blank >= start) & (self.blank < start + QUERY_STEP)] - start
-            need[blank] = np.inf
+            need[self.is_blank[places]] = np.inf
             q, v = np.nonzero(rough >= need[:, None])
             for at in range(0, len(q), _RESCORE_STEP):
-                self._offer(q[at : at + _RESCORE_STEP] + start, v[at : at + _RESCORE_STEP], keys, block)
+                self._offer(places[q[at : at + _RESCORE_STEP]], v[at : at + _RESCORE_STEP], keys, block)
         if self.kept is None or self.n_fresh > max(2 * self.k * len(self.queries), 16 * _RESCORE_STEP):
             self.prune()
 
@@ -169,10 +172,16 @@ def _hit_schema(queries, vectors, query_id, key):
     )
 
 
+def query_bytes(queries, query_id, dim, k):
+    """What every task holds of the queries: one vector and ``k`` running hits each. Vectors are not computed for this."""
+    each = F.octet_length(F.col(query_id).cast("string")) + F.lit(16 + 4 * dim + 64 * k)
+    return queries.agg(F.sum(each)).first()[0] or 0
+
+
 def _scan(queries, vectors, k, query_id, key, query_vector, vector, dim):
     wrong = F.raise_error(F.lit(f"every query vector needs {dim} numbers"))
     checked = F.when(F.size(query_vector) == dim, F.col(query_vector)).otherwise(wrong)
-    # At most max_query_bytes: the caller has counted the queries, and their vectors are checked here.
+    # At most max_query_bytes: exact_topk has counted the queries, and their vectors are checked here.
     table = queries.select(query_id, checked.alias(query_vector)).toArrow()
     shared = queries.sparkSession.sparkContext.broadcast(
         (_first(table[query_id]), _matrix(table[query_vector], dim))
@@ -313,10 +322,9 @@ def exact_topk(
         first = queries.select(F.size(query_vector)).first() or vectors.select(F.size(vector)).first()
         dim = max(first[0], 1) if first else 1
     if strategy == "auto":
-        # Vectors are not computed for this: their length is known and checked when they are read.
-        # Counted in: one vector and k running hits per query, which every task holds.
-        id_bytes = F.octet_length(F.col(query_id).cast("string")) + F.lit(16 + 4 * dim + 64 * k)
-        strategy = "scan" if (queries.agg(F.sum(id_bytes)).first()[0] or 0) <= max_query_bytes else "grid"
+        strategy = "scan" if query_bytes(queries, query_id, dim, k) <= max_query_bytes else "grid"
+    elif strategy == "scan" and (asked := query_bytes(queries, query_id, dim, k)) > max_query_bytes:
+        raise ValueError(f"queries of {asked} bytes are too large to broadcast (max_query_bytes); use strategy='grid'")
     if strategy == "scan":
         hits = _scan(queries, vectors, k, query_id, key, query_vector, vector, dim)
     else:

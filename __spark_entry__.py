@@ -538,6 +538,28 @@ def index_job(spark, sf_dir):
     return th.index_job(corpus(spark, sf_dir), store, ENCODER, th.run_dir(spark, "index"), updated_at=NEW)
 
 
+def index_job_partial(spark, sf_dir):
+    """An index of an earlier state of the corpus brought up to date part by part.
+
+    Then, German documents were not there yet, and labelled ones of low quality had another text.
+    """
+    path = th.run_dir(spark, "partial-index")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    now = texts(spark, sf_dir, "documents")
+    before = now.filter("lang <> 'de'").join(labels, "doc_id", "left")
+    before = before.withColumn("text", F.when(F.col("quality") == 0, F.concat("text", F.lit(" as it was"))).otherwise(F.col("text")))
+    for state in (before, now):
+        th.update_partial_index(th.as_documents(state, "doc_id", "text", filename="source"), path, ENCODER)
+    return th.read_partial_index(spark, path).select(
+        "doc_id",
+        "content_hash",
+        "filename",
+        "doc_length",
+        F.size(F.filter("embedding", lambda x: x != 0)).alias("nonzero"),
+        vector_sum(F.col("embedding")).alias("vector_sum"),
+    )
+
+
 def engine_stats(spark, sf_dir):
     store = prior_store(spark, sf_dir)
     return th.engine_stats(unit_embeddings(spark, sf_dir), store).drop("cache_size_bytes")
@@ -566,7 +588,8 @@ _QUERIES = (
     search_to_json, search_counts, store_scan, store_get, store_by_hash, cache_by_hash, cache_hits, cache_misses,
     cache_hit_ratio, store_upsert, store_delete, store_compact, store_vacuum, store_clear, store_stats,
     incremental_embed, incremental_embed_force, incremental_embed_content, index_append, index_integrity,
-    index_roundtrip, index_statistics, clear_index_and_store, index_job, engine_stats, stream_index,
+    index_roundtrip, index_statistics, clear_index_and_store, index_job, index_job_partial, engine_stats,
+    stream_index,
 )
 
 

@@ -308,6 +308,8 @@ ORACLE_SQL = {
     "index_job": f"""WITH {_STORE}
         SELECT count(*) AS indexed_documents, count(*) FILTER (hit) AS cache_hits,
                count(*) FILTER (NOT hit) AS cache_misses, count(*) AS cached_embeddings FROM flagged""",
+    "index_job_partial": f"""WITH {_STORE}
+        SELECT doc_id, content_hash, filename, doc_length, nonzero, vector_sum FROM docs JOIN sizes USING (doc_id)""",
     "engine_stats": f"""WITH {_STORE}
         SELECT (SELECT count(*) FROM embeddings) AS indexed_documents, (SELECT count(*) FROM prior) AS cached_embeddings,
                'exact' AS index_type, (SELECT count(*) > 0 FROM embeddings) AS index_loaded""",

@@ -1,0 +1,99 @@
+import glob
+import os
+
+import numpy as np
+import pytest
+
+from textharbor import HashingEncoder, as_documents, read_partial_index, run_dir, update_partial_index
+from textharbor.plans import partial
+
+ENCODER = HashingEncoder(32)
+
+
+def docs(spark, texts):
+    rows = [(k, t) for k, t in texts.items()]
+    return as_documents(spark.createDataFrame(rows, "k string, t string"), "k", "t")
+
+
+def state(spark, path):
+    return {r.doc_id: r for r in read_partial_index(spark, path).collect()}
+
+
+def files(path):
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/part=*/*.parquet")}
+
+
+TEXTS = {f"d{i}": f"text number {i} of the corpus" for i in range(60)}
+
+
+@pytest.fixture
+def index(spark):
+    path = run_dir(spark, "partial")
+    assert update_partial_index(docs(spark, TEXTS), path, ENCODER, parts=8)[1:] == (60, 0, 60)
+    return path
+
+
+def check(spark, path, texts):
+    rows = state(spark, path)
+    assert set(rows) == set(texts)
+    for key, text in texts.items():
+        assert np.allclose(rows[key].embedding, ENCODER.encode([text])[0])
+
+
+def test_one_change_rewrites_one_part(spark, index):
+    before = files(index)
+    changed = {**TEXTS, "d7": "something else"}
+    done = update_partial_index(docs(spark, changed), index, ENCODER, parts=8)
+    assert (done.parts, done.encoded) == (1, 1) and done.rows == done.reused + 1 < 30
+    after = files(index)
+    touched = {os.path.dirname(f) for f in set(before) ^ set(after)}
+    assert len(touched) == 1
+    assert all(after[f] == t for f, t in before.items() if os.path.dirname(f) not in touched)
+    check(spark, index, changed)
+
+
+def test_new_and_removed_documents(spark, index):
+    changed = {k: t for k, t in TEXTS.items() if k != "d3"} | {"new": "a new one"}
+    done = update_partial_index(docs(spark, changed), index, ENCODER, parts=8)
+    assert done.parts <= 2 and done.encoded == 1
+    check(spark, index, changed)
+
+
+def test_nothing_changed(spark, index):
+    before = files(index)
+    assert update_partial_index(docs(spark, TEXTS), index, ENCODER, parts=8) == (0, 0, 0, 0)
+    assert files(index) == before
+
+
+def test_a_part_that_lost_all_its_documents(spark, index):
+    few = {"d1": TEXTS["d1"]}
+    assert update_partial_index(docs(spark, few), index, ENCODER, parts=8).encoded == 0
+    check(spark, index, few)
+    check_again = update_partial_index(docs(spark, few), index, ENCODER, parts=8)
+    assert check_again.parts == 0
+    update_partial_index(docs(spark, {"d1": ""}), index, ENCODER, parts=8)
+    assert state(spark, index) == {}
+    update_partial_index(docs(spark, TEXTS), index, ENCODER, parts=8)
+    check(spark, index, TEXTS)
+
+
+def test_large_parts_are_written_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(partial, "FILE_ROWS", 5)
+    path = run_dir(spark, "partial")
+    update_partial_index(docs(spark, TEXTS), path, ENCODER, parts=2)
+    check(spark, path, TEXTS)
+
+
+def test_refusals(spark, index):
+    with pytest.raises(ValueError, match="number of parts"):
+        update_partial_index(docs(spark, {**TEXTS, "x": "y"}), index, ENCODER, parts=5)
+    twice = docs(spark, TEXTS).unionByName(docs(spark, {"d1": "other"}))
+    with pytest.raises(ValueError, match="more than once"):
+        update_partial_index(twice, index, ENCODER, parts=8)
+    check(spark, index, TEXTS)
+
+
+def test_no_documents(spark):
+    path = run_dir(spark, "partial")
+    assert read_partial_index(spark, path) is None
+    assert update_partial_index(docs(spark, {"a": ""}), path, ENCODER) == (0, 0, 0, 0)

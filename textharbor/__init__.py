@@ -24,6 +24,7 @@ from textharbor.operators.sparse import (  # noqa: E402
 )
 from textharbor.operators.topk import exact_topk  # noqa: E402
 from textharbor.plans.indexing import incremental_embed, index_job  # noqa: E402
+from textharbor.plans.partial import changed_parts, read_partial_index, update_partial_index  # noqa: E402
 from textharbor.plans.reports import engine_stats, index_integrity, list_documents  # noqa: E402
 from textharbor.session import get_session, run_dir  # noqa: E402
 from textharbor.sources.corpus import (  # noqa: E402
@@ -53,6 +54,7 @@ __all__ = [
     "build_sparse_index",
     "build_vectors",
     "cleaning",
+    "changed_parts",
     "clear_index",
     "cluster_vectors",
     "describe_documents",
@@ -74,6 +76,7 @@ __all__ = [
     "nonzero_weights",
     "pruned_topk",
     "publish_index",
+    "read_partial_index",
     "read_text_corpus",
     "run_dir",
     "scores",
@@ -83,6 +86,7 @@ __all__ = [
     "stream_index",
     "text",
     "text_corpus_stream",
+    "update_partial_index",
     "validate_queries",
     "vectors",
 ]

@@ -233,19 +233,40 @@ def rendered_numbers(spark, sf_dir):
     )
 
 
-def _cosine_to_first(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    first = rows.orderBy("vec_id").select("embedding").first()[0]
-    return vectors.cosine_to(rows, "embedding", first)
+def _cosines(spark, sf_dir):
+    """Every vector against those whose key is divisible by 100."""
+    index = unit_embeddings(spark, sf_dir)
+    asked = embedding_queries(index.filter("vec_id % 100 = 0"))
+    return th.score_pairs(asked, spread(index), key="vec_id")
 
 
 def cosine_scores(spark, sf_dir):
-    return _cosine_to_first(spark, sf_dir).select("vec_id", scores.rounded(F.col("score")).alias("score"))
+    return _cosines(spark, sf_dir).select("query_id", "vec_id", scores.rounded(F.col("score")).alias("score"))
 
 
 def normalize_score(spark, sf_dir):
     scaled = scores.normalize_score(F.col("score"), -0.25, 0.25)
-    return _cosine_to_first(spark, sf_dir).select("vec_id", scores.rounded(scaled).alias("score"))
+    return _cosines(spark, sf_dir).select("query_id", "vec_id", scores.rounded(scaled).alias("score"))
+
+
+def score_histogram(spark, sf_dir):
+    """Of every query's cosines with all vectors: how many fall in each of 16 bins, and five quantiles."""
+    scored = write_and_read(_cosines(spark, sf_dir), "scores")
+    counted = th.score_histogram(scored, bins=16)
+    quantiles = th.score_quantiles(scored)
+    return counted.select(
+        "query_id", F.lit("bin").alias("kind"), F.col("bin").cast("double").alias("at"), F.col("n").cast("double").alias("value")
+    ).unionByName(quantiles.select(
+        "query_id", F.lit("quantile").alias("kind"), F.col("share").alias("at"), scores.rounded(F.col("quantile"), 6).alias("value")
+    ))
+
+
+def keyword_matches(spark, sf_dir):
+    """All documents against all benchmark items: those whose keywords overlap by a tenth at least."""
+    docs = corpus(spark, sf_dir).select("doc_id", text.keywords(F.col("content")).alias("keywords"))
+    items = benchmark_queries(spark, sf_dir).select("query_id", text.keywords(F.col("query")).alias("keywords"))
+    found = th.keyword_matches(docs, items, 0.1)
+    return found.select("doc_id", "query_id", "shared", scores.rounded(F.col("overlap")).alias("overlap"))
 
 
 def embed_documents(spark, sf_dir):
@@ -408,6 +429,21 @@ def cache_misses(spark, sf_dir):
     return lookup.uncached(corpus(spark, sf_dir), store.keys(), store.key_bytes()).select("doc_id", "content_hash")
 
 
+def _bucketed(spark, sf_dir):
+    """Keys of the corpus and of the store, both written as bucketed tables."""
+    return th.bucket_keys(corpus(spark, sf_dir), 16), th.bucket_keys(prior_store(spark, sf_dir).keys(), 16)
+
+
+def cache_hits_bucketed(spark, sf_dir):
+    docs, held = _bucketed(spark, sf_dir)
+    return docs.hits(held)
+
+
+def cache_misses_bucketed(spark, sf_dir):
+    docs, held = _bucketed(spark, sf_dir)
+    return docs.misses(held)
+
+
 def cache_hit_ratio(spark, sf_dir):
     store = prior_store(spark, sf_dir)
     return lookup.hit_ratio(corpus(spark, sf_dir), store.keys(), store.key_bytes())
@@ -490,11 +526,26 @@ def index_append(spark, sf_dir):
 
 def index_integrity(spark, sf_dir):
     """Labelled documents have vectors, toxic ones two, and vectors of German ones outlived their documents."""
+    return th.index_integrity(*_unsound(spark, sf_dir))
+
+
+def _unsound(spark, sf_dir):
+    """Documents and vectors as in ``index_integrity``."""
     docs = corpus(spark, sf_dir, keep=["lang"])
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held = corpus_vectors(docs.join(labels, "doc_id", "left_semi"))
     twice = held.join(labels.filter("toxic = 1"), "doc_id", "left_semi")
-    return th.index_integrity(docs.filter("lang <> 'de'"), held.unionByName(twice))
+    return docs.filter("lang <> 'de'"), held.unionByName(twice)
+
+
+def index_integrity_ranges(spark, sf_dir):
+    """The same report from fingerprints of key ranges."""
+    return th.check_by_ranges(*_unsound(spark, sf_dir)).report
+
+
+def index_differences(spark, sf_dir):
+    """The keys behind it, with how often documents and vectors have each."""
+    return th.check_by_ranges(*_unsound(spark, sf_dir)).keys
 
 
 def index_roundtrip(spark, sf_dir):
@@ -583,11 +634,13 @@ _QUERIES = (
     keywords_extract, keyword_overlap, preview_truncate, list_documents, src_text_corpus, l2_normalize, cosine_scores,
     vector_rejects, rendered_numbers,
     normalize_score, embed_documents, embed_queries, topk_batch, topk_grid, topk_pruned,
-    topk_sparse, score_distribution, validate_queries,
+    topk_sparse, score_distribution, score_histogram, keyword_matches, validate_queries,
     expand_queries, search_basic, search_explained, search_length_normalized, search_reranked, search_expanded,
     search_to_json, search_counts, store_scan, store_get, store_by_hash, cache_by_hash, cache_hits, cache_misses,
+    cache_hits_bucketed, cache_misses_bucketed,
     cache_hit_ratio, store_upsert, store_delete, store_compact, store_vacuum, store_clear, store_stats,
     incremental_embed, incremental_embed_force, incremental_embed_content, index_append, index_integrity,
+    index_integrity_ranges, index_differences,
     index_roundtrip, index_statistics, clear_index_and_store, index_job, index_job_partial, engine_stats,
     stream_index,
 )

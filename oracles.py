@@ -156,7 +156,8 @@ best AS (SELECT query_id, rank, vec_id, round(score, 4) AS score FROM ranked WHE
 _TOPK_SQL = f"WITH {_topk(5)} SELECT query_id, rank, vec_id, score FROM best"
 
 _COSINE = f"""WITH {_UNIT}
-SELECT vec_id, list_dot_product(e, (SELECT e FROM unit ORDER BY vec_id LIMIT 1)) AS score FROM unit"""
+SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) AS score
+FROM unit a CROSS JOIN unit b WHERE a.vec_id % 100 = 0"""
 
 # The store of an earlier run, the rows of a later one, and sizes of vectors.
 _STORE = f"""{_DOCS},
@@ -193,6 +194,14 @@ FROM flagged JOIN sizes USING (doc_id)"""
 
 _NOT_TOXIC = "doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
 
+_INTEGRITY = f"""WITH {_STORE}
+        SELECT count(*) FILTER (docs.lang <> 'de') AS documents,
+               coalesce(sum(1 + prior.toxic) FILTER (prior.doc_id IS NOT NULL), 0)::BIGINT AS vectors,
+               count(*) FILTER (docs.lang <> 'de' AND prior.doc_id IS NULL) AS documents_without_vector,
+               count(*) FILTER (docs.lang = 'de' AND prior.doc_id IS NOT NULL) AS vectors_without_document,
+               count(*) FILTER (prior.toxic = 1) AS repeated_keys
+        FROM docs LEFT JOIN prior USING (doc_id)"""
+
 ORACLE_SQL = {
     "strip_html": f"SELECT page_id, {_entities(_tags('html'))} AS text FROM pages",
     "strip_urls": f"SELECT page_id, {_urls('concat_ws(chr(32), url, html, url)')} AS text FROM pages",
@@ -226,8 +235,8 @@ ORACLE_SQL = {
                 SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM sq))
         SELECT vec_id, i, round(x::DOUBLE, 4) AS x
         FROM (SELECT vec_id, unnest(range(len(v))) AS i, unnest(v) AS x FROM unit)""",
-    "cosine_scores": f"SELECT vec_id, round(score, 4) AS score FROM ({_COSINE})",
-    "normalize_score": f"""SELECT vec_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (score + 0.25) / 0.5::DOUBLE)), 4)
+    "cosine_scores": f"SELECT query_id, vec_id, round(score, 4) AS score FROM ({_COSINE})",
+    "normalize_score": f"""SELECT query_id, vec_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (score + 0.25) / 0.5::DOUBLE)), 4)
         AS score FROM ({_COSINE})""",
     "embed_documents": f"""WITH {_DOCS}, {_weights('dw', 'docs', 'doc_id', 'content')}
         SELECT doc_id, bucket, round(weight::DOUBLE, 4) AS weight FROM dw""",
@@ -244,6 +253,21 @@ ORACLE_SQL = {
     "score_distribution": f"""WITH {_topk(10)}
         SELECT query_id, rank, substr(vec_id::VARCHAR, 1, 25) AS label,
                printf('%.1f%%', score * 100) AS share, printf('%.4f', score) AS score FROM best""",
+    "score_histogram": f"""WITH scored AS ({_COSINE}),
+        placed AS (
+            SELECT query_id, floor(score * 1e7 + 0.5) AS r, count(*) OVER (PARTITION BY query_id) AS total,
+                   row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1e7 + 0.5)) AS place,
+                   least(greatest(floor((score + 1) / 0.125::DOUBLE), 0), 15) AS bin FROM scored),
+        shares AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS share)
+        SELECT query_id, 'bin' AS kind, bin::DOUBLE AS at, count(*)::DOUBLE AS value FROM placed GROUP BY ALL
+        UNION ALL
+        SELECT query_id, 'quantile', share, round(r / 1e7, 6) FROM placed, shares
+        WHERE place = greatest(ceil(share * total), 1)""",
+    "keyword_matches": f"""WITH {_DOCS},
+        d AS (SELECT doc_id, {_keywords('content')} AS a FROM docs),
+        b AS (SELECT item_id AS query_id, {_keywords('text')} AS b FROM benchmark)
+        SELECT doc_id, query_id, len(list_intersect(a, b))::BIGINT AS shared, round({_overlap('a', 'b')}, 4) AS overlap
+        FROM d CROSS JOIN b WHERE {_overlap('a', 'b')} >= 0.1::DOUBLE""",
     "validate_queries": """SELECT conv_id || '-' || turn AS query_id, length(text) BETWEEN 1 AND 1000 AS valid,
         CASE WHEN length(text) < 1 THEN 'too short' WHEN length(text) > 1000 THEN 'too long' ELSE '' END AS reason
         FROM conversations""",
@@ -277,6 +301,8 @@ ORACLE_SQL = {
         FROM docs JOIN prior ON docs.content_hash = prior.content_hash GROUP BY docs.doc_id""",
     "cache_hits": f"WITH {_STORE} SELECT doc_id, content_hash FROM flagged WHERE hit",
     "cache_misses": f"WITH {_STORE} SELECT doc_id, content_hash FROM flagged WHERE NOT hit",
+    "cache_hits_bucketed": f"WITH {_STORE} SELECT doc_id, content_hash FROM flagged WHERE hit",
+    "cache_misses_bucketed": f"WITH {_STORE} SELECT doc_id, content_hash FROM flagged WHERE NOT hit",
     "cache_hit_ratio": f"""WITH {_STORE}
         SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(*) AS documents FROM flagged""",
     "store_upsert": _stored("upserted"),
@@ -294,13 +320,13 @@ ORACLE_SQL = {
     "index_append": f"""WITH {_UNIT}
         SELECT vec_id, 2::BIGINT AS copies,
                round(2 * sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS norms FROM unit""",
-    "index_integrity": f"""WITH {_STORE}
-        SELECT count(*) FILTER (docs.lang <> 'de') AS documents,
-               coalesce(sum(1 + prior.toxic) FILTER (prior.doc_id IS NOT NULL), 0)::BIGINT AS vectors,
-               count(*) FILTER (docs.lang <> 'de' AND prior.doc_id IS NULL) AS documents_without_vector,
-               count(*) FILTER (docs.lang = 'de' AND prior.doc_id IS NOT NULL) AS vectors_without_document,
-               count(*) FILTER (prior.toxic = 1) AS repeated_keys
-        FROM docs LEFT JOIN prior USING (doc_id)""",
+    "index_integrity": _INTEGRITY,
+    "index_integrity_ranges": _INTEGRITY,
+    "index_differences": f"""WITH {_STORE}
+        SELECT doc_id, CASE WHEN docs.lang <> 'de' THEN 1 ELSE 0 END::BIGINT AS documents,
+               CASE WHEN prior.doc_id IS NULL THEN 0 ELSE 1 + prior.toxic END::BIGINT AS vectors
+        FROM docs LEFT JOIN prior USING (doc_id)
+        WHERE CASE WHEN docs.lang <> 'de' THEN 1 ELSE 0 END <> CASE WHEN prior.doc_id IS NULL THEN 0 ELSE 1 + prior.toxic END""",
     "index_roundtrip": f"WITH {_STORE} SELECT doc_id, doc_length, nonzero, vector_sum FROM docs JOIN sizes USING (doc_id)",
     "index_statistics": f"WITH {_DOCS} SELECT 1::BIGINT AS version, count(*) AS vectors, true AS on_disk FROM docs",
     "clear_index_and_store": f"""WITH {_STORE}

@@ -11,9 +11,11 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from textharbor.functions import cleaning, scores, text, vectors  # noqa: E402
+from textharbor.operators.distribution import score_histogram, score_quantiles  # noqa: E402
 from textharbor.operators.encode import HashingEncoder, encode, nonzero_weights  # noqa: E402
 from textharbor.operators.expand import expand_queries  # noqa: E402
 from textharbor.operators.lookup import label_hits, lookup_by_hash  # noqa: E402
+from textharbor.operators.matches import keyword_matches  # noqa: E402
 from textharbor.operators.pruned import cluster_vectors, pruned_topk  # noqa: E402
 from textharbor.operators.search import describe_documents, search, validate_queries  # noqa: E402
 from textharbor.operators.sparse import (  # noqa: E402
@@ -22,11 +24,13 @@ from textharbor.operators.sparse import (  # noqa: E402
     encode_sparse,
     sparse_topk,
 )
-from textharbor.operators.topk import exact_topk  # noqa: E402
+from textharbor.operators.topk import exact_topk, score_pairs  # noqa: E402
 from textharbor.plans.indexing import incremental_embed, index_job  # noqa: E402
 from textharbor.plans.partial import changed_parts, read_partial_index, update_partial_index  # noqa: E402
+from textharbor.plans.ranges import check_by_ranges  # noqa: E402
 from textharbor.plans.reports import engine_stats, index_integrity, list_documents  # noqa: E402
 from textharbor.session import get_session, run_dir  # noqa: E402
+from textharbor.sources.bucketed import bucket_keys  # noqa: E402
 from textharbor.sources.corpus import (  # noqa: E402
     as_documents,
     iterate_documents,
@@ -51,10 +55,12 @@ __all__ = [
     "SparseHashingEncoder",
     "append_vectors",
     "as_documents",
+    "bucket_keys",
     "build_sparse_index",
     "build_vectors",
     "cleaning",
     "changed_parts",
+    "check_by_ranges",
     "clear_index",
     "cluster_vectors",
     "describe_documents",
@@ -69,6 +75,7 @@ __all__ = [
     "index_job",
     "index_stats",
     "iterate_documents",
+    "keyword_matches",
     "label_hits",
     "list_documents",
     "load_index",
@@ -79,6 +86,9 @@ __all__ = [
     "read_partial_index",
     "read_text_corpus",
     "run_dir",
+    "score_histogram",
+    "score_pairs",
+    "score_quantiles",
     "scores",
     "search",
     "search_records",

@@ -36,6 +36,7 @@ MERGE_BYTES = 64 << 20
 #: What the plan says of tables that do not come from files.
 UNKNOWN_BYTES = 1 << 60
 _RESCORE_STEP = 1 << 13
+_PAIR_STEP = 1 << 18
 
 
 def _matrix(column, dim):
@@ -339,3 +340,44 @@ def exact_topk(
         hits = hits.filter(F.col("rank") <= k).drop("_part", "rank")
     order = Window.partitionBy(query_id).orderBy(*best)
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def score_pairs(queries, vectors, query_id="query_id", key="doc_id", query_vector="q", vector="embedding", dim=None, max_query_bytes=BROADCAST_BYTES):
+    """The inner product of every query with every vector: rows (query_id, key, score DOUBLE).
+
+    All pairs are what is asked for, so the query table should be a stated, small set. It is measured, and broadcast as
+    many queries at a time as ``max_query_bytes`` holds; the vector table is read in place, once for each such part.
+    ``query_id`` is unique. Vectors have one length and are finite, anything else is an error.
+    """
+    queries = queries.select(query_id, query_vector)
+    if dim is None:
+        first = queries.select(F.size(query_vector)).first() or vectors.select(F.size(vector)).first()
+        dim = max(first[0], 1) if first else 1
+    schema = _hit_schema(queries, vectors, query_id, key)
+    parts = max(1, -(-query_bytes(queries, query_id, dim, 0) // max_query_bytes))
+    scored = None
+    for part in range(parts):
+        mine = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part)
+        found = vectors.select(key, vector).mapInArrow(_pairs_of(mine, query_id, query_vector, dim, schema.names), schema)
+        scored = found if scored is None else scored.unionByName(found)
+    return scored
+
+
+def _pairs_of(queries, query_id, query_vector, dim, names):
+    table = queries.toArrow()  # measured by score_pairs
+    shared = queries.sparkSession.sparkContext.broadcast((_first(table[query_id]), _matrix(table[query_vector], dim)))
+
+    def run(batches):
+        ids, matrix = shared.value
+        step = max(1, _PAIR_STEP // max(len(ids), 1))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                block = _matrix(part.column(1), dim).astype(np.float64)
+                score = block @ matrix.astype(np.float64).T
+                query = np.tile(np.arange(len(ids)), len(block))
+                row = np.repeat(np.arange(len(block)), len(ids))
+                columns = [ids.take(pa.array(query)), part.column(0).take(pa.array(row)), pa.array(score.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run

@@ -128,6 +128,10 @@ def strip_html(spark, sf_dir):
     return texts(spark, sf_dir, "pages").select("page_id", cleaning.strip_html(F.col("html")).alias("text"))
 
 
+def strip_html_native(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", cleaning.strip_html_native(F.col("html")).alias("text"))
+
+
 def strip_urls(spark, sf_dir):
     return texts(spark, sf_dir, "pages").select(
         "page_id", cleaning.strip_urls(F.concat_ws(" ", "url", "html", "url")).alias("text")
@@ -627,10 +631,27 @@ def stream_index(spark, sf_dir):
     return stored(store.scan())
 
 
+def stream_upsert(spark, sf_dir):
+    """Writes of all documents as events in no order: outdated texts, the current one twice, toxic ones deleted."""
+    rows = texts(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    outdated = rows.withColumn("text", F.concat("text", F.lit(" as it was"))).select("*", F.lit(1).alias("version"))
+    current = rows.select("*", F.lit(2).alias("version"))
+    gone = rows.join(labels.filter("toxic = 1"), "doc_id", "left_semi").select("*", F.lit(3).alias("version"))
+    written = current.unionByName(outdated).unionByName(gone).unionByName(current)
+    path = th.run_dir(spark, "events")
+    written.write.parquet(path)
+    stream = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    events = th.upsert_events(stream.withColumn("gone", F.col("version") == 3), deleted="gone", filename="source")
+    store = th.EmbeddingStore(spark, th.run_dir(spark, "store"), ENCODER.model_id, key_type=rows.schema["doc_id"].dataType)
+    th.stream_upsert(events, store, ENCODER, th.run_dir(spark, "stream"), "documents", updated_at=NEW).awaitTermination()
+    return stored(store.scan())
+
+
 # -- contract -----------------------------------------------------------------------
 
 _QUERIES = (
-    strip_html, strip_urls, normalize_whitespace, clean_text, clean_pages, doc_schema, content_hash, drop_empty,
+    strip_html, strip_html_native, strip_urls, normalize_whitespace, clean_text, clean_pages, doc_schema, content_hash, drop_empty,
     keywords_extract, keyword_overlap, preview_truncate, list_documents, src_text_corpus, l2_normalize, cosine_scores,
     vector_rejects, rendered_numbers,
     normalize_score, embed_documents, embed_queries, topk_batch, topk_grid, topk_pruned,
@@ -642,7 +663,7 @@ _QUERIES = (
     incremental_embed, incremental_embed_force, incremental_embed_content, index_append, index_integrity,
     index_integrity_ranges, index_differences,
     index_roundtrip, index_statistics, clear_index_and_store, index_job, index_job_partial, engine_stats,
-    stream_index,
+    stream_index, stream_upsert,
 )
 
 

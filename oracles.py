@@ -204,6 +204,7 @@ _INTEGRITY = f"""WITH {_STORE}
 
 ORACLE_SQL = {
     "strip_html": f"SELECT page_id, {_entities(_tags('html'))} AS text FROM pages",
+    "strip_html_native": f"SELECT page_id, {_entities(_tags('html'))} AS text FROM pages",
     "strip_urls": f"SELECT page_id, {_urls('concat_ws(chr(32), url, html, url)')} AS text FROM pages",
     "normalize_whitespace": f"SELECT doc_id, {_spaces('text')} AS text FROM documents",
     "clean_text": f"SELECT doc_id, {_clean('text')} AS content FROM documents",
@@ -340,4 +341,7 @@ ORACLE_SQL = {
         SELECT (SELECT count(*) FROM embeddings) AS indexed_documents, (SELECT count(*) FROM prior) AS cached_embeddings,
                'exact' AS index_type, (SELECT count(*) > 0 FROM embeddings) AS index_loaded""",
     "stream_index": _CURRENT,
+    "stream_upsert": f"""WITH {_STORE}
+        SELECT doc_id, content_hash, '2024-02-01' AS updated, nonzero, vector_sum, filename, 2::BIGINT AS facts
+        FROM docs JOIN sizes USING (doc_id) WHERE {_NOT_TOXIC}""",
 }

@@ -1,3 +1,6 @@
+import html
+from html.entities import html5
+
 import duckdb
 import pytest
 from paths import DATA
@@ -82,3 +85,15 @@ def test_white_space_between_letters(spark):
 def test_latin_letters_become_lower_case(spark):
     texts = ["AZaz09_-", "ÀÖØÞàöøþ", "ĀāŁłŽž", "Ǆ ǅ ǆ"]
     assert one(spark, cleaning.clean(F.col("t")), texts) == ["azaz09_-", "àöøþàöøþ", "āāłłžž", "ǆ ǆ ǆ"]
+
+
+def test_native_entities_equal_those_of_python(spark):
+    numbers = [*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFEFF, 0xFFFD, 0xFFFE, 0x10000, 0x1F600, 0x1FFFE,
+               0x10FFFD, 0x10FFFF, 0x110000, 99_999_999_999]
+    texts = [f"a&{n}b" for n in html5] + [f"&{n}" for n in html5]
+    texts += [f"&#{i};" for i in numbers] + [f"&#x{i:x}" for i in numbers] + [f"&#X000{i:X};" for i in numbers]
+    texts += ["&#;", "&#x;", "&#xg;", "&", "&&amp;", "&ampx", "&notit;", "&notin;", "&am", "&amp;amp;", "& amp;", "&frac12x",
+              "x&copy2 &copy", "&" + "a" * 40 + ";", "", "&amp;lt;", "&\tamp;", "&nbsp", "é&eacute;&EACUTE;", "&amp" * 1000]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", cleaning.decode_entities_native(F.col("t")).alias("o"))
+    assert [(r.t, r.o) for r in rows.collect() if r.o != (None if r.t is None else html.unescape(r.t))] == []
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()

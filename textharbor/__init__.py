@@ -48,6 +48,7 @@ from textharbor.sources.index import (  # noqa: E402
 from textharbor.sources.results import search_records  # noqa: E402
 from textharbor.sources.store import EmbeddingStore  # noqa: E402
 from textharbor.streaming.indexer import stream_index  # noqa: E402
+from textharbor.streaming.upserts import stream_upsert, upsert_events  # noqa: E402
 
 __all__ = [
     "EmbeddingStore",
@@ -94,9 +95,11 @@ __all__ = [
     "search_records",
     "sparse_topk",
     "stream_index",
+    "stream_upsert",
     "text",
     "text_corpus_stream",
     "update_partial_index",
+    "upsert_events",
     "validate_queries",
     "vectors",
 ]

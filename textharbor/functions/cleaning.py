@@ -6,6 +6,8 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from textharbor.functions.entities import decode_entities_native
+
 # Unicode white space as a Java character class, its complement,
 # the same without the plain space, the tag pattern and the link pattern.
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
@@ -40,6 +42,11 @@ def strip_html(text):
     return decode_entities(strip_tags(text))
 
 
+def strip_html_native(text):
+    """The same without Python: entities are decoded by column expressions."""
+    return decode_entities_native(strip_tags(text))
+
+
 def strip_urls(text):
     return _blank(text, LINK, "://", "www.")
 

@@ -413,6 +413,12 @@ def store_get(spark, sf_dir):
     return stored(prior_store(spark, sf_dir).get(labelled(spark, sf_dir, "toxic = 1")))
 
 
+def store_get_pruned(spark, sf_dir):
+    """Toxic documents looked up in a copy of the store laid out by key."""
+    path = th.write_keyed(prior_store(spark, sf_dir).scan())
+    return stored(th.keyed_lookup(spark.read.parquet(path), labelled(spark, sf_dir, "toxic = 1")))
+
+
 def store_by_hash(spark, sf_dir):
     return stored(prior_store(spark, sf_dir).by_hash(corpus(spark, sf_dir)))
 
@@ -657,7 +663,7 @@ _QUERIES = (
     normalize_score, embed_documents, embed_queries, topk_batch, topk_grid, topk_pruned,
     topk_sparse, score_distribution, score_histogram, keyword_matches, validate_queries,
     expand_queries, search_basic, search_explained, search_length_normalized, search_reranked, search_expanded,
-    search_to_json, search_counts, store_scan, store_get, store_by_hash, cache_by_hash, cache_hits, cache_misses,
+    search_to_json, search_counts, store_scan, store_get, store_get_pruned, store_by_hash, cache_by_hash, cache_hits, cache_misses,
     cache_hits_bucketed, cache_misses_bucketed,
     cache_hit_ratio, store_upsert, store_delete, store_compact, store_vacuum, store_clear, store_stats,
     incremental_embed, incremental_embed_force, incremental_embed_content, index_append, index_integrity,

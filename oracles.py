@@ -293,6 +293,7 @@ ORACLE_SQL = {
     "search_counts": "SELECT item_id AS query_id, least(5, (SELECT count(*) FROM documents)) AS found FROM benchmark",
     "store_scan": _stored("prior"),
     "store_get": _stored("prior", "toxic = 1"),
+    "store_get_pruned": _stored("prior", "toxic = 1"),
     "store_by_hash": f"""WITH {_STORE}
         SELECT doc_id, content_hash, updated, nonzero, vector_sum, filename, facts::BIGINT AS facts FROM (
             SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) AS n FROM prior

@@ -45,6 +45,8 @@ from textharbor.sources.index import (  # noqa: E402
     load_index,
     publish_index,
 )
+from textharbor.sources.keyed import lookup as keyed_lookup  # noqa: E402
+from textharbor.sources.keyed import write_keyed  # noqa: E402
 from textharbor.sources.results import search_records  # noqa: E402
 from textharbor.sources.store import EmbeddingStore  # noqa: E402
 from textharbor.streaming.indexer import stream_index  # noqa: E402
@@ -76,6 +78,7 @@ __all__ = [
     "index_job",
     "index_stats",
     "iterate_documents",
+    "keyed_lookup",
     "keyword_matches",
     "label_hits",
     "list_documents",
@@ -102,4 +105,5 @@ __all__ = [
     "upsert_events",
     "validate_queries",
     "vectors",
+    "write_keyed",
 ]

@@ -7,6 +7,9 @@ TEXTS = [
     "### " * 12, "EVERY WORD IS LOUD AND THERE ARE MORE THAN TEN OF THEM!!", "one\n\none\n one\none\r\n",
     "a b c d e x a b c d e y a b c d e", "é é ü\x0bß " * 4, "x" * 400 + " " + " ".join("y" * 300 for _ in range(12)),
     "pa qa ra sa ta ua va wa xa ya za " * 1 + " ".join(f"word{i}" for i in range(40)), "a # $ % & | < > * b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 4 5 6 7",
+    "to be continued...\nand so on …  \nthree lines more...\nlast one of them all here.", " ".join(f"{i}" for i in range(40, 70)) + " some words",
+    "\n".join(f" - item {i} of a list" for i in range(9)), "\n".join(f"- item {i} of a list" for i in range(3)),
+    " ".join(f"{i % 7}{c}" for i, c in enumerate("abcdefg" * 60)), "• one two\n\tthree four five\n– six seven\n* eight nine ten eleven",
 ]
 
 
@@ -32,6 +35,11 @@ def brute(text):
     upper = sum("A" <= c <= "Z" for c in text or "")
     odd = 4 * symbols > len(mine) or 10 * again > 4 * len(lines) or 2 * upper > letters
     odd = odd or letters < 2 * len(mine) or letters > 20 * len(mine)
+    cut = sum(x.rstrip(" ").endswith(("...", "…")) for x in lines)
+    bullets = sum(x.lstrip(" ")[:1] in set("•*-–·") for x in lines)
+    odd = odd or (len(lines) >= 4 and (10 * cut > 5 * len(lines) or 10 * bullets > 9 * len(lines)))
+    lettered = sum(any(c.isalpha() for c in w) for w in mine)
+    odd = odd or 2 * lettered < len(mine) or 50 * len(set(mine)) < len(mine)
     return len(mine), letters, symbols, again, len(covered), failed, not failed and not odd
 
 
@@ -73,3 +81,22 @@ def test_native_plan_and_empty_table(spark, documents):
     assert quality.quality_report(documents([])).count() == 0
     plan = quality.quality_report(documents([(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_rules_behind_one_that_rejects_are_not_computed(spark, documents):
+    bomb = quality.Rule("bomb", "raise_error('computed') is not null")
+    rows = quality.with_words(documents(list(enumerate(TEXTS))), "text")
+    first = quality.inlined(quality.Rule("all", "n_words >= 0"))
+    assert {r.by for r in rows.select(quality.cascade([first, bomb]).alias("by")).collect()} == {"all"}
+    with pytest.raises(Exception, match="computed"):
+        rows.select(quality.cascade([bomb, first]).alias("by")).collect()
+
+
+def test_the_report_computes_metrics_of_rules_inside_the_cascade(spark, documents):
+    """No column below the cascade holds a metric that only a rule asks for."""
+    report = quality.quality_report(documents(list(enumerate(TEXTS))))
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    own = set(quality.METRICS) - set(quality.REPORTED)
+    assert len(own) >= 6 and not any(f"AS {name}#" in plan for name in own)
+    assert all(f"AS {name}#" in plan for name in quality.REPORTED)
+    assert plan.count("[A-Z]") == 1 and plan.index("CASE WHEN base_failed") < plan.index("[A-Z]")

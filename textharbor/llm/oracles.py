@@ -154,12 +154,17 @@ metrics AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(body, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines) AS n_lines,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-    len(regexp_extract_all(body, '[A-Z]')) AS n_upper
+    len(regexp_extract_all(body, '[A-Z]')) AS n_upper,
+    len(list_filter(lines, lambda l: regexp_matches(l, '(\.\.\.|…) *$'))) AS n_cut_lines,
+    len(list_filter(lines, lambda l: regexp_matches(l, '^ *[•*–·-]'))) AS n_bullets,
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_lettered, len(list_distinct(w)) AS n_distinct
   FROM docs LEFT JOIN covered USING (r)),
 failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM metrics)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 4 * n_symbols > n_words OR 10 * n_dup_lines > 4 * n_lines OR 2 * n_upper > word_chars
-       OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+       OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+       OR (10 * n_cut_lines > 5 * n_lines AND n_lines >= 4) OR (10 * n_bullets > 9 * n_lines AND n_lines >= 4)
+       OR 2 * n_lettered < n_words OR 50 * n_distinct < n_words) AS kept
 FROM failed
 """
 

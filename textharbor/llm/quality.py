@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade, ordered by rejections per cost.
 
-Every rule is a condition over columns that are computed only where a rule asks for them: the cascade is one nested
-CASE, so a row pays for rules up to the first that rejects it. The order comes from a sample: each rule is timed and
-counted over it alone, and rules go by rejected rows per second, best first. The order changes what a run costs, never
-which rows are kept. Everything is DataFrame functions.
+Every rule is a condition with its metrics written out: the cascade is one CASE, so a row pays for rules up to the first
+that rejects it. The order comes from a sample: each rule is timed and counted over it alone, and rules go by rejected
+rows per second, best first. The order changes what a run costs, never which rows are kept. Metrics that a report shows
+for every row are computed once, in front of the cascade, and cost its rules nothing. Everything is DataFrame functions.
 """
 
 import re
@@ -33,13 +33,22 @@ BASE_RULES = (
     Rule("repeated_words", "100 * n_repeat_words > 20 * n_words"),
 )
 
-RULES = BASE_RULES + (
+OWN_RULES = (
     Rule("symbols", "4 * n_symbols > n_words"),
     Rule("duplicate_lines", "10 * n_dup_lines > 4 * n_lines"),
     Rule("shouting", "2 * n_upper > word_chars"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
+    Rule("cut_lines", "10 * n_cut_lines > 5 * n_lines and n_lines >= 4"),
+    Rule("bullets", "10 * n_bullets > 9 * n_lines and n_lines >= 4"),
+    Rule("few_letters", "2 * n_lettered < n_words"),
+    Rule("few_words", "50 * n_distinct_words < n_words"),
 )
 
+RULES = BASE_RULES + OWN_RULES
+
+#: Metrics of every row of the report.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 #: Windows of five words, as hashes.
 _WINDOWS = "if(size(words) < 5, array(), transform(sequence(1, size(words) - 4), i -> xxhash64(slice(words, i, 5))))"
 
@@ -70,6 +79,10 @@ METRICS = {
     "n_lines": "bigint(size(lines))",
     "n_dup_lines": "bigint(size(lines) - size(array_distinct(lines)))",
     "n_upper": "bigint(regexp_count(body, '[A-Z]'))",
+    "n_cut_lines": "bigint(size(filter(lines, l -> rtrim(l) like '%...' or rtrim(l) like '%…')))",
+    "n_bullets": "bigint(size(filter(lines, l -> substring(ltrim(l), 1, 1) in ('•', '*', '-', '–', '·'))))",
+    "n_lettered": r"bigint(size(filter(words, w -> w rlike '\\p{L}')))",
+    "n_distinct_words": "bigint(size(array_distinct(words)))",
     "n_repeat_words": _REPEATED,
 }
 
@@ -82,11 +95,9 @@ def with_words(df, text):
     return rows.select("row", "body", words.alias("words"), lines.alias("lines"))
 
 
-def with_metrics(df, text):
-    """``row`` and all metrics of every row."""
-    return with_words(df, text).select(
-        "row", *[F.expr(sql).alias(name) for name, sql in METRICS.items()]
-    )
+def with_metrics(worded, metrics=tuple(METRICS)):
+    """These metrics as columns next to those of :func:`with_words`."""
+    return worded.select("*", *[F.expr(METRICS[name]).alias(name) for name in metrics])
 
 
 def _seconds(df):
@@ -95,26 +106,37 @@ def _seconds(df):
     return time.perf_counter() - began, rejected
 
 
-def measured(df, text, rules=RULES, sample_rows=SAMPLE_ROWS):
-    """Rules as (rule, rejected share, seconds a row), best rejection per cost first, from a sample of ``df``."""
+def measured(df, text, rules=RULES, sample_rows=SAMPLE_ROWS, known=()):
+    """Rules as (rule, rejected share, seconds a row), best rejection per cost first, from a sample of ``df``.
+
+    Words, lines and the metrics ``known`` are there already when a rule is timed, as they are in the cascade.
+    """
     total = df.count()
     if not total:
         return [(rule, 0.0, 0.0) for rule in rules]
     sample = df.sample(min(1.0, 1.2 * sample_rows / total), seed=7).select(F.col(f"`{text}`").alias("text"))
-    sample = write_and_read(sample.limit(sample_rows), "quality-sample")
-    rows = max(1, sample.count())
-    worded = with_words(sample, "text")
-    nothing, _ = min(_seconds(sample.agg(F.sum(F.octet_length("text")))) for _ in range(2))
+    ready = with_metrics(with_words(sample.limit(sample_rows), "text").drop("row"), known)
+    ready = write_and_read(ready, "quality-sample")
+    rows = max(1, ready.count())
+    nothing, _ = min(_seconds(ready.agg(F.sum(F.octet_length("body") + F.size("words") + F.size("lines")))) for _ in range(2))
     found = []
     for rule in rules:
-        cost, rejected = _seconds(worded.agg(F.sum(F.expr(f"int({inlined(rule).rejects})"))))
+        cost, rejected = _seconds(ready.agg(F.sum(F.expr(f"int({inlined(rule, known).rejects})"))))
         found.append((rule, rejected / rows, max(cost - nothing, 1e-3) / rows))
     return sorted(found, key=lambda r: (-(r[1] + 1 / rows) / r[2], r[0].name))
 
 
-def inlined(rule):
-    """The rule with its metrics written out, so that they are computed where the cascade gets to it and not before."""
-    return rule._replace(rejects=re.sub(r"\b[a-z_]+\b", lambda m: f"({METRICS[m[0]]})" if m[0] in METRICS else m[0], rule.rejects))
+def inlined(rule, known=()):
+    """The rule with its metrics written out, so that they are computed where the cascade gets to it and not before.
+
+    Those in ``known`` are columns already.
+    """
+
+    def written(match):
+        name = match[0]
+        return f"({METRICS[name]})" if name in METRICS and name not in known else name
+
+    return rule._replace(rejects=re.sub(r"\b[a-z_]+\b", written, rule.rejects))
 
 
 def cascade(rules):
@@ -137,12 +159,15 @@ def judge_quality(df, text="text", rules=RULES, sample_rows=SAMPLE_ROWS):
 
 
 def quality_report(df, key="doc_id", text="text"):
-    narrow = df.select(key, text)
-    ordered = [rule for rule, _, _ in measured(narrow, text)]
+    """Base metrics of every row, whether it fails the base rules, and whether it is kept.
+
+    Rows that fail the base are not judged further; the others go through the cascade of the method's own rules, whose
+    metrics are computed rule by rule. Null and empty texts fail. Repeated rows are judged each; an empty table gives an
+    empty result; columns beside the two named are not looked at.
+    """
+    narrow = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    ordered = [inlined(rule, REPORTED) for rule, _, _ in measured(narrow, "text", OWN_RULES, known=REPORTED)]
     base = [F.expr(rule.rejects) for rule in BASE_RULES]
-    judged = with_metrics(narrow, text).withColumn("base_failed", base[0] | base[1])
-    others = [rule for rule in ordered if rule not in BASE_RULES]
-    return judged.select(
-        F.col("row").getField(key).alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", F.when(F.col("base_failed"), False).otherwise(cascade(others).isNull()).alias("kept"),
-    )
+    judged = with_metrics(with_words(narrow, "text"), REPORTED).withColumn("base_failed", base[0] | base[1])
+    passed = cascade([Rule("base", "base_failed"), *ordered]).isNull()
+    return judged.select(F.col("row.key").alias(key), *REPORTED, "base_failed", passed.alias("kept"))

@@ -168,6 +168,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed
 """
 
+OP10 = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+starts AS (SELECT r, doc_id, h, unnest(range(n - 49)) AS i FROM docs WHERE n >= 50),
+strings AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM starts),
+lowest AS (SELECT w, min(doc_id) AS first FROM strings GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT r, i FROM strings JOIN lowest USING (w) WHERE first < doc_id),
+marked AS (SELECT r, i, i > lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) + 50 AS opens FROM hits),
+numbered AS (SELECT r, i, count(*) FILTER (opens) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM marked),
+spans AS (SELECT r, k, min(i) AS lo, max(i) + 50 AS hi FROM numbered GROUP BY r, k),
+gaps AS (SELECT r, k, lo, hi, lead(lo) OVER (PARTITION BY r ORDER BY lo) AS next_lo FROM spans),
+kept AS (
+  SELECT r, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, min(lo) AS head,
+         string_agg(substr(h, 2 * hi + 1, 2 * (coalesce(next_lo, n) - hi)), '' ORDER BY lo) AS rest
+  FROM gaps JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN head IS NULL THEN h ELSE substr(h, 1, 2 * head) || rest END)) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
 #: Main text as the given pages are laid out: one article element, of a heading and paragraphs.
 OP11 = r"""
 WITH articles AS (
@@ -283,6 +303,7 @@ ORACLE_SQL = {
     "op6_quality_cascade": OP6,
     "op8_byte_shards": OP8,
     "op9_url_filter": OP9,
+    "op10_substring_dedup": OP10,
     "op11_html_extract": OP11,
     "op12_ranked_search": OP12,
     "op13_merkle_manifest": OP13,

@@ -4,6 +4,7 @@ import hashlib
 import json
 
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from textharbor.llm import warc
 
@@ -90,3 +91,13 @@ def test_damage_is_noticed(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.warc_report(pages(spark, [])).count() == 0
+
+
+def test_every_archive_has_a_task_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 800)
+    rows = [(i, "http://a.example/", f"<p>{i}</p>".ljust(100, "x")) for i in range(64)]
+    folder, archives = warc.write_archives(pages(spark, rows).coalesce(1))
+    files = archives.select("archive", F.input_file_name().alias("file")).collect()
+    assert len({r.archive for r in files}) == len({r.file for r in files}) == 8
+    read = warc.read_archives(folder, archives).select("page", F.spark_partition_id().alias("task")).collect()
+    assert len(read) == 64 and len({r.task for r in read}) == 8

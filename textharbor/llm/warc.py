@@ -209,6 +209,15 @@ def _read_all(folder):
     return run
 
 
+def _dealt(rows, archives):
+    """Rows dealt by archive, so that about every archive has a task of its own.
+
+    A row is a few bytes but stands for a part of an archive, so the number of tasks follows that of archives, whatever
+    the size of the rows; twice as many ranges leave few archives together.
+    """
+    return rows.repartitionByRange(max(1, 2 * archives), "archive")
+
+
 def write_archives(df, key="page_id", url="url", html="html", min_bytes=0):
     """Write a WARC record for every row; returns the folder and a table (archive) of what was written.
 
@@ -238,7 +247,7 @@ def write_archives(df, key="page_id", url="url", html="html", min_bytes=0):
     decided = joined.select(
         "w.archive", "w.seq", revisit.alias("revisit"), F.when(revisit, F.col("f.refers_to")).alias("refers_to")
     )
-    in_turn = decided.repartition("archive").sortWithinPartitions("archive", "seq")
+    in_turn = _dealt(decided, written.select("archive").distinct().count()).sortWithinPartitions("archive", "seq")
     schema = T.StructType([T.StructField("archive", T.StringType())])
     names = in_turn.mapInArrow(_normalise_all(f"{folder}/monolithic", f"{folder}/records"), schema)
     archives = write_and_read(names, "warc-archives")
@@ -249,7 +258,7 @@ def write_archives(df, key="page_id", url="url", html="html", min_bytes=0):
 
 def read_archives(folder, archives):
     """Rows (page, payload_bytes, payload_digest, record_type, refers_to) of all records."""
-    return archives.mapInArrow(_read_all(folder), _READ)
+    return _dealt(archives, archives.count()).mapInArrow(_read_all(folder), _READ)
 
 
 def warc_report(df, key="page_id", **options):

@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import time
+
+import pytest
 
 from textharbor.llm import secrets
 
@@ -58,3 +62,59 @@ def test_scope_is_a_join_of_intervals():
 
 def test_empty_table(spark, documents):
     assert secrets.secret_report(documents([])).count() == 0
+
+
+IDENTIFIER = re.compile(
+    r"""\b(access_?key_?id|client_?id|account|user_?name|login|user)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII
+)
+
+
+def linked_plainly(text, scope):
+    """All spans by the definition, every part against every other."""
+    strong = [(s, e, ("assign", "access", "hex")[k]) for s, k, e in base(text)]
+
+    def apart(a, b):
+        return a[1] <= b[0] or b[1] <= a[0]
+
+    def near(a, others):
+        return any(apart(a, b) and (0 <= a[0] - b[1] <= scope or 0 <= b[0] - a[1] <= scope) for b in others)
+
+    def parts(pattern, kind):
+        found = [(m.start(), m.end(), kind) for m in re.finditer(pattern, text)]
+        return [p for p in found if all(apart(p, s) for s in strong)]
+
+    names = parts(IDENTIFIER, "identifier")
+    identifiers = [s for s in strong if s[2] == "access"] + names
+    word = "[A-Za-z0-9+/_-]"
+    tokens = [t for t in parts(f"(?<!{word}){word}{{20,}}={{0,2}}", "token") if re.search("[0-9]", text[t[0] : t[1]]) and re.search("[A-Za-z]", text[t[0] : t[1]])]
+    tokens = [t for t in tokens if near(t, identifiers)]
+    known = [s for s in strong if s[2] in ("assign", "hex")] + tokens
+    ends = parts(r"\b(?:[a-z][a-z0-9+.-]{0,30}://[A-Za-z0-9.-]+(?::[0-9]+)?|(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?)", "endpoint")
+    ends = [x for x in ends if near(x, identifiers) and near(x, known)]
+    every = strong + [n for n in names if near(n, known)] + tokens + ends
+    order = {kind: i for i, kind in enumerate(secrets.KINDS)}
+    return sorted((s, order[kind], e) for s, e, kind in every)
+
+
+def test_linked_spans_against_every_pair():
+    rng = random.Random(7)
+    pieces = [KEY, HEX, "password=hunter2-long", "user_name: joe.doe", "login=abc", "client_id = x9.y", "q9Zr8Lk2Wm5Tn7Bv1Xc4", "10.0.0.1",
+              "https://api.example.com:8443", "plain words here", "é", "x" * 15, "secret:short", "user: " + KEY, "token=" + HEX, "ABCDEFGHIJKLMNOPQRSTUVWX"]
+    linked = 0
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) + rng.choice([" ", "\n", "; ", " " * rng.randint(1, 30)]) for _ in range(rng.randint(1, 12)))
+        scope = rng.choice([0, 3, 20, 200])
+        got = [(s.start, s.rank, s.end) for s in secrets.find_spans(text, scope)[0]]
+        assert got == linked_plainly(text, scope)
+        linked += sum(rank > 2 for _, rank, _ in got)
+    assert linked > 300
+
+
+@pytest.mark.parametrize("text", [
+    "user=abc " + "a-" * 500_000, "user=abc " + "a" * 1_000_000, "login: ab " + "user " * 200_000, "password=" + "a1" * 500_000 + " user=abc q9Zr8Lk2Wm5Tn7Bv1Xc4" * 20_000,
+    f"{KEY} " * 40_000, "user=abc " * 100_000, "secret" + " " * 1_000_000, "1.2.3." * 200_000 + f"{HEX} login=abcd", "user=abc " + "A1+/" * 250_000,
+])
+def test_time_is_in_proportion_to_the_text(text):
+    began = time.process_time()
+    secrets.find_spans(text)
+    assert time.process_time() - began < 8

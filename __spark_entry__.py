@@ -381,6 +381,36 @@ def search_expanded(spark, sf_dir):
     return _explained(_search(spark, sf_dir, lexicon=lexicon(spark, sf_dir))).drop("length_normalized_score")
 
 
+#: Search as a Spark SQL user writes it; the views are the given tables, ``asked`` a session variable.
+SQL_ASKED = """
+SET VAR asked = (SELECT to_json(collect_list(struct(item_id AS query_id, text_embed(text) AS q))) FROM benchmark_texts)"""
+SQL_SEARCH = """
+WITH docs AS (
+  SELECT doc_id, content, text_embed(content) AS v
+  FROM (SELECT doc_id, text_clean(text) AS content FROM document_texts) WHERE content <> ''),
+blocks AS (
+  SELECT collect_list(doc_id) AS keys, collect_list(v) AS vectors, block
+  FROM (SELECT doc_id, v, pmod(xxhash64(doc_id), (SELECT ceil(count(*) / 2048D) FROM document_texts)) AS block FROM docs) GROUP BY block),
+hits AS (
+  SELECT bigint(query_id) AS query_id, key AS doc_id, score FROM nearest(TABLE(blocks) PARTITION BY (block), asked, 5)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_rank(score) DESC, doc_id) AS rank FROM hits)
+SELECT query_id, rank, r.doc_id, round(score, 4) AS score, text_preview(content) AS preview,
+       array_join(sort_array(array_intersect(text_keywords(b.text), text_keywords(content))), ' ') AS keywords,
+       round(text_overlap(text_keywords(b.text), text_keywords(content)), 4) AS overlap_ratio
+FROM ranked r JOIN benchmark_texts b ON b.item_id = query_id JOIN docs d ON d.doc_id = r.doc_id WHERE rank <= 5"""
+
+
+def sql_search(spark, sf_dir):
+    """Explained search through ``spark.sql`` alone, with the functions that the library registers."""
+    th.register_sql(spark, ENCODER)
+    texts(spark, sf_dir, "documents").createOrReplaceTempView("document_texts")
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark_texts")
+    spark.sql("DECLARE OR REPLACE VARIABLE asked STRING")
+    spark.sql(SQL_ASKED)
+    return spark.sql(SQL_SEARCH)
+
+
 def search_to_json(spark, sf_dir):
     records = th.search_records(_search(spark, sf_dir))
     return records.select(
@@ -663,7 +693,7 @@ _QUERIES = (
     normalize_score, embed_documents, embed_queries, topk_batch, topk_grid, topk_pruned,
     topk_sparse, score_distribution, score_histogram, keyword_matches, validate_queries,
     expand_queries, search_basic, search_explained, search_length_normalized, search_reranked, search_expanded,
-    search_to_json, search_counts, store_scan, store_get, store_get_pruned, store_by_hash, cache_by_hash, cache_hits, cache_misses,
+    sql_search, search_to_json, search_counts, store_scan, store_get, store_get_pruned, store_by_hash, cache_by_hash, cache_hits, cache_misses,
     cache_hits_bucketed, cache_misses_bucketed,
     cache_hit_ratio, store_upsert, store_delete, store_compact, store_vacuum, store_clear, store_stats,
     incremental_embed, incremental_embed_force, incremental_embed_content, index_append, index_integrity,

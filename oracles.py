@@ -283,6 +283,10 @@ ORACLE_SQL = {
         {_explained('norm', 'row_number() OVER (PARTITION BY query_id ORDER BY floor(norm * 1e7 + 0.5) DESC, doc_id)')},
         round(norm, 4) AS length_normalized_score FROM hits""",
     "search_expanded": f"WITH RECURSIVE {_EXPANDED}, {_search('expanded')} {_explained('raw')} FROM hits",
+    "sql_search": f"""WITH {_ASKED}, {_search('plain')}
+        SELECT query_id, rank, doc_id, round(raw, 4) AS score, {_preview('content')} AS preview,
+               array_to_string(list_sort(list_intersect(qk, dk)), ' ') AS keywords, round({_overlap('qk', 'dk')}, 4) AS overlap_ratio
+        FROM hits""",
     "search_to_json": f"""WITH {_ASKED}, {_search('plain')}
         SELECT query_id, rank, doc_id, round(raw, 4) AS score, {_preview('content')} AS preview, filename,
                len(list_intersect(qk, dk)) AS n_keywords, round({_overlap('qk', 'dk')}, 4) AS overlap_ratio, doc_length,

@@ -1,0 +1,61 @@
+import pytest
+from paths import DATA
+from pyspark.sql import functions as F
+
+from textharbor import register_sql
+from textharbor.functions import cleaning, scores, text, vectors
+
+
+@pytest.fixture(scope="module")
+def sql(spark):
+    register_sql(spark)
+    return spark.sql
+
+
+def test_text_functions_equal_the_columns(spark, sql):
+    extra = [("A <b>x</b> &amp; y http://z.y w",), ("",), (None,), ("a&nbsp;b\x1cc  d",), ("ab " * 90,), ("Über x1 the THE",)]
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("text").alias("x")).limit(50).unionByName(spark.createDataFrame(extra, "x string"))
+    rows.createOrReplaceTempView("rows_of_text")
+    x = F.col("x")
+    wanted = rows.select(
+        "x", cleaning.clean(x), cleaning.normalize_whitespace(x), cleaning.strip_urls(x), text.keywords(x), text.preview(x),
+        text.listing_preview(x), text.chart_label(x), text.content_hash(x), text.overlap_ratio(text.keywords(x), F.array(F.lit("the"))),
+    ).collect()
+    got = sql("""SELECT x, text_clean(x), text_normalize(x), text_strip_urls(x), text_keywords(x), text_preview(x), text_listing(x),
+                 text_label(x), text_hash(x), text_overlap(text_keywords(x), array('the')) FROM rows_of_text""").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, wanted)))
+
+
+def test_vector_and_score_functions_equal_the_columns(spark, sql):
+    rows = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0], 0.12345678, 1500), ([0.0, 0.0], [1.0, 1.0], -0.5, 0)],
+                                 "a array<float>, b array<float>, s double, n int")
+    rows.createOrReplaceTempView("rows_of_vectors")
+    a, b = vectors.l2_normalize(F.col("a")), vectors.l2_normalize(F.col("b"))
+    wanted = rows.select(a, vectors.norm(F.col("a")), vectors.dot(a, b), scores.rank_score(F.col("s")), scores.length_normalized(F.col("s"), F.col("n")))
+    got = sql("SELECT vector_unit(a), vector_norm(a), vector_cosine(a, b), score_rank(s), score_length_normalized(s, n) FROM rows_of_vectors")
+    assert list(map(tuple, got.collect())) == list(map(tuple, wanted.collect()))
+
+
+def blocks(spark, rows):
+    spark.createDataFrame(rows, "keys array<long>, vectors array<array<float>>, part int").createOrReplaceTempView("vector_blocks")
+
+
+def test_nearest_gives_the_best_of_each_partition(spark, sql):
+    blocks(spark, [([1, 2], [[1.0, 0.0], [0.0, 1.0]], 0), ([3], [[0.6, 0.8]], 0), ([4, 5], [[1.0, 0.0], [-1.0, 0.0]], 1), ([], [], 2)])
+    asked = '[{"query_id": "x", "q": [1, 0]}, {"query_id": 7, "q": [0, 1]}]'
+    got = sql(f"SELECT * FROM nearest(TABLE(vector_blocks) PARTITION BY (part), '{asked}', 2)").collect()
+    assert sorted((r.query_id, r.key, round(r.score, 6)) for r in got) == [
+        ("7", 2, 1.0), ("7", 3, 0.8), ("7", 4, 0.0), ("7", 5, 0.0), ("x", 1, 1.0), ("x", 3, 0.6), ("x", 4, 1.0), ("x", 5, -1.0)
+    ]
+    assert sql("SELECT * FROM nearest(TABLE(vector_blocks) PARTITION BY (part), '[]', 2)").count() == 0
+
+
+@pytest.mark.parametrize("query, message", [
+    ("SELECT * FROM nearest(TABLE(SELECT 1, 2), '[]', 2)", "array of keys"),
+    ("SELECT * FROM nearest(TABLE(vector_blocks) PARTITION BY (part), '[]', 0)", "at least 1"),
+    ("SELECT * FROM nearest(TABLE(SELECT array(1L), array(array(1f))), '[{\"query_id\": 1, \"q\": [1, 0]}]', 1)", "2 numbers"),
+])
+def test_nearest_refuses(spark, sql, query, message):
+    blocks(spark, [([1], [[1.0, 0.0]], 0)])
+    with pytest.raises(Exception, match=message):
+        sql(query).collect()

@@ -49,6 +49,7 @@ from textharbor.sources.keyed import lookup as keyed_lookup  # noqa: E402
 from textharbor.sources.keyed import write_keyed  # noqa: E402
 from textharbor.sources.results import search_records  # noqa: E402
 from textharbor.sources.store import EmbeddingStore  # noqa: E402
+from textharbor.sql import register_sql  # noqa: E402
 from textharbor.streaming.indexer import stream_index  # noqa: E402
 from textharbor.streaming.upserts import stream_upsert, upsert_events  # noqa: E402
 
@@ -89,6 +90,7 @@ __all__ = [
     "publish_index",
     "read_partial_index",
     "read_text_corpus",
+    "register_sql",
     "run_dir",
     "score_histogram",
     "score_pairs",

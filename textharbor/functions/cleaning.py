@@ -27,12 +27,17 @@ def strip_tags(text):
     return _blank(text, TAG, "<")
 
 
+def unescaped(texts):
+    """An Arrow array of texts with their HTML5 entities decoded."""
+    return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+
+
 def decode_entities(text):
     """HTML5 entities to characters; only texts with an ampersand are sent to Python."""
 
     @F.arrow_udf("string")
     def unescape(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+        return unescaped(texts)
 
     return F.coalesce(unescape(F.when(F.contains(text, F.lit("&")), text)), text)
 

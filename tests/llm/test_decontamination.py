@@ -40,9 +40,9 @@ def benchmark(spark):
     return spark.createDataFrame(ITEMS, "item_id long, text string")
 
 
-@pytest.mark.parametrize("block", [500_000, 3])
+@pytest.mark.parametrize("block", [1 << 25, 700])
 def test_against_brute_force(spark, documents, benchmark, monkeypatch, block):
-    monkeypatch.setattr(dec, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(dec, "BLOCK_BYTES", block)
     got = dec.contamination_report(documents(TEXTS), benchmark, n=4).collect()
     wanted = []
     for key, text in TEXTS:
@@ -69,3 +69,24 @@ def test_empty_tables(spark, documents, benchmark):
     assert dec.contamination_report(documents([]), benchmark).count() == 0
     rows = dec.contamination_report(documents(TEXTS), benchmark.limit(0)).collect()
     assert len(rows) == len(TEXTS) and not any(r.contaminated for r in rows)
+
+
+def test_a_window_of_very_many_items_is_broadcast_once(spark, documents, monkeypatch):
+    """Blocks hold distinct windows, whatever the number of items that share one."""
+    monkeypatch.setattr(dec, "BLOCK_BYTES", 2000)
+    items = [(i, "read the text and answer the question below w%d" % (i % 7)) for i in range(3000)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    windows, holders = dec.numbered_windows(benchmark, "item_id", "text", 8)
+    sizes = windows.groupBy("block").agg({"block": "count"}).collect()
+    assert windows.count() == 8 and max(r[1] for r in sizes) <= 9 and holders.count() == 6000
+    got = dec.contamination_report(documents([(1, items[0][1]), (2, "the text and"), (3, items[3][1] + " " + items[4][1])]), benchmark, n=8)
+    assert {r.doc_id: r.n_items for r in got.collect()} == {1: 3000, 2: 0, 3: 3000}
+
+
+def test_a_very_long_text(spark, documents):
+    benchmark = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    text = "one two three four " * 150_000 + "alpha beta gamma delta " + "five " * 10
+    (row,) = dec.contamination_report(documents([(1, text)]), benchmark, n=4).collect()
+    assert (row.n_words, row.n_hit, row.n_items) == (600_014, 4, 1)
+    (row,) = dec.decontaminate(documents([(1, text)]), benchmark, n=4, remove="spans").collect()
+    assert len(row.text) == len(text) - len("alpha beta gamma delta")

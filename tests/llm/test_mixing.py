@@ -67,3 +67,11 @@ def test_cut_words():
 def test_empty_and_wordless(spark, documents):
     assert mixing.mix(documents([])).count() == 0
     assert [r.taken for r in mixing.mix(documents([(1, ""), (2, None)])).collect()] == [0, 0]
+
+
+def test_a_very_long_text(spark, documents):
+    df = documents([(1, "word " * 500_000, "s0"), (2, "x y", "s1"), (3, "z " * 10, "s2")])
+    rows = {r.doc_id: r for r in mixing.mix(df).collect()}
+    assert rows[1]["size"] == 500_000 and rows[2].taken == 6 and rows[3].taken == 30 and rows[1].taken == 500_012 - 36
+    text = max((r.text for r in mixing.mixed_documents(df).collect()), key=len)
+    assert len(text.split()) in (rows[1].taken, 500_000)

@@ -94,3 +94,28 @@ def test_stages_against_brute_force(spark, tables):
 def test_run_gives_the_last_stage(spark, tables):
     result = pipeline.run(spark, tables[0])
     assert {"doc_id", "text", "shard", "slot"} <= set(result.columns) and result.count() > 0
+
+
+def test_columns_of_any_name_nulls_and_repeated_rows(spark, tables):
+    """Columns that stages use themselves go through, and rows without key, text or source stop nothing."""
+    folder, docs, _, _ = tables
+    extra = "size string, shard string, slot string, row string, bucket string, score string, windows string"
+    rows = [(*d, *"abcdefg") for d in docs[:60] + [(None, docs[1][1], None, None, None), (None, docs[1][1], None, None, None), (None, None, None, None, None), docs[7], docs[7]]]
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    columns = frame.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        frame = pipeline.write_and_read(stage(spark, frame, folder), name)
+        assert frame.columns == columns
+        if name == "near_duplicates":
+            kept = [r.doc_id for r in frame.collect()]
+            assert kept.count(docs[7][0]) == 1 and kept.count(None) == 3
+    last = pipeline.STAGES[-1][1](spark, frame, folder)
+    assert last.columns == [*columns, "size_", "shard_", "slot_"] and last.count() == frame.count() > 0
+
+
+def test_an_empty_table_passes_every_stage(spark, tables):
+    folder = tables[0]
+    frame = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in pipeline.STAGES:
+        frame = pipeline.write_and_read(stage(spark, frame, folder), name)
+        assert frame.count() == 0

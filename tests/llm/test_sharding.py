@@ -41,3 +41,9 @@ def test_rows_with_their_places(spark, documents):
     assert sorted(map(str, (r.row.text for r in rows))) == sorted(str(t) for _, t in ROWS)
     for r in rows:
         assert r["size"] == len((r.row.text or "").encode()) + 16
+
+
+def test_a_very_long_text(spark, documents):
+    rows = [(i, "x") for i in range(20)] + [(20, "y" * 3_000_000)]
+    got = {r.doc_id: r for r in sharding.assign_shards(documents(rows), shards=5).collect()}
+    assert got[20]["size"] == 3_000_016 and got[20].shard == 2 and {got[i].shard for i in range(20)} == {0}

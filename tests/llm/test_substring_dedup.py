@@ -2,6 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
+import zstandard
 
 from textharbor.llm import substring_dedup as sd
 from textharbor.llm.loser_tree import merge_runs
@@ -58,6 +61,57 @@ def test_small_chunks_and_buckets_agree(spark, documents, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute(rows, 50)
 
 
+@pytest.mark.parametrize("bound", [0, 3, 20])
+def test_hot_anchors_take_the_other_way(spark, documents, monkeypatch, bound):
+    """Whatever counts as hot, the result is the same."""
+    monkeypatch.setattr(sd, "HOT_ENTRIES", bound)
+    monkeypatch.setattr(sd, "CHUNK_SUFFIXES", 200)
+    rng = random.Random(bound)
+    rows = list(enumerate(texts(rng)))
+    rows += [(3, "z" * 120), (None, "y" * 60), (None, "only null " * 20), (99, "only null " * 20), (99, "only null " * 20)]
+    got = sd.repeat_report(documents(rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 50)
+
+
+def test_a_phrase_in_very_many_documents_fills_no_bucket(spark, documents, monkeypatch):
+    """A phrase shorter than a window, with other text around it: its windows differ and are spread over all buckets."""
+    monkeypatch.setattr(sd, "HOT_ENTRIES", 500)
+    sizes = []
+    phrase = "a phrase of forty bytes in all documents"
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(60))
+    rows = [(i, f"{word()} {phrase} {word()}") for i in range(3000)] + [(5000, f"x {rows_of(phrase)} y"), (5001, f"z {rows_of(phrase)} w")]
+    docs = documents(rows).selectExpr("doc_id AS id", "xxhash64(text) AS print", "text")
+    found = sd.repeated_spans(docs, bucket_bytes=4 << 10)
+    got = {(r.id, r.start, r.end) for r in found.collect()}
+    assert {i for i, _, _ in got} == {5001}
+    buckets = max(spark.sparkContext.defaultParallelism, -(-sum(len(t) for _, t in rows) // (4 << 10)))
+    hashes = sd.anchor_runs(np.frombuffer((" " * 60 + phrase + " " * 60).encode(), np.uint8), np.array([0, 120 + len(phrase)]))[3]
+    hot = np.unique(sd._codes(hashes, buckets))
+    table = pa.RecordBatch.from_pydict({
+        "id": [i for i, _ in rows], "print": [0] * len(rows), "text": [t for _, t in rows],
+        "places": [list(range(len(t))) for _, t in rows],
+    })
+    for batch in sd._send_runs(buckets, 50, sd.ANCHOR, hot)([table]):
+        for bucket, done in zip(batch.column("bucket").to_pylist(), batch.column("done").to_pylist()):
+            if bucket >= buckets:
+                sizes.append(len(zstandard.ZstdDecompressor().decompress(done)) // sd._WINDOW.itemsize)
+    assert sizes and max(sizes) < 0.1 * sum(sizes)
+
+
+def rows_of(phrase):
+    return f"shared {phrase} shared"
+
+
+def test_a_very_long_text(spark, documents):
+    rng = random.Random(11)
+    parts = ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(300)]
+    rows = [(1, " ".join(parts)), (2, " ".join(parts[::-1]) * 40), (3, parts[7])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in sd.repeat_report(documents(rows)).collect()}
+    assert got[1] == (len(rows[0][1]), 0) and got[3] == (200, 200)
+    assert got[2][0] == len(rows[1][1]) > 2_000_000 and got[2][1] > 0.98 * got[2][0]
+
+
 def test_empty_table(spark, documents):
     assert sd.repeat_report(documents([])).count() == 0
     assert [r.n_removed for r in sd.repeat_report(documents([(1, None), (2, "")])).collect()] == [0, 0]

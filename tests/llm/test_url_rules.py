@@ -52,3 +52,11 @@ def test_nested_rules_in_blocks(spark, monkeypatch):
 def test_no_rules_and_no_rows(spark):
     assert judged(spark, ["http://a.net/"], rules=())[0].verdict == "allow"
     assert judged(spark, []) == {}
+
+
+def test_a_very_long_url_and_clashing_columns(spark):
+    url = "http://" + "a." * 200_000 + "example.net/en/" + "x" * 3_000_000
+    rows = [(1, url, "x", "y", "z"), (2, "http://example.net/", "x", "y", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, rule string, host string, row string")
+    got = {r.page_id: r for r in url_rules.judge_urls(df, URL_RULES).collect()}
+    assert got[1].rule == "example.net/en/" and len(got[1].path) == 3_000_004 and got[2].rule == "net/"

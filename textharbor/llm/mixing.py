@@ -27,6 +27,7 @@ def source_targets(sizes, weights=(5, 2, 1), most=3):
     All sizes together are shared out by weight. A source stops at ``most`` times its size and the others share the
     excess by weight, until none is above. Sources that stop are those with the lowest size to weight ratio, so one
     pass in the order of that ratio finds them: source j stops if the others, sharing what is left, would exceed it.
+    The pass goes over one row a source in one task, so the number of sources is its bound, not that of documents.
     """
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place - 1) % len(weights) + 1)

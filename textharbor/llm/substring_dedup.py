@@ -13,6 +13,10 @@ is enough to look at anchors (about one byte in fourteen), and only at those who
    one put out, so known prefixes are never compared again. The merge yields the array and its common prefixes (LCP).
 4. A window that starts o bytes left of its anchor equals another if the suffixes share length - o bytes, which is an
    interval of the array cut by LCP, and the o bytes left agree. Classes of equal windows yield their smallest key.
+
+All suffixes of an anchor meet in one bucket, however many there are. So step 1 also counts the entries of every anchor,
+and the windows of anchors above a bound take another way: they are dealt by a 128-bit hash of all their bytes, of which
+each chunk sends the smallest key once, and every bucket finds the smallest of all.
 """
 
 import numpy as np
@@ -23,6 +27,7 @@ from pyspark.sql import types as T
 
 from textharbor.llm import common
 from textharbor.llm.loser_tree import merge_runs
+from textharbor.session import write_and_read
 
 LENGTH = 50
 ANCHOR = 24
@@ -31,6 +36,10 @@ BUCKET_BYTES = 16 << 20
 #: Anchors a task gathers before it sends them on, and suffixes, which take more room.
 CHUNK_ANCHORS = 1 << 19
 CHUNK_SUFFIXES = 1 << 18
+#: Entries above which the suffixes of an anchor are not merged in one bucket, at least; and hot anchors at most, of
+#: which every task holds the hashes.
+HOT_ENTRIES = 1 << 16
+HOT_ANCHORS = 1_000_000
 
 _POSITION_BITS = np.uint64(20)
 _POSITION = (np.uint64(1) << _POSITION_BITS) - np.uint64(1)
@@ -112,7 +121,8 @@ def _payloads(hashes, docs, places, ids, prints, buckets, number):
     """Rows of one chunk of anchors, one for each bucket.
 
     A hash with several documents in the chunk needs no answer: its anchors go along as sure, dealt out evenly, and
-    the hash is sent once as witness. So a string of any frequency costs a bucket one entry per chunk.
+    the hash is sent once as witness, with their number as place. So a string of any frequency costs a bucket one entry
+    per chunk.
     """
     order = np.lexsort((ids[docs], hashes))
     inner = hashes[order]
@@ -123,13 +133,14 @@ def _payloads(hashes, docs, places, ids, prints, buckets, number):
     sure[order] = np.repeat(several, last - first + 1)
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     bucket[sure] = (np.arange(int(sure.sum())) // 4096 + number) % buckets
-    witness = np.sort(order[first[several]])
+    by_row = np.argsort(order[first[several]])
+    witness, times = order[first[several]][by_row], (last - first + 1)[several][by_row]
     kinds = np.where(sure, _SURE, _PLAIN).astype(np.uint8)
     short = ((hashes // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     bucket = np.concatenate([bucket, (hashes[witness] % np.uint64(buckets)).astype(np.int64)])
     kinds = np.concatenate([kinds, np.full(len(witness), _WITNESS, np.uint8)])
     short, docs = np.concatenate([short, short[witness]]), np.concatenate([docs, docs[witness]])
-    places = np.concatenate([places, places[witness]])
+    places = np.concatenate([places, times])
     order = np.lexsort((places, docs, bucket))  # rows of a bucket by document: its numbers then compress well
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
@@ -174,11 +185,22 @@ def _send_anchors(buckets, length):
 
 _FOUND = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("print", T.LongType()), T.StructField("place", T.IntegerType()),
+    T.StructField("hot", T.LongType()),  # instead of a place: an anchor with more entries than the bound
 ])
 
 
-def _keep_shared(table):
-    """Anchors of a bucket whose hash is in two documents: sure ones, and others by comparison."""
+def _codes(hashes, buckets):
+    """Numbers that tell anchors apart as buckets do: bucket and part of the hash."""
+    short = ((hashes // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return ((hashes % np.uint64(buckets)).astype(np.int64) << 32) | short
+
+
+def _keep_shared(bound):
+    return lambda table: _shared_of(table, bound)
+
+
+def _shared_of(table, bound):
+    """Anchors of a bucket whose hash is in two documents: sure ones, and others by comparison; and the hot ones."""
     parts = [[], [], [], [], []]
     columns = table.to_pydict()
     for hashes, flags, docs, places, ids, prints in zip(*[columns[f.name] for f in _PAYLOAD][1:]):
@@ -191,7 +213,7 @@ def _keep_shared(table):
     hashes, flags, ids, prints, places = [np.concatenate(x) for x in parts]
     asked = np.flatnonzero(flags != _SURE)
     order = asked[np.argsort(hashes[asked], kind="stable")]
-    keep = flags == _SURE
+    keep, hot = flags == _SURE, np.zeros(0, np.int64)
     if len(order):
         first = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
         low, high = np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)
@@ -199,7 +221,14 @@ def _keep_shared(table):
         sizes = np.diff(np.append(first, len(order)))
         shared = np.repeat((low != high) | (seen == _WITNESS), sizes)
         keep[order[shared & (flags[order] == _PLAIN)]] = True
-    return pa.table({"id": ids[keep], "print": prints[keep], "place": places[keep].astype(np.int32)})
+        entries = np.add.reduceat(np.where(flags[order] == _WITNESS, places[order].astype(np.int64), 1), first)
+        hot = hashes[order][first[entries > bound]].astype(np.int64) | (columns["bucket"][0] << 32)
+    zeros = np.zeros(len(hot), np.int64)
+    return pa.table({
+        "id": np.concatenate([ids[keep], zeros]), "print": np.concatenate([prints[keep], zeros]),
+        "place": np.concatenate([places[keep].astype(np.int32), zeros.astype(np.int32)]),
+        "hot": pa.concat_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.array(hot, pa.int64())]),
+    })
 
 
 # -- runs of suffixes ---------------------------------------------------------------------------------------------
@@ -210,6 +239,7 @@ _RUN = T.StructType([
         "shared", "sizes", "tails", "left_sizes", "lefts", "docs", "ids", "prints", "places", "done")],
 ])
 _DONE = np.dtype([("id", "<i8"), ("print", "<i8"), ("start", "<i4"), ("end", "<i4")])
+_WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("id", "<i8"), ("print", "<i8"), ("start", "<i4")])
 
 
 def _gather(data, starts, sizes):
@@ -273,29 +303,103 @@ def _code_runs(suffixes, sizes, lefts, left_sizes, ids, prints, places, buckets,
             _packed(left_sizes[mine].astype(np.uint8)), _packed(left), _packed(back.ravel().astype(np.uint32)),
             known[0].tobytes(), known[1].tobytes(), _packed(places[mine].astype(np.uint32)), b"",
         )
+    yield from _settled_rows(settled, buckets, number)
+
+
+#: A second value of each byte, for a second hash.
+_OTHER = common.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _windows(sums, first, last, row, ids, prints, offsets, length):
+    """All windows that start from ``first`` to ``last``, with both hashes of their bytes, taken from prefix sums."""
+    sizes = last - first + 1
+    ends = np.cumsum(sizes)
+    starts = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
+    out, row = np.empty(len(starts), _WINDOW), np.repeat(row, sizes)
+    out["high"], out["low"] = (common.span_hashes(s, starts, starts + length) for s in sums)
+    out["id"], out["print"], out["start"] = ids[row], prints[row], starts - offsets[row]
+    return out
+
+
+def _lowest(windows):
+    """For each hash the windows of the smallest key (several only where that key has it repeatedly), and the others."""
+    windows = windows[np.lexsort((windows["id"], windows["low"], windows["high"]))]
+    new = np.ones(len(windows), bool)
+    new[1:] = (windows["high"][1:] != windows["high"][:-1]) | (windows["low"][1:] != windows["low"][:-1])
+    lowest = windows["id"][new][np.cumsum(new) - 1]
+    return windows[windows["id"] == lowest], windows[windows["id"] > lowest]
+
+
+def _as_spans(windows, length):
+    """Spans of windows; those of a text that follow each other byte by byte are one."""
+    windows = windows[np.lexsort((windows["start"], windows["print"], windows["id"]))]
+    new = np.ones(len(windows), bool)
+    new[1:] = (windows["id"][1:] != windows["id"][:-1]) | (windows["print"][1:] != windows["print"][:-1])
+    new[1:] |= windows["start"][1:] > windows["start"][:-1] + 1
+    out = np.empty(int(new.sum()), _DONE)
+    for c in ("id", "print", "start"):
+        out[c] = windows[c][new]
+    out["end"] = windows["start"][np.append(np.flatnonzero(new)[1:], len(windows)) - 1] + length if len(windows) else 0
+    return out
+
+
+def _settled_rows(settled, buckets, number):
     nothing = (b"",) * 9
     for lo in range(0, len(settled), 1 << 16):
         part = settled[lo : lo + (1 << 16)]
         yield ((number + (lo >> 16)) % buckets, *nothing, zstandard.ZstdCompressor(level=1).compress(part.tobytes()))
 
 
-def _send_runs(buckets, length, k):
+def _window_rows(windows, buckets, number, length):
+    """Rows of the windows of hot anchors in one chunk: those of the smallest key by bucket, and spans settled here.
+
+    Their buckets are numbered behind those of runs.
+    """
+    waiting, done = _lowest(windows)
+    deal = (waiting["high"] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(deal, kind="stable")
+    waiting, deal = waiting[order], deal[order]
+    cuts = np.flatnonzero(np.diff(deal, prepend=-1))
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(deal))):
+        packed = zstandard.ZstdCompressor(level=1).compress(waiting[lo:hi].tobytes())
+        yield (buckets + int(deal[lo]), *(b"",) * 9, packed)
+    yield from _settled_rows(_as_spans(done, length), buckets, number)
+
+
+def _send_runs(buckets, length, k, hot):
     def run(batches):
         held, size, number = [], 0, 0
+        windows, n_windows = [], 0
 
         def chunk():
             columns = [np.concatenate(x) for x in zip(*held)]
             return _batch(list(_code_runs(*columns, buckets, number, length, k)), _RUN)
 
+        def window_chunk():
+            return _batch(list(_window_rows(np.concatenate(windows), buckets, number, length)), _RUN)
+
         for batch in batches:
             ids, prints = _columns(batch)
             wanted = batch.column("places")
             for at, data, offsets in common.pieces(batch.column("text")):
-                place, first, last, _, row = anchor_runs(data, offsets, length, k)
+                place, first, last, hashes, row = anchor_runs(data, offsets, length, k)
                 asked = wanted.slice(at, len(offsets) - 1)
                 counts = np.diff(np.asarray(asked.offsets))
                 known = np.repeat(offsets[:-1], counts) + np.asarray(asked.flatten())
                 keep = np.isin(place, known)
+                if len(hot):
+                    is_hot = keep & np.isin(_codes(hashes, buckets), hot)
+                    keep &= ~is_hot
+                    sums = [common.prefix_hashes(x) for x in (data, _OTHER[data])] if is_hot.any() else ()
+                    # a step at a time, as an anchor stands for up to length - k + 1 windows
+                    for lo in range(0, len(place), CHUNK_SUFFIXES // length + 1):
+                        some = lo + np.flatnonzero(is_hot[lo : lo + CHUNK_SUFFIXES // length + 1])
+                        if len(some):
+                            windows.append(_windows(sums, first[some], last[some], row[some], ids[at:], prints[at:], offsets, length))
+                            n_windows += len(windows[-1])
+                        if n_windows >= CHUNK_SUFFIXES:
+                            yield window_chunk()
+                            windows, n_windows, number = [], 0, number + 1
                 place, first, last, row = place[keep], first[keep], last[keep], row[keep]
                 sizes, left_sizes = last + length - place, place - first
                 held.append((
@@ -309,6 +413,8 @@ def _send_runs(buckets, length, k):
                     held, size, number = [], 0, number + 1
         if size:
             yield chunk()
+        if n_windows:
+            yield window_chunk()
 
     return run
 
@@ -348,8 +454,17 @@ def _equal_windows(lcp, sizes, lefts, left_sizes, ids, length):
     return least, most
 
 
-def _merge_bucket(length, k):
+def _merge_windows(table, length):
+    """Spans of the windows of a bucket that a smaller key has too."""
+    parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), _WINDOW) for x in table.column("done").to_pylist()]
+    out = _as_spans(_lowest(np.concatenate(parts))[1], length)
+    return pa.table({c: np.ascontiguousarray(out[c]) for c in ("id", "print", "start", "end")})
+
+
+def _merge_bucket(length, k, buckets):
     def run(table):
+        if table.column("bucket")[0].as_py() >= buckets:
+            return _merge_windows(table, length)
         columns = table.to_pydict()
         runs, parts, done = [], [[], [], [], [], [], []], []
         for shared, sizes, tails, left_sizes, lefts, docs, ids, prints, places, settled in zip(
@@ -438,13 +553,15 @@ def repeated_spans(docs, length=LENGTH, k=ANCHOR, bucket_bytes=BUCKET_BYTES):
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // bucket_bytes))
     sent = docs.mapInArrow(_send_anchors(buckets, length), _PAYLOAD)
-    found = sent.groupBy("bucket").applyInArrow(_keep_shared, _FOUND)
-    places = found.groupBy("id", "print").agg(F.collect_list("place").alias("places"))
+    bound = max(HOT_ENTRIES, total // HOT_ANCHORS)
+    found = write_and_read(sent.groupBy("bucket").applyInArrow(_keep_shared(bound), _FOUND), "repeat-anchors")
+    hot = np.sort([r["hot"] for r in found.filter("hot is not null").select("hot").collect()])  # HOT_ANCHORS at most
+    places = found.filter("hot is null").groupBy("id", "print").agg(F.collect_list("place").alias("places"))
     own = F.coalesce(F.col("id"), F.lit(int(NO_KEY)))
     keyed = docs.withColumn("id", own)
     anchored = keyed.join(places, ["id", "print"]).select("id", "print", "text", "places")
-    runs = anchored.mapInArrow(_send_runs(buckets, length, k), _RUN)
-    return runs.groupBy("bucket").applyInArrow(_merge_bucket(length, k), _SPAN)
+    runs = anchored.mapInArrow(_send_runs(buckets, length, k, hot), _RUN)
+    return runs.groupBy("bucket").applyInArrow(_merge_bucket(length, k, buckets), _SPAN)
 
 
 def remove_repeats(df, key="doc_id", text="text", length=LENGTH):

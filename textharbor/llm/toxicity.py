@@ -201,6 +201,9 @@ def learn_dictionaries(toxic, ordinary):
     parts += [twice(p) if len(p) <= SHORT_BYTES + 2 and p[:1] == p[-1:] == b" " else p for p in found]
     parts += [p for words in (2, 3) for p in telling_phrases(*bare, words, grams)]
     chunks = [t[i : i + 256] for t in ordinary for i in range(0, len(t), 256)]
+    if parts:  # some texts are labelled wrongly: what is telling must not be in both dictionaries
+        telling = re.compile(b"|".join(map(re.escape, sorted({p.strip() for p in parts} - {b""}))))
+        chunks = [c for c in chunks if not telling.search(c)]
     base = trained(chunks[:: max(1, len(chunks) // 20_000)], ORDINARY_BYTES)
     telling = packed(Counter(parts), TOXIC_BYTES)
     return Dictionaries(base, telling + base, base[-CONTEXT_BYTES:])

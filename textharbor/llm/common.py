@@ -1,7 +1,10 @@
 """What the operators share: Arrow passes over texts, hashes of words, prefix sums over sorted ranges."""
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +61,15 @@ def annotate(df, text, fn, fields, keep=None):
     return narrow.mapInArrow(run, schema)
 
 
+def share(spark, value):
+    """A broadcast of any object together with its class, so that executors need nothing installed; see :func:`opened`."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared):
+    return pickle.loads(shared.value)
+
+
 def as_text(array):
     """Strings; other types (a column of nulls only) as strings."""
     return array if pa.types.is_string(array.type) or pa.types.is_large_string(array.type) else array.cast(pa.string())
@@ -179,6 +191,15 @@ def prefix_sums(ranged, order, values, group=()):
     ).drop(*[f"local_{v}" for v in values])
 
 
+def moved_apart(df, column):
+    """``df`` with ``column`` written so that Spark does not see it is dealt by it already.
+
+    A table grouped by a key and joined to the rows it was grouped from stays where it is; then Spark cannot split the
+    join where one key has very many rows. Moved once more, which costs little as it has a row a key, it lets it.
+    """
+    return df.withColumn(column, F.get(F.array_repeat(column, 1), 0))
+
+
 def numbered(df, keys, order):
     """``row`` (a struct of all columns) and ``number``, counting from 1 among rows with equal ``keys``."""
     inside = Window.partitionBy(*[F.col(f"`{k}`") if isinstance(k, str) else k for k in keys]).orderBy(*order)

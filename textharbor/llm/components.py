@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textharbor.llm.common import moved_apart
 from textharbor.session import write_and_read
 
 
@@ -10,17 +11,18 @@ def connected_components(links, label="components"):
 
     Large-star and small-star steps by turns (Kiveris et al., 2014): every node points its neighbours to the smallest
     it knows, until nothing changes. Each step is a grouped minimum and a join, and its result is written to the
-    shared folder, so a lost executor costs one step. Links of a node to itself and null ends are ignored.
+    shared folder, so a lost executor costs one step. Joins are such that Spark can split a node with very many links.
+    Links of a node to itself and null ends are ignored.
     """
     links = links.filter("a is not null and b is not null and a <> b").select("a", "b")
     edges = write_and_read(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     state = None
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        low = moved_apart(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "a")
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = large.distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = moved_apart(large.groupBy("a").agg(F.min("b").alias("low")), "a")
         down = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
         small = down.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
         edges = write_and_read(small, label)

@@ -186,7 +186,7 @@ def confirmed(pairs, sets, percent):
 
 def _stars(members, hub, allowed=None):
     """Distinct pairs (a > b) of members with the hub that ``hub`` (an aggregate) picks in each bucket."""
-    hubs = members.groupBy("bucket").agg(hub.alias("hub"))
+    hubs = common.moved_apart(members.groupBy("bucket").agg(hub.alias("hub")), "bucket")
     joined = members.join(hubs, "bucket")
     pairs = joined.filter(F.col("node") != F.col("hub.node"))
     if allowed is not None:
@@ -200,6 +200,7 @@ def _open_members(members, components):
     """Rows of ``members`` with their component, in buckets that hold several components."""
     labelled = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = common.moved_apart(mixed, "bucket")
     return labelled.join(mixed.filter("lo <> hi").select("bucket"), "bucket", "left_semi")
 
 

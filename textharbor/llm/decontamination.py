@@ -145,12 +145,12 @@ def _scan_piece(block, data, offsets, windows, runs):
 
 def _scan(df, block, text):
     """One pass over rows (row, [text,] n_words, n_hit, windows, runs) against one block of windows."""
-    shared = df.sparkSession.sparkContext.broadcast(block)
+    shared = common.share(df.sparkSession, block)
     names = df.columns
     runs_type = pa.list_(pa.struct([(f.name, pa.int64()) for f in RUN]))
 
     def run(batches):
-        block = shared.value
+        block = common.opened(shared)
         for batch in batches:
             columns = dict(zip(names, batch.columns))
             texts = columns["text"] if "text" in columns else columns["row"].field(text)

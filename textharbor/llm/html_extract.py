@@ -97,13 +97,12 @@ def extract(df, model, html="html", keep=None):
     pages, and pages without main text, give an empty text. Pages of any length are read whole, repeated rows each for
     itself; columns of any name stay inside ``row``.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
     held = []
 
     def run(array):
         if not held:
             held.append(Contexts())
-        texts = ["\n\n".join(main_blocks(page or "", shared.value, held[0])) for page in common.as_text(array).to_pylist()]
+        texts = ["\n\n".join(main_blocks(page or "", model, held[0])) for page in common.as_text(array).to_pylist()]
         return [pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))]
 
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]

@@ -316,7 +316,7 @@ def _seeds(blocks, shared):
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("number", "bound", "block")])
 
     def run(batches):
-        items = shared.value
+        items = common.opened(shared)
         best = [[] for _ in items.numbers]
         for batch in batches:
             for i in range(batch.num_rows):
@@ -338,7 +338,7 @@ def _hits(blocks, shared, k, least):
     schema = T.StructType([T.StructField("number", T.LongType()), T.StructField("score", T.LongType()), T.StructField("key", key)])
 
     def run(batches):
-        items = shared.value
+        items = common.opened(shared)
         best = _Best(items, k, least)
         key_type = pa.null()
         for batch in batches:
@@ -366,12 +366,11 @@ def _ranked(hits, k):
 
 def _search_block(index, rows, k):
     """Hits of a block of items."""
-    context = index.blocks.sparkSession.sparkContext
     items = Items(rows)
     items.weigh(_document_counts(index.blocks, items), index.documents)
     if not len(items.vocabulary):
         return None
-    shared = context.broadcast(items)
+    shared = common.share(index.blocks.sparkSession, items)
     seeds = index.blocks.join(F.broadcast(_seeds(index.blocks, shared)), "block", "left_semi")  # SEEDS blocks an item
     last = _ranked(_hits(seeds.select(*index.blocks.columns), shared, k, {}), k).filter(F.col("rank") == k)
     least = {r["number"]: r["score"] for r in last.select("number", "score").collect()}

@@ -6,6 +6,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from textharbor.functions.batches import slices
 from textharbor.functions.entities import decode_entities_native
 
 # Unicode white space as a Java character class, its complement,
@@ -29,7 +30,8 @@ def strip_tags(text):
 
 def unescaped(texts):
     """An Arrow array of texts with their HTML5 entities decoded."""
-    return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+    done = [pa.array([None if t is None else html.unescape(t) for t in part.to_pylist()], pa.string()) for part in slices(texts)]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 def decode_entities(text):

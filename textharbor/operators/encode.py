@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from textharbor.functions.batches import slices
+
 DEFAULT_DIM = 384
 DEFAULT_BATCH = 1024
 
@@ -86,23 +88,20 @@ def encode(df, text, encoder, out="embedding"):
     """Add ``out`` (``array<float>``): the vector of column ``text``; NULL text gives NULL.
 
     A narrow operator: no shuffle, one Arrow batch in a Python worker at a time, at most
-    ``encoder.batch_size`` texts per model call. Order is irrelevant: rows keep their keys.
+    ``encoder.batch_size`` texts (and ``SLICE_BYTES``) per model call. Order is irrelevant: rows keep their keys.
     """
     step = getattr(encoder, "batch_size", None) or DEFAULT_BATCH
 
     @F.arrow_udf("array<float>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            texts = batch.to_pylist()
-            missing = np.fromiter((t is None for t in texts), bool, len(texts))
-            matrix = np.zeros((len(texts), encoder.dim), np.float32)
-            for start in range(0, len(texts), step):
-                part = [t or "" for t in texts[start : start + step]]
-                vectors = np.asarray(encoder.encode(part), np.float32)
-                if vectors.shape != (len(part), encoder.dim):
-                    raise ValueError(f"{encoder.model_id}: expected {(len(part), encoder.dim)}, got {vectors.shape}")
-                matrix[start : start + len(part)] = vectors
-            yield _vectors_to_arrow(matrix, missing)
+        for part in (part for batch in batches for part in slices(batch, step)):
+            texts = [t or "" for t in part.to_pylist()]
+            vectors = np.asarray(encoder.encode(texts), np.float32)
+            if vectors.shape != (len(texts), encoder.dim):
+                raise ValueError(f"{encoder.model_id}: expected {(len(texts), encoder.dim)}, got {vectors.shape}")
+            missing = part.is_null().to_numpy(zero_copy_only=False)
+            vectors = np.where(missing[:, None], np.float32(0), vectors)
+            yield _vectors_to_arrow(vectors, missing)
 
     # Declared so that a filter on the vector is not pushed below it, which would encode twice.
     return df.withColumn(out, embed.asNondeterministic()(F.col(text)))

@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textharbor.functions import cleaning
+from textharbor.functions.batches import slices
 from textharbor.functions.text import content_hash
 from textharbor.schema import DOCUMENT_COLUMNS
 
@@ -15,8 +16,11 @@ def decode_utf8(content):
 
     @F.arrow_udf("string")
     def salvage(contents: pa.Array) -> pa.Array:
-        texts = [None if c is None else c.decode("utf-8", "ignore") for c in contents.to_pylist()]
-        return pa.array(texts, pa.string())
+        done = [
+            pa.array([None if c is None else c.decode("utf-8", "ignore") for c in part.to_pylist()], pa.string())
+            for part in slices(contents)
+        ]
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     text = content.cast("string")
     return F.when(F.is_valid_utf8(text), text).otherwise(salvage(F.when(~F.is_valid_utf8(text), content)))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textharbor.functions.batches import slices
 from textharbor.functions.scores import RANK_SCALE, rank_score
 from textharbor.operators.encode import _WordCodes
 from textharbor.session import BROADCAST_BYTES, run_dir
@@ -65,16 +66,13 @@ def encode_sparse(df, text, encoder, out="entries"):
 
     @F.arrow_udf(ENTRIES)
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            texts = batch.to_pylist()
-            parts = [encoder.encode([t or "" for t in texts[i : i + step]]) for i in range(0, len(texts), step)]
-            counts, buckets, weights = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0)] * 3
+        for part in (part for batch in batches for part in slices(batch, step)):
+            counts, buckets, weights = encoder.encode([t or "" for t in part.to_pylist()])
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             pairs = pa.StructArray.from_arrays(
                 [pa.array(buckets, pa.int32()), pa.array(weights, pa.float32())], names=["bucket", "weight"]
             )
-            missing = pa.array(np.fromiter((t is None for t in texts), bool, len(texts)))
-            yield pa.ListArray.from_arrays(offsets, pairs, mask=missing)
+            yield pa.ListArray.from_arrays(offsets, pairs, mask=part.is_null())
 
     return df.withColumn(out, embed.asNondeterministic()(F.col(text)))
 

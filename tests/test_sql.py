@@ -50,9 +50,22 @@ def test_nearest_gives_the_best_of_each_partition(spark, sql):
     assert sql("SELECT * FROM nearest(TABLE(vector_blocks) PARTITION BY (part), '[]', 2)").count() == 0
 
 
+def test_nearest_takes_packed_vectors(spark, sql):
+    spark.createDataFrame([(1, "a b c"), (2, "b c d"), (3, "x y"), (4, None)], "key long, t string").createOrReplaceTempView("packed_texts")
+    found = {}
+    for embed in ("text_embed", "text_embed_packed"):
+        sql(f"""SELECT collect_list(key) AS keys, collect_list(v) AS vectors, key % 2 AS part
+                FROM (SELECT key, {embed}(t) AS v FROM packed_texts) WHERE v IS NOT NULL GROUP BY key % 2""").createOrReplaceTempView("packed_blocks")
+        asked = sql("SELECT to_json(collect_list(struct(key AS query_id, text_embed(t) AS q))) FROM packed_texts WHERE key < 4").first()[0]
+        got = sql(f"SELECT * FROM nearest(TABLE(packed_blocks) PARTITION BY (part), '{asked}', 2)").collect()
+        found[embed] = sorted((r.query_id, r.key, round(r.score, 6)) for r in got)
+    assert found["text_embed_packed"] == found["text_embed"] and len(found["text_embed"]) == 9
+
+
 @pytest.mark.parametrize("query, message", [
     ("SELECT * FROM nearest(TABLE(SELECT 1, 2), '[]', 2)", "array of keys"),
     ("SELECT * FROM nearest(TABLE(vector_blocks) PARTITION BY (part), '[]', 0)", "at least 1"),
+    ("SELECT * FROM nearest(TABLE(SELECT array(1L), array(X'00000000')), '[{\"query_id\": 1, \"q\": [1, 0]}]', 1)", "2 numbers"),
     ("SELECT * FROM nearest(TABLE(SELECT array(1L), array(array(1f))), '[{\"query_id\": 1, \"q\": [1, 0]}]', 1)", "2 numbers"),
 ])
 def test_nearest_refuses(spark, sql, query, message):

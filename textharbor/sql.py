@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from textharbor.functions import cleaning
+from textharbor.functions.batches import slices
 from textharbor.functions.scores import RANK_SCALE
 from textharbor.functions.text import LABEL_LENGTH, LISTING_LENGTH, MIN_KEYWORD, PREVIEW_LENGTH
-from textharbor.operators.encode import HashingEncoder
+from textharbor.operators.encode import HashingEncoder, _vectors_to_arrow
 from textharbor.operators.topk import _Best
 
 
@@ -60,15 +61,17 @@ class Nearest:
     """``nearest(TABLE(blocks) PARTITION BY (...), queries, k)``: of every partition the best ``k`` vectors of each query.
 
     The table holds blocks, a list of keys and a list of their vectors in its first two columns, so that a call from the
-    engine brings thousands of vectors; a block is what one row can hold. ``queries`` is a JSON array of objects with
+    engine brings thousands of vectors; a block is what one row can hold. Vectors are arrays of floats or, for many of
+    them, ``text_embed_packed`` ones: the engine hands a task's blocks over many at a time, and as objects their numbers
+    take ten times the memory. ``queries`` is a JSON array of objects with
     ``query_id`` and ``q``, a bounded set that every call is handed. Rows out are (query_id STRING, key, score DOUBLE).
     """
 
     @staticmethod
     def analyze(blocks: AnalyzeArgument, queries: AnalyzeArgument, k: AnalyzeArgument) -> AnalyzeResult:
         kinds = [f.dataType for f in blocks.dataType][:2] if blocks.isTable else []
-        vectors = T.ArrayType(T.ArrayType(T.FloatType()))
-        if len(kinds) < 2 or not isinstance(kinds[0], T.ArrayType) or kinds[1].simpleString() != vectors.simpleString():
+        vectors = ("array<array<float>>", "array<binary>")
+        if len(kinds) < 2 or not isinstance(kinds[0], T.ArrayType) or kinds[1].simpleString() not in vectors:
             raise ValueError("nearest takes a table with an array of keys and an array of float vectors first")
         if k.value is not None and k.value < 1:
             raise ValueError("k must be at least 1")
@@ -87,9 +90,11 @@ class Nearest:
         if self.best is None or not block[0]:
             return
         dim = self.best.queries.shape[1]
-        if len(block[0]) != len(block[1]) or any(v is None or len(v) != dim for v in block[1]):
+        packed = isinstance(block[1][0] if block[1] else None, (bytes, bytearray))
+        length = 4 * dim if packed else dim
+        if len(block[0]) != len(block[1]) or any(v is None or len(v) != length for v in block[1]):
             raise ValueError(f"a block needs a vector of {dim} numbers for every key")
-        vectors = np.array(block[1], np.float32)
+        vectors = np.frombuffer(b"".join(block[1]), "<f4").reshape(-1, dim) if packed else np.array(block[1], np.float32)
         if not np.isfinite(vectors).all():
             raise ValueError("a vector holds NaN or an infinite number")
         self.best.add(pa.array(block[0]), vectors)
@@ -103,21 +108,34 @@ class Nearest:
 
 
 def register_sql(spark, encoder=None):
-    """Make the functions of this module known to the session; ``text_embed`` uses ``encoder`` (feature hashing)."""
+    """Make the functions of this module known to the session.
+
+    ``text_embed`` uses ``encoder`` (feature hashing); ``text_embed_packed`` gives the same vector as the bytes of its
+    32-bit numbers, little-endian.
+    """
     encoder = encoder or HashingEncoder()
 
+    def embedded(batches):
+        for part in (part for batch in batches for part in slices(batch)):
+            vectors = np.asarray(encoder.encode([t or "" for t in part.to_pylist()]), np.float32)
+            yield vectors, part.is_null().to_numpy(zero_copy_only=False)
+
     @F.arrow_udf("array<float>")
     def text_embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            texts = batch.to_pylist()
-            vectors = encoder.encode([t or "" for t in texts])
-            yield pa.array([None if t is None else v.tolist() for t, v in zip(texts, vectors)], pa.list_(pa.float32()))
+        for vectors, missing in embedded(batches):
+            yield _vectors_to_arrow(np.where(missing[:, None], np.float32(0), vectors), missing)
+
+    @F.arrow_udf("binary")
+    def text_embed_packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for vectors, missing in embedded(batches):
+            yield pa.array([None if m else v.astype("<f4").tobytes() for v, m in zip(vectors, missing)], pa.binary())
 
     @F.arrow_udf("string")
     def text_entities(texts: pa.Array) -> pa.Array:
         return cleaning.unescaped(texts)
 
     spark.udf.register("text_embed", text_embed)
+    spark.udf.register("text_embed_packed", text_embed_packed)
     spark.udf.register("text_entities", text_entities)
     for signature, result, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {result} RETURN {body}")

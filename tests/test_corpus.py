@@ -98,3 +98,18 @@ def plan(df):
 def test_texts_are_cleaned_once(spark):
     docs = as_documents(spark.createDataFrame([(1, "a &amp; b")], "k int, t string"), "k", "t")
     assert plan(docs.filter("doc_length > 2").select("content", "content_hash")).count("unescape") == 1
+
+
+def test_many_small_files_of_several_folders_take_few_tasks(spark, tmp_path):
+    for i in range(200):
+        folder = tmp_path / f"part={i % 5}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"f{i}.txt").write_text(f"text {i}")
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        docs = read_text_corpus(spark, f"{tmp_path}/part=*")
+        assert docs.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert {r.doc_id for r in docs.collect()} == {f"f{i}" for i in range(200)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)

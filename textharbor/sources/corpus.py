@@ -7,6 +7,7 @@ from textharbor.functions import cleaning
 from textharbor.functions.batches import slices
 from textharbor.functions.text import content_hash
 from textharbor.schema import DOCUMENT_COLUMNS
+from textharbor.session import gathered
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -81,10 +82,10 @@ def _text_files(files, cleaner):
 def read_text_corpus(spark, path, cleaner=cleaning.clean):
     """Every ``*.txt`` directly in a folder as one document; files that clean to nothing are skipped.
 
-    The key is the file name without its last extension. Files starting with ``_`` or ``.`` are not read.
+    ``path`` may be a pattern of several folders, which are listed in parallel where there are many. The key is the file name without its last extension. Files starting with ``_`` or ``.`` are not read.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    return _text_files(files, cleaner)
+    return _text_files(gathered(files), cleaner)
 
 
 def text_corpus_stream(spark, path, cleaner=cleaning.clean, max_files=None):

@@ -1,9 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_topk import brute, frames, units
 
 import textharbor.operators.pruned as pruned
 from textharbor import cluster_vectors, pruned_topk
+from textharbor.operators import topk
 
 
 def run(q, v, k, centres=None, **options):
@@ -81,3 +83,27 @@ def test_unusable_vectors_are_refused(spark, wrong):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, wrong)], "doc_id long, embedding array<float>").coalesce(1)
     with pytest.raises(Exception, match="numbers|NaN|split_by_dim"):
         cluster_vectors(v, dim=2).blocks.collect()
+
+
+def test_many_small_offers_stay_few_tables():
+    rng = np.random.default_rng(5)
+    queries, best = np.array(units(rng, 8, 6), np.float32), None
+    best = topk._Best(queries, 3)
+    vectors = np.array(units(rng, 4000, 6), np.float32)
+    for i in range(0, 4000, 2):
+        best.add(pa.array([i, i + 1]), vectors[i : i + 2], np.arange(8))
+        assert len(best.fresh) + len(best.merged) <= topk._OFFERS + 4000 // topk._OFFERS
+    best.prune()
+    scores = queries.astype(np.float64) @ vectors.astype(np.float64).T
+    wanted = [row.argsort()[::-1][:3].tolist() for row in scores]
+    assert best.kept["key"].to_pylist() == [key for row in wanted for key in row]
+
+
+def test_bounds_in_steps_equal_bounds_at_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    matrix, centres, radii = np.array(units(rng, 50, 6), np.float32), rng.normal(size=(7, 6)), rng.random(7)
+    norms = topk._norms(matrix)
+    monkeypatch.setattr(pruned, "_ROWS_STEP", 8)
+    at_once = centres @ matrix.astype(np.float64).T + radii[:, None] * norms
+    assert np.allclose(pruned._bounds(matrix, norms, centres, radii), at_once, atol=1e-12)
+    assert pruned._nearest(matrix[:0], centres).tolist() == []

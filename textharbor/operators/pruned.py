@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textharbor.functions.scores import RANK_SCALE, rank_score
-from textharbor.operators.topk import _Best, _first, _matrix, query_bytes
+from textharbor.operators.topk import _Best, _first, _matrix, _norms, query_bytes
 from textharbor.session import BROADCAST_BYTES, run_dir, write_and_read
 
 #: Vectors of a block; of a cell dealt as one; centres at most, and sampled vectors for each.
@@ -30,7 +30,9 @@ ROUNDS = 4
 #: Blocks scored first for every query.
 SEEDS = 3
 #: Bytes of bounds (blocks times queries) that a task holds at once.
-STEP_BYTES = 32 << 20
+STEP_BYTES = 8 << 20
+#: Queries and points that are doubles at once.
+_ROWS_STEP = 1 << 11
 
 
 class ClusteredVectors(NamedTuple):
@@ -61,7 +63,8 @@ def _centres(vectors, key, vector, dim, count):
 def _nearest(points, centres):
     """The place of the nearest centre of each point."""
     half = (centres.astype(np.float64) ** 2).sum(axis=1) / 2
-    return np.argmax(points @ centres.T - half, axis=1)
+    steps = range(0, len(points), _ROWS_STEP)
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmax(points[i : i + _ROWS_STEP] @ centres.T - half, axis=1) for i in steps)])
 
 
 def _assigned(vectors, key, vector, dim, centres):
@@ -162,7 +165,10 @@ def cluster_vectors(vectors, key="doc_id", vector="embedding", dim=None, centres
 
 def _bounds(matrix, norms, centres, radii):
     """The most that a vector of each block can score against each query: blocks x queries."""
-    return centres @ matrix.astype(np.float64).T + radii[:, None] * norms
+    bounds = radii[:, None] * norms
+    for i in range(0, len(matrix), _ROWS_STEP):
+        bounds[:, i : i + _ROWS_STEP] += centres @ matrix[i : i + _ROWS_STEP].astype(np.float64).T
+    return bounds
 
 
 def _steps(batch, queries):
@@ -258,7 +264,7 @@ def _pruned_part(queries, index, k, query_id, query_vector, key):
     checked = F.when(F.size(query_vector) == dim, F.col(query_vector)).otherwise(wrong)
     table = queries.select(query_id, checked.alias(query_vector)).toArrow()  # measured by pruned_topk
     ids, matrix = _first(table[query_id]), _matrix(table[query_vector], dim)
-    norms = np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1))
+    norms = _norms(matrix)
     shared = context.broadcast((ids, matrix, norms))
     schema = T.StructType(
         [queries.schema[query_id], T.StructField(key, index.blocks.schema["keys"].dataType.elementType), T.StructField("score", T.DoubleType())]

@@ -36,6 +36,9 @@ MERGE_BYTES = 64 << 20
 #: What the plan says of tables that do not come from files.
 UNKNOWN_BYTES = 1 << 60
 _RESCORE_STEP = 1 << 13
+#: Offers put together as one table: one of a few rows takes kilobytes.
+_OFFERS = 256
+_NORM_STEP = 1 << 13
 _PAIR_STEP = 1 << 18
 
 
@@ -76,19 +79,26 @@ def _smallest_copies(keys, block, k):
     return keys.take(pa.array(kept)), block[kept]
 
 
+def _norms(matrix):
+    """Lengths of the rows, without a copy of them all in double precision."""
+    parts = (matrix[i : i + _NORM_STEP].astype(np.float64) for i in range(0, len(matrix), _NORM_STEP))
+    return np.concatenate([np.zeros(0), *(np.sqrt((part**2).sum(axis=1)) for part in parts)])
+
+
 class _Best:
     """Running top k of a block of queries over any number of vector blocks."""
 
     def __init__(self, queries, k):
         self.queries = queries
         self.k = k
-        norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+        norms = _norms(queries)
         self.max_norm = float(norms.max(initial=0.0))
         self.is_blank = norms == 0  # all vectors tie for these: the smallest keys win
         self.blank = np.flatnonzero(self.is_blank)
         self.floor = np.full(len(queries), -np.inf)  # rank score a candidate has to reach
         self.kept = None
-        self.fresh = []
+        self.fresh = []  # the last offers, then many at a time
+        self.merged = []
         self.n_fresh = 0
 
     def add(self, keys, vectors, wanted=None):
@@ -119,7 +129,7 @@ class _Best:
             q, v = np.nonzero(rough >= need[:, None])
             for at in range(0, len(q), _RESCORE_STEP):
                 self._offer(places[q[at : at + _RESCORE_STEP]], v[at : at + _RESCORE_STEP], keys, block)
-        if self.kept is None or self.n_fresh > max(2 * self.k * len(self.queries), 16 * _RESCORE_STEP):
+        if self.kept is None or self.n_fresh > max(self.k * len(self.queries), 16 * _RESCORE_STEP):
             self.prune()
 
     def _offer(self, q, v, keys, block):
@@ -132,10 +142,13 @@ class _Best:
             pa.table({"q": q, "rank": rank, "score": score, "key": keys.take(pa.array(v))})
         )
         self.n_fresh += len(q)
+        if len(self.fresh) >= _OFFERS:
+            self.merged.append(pa.concat_tables(self.fresh).combine_chunks())
+            self.fresh = []
 
     def prune(self):
-        parts = self.fresh if self.kept is None else [self.kept, *self.fresh]
-        self.fresh, self.n_fresh = [], 0
+        parts = [*([] if self.kept is None else [self.kept]), *self.merged, *self.fresh]
+        self.merged, self.fresh, self.n_fresh = [], [], 0
         if not parts:
             return
         table = pa.concat_tables(parts)

@@ -3,6 +3,8 @@ import random
 import pytest
 
 from textharbor import bucket_keys, check_by_ranges, index_integrity, keyword_matches, score_histogram, score_pairs, score_quantiles
+from textharbor.operators import matches
+from textharbor.session import write_and_read
 
 
 def sets(spark, rows, key):
@@ -115,3 +117,11 @@ def test_pairs_are_scored_in_parts(spark):
         got = {(r.query_id, r.doc_id): r.score for r in score_pairs(q, v, max_query_bytes=limit).collect()}
         assert got == {(i, j): i * j + 1.0 for i in range(20) for j in range(20)}
     assert score_pairs(q.limit(0), v).count() == 0
+
+
+def test_words_of_either_side_are_found_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(matches, "write_and_read", lambda df, label: written.append(label) or write_and_read(df, label))
+    left, right = sets(spark, [(1, ["a", "b"])], "doc_id"), sets(spark, [(2, ["b", "c"])], "query_id")
+    assert [tuple(r) for r in keyword_matches(left, right, 0.3).collect()] == [(1, 2, 1, 1 / 3)]
+    assert written.count("match-sets") == 2

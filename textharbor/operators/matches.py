@@ -36,7 +36,8 @@ def keyword_matches(left, right, threshold, left_id="doc_id", right_id="query_id
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    a, b = _sized(left, left_id, words), write_and_read(_sized(right, right_id, words), "match-sets")
+    # Each side is read several times below; its words are found once.
+    a, b = (write_and_read(_sized(rows, key, words), "match-sets") for rows, key in ((left, left_id), (right, right_id)))
     wanted = b.select(F.explode("words").alias("word")).distinct()
     n_bytes = wanted.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
     small = n_bytes <= BROADCAST_BYTES

@@ -97,3 +97,15 @@ def test_no_documents(spark):
     path = run_dir(spark, "partial")
     assert read_partial_index(spark, path) is None
     assert update_partial_index(docs(spark, {"a": ""}), path, ENCODER) == (0, 0, 0, 0)
+
+
+def test_texts_are_cleaned_once(spark, monkeypatch):
+    compared = []
+    changed = partial.changed_parts
+    monkeypatch.setattr(partial, "changed_parts", lambda docs, *a: compared.append(docs.inputFiles()) or changed(docs, *a))
+    path = run_dir(spark, "partial")
+    assert update_partial_index(docs(spark, TEXTS), path, ENCODER, parts=8).encoded == 60
+    assert not compared  # a first run has nothing to compare with
+    assert update_partial_index(docs(spark, {**TEXTS, "d1": "other"}), path, ENCODER, parts=8).encoded == 1
+    assert all("partial-documents" in f for f in compared[0])
+    check(spark, path, {**TEXTS, "d1": "other"})

@@ -74,11 +74,15 @@ def update_partial_index(docs, path, encoder, parts=PARTS, normalized=True):
     """
     spark = docs.sparkSession
     index = read_partial_index(spark, path)
-    touched = sorted(r["part"] for r in changed_parts(docs, index, parts).collect())  # PARTS rows at most
-    if not touched:
-        return Updated(0, 0, 0, 0)
-    here = docs.filter(_part_of("doc_id", parts).isin(touched))
-    described = describe_documents(here, keep=["content"]).withColumn("part", _part_of("doc_id", parts))
+    touched = None
+    if index is not None:
+        # Texts are cleaned once: what is compared here is described below.
+        docs = write_and_read(docs.select("doc_id", "content", "filename", "doc_length", "content_hash"), "partial-documents")
+        touched = sorted(r["part"] for r in changed_parts(docs, index, parts).collect())  # PARTS rows at most
+        if not touched:
+            return Updated(0, 0, 0, 0)
+        docs = docs.filter(_part_of("doc_id", parts).isin(touched))
+    described = describe_documents(docs, keep=["content"]).withColumn("part", _part_of("doc_id", parts))
     if index is None:
         known = None
         fresh = described
@@ -105,6 +109,10 @@ def update_partial_index(docs, path, encoder, parts=PARTS, normalized=True):
         F.count(F.lit(1)).alias("n"), F.count_if("reused").alias("reused"), F.count_distinct("doc_id").alias("keys")).collect()}
     if any(n != keys for n, _, keys in counts.values()):
         raise ValueError("a key comes more than once among the documents")
+    if touched is None:
+        touched = sorted(counts)  # without an index all parts with a document are new
+        if not touched:
+            return Updated(0, 0, 0, 0)
     out = staged.drop("reused")
     emptied = [p for p in touched if p not in counts]
     if emptied:

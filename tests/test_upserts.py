@@ -107,3 +107,12 @@ def test_null_keys_are_refused(spark):
     events = upsert_events(spark.createDataFrame([(None, "t", 1, False)], SCHEMA), "k", "t", "v", "gone")
     with pytest.raises(Exception, match="must not be NULL"):
         events.collect()
+
+
+def test_a_store_of_many_writes_is_compacted(spark, source, store):
+    for i in range(4):
+        source.arrive([("a", f"text {i}", i), (f"k{i}", "own", 1)])
+    query = stream_upsert(source.events(), store, ENCODER, run_dir(spark, "checkpoint"), "s", compact_after=2)
+    query.awaitTermination()
+    assert store.writes() <= 2
+    check(store, {"a": "text 3", **{f"k{i}": "own" for i in range(4)}})

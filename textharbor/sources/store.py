@@ -105,6 +105,10 @@ class EmbeddingStore:
         """Upper bound of the size of ``keys()``, from the log alone."""
         return sum(e.key_bytes for e in self._entries())
 
+    def writes(self):
+        """Writes that make up the current content: each is read by every scan."""
+        return len(self._entries())
+
     def state(self):
         """Names the store's current content: it changes with every write."""
         return f"{self.path}#{self.model_id}#{self._last_seq()}"

@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textharbor import as_documents, iterate_documents, read_text_corpus, run_dir
+from textharbor import as_documents, iterate_documents, read_text_corpus, run_dir, write_text_files
 from textharbor.schema import document_schema
+from textharbor.sources import corpus
 
 
 def write(folder, files):
@@ -113,3 +114,48 @@ def test_many_small_files_of_several_folders_take_few_tasks(spark, tmp_path):
         assert {r.doc_id for r in docs.collect()} == {f"f{i}" for i in range(200)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+
+
+def test_rows_become_files_and_nothing_else(spark, tmp_path):
+    rows = [("Grüße <b>x</b>",), ("",), (None,), ("two\nlines",), ("two\nlines",)] + [(f"t {i}",) for i in range(200)]
+    df = spark.createDataFrame(rows, "body string").repartition(3)
+    folder = tmp_path / "files"
+    read = write_text_files(df, "body", f"file://{folder}")
+    found = [f for f in folder.rglob("*") if f.is_file()]
+    assert sorted(f.read_text() for f in found) == sorted((text or "") + "\n" for text, in rows)
+    (folder / "other").mkdir()
+    (folder / "other" / "of a lost attempt.txt").write_text("not read")
+    docs = read_text_corpus(spark, read)
+    assert sorted(r.content for r in docs.collect()) == sorted(["grüße x", "two lines", "two lines"] + [f"t {i}" for i in range(200)])
+    assert docs.select("doc_id").distinct().count() == docs.count()
+    none = write_text_files(df.limit(0), "body", str(tmp_path / "none"))
+    assert read_text_corpus(spark, none).count() == 0
+
+
+def test_a_task_begins_another_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "FOLDER_FILES", 3)
+    read = write_text_files(spark.range(7).select(F.col("id").cast("string").alias("t")).coalesce(1), "t", str(tmp_path / "files"))
+    assert len(read) == 3 and {r.content for r in read_text_corpus(spark, read).collect()} == set("0123456")
+
+
+def test_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path):
+    names = ["a.txt", "_h.txt", ".h.txt", "_k=v.txt", "_metadata.txt", "x.txt._COPYING_", "é [1].txt", "b.TXT", "c.txt.gz", ".txt"]
+    folder = write(tmp_path / "in", {name: "word" for name in names})
+    (tmp_path / "in" / "gone.txt").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "in" / "linked.txt").symlink_to(tmp_path / "in" / "a.txt")
+    docs = read_text_corpus(spark, folder)
+    by_spark = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+    assert "binaryFile" not in plan(docs)  # whose list of files the driver holds
+    assert sorted(r[0] for r in docs.select("metadata.source_path").collect()) == sorted(r.path for r in by_spark.collect())
+    write(tmp_path / "in", {"later.txt": "word"})
+    assert docs.count() == by_spark.count()
+
+
+def test_files_larger_than_a_batch_and_folders_of_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "LIST_BYTES", 10)
+    folder = write(tmp_path / "in", {f"{i}.txt": "ab " * i for i in range(1, 9)})
+    assert sorted(r.doc_length for r in read_text_corpus(spark, folder).collect()) == [3 * i - 1 for i in range(1, 9)]
+    assert read_text_corpus(spark, f"{folder}/3.txt").first().doc_id == "3"
+    (tmp_path / "parted").mkdir()
+    write(tmp_path / "parted" / "k=1", {"p.txt": "word"})
+    assert [r.doc_id for r in read_text_corpus(spark, str(tmp_path / "parted")).collect()] == ["p"]

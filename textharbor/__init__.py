@@ -36,6 +36,7 @@ from textharbor.sources.corpus import (  # noqa: E402
     iterate_documents,
     read_text_corpus,
     text_corpus_stream,
+    write_text_files,
 )
 from textharbor.sources.index import (  # noqa: E402
     append_vectors,
@@ -108,4 +109,5 @@ __all__ = [
     "validate_queries",
     "vectors",
     "write_keyed",
+    "write_text_files",
 ]

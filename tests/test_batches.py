@@ -30,3 +30,19 @@ def test_slices_keep_order_nulls_and_texts_beyond_the_limit():
     assert list(batches.slices(texts.slice(0, 0))) == []
     assert cleaning.unescaped(texts.slice(0, 0)).to_pylist() == []
     assert cleaning.unescaped(pa.array(["&amp;", None])).to_pylist() == ["&", None]
+
+
+def test_a_batch_is_let_go_before_the_next_is_asked_for():
+    before = pa.total_allocated_bytes()
+
+    def arriving():
+        for _ in range(3):
+            assert pa.total_allocated_bytes() - before < 1 << 20
+            yield pa.array(["x" * 300] * 5000)
+
+    found = []
+    for part in batches.parts(arriving(), rows=3000):
+        found.append(len(part))
+        del part
+    assert found == [3000, 2000] * 3
+    batches.give_back()

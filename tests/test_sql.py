@@ -1,9 +1,13 @@
+import zlib
+
+import numpy as np
 import pytest
 from paths import DATA
 from pyspark.sql import functions as F
 
-from textharbor import register_sql
+from textharbor import HashingEncoder, register_sql
 from textharbor.functions import cleaning, scores, text, vectors
+from textharbor.operators import topk
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +76,48 @@ def test_nearest_refuses(spark, sql, query, message):
     blocks(spark, [([1], [[1.0, 0.0]], 0)])
     with pytest.raises(Exception, match=message):
         sql(query).collect()
+
+
+def test_packed_vectors_are_short_and_whole(spark, sql):
+    rows = [("the cat and the dog " * 20,), ("word",), ("",), (None,)]
+    spark.createDataFrame(rows, "t string").createOrReplaceTempView("texts_to_pack")
+    packed = [r.v for r in sql("SELECT text_embed_packed(t) AS v FROM texts_to_pack").collect()]
+    dim = HashingEncoder().dim
+    assert packed[3] is None and all(len(v) < 4 * dim // 3 for v in packed[:3])
+    whole = np.array([np.frombuffer(zlib.decompress(v), "<f4") for v in packed[:3]])
+    assert (whole == HashingEncoder().encode([t for t, in rows[:3]])).all()
+
+
+def test_nearest_takes_deflated_and_raw_vectors_side_by_side(spark, sql):
+    raw = [np.array(v, "<f4").tobytes() for v in np.eye(64)[:3]]
+    rows = [([1, 2], [raw[0], zlib.compress(raw[1])], 0), ([3], [zlib.compress(raw[2])], 0)]
+    spark.createDataFrame(rows, "keys array<long>, vectors array<binary>, part int").createOrReplaceTempView("mixed_blocks")
+    asked = '[{"query_id": 1, "q": [0, 1' + ", 0" * 62 + "]}]"
+    got = sql(f"SELECT * FROM nearest(TABLE(mixed_blocks) PARTITION BY (part), '{asked}', 2)").collect()
+    assert sorted((r.key, r.score) for r in got) == [(1, 0.0), (2, 1.0)]
+    for wrong in (zlib.compress(raw[0][:-4]), zlib.compress(raw[0] + raw[1]), raw[0][:-4], raw[0] + raw[0], b""):
+        spark.createDataFrame([([1], [wrong])], "keys array<long>, vectors array<binary>").createOrReplaceTempView("wrong_blocks")
+        with pytest.raises(Exception, match="64 numbers"):
+            sql(f"SELECT * FROM nearest(TABLE(wrong_blocks), '{asked}', 2)").collect()
+
+
+def test_only_texts_with_an_ampersand_go_to_python(spark, sql):
+    rows = [("a &amp; b",), ("plain",), ("&",), ("",), (None,)]
+    spark.createDataFrame(rows, "t string").createOrReplaceTempView("texts_with_entities")
+    found = sql("SELECT t, text_entities(t) AS o FROM texts_with_entities")
+    assert {r.t: r.o for r in found.collect()} == {"a &amp; b": "a & b", "plain": "plain", "&": "&", "": "", None: None}
+    assert "CASE WHEN Contains(t" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scoring_again_is_bounded_in_bytes(monkeypatch):
+    rng = np.random.default_rng(5)
+    queries, block = (rng.standard_normal((n, 16)).astype(np.float32) for n in (20, 300))
+    offered = []
+    offer = topk._Best._offer
+    monkeypatch.setattr(topk, "_RESCORE_BYTES", 10 * 8 * 16)
+    monkeypatch.setattr(topk._Best, "_offer", lambda self, q, *rest: (offered.append(len(q)), offer(self, q, *rest))[1])
+    best = topk._Best(queries, 5)
+    best.add(topk.pa.array(range(300)), block)
+    best.prune()
+    wanted = np.argsort(-(queries.astype(np.float64) @ block.T.astype(np.float64)), axis=1)[:, :5]
+    assert max(offered) <= 10 and best.kept["key"].to_pylist() == wanted.ravel().tolist()

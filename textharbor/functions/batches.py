@@ -1,6 +1,9 @@
 """Arrow batches of texts, a bounded part at a time."""
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts that are Python strings at once in a worker; a longer text comes alone.
@@ -19,3 +22,19 @@ def slices(texts, rows=1024, n_bytes=SLICE_BYTES):
         stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + n_bytes, "right"))))
         yield texts.slice(start, stop - start)
         start = min(stop, len(texts))
+
+
+def parts(batches, rows=1024, n_bytes=SLICE_BYTES):
+    """``slices`` of one batch after another; a batch is let go before the next is asked for."""
+    for batch in batches:
+        yield from slices(batch, rows, n_bytes)
+        del batch
+
+
+def give_back():
+    """Freed memory to the system: workers wait for other tasks, each with what its allocators hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not the C library of Linux
+        pass

@@ -36,6 +36,8 @@ MERGE_BYTES = 64 << 20
 #: What the plan says of tables that do not come from files.
 UNKNOWN_BYTES = 1 << 60
 _RESCORE_STEP = 1 << 13
+#: Bytes of one side of the pairs that are scored again at once.
+_RESCORE_BYTES = 4 << 20
 #: Offers put together as one table: one of a few rows takes kilobytes.
 _OFFERS = 256
 _NORM_STEP = 1 << 13
@@ -127,8 +129,9 @@ class _Best:
                 need = np.maximum(need, kth - 2.0 * slack)
             need[self.is_blank[places]] = np.inf
             q, v = np.nonzero(rough >= need[:, None])
-            for at in range(0, len(q), _RESCORE_STEP):
-                self._offer(places[q[at : at + _RESCORE_STEP]], v[at : at + _RESCORE_STEP], keys, block)
+            step = min(_RESCORE_STEP, max(1, _RESCORE_BYTES // (8 * dim)))
+            for at in range(0, len(q), step):
+                self._offer(places[q[at : at + step]], v[at : at + step], keys, block)
         if self.kept is None or self.n_fresh > max(self.k * len(self.queries), 16 * _RESCORE_STEP):
             self.prune()
 

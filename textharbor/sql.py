@@ -5,7 +5,9 @@ into the plan; entities and encoding are Arrow functions; ``nearest`` is a table
 the caller deals to partitions.
 """
 
+import copy
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from textharbor.functions import cleaning
-from textharbor.functions.batches import slices
+from textharbor.functions.batches import give_back, parts
 from textharbor.functions.scores import RANK_SCALE
 from textharbor.functions.text import LABEL_LENGTH, LISTING_LENGTH, MIN_KEYWORD, PREVIEW_LENGTH
 from textharbor.operators.encode import HashingEncoder, _vectors_to_arrow
@@ -33,6 +35,7 @@ _SPACES = _literal(rf"(?![!-~])(?:{cleaning.WS_BUT_SPACE}{cleaning.WS}*| {cleani
 FUNCTIONS = (
     ("text_normalize(x STRING)", "STRING", f"trim(regexp_replace(x, {_SPACES}, ' '))"),
     ("text_strip_tags(x STRING)", "STRING", f"regexp_replace(x, {_literal(cleaning.TAG)}, ' ')"),
+    ("text_entities(x STRING)", "STRING", "coalesce(text_unescaped(CASE WHEN contains(x, '&') THEN x END), x)"),
     ("text_strip_urls(x STRING)", "STRING", f"regexp_replace(x, {_literal(cleaning.LINK)}, ' ')"),
     ("text_clean(x STRING)", "STRING", "text_normalize(text_strip_urls(text_entities(text_strip_tags(lower(x)))))"),
     ("text_hash(x STRING)", "STRING", "sha2(x, 256)"),
@@ -57,6 +60,23 @@ FUNCTIONS = (
 )
 
 
+def _pack(vector):
+    """The bytes of a vector's 32-bit numbers, deflated where that is shorter, so that the length tells which."""
+    raw = vector.astype("<f4").tobytes()
+    return min(zlib.compress(raw, 1), raw, key=len)
+
+
+def _unpack(packed, dim):
+    """The numbers of a packed vector, as bytes; nothing if they are not ``dim``."""
+    if packed is None or len(packed) >= 4 * dim:
+        return packed if packed is not None and len(packed) == 4 * dim else b""
+    try:
+        raw = zlib.decompress(packed, bufsize=4 * dim)
+    except zlib.error:
+        return b""
+    return raw if len(raw) == 4 * dim else b""
+
+
 class Nearest:
     """``nearest(TABLE(blocks) PARTITION BY (...), queries, k)``: of every partition the best ``k`` vectors of each query.
 
@@ -91,10 +111,10 @@ class Nearest:
             return
         dim = self.best.queries.shape[1]
         packed = isinstance(block[1][0] if block[1] else None, (bytes, bytearray))
-        length = 4 * dim if packed else dim
-        if len(block[0]) != len(block[1]) or any(v is None or len(v) != length for v in block[1]):
+        found, length = ([_unpack(v, dim) for v in block[1]], 4 * dim) if packed else (block[1], dim)
+        if len(block[0]) != len(found) or any(v is None or len(v) != length for v in found):
             raise ValueError(f"a block needs a vector of {dim} numbers for every key")
-        vectors = np.frombuffer(b"".join(block[1]), "<f4").reshape(-1, dim) if packed else np.array(block[1], np.float32)
+        vectors = np.frombuffer(b"".join(found), "<f4").reshape(-1, dim) if packed else np.array(found, np.float32)
         if not np.isfinite(vectors).all():
             raise ValueError("a vector holds NaN or an infinite number")
         self.best.add(pa.array(block[0]), vectors)
@@ -105,20 +125,27 @@ class Nearest:
             if self.best.kept is not None:
                 for hit in self.best.kept.to_pylist():
                     yield self.ids[hit["q"]], hit["key"], hit["score"]
+            self.best = None
+            give_back()
 
 
 def register_sql(spark, encoder=None):
     """Make the functions of this module known to the session.
 
     ``text_embed`` uses ``encoder`` (feature hashing); ``text_embed_packed`` gives the same vector as the bytes of its
-    32-bit numbers, little-endian.
+    32-bit numbers, little-endian, deflated (zlib) where that is shorter.
     """
     encoder = encoder or HashingEncoder()
 
     def embedded(batches):
-        for part in (part for batch in batches for part in slices(batch)):
-            vectors = np.asarray(encoder.encode([t or "" for t in part.to_pylist()]), np.float32)
-            yield vectors, part.is_null().to_numpy(zero_copy_only=False)
+        own = copy.copy(encoder)  # with what it remembers of this task's words
+        for part in parts(batches):
+            vectors = np.asarray(own.encode([t or "" for t in part.to_pylist()]), np.float32)
+            missing = part.is_null().to_numpy(zero_copy_only=False)
+            del part  # or the batch it is of would stay while the next one is read
+            yield vectors, missing
+        del own
+        give_back()
 
     @F.arrow_udf("array<float>")
     def text_embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -128,15 +155,19 @@ def register_sql(spark, encoder=None):
     @F.arrow_udf("binary")
     def text_embed_packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for vectors, missing in embedded(batches):
-            yield pa.array([None if m else v.astype("<f4").tobytes() for v, m in zip(vectors, missing)], pa.binary())
+            yield pa.array([None if m else _pack(v) for v, m in zip(vectors, missing)], pa.binary())
 
     @F.arrow_udf("string")
-    def text_entities(texts: pa.Array) -> pa.Array:
-        return cleaning.unescaped(texts)
+    def text_unescaped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts(batches):
+            done = cleaning.unescaped(part)
+            del part
+            yield done
+        give_back()
 
     spark.udf.register("text_embed", text_embed)
     spark.udf.register("text_embed_packed", text_embed_packed)
-    spark.udf.register("text_entities", text_entities)
+    spark.udf.register("text_unescaped", text_unescaped)
     for signature, result, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {result} RETURN {body}")
     spark.udtf.register("nearest", F.udtf(Nearest))
